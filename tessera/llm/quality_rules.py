@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
+#: Words from which a text must have a stop word.
+LONG = 50
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "be", "have", "with", "for", "it", "der", "die", "das", "und", "ist", "nicht", "von", "mit", "zu", "den", "le", "la", "les", "de", "des", "et", "en", "un", "une", "que", "el", "los", "las", "y", "por", "con", "no", "se")
@@ -29,8 +31,8 @@ STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "be", "have", "with"
 #: (rule, metric, smallest, largest) — null: no bound. A text is kept if it meets all.
 RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("word length", "mean_word_chars", 1.5, 30.0),
-    ("symbols", "symbols_per_word", None, 0.5),
-    ("stop words", "n_stop_words", 1, None),
+    ("symbols", "symbols_per_word", None, 0.3),
+    ("stop words", "stop_words_if_long", 1, None),
     ("repeated lines", "dup_line_ratio", None, 0.5),
     ("bullet lines", "bullet_line_ratio", None, 0.9),
     ("words with a letter", "letter_word_ratio", 0.5, None),
@@ -78,7 +80,7 @@ def measured(df: DataFrame, text_col: str = "text") -> tuple[list[Column], DataF
         "n_repeat_words": repeated_words(words),
         "n_lines": F.size(lines),
         "n_bullet_lines": F.regexp_count(text, F.lit(r"(?m)^[ \t]*[-*•]")),
-        "n_stop_words": F.size(F.array_intersect(F.transform(F.array_distinct(words), F.lower), F.array(*map(F.lit, STOP_WORDS)))),
+        "n_stop_words": F.size(F.array_intersect(words, F.array(*(F.lit(form) for w in STOP_WORDS for form in (w, w.capitalize()))))),
         "n_letter_words": F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))),
     }
     return [c.cast("long").alias(k) for k, c in columns.items()], with_arrays
@@ -92,6 +94,7 @@ def judge(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "t
     derived = {
         "mean_word_chars": ratio("word_chars", "n_words"),
         "symbols_per_word": ratio("n_symbols", "n_words"),
+        "stop_words_if_long": F.when(F.col("n_words") < LONG, 1).otherwise(F.col("n_stop_words")),
         "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
         "bullet_line_ratio": ratio("n_bullet_lines", "n_lines"),
         "letter_word_ratio": ratio("n_letter_words", "n_words"),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, chat_format, ngram_jaccard, pii, quality_rules, token_counts, url_filter
+from tessera.llm import additive_ann, byte_bpe, chat_format, mixing, ngram_jaccard, pii, quality_bayes, quality_rules, token_counts, url_filter
 from tessera.session import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,24 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def quality_scores(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """A document's host is its source, and its path the language section in it."""
+    model = quality_bayes.fit_text_model(docs, labels)
+    return quality_bayes.score(docs, model, F.col("source"), F.col("lang"), carry=carry)
+
+
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2.0)
+
+
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     rank_file = public_tokenizers.path(RANK_FILE)
     ids = byte_bpe.encode(docs, rank_file, public_tokenizers.PATTERN)
@@ -79,6 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": near_duplicates,
         "op2_url_filters": url_filters,
+        "op3_quality_classifier": quality,
+        "op4_additive_ann": neighbours,
+        "op5_source_mixing": mixture,
         "op6_byte_bpe": byte_bpe_round_trip,
         "op7_chat_formatting": chats,
         "op8_quality_rules": rules,
@@ -154,15 +175,15 @@ m AS (
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
     len(lines) AS n_lines, len(regexp_extract_all(text, '(?m)^[ \t]*[-*•]')) AS n_bullet_lines,
-    len(list_filter(list_distinct(list_transform(words, lambda x: lower(x))), lambda x: x IN ('the', 'of', 'and', 'to', 'in', 'is', 'that', 'be', 'have', 'with', 'for', 'it', 'der', 'die', 'das', 'und', 'ist', 'nicht', 'von', 'mit', 'zu', 'den', 'le', 'la', 'les', 'de', 'des', 'et', 'en', 'un', 'une', 'que', 'el', 'los', 'las', 'y', 'por', 'con', 'no', 'se'))) AS n_stop_words,
+    len(list_filter(list_distinct(words), lambda x: x IN ('the', 'of', 'and', 'to', 'in', 'is', 'that', 'be', 'have', 'with', 'for', 'it', 'der', 'die', 'das', 'und', 'ist', 'nicht', 'von', 'mit', 'zu', 'den', 'le', 'la', 'les', 'de', 'des', 'et', 'en', 'un', 'une', 'que', 'el', 'los', 'las', 'y', 'por', 'con', 'no', 'se', 'The', 'Of', 'And', 'To', 'In', 'Is', 'That', 'Be', 'Have', 'With', 'For', 'It', 'Der', 'Die', 'Das', 'Und', 'Ist', 'Nicht', 'Von', 'Mit', 'Zu', 'Den', 'Le', 'La', 'Les', 'De', 'Des', 'Et', 'En', 'Un', 'Une', 'Que', 'El', 'Los', 'Las', 'Y', 'Por', 'Con', 'No', 'Se'))) AS n_stop_words,
     len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words
   FROM w LEFT JOIN covered c USING (r)),
 j AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
     coalesce(word_chars, 0) / greatest(n_words, 1) AS mean_chars FROM m),
 f AS (
-  SELECT *, list_filter([CASE WHEN mean_chars < 1.5 OR mean_chars > 30 THEN 'word length' END, CASE WHEN n_symbols / greatest(n_words, 1) > 0.5 THEN 'symbols' END,
-    CASE WHEN n_stop_words < 1 THEN 'stop words' END, CASE WHEN n_dup_lines / greatest(n_lines, 1) > 0.5 THEN 'repeated lines' END,
+  SELECT *, list_filter([CASE WHEN mean_chars < 1.5 OR mean_chars > 30 THEN 'word length' END, CASE WHEN n_symbols / greatest(n_words, 1) > 0.3 THEN 'symbols' END,
+    CASE WHEN n_words >= 50 AND n_stop_words < 1 THEN 'stop words' END, CASE WHEN n_dup_lines / greatest(n_lines, 1) > 0.5 THEN 'repeated lines' END,
     CASE WHEN n_bullet_lines / greatest(n_lines, 1) > 0.9 THEN 'bullet lines' END, CASE WHEN n_letter_words / greatest(n_words, 1) < 0.5 THEN 'words with a letter' END], lambda x: x IS NOT NULL) AS failed FROM j)
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept,
   array_to_string(failed, ',') AS failed_rules FROM f
