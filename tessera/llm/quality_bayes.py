@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import lookup
 from tessera.llm.quality_rules import SPACES, words_of
+from tessera.plans.shared import Written
 
 #: Labelled rows that the text classifier is fitted on, at most.
 FIT_ROWS = 20_000
@@ -86,7 +87,7 @@ def fit_text_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     import numpy as np
 
     chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).alias("__y")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    found = with_features(docs.select(id_col, text_col).join(chosen, id_col), text_col).select("__x", F.col("__y").cast("double")).toPandas()
+    found = with_features(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), text_col).select("__x", F.col("__y").cast("double")).toPandas()
     y = found["__y"].to_numpy() if len(found) else np.empty(0)
     if len(set(y.tolist())) < 2:
         raise ValueError("labels of both kinds are needed")
@@ -141,16 +142,18 @@ def score(docs: DataFrame, model: TextModel, host: Column, path: Column, site_we
     """``id_col``, ``host``, ``path``, ``p``, posteriors of the site, ``log_odds`` and ``kept``.
 
     ``carry`` names columns of ``docs`` to keep beside these (the whole texts, for a
-    filter). The sites' sums and the decision are two scans, so no text is shuffled
-    while the table of sites is small enough to be broadcast.
+    filter). One scan of the texts leaves a narrow table of log-odds, from which the
+    sites' sums come and, without ``carry``, the decisions too. With it the texts are
+    scanned once more, so that none is shuffled while the table of sites is small
+    enough to be broadcast.
     """
-    carry = carry or []
-    base = with_features(docs.select(*dict.fromkeys([id_col, text_col, *carry]), host.alias("__host"), path.alias("__path")), text_col)
-    odds = model.log_odds(F.col("__x"))
-    sums = base.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (1 / (1 + F.exp(-odds))).alias("p"))
-    prior, sites = site_posteriors(sums)
+    columns = list(dict.fromkeys([id_col, *(carry or [])]))
+    base = docs.select(*dict.fromkeys([*columns, text_col]), host.alias("__host"), path.alias("__path"))
+    odds = with_features(base, text_col).select(*columns, "__host", "__path", model.log_odds(F.col("__x")).alias("__odds"))
+    narrow = Written(odds.select(id_col, "__host", "__path", "__odds"), "log-odds").df
+    prior, sites = site_posteriors(narrow.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (1 / (1 + F.exp(-F.col("__odds")))).alias("p")))
     known = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "n", "good", "host_n", "host_good")
-    joined = lookup(base.withColumn("__odds", odds).drop("__x"), known, ["__host", "__path"])
+    joined = lookup(odds if carry else narrow, known, ["__host", "__path"])
     p = 1 / (1 + F.exp(-F.col("__odds")))
     host_rate = (F.col("host_good") - p + prior.host_strength * prior.mean) / (F.col("host_n") - 1 + prior.host_strength)
     path_rate = F.greatest(F.least((F.col("good") - p + prior.path_strength * host_rate) / (F.col("n") - 1 + prior.path_strength), F.lit(1 - 1e-6)), F.lit(1e-6))
@@ -158,6 +161,6 @@ def score(docs: DataFrame, model: TextModel, host: Column, path: Column, site_we
     shift = F.log(F.col("__path_rate") / (1 - F.col("__path_rate"))) - F.log(F.lit(prior.mean / (1 - prior.mean)))
     joined = joined.withColumn("__posterior", F.col("__odds") + site_weight * shift)
     return joined.select(
-        *dict.fromkeys([id_col, *carry]), F.col("__host").alias("site_host"), F.col("__path").alias("site_path"), p.alias("text_p"),
+        *columns, F.col("__host").alias("site_host"), F.col("__path").alias("site_path"), p.alias("text_p"),
         F.col("__host_rate").alias("host_posterior"), F.col("__path_rate").alias("path_posterior"), F.col("__posterior").alias("log_odds"), (F.col("__posterior") >= keep_log_odds).alias("quality_kept"),
     )
