@@ -10,7 +10,7 @@ Tier one is a broadcast table of the lengths of frequent pre-tokens, at most
 FREQUENT entries of at most LONGEST characters. Tier two is each worker's own cache,
 emptied at CACHED entries; only what both miss is encoded.
 
-The frequent pre-tokens come from at most SAMPLE documents. They only speed up the
+The frequent pre-tokens come from at most SAMPLE Arrow batches of documents. They only speed up the
 lookup: every text is counted in full, and the counts do not depend on the sample.
 
 Defined cases: a null text counts as the empty text (0 bytes, 0 tokens); repeated rows
@@ -23,13 +23,14 @@ import collections
 import re
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import map_rows
+from tessera.llm.common import bounded_batches, map_rows
 
 FREQUENT = 1 << 16
 LONGEST = 32
-SAMPLE = 2000
+SAMPLE = 8
 CACHED = 1 << 19
 
 _SEGMENT = re.compile(" +[^ \n]*|\n[^ \n]*")
@@ -78,19 +79,21 @@ def counter(model_file: str) -> Counter:
     return Counter(model_file)
 
 
-def frequent_lengths(df: DataFrame, model_file: str, text_col: str = "text", sample: int = SAMPLE) -> dict[str, int]:
-    """Lengths of the pre-tokens seen most often in at most ``sample`` texts, at most FREQUENT."""
+def frequent_lengths(df: DataFrame, model_file: str, text_col: str = "text", batches: int = SAMPLE) -> dict[str, int]:
+    """Lengths of the pre-tokens seen most often in the first ``batches`` Arrow batches, at most FREQUENT."""
+    bounded_batches(df.sparkSession)
 
-    def row(text):
-        segments = collections.Counter(_SEGMENT.findall(f" {text or ''}"))
-        top = [s for s, _ in segments.most_common(2000) if len(s) <= LONGEST]
-        return top, [segments[s] for s in top]
+    def count(source):
+        for batch in source:
+            seen = collections.Counter()
+            for text in batch.column(0).to_pylist():
+                seen.update(_SEGMENT.findall(f" {text or ''}"))
+            top = [(s, n) for s, n in seen.most_common(FREQUENT // 4) if len(s) <= LONGEST]
+            yield pa.RecordBatch.from_arrays([pa.array([[s for s, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["segments", "n"])
 
     seen: collections.Counter = collections.Counter()
-    for r in map_rows(df.select(text_col).limit(sample), row, "segments array<string>, n array<long>").toLocalIterator():
+    for r in df.select(text_col).mapInArrow(count, "segments array<string>, n array<long>").limit(batches).collect():  # takes partitions one after another
         seen.update(dict(zip(r.segments, r.n, strict=True)))
-        if len(seen) > 8 * FREQUENT:
-            seen = collections.Counter(dict(seen.most_common(2 * FREQUENT)))
     known = Counter(model_file)
     return {s: known[s] for s, n in seen.most_common(FREQUENT) if n > 1}
 
