@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,3 +43,12 @@ class Written:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` computed once, kept in the shared folder and read back."""
     return Written(df, name).df
+
+
+#: Rows up to which ``if_small`` lets a side be broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows, counted now; else unmarked."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
