@@ -93,23 +93,30 @@ def fingerprint(record: Column, layouts: dict[str, dict] = LAYOUTS) -> Column:
     value = F.try_parse_json(record)
     shape = F.schema_of_variant(value)
     top = F.array_sort(F.coalesce(F.json_object_keys(record), F.array().cast("array<string>")))
-    inner = lambda k: F.json_object_keys(F.get_json_object(record, F.concat(F.lit("$['"), k, F.lit("'][0]"))))
+    inner = lambda k: F.json_object_keys(F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("'][0]"))))
     nested = F.transform(top, lambda k: F.coalesce(F.transform(inner(k), lambda f: F.concat(k, F.lit("[]."), f)), F.array(k)))
     return F.when(shape.startswith("OBJECT<"), F.sha2(F.array_join(F.array_sort(F.filter(F.flatten(nested), lambda p: p.isin(known))), "\n"), 256))
 
 
+def _turn(pos: Column, role: Column, text: Column) -> Column:
+    return F.struct(pos.cast("int").alias("pos"), _role(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
+def _listed(messages: Column, role: str, text: str) -> Column:
+    return F.transform(messages, lambda m, i: _turn(i, m[role], m[text]))
+
+
 def turns_from_json(df: DataFrame, id_col: str, record_col: str, layouts: dict[str, dict] = LAYOUTS) -> DataFrame:
     """``(id_col, layout, turns array<struct<pos, role, text>>)``; both null where no mapping is known."""
     print_, record = F.col("__print"), F.col(record_col)
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<pos: int, role: string, text: string>>")
-    turn = lambda i, r, t: F.struct(i.cast("int").alias("pos"), _role(r).alias("role"), F.coalesce(t, F.lit("")).alias("text"))
     for known, layout in layouts.items():
         if "list" in layout:
             top, role, text = layout["list"]
             schema = f"struct<{top}: array<struct<`{role}`: string, `{text}`: string>>>"
-            made = F.transform(F.from_json(record, schema)[top], lambda m, i, role=role, text=text: turn(i, m[role], m[text]))
+            made = _listed(F.from_json(record, schema)[top], role, text)
         elif "fields" in layout:
-            made = F.array(*(turn(F.lit(i), F.lit(role), F.get_json_object(record, f"$.{field}")) for i, (role, field) in enumerate(layout["fields"])))
+            made = F.array(*(_turn(F.lit(i), F.lit(role), F.get_json_object(record, f"$.{field}")) for i, (role, field) in enumerate(layout["fields"])))
             made = F.filter(made, lambda x: ~((x["role"] == "user") & (x["text"] == "") & (x["pos"] > 0)))
         else:
             continue

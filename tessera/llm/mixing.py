@@ -71,11 +71,12 @@ def fit_counts(counts: dict[int, int], budget: int) -> dict[int, int]:
     budget = max(0, min(budget, whole))
     if not whole or not budget:
         return {}
-    taken = {n: c * budget // whole for n, c in counts.items()}
-    left = budget - sum(n * t for n, t in taken.items())
     longest = max(counts)
+    even = max(0, budget - 4 * longest)  # the rest leaves the program a choice
+    taken = {n: c * even // whole for n, c in counts.items()}
+    left = budget - sum(n * t for n, t in taken.items())
     for n in sorted(counts, reverse=True):  # each length's rounding leaves at most one document; take the long ones now
-        if left < 4 * longest:
+        if left < 6 * longest:
             break
         more = min(counts[n] - taken[n], 1, left // n)
         taken[n] += more

@@ -1,0 +1,180 @@
+import base64
+import hashlib
+import random
+import re
+from collections import Counter
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import byte_bpe, pii, quality_rules, queries, token_counts
+from tests.llm.data import EMPTY, documents, texts
+
+
+def as_tables(monkeypatch, df):
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: df)
+
+
+# Byte-level BPE
+
+
+def test_bpe_equals_library(spark, monkeypatch):
+    import tiktoken
+
+    with open(public_tokenizers.path(queries.RANK_FILE), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    enc = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    df = documents(spark)
+    as_tables(monkeypatch, df)
+    rows = queries.byte_bpe_round_trip(spark, "").collect()
+    want = Counter()
+    for r in df.collect():
+        ids = enc.encode_ordinary(r.text or "")
+        raw = b"".join(i.to_bytes(4, "little") for i in ids)
+        want[r.doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == want
+    as_tables(monkeypatch, documents(spark, EMPTY))
+    assert queries.byte_bpe_round_trip(spark, "").count() == 0
+
+
+def test_bpe_slices_are_safe():
+    rnd = random.Random(4)
+    rank_file, pattern = public_tokenizers.path(queries.RANK_FILE), public_tokenizers.PATTERN
+    whole = byte_bpe.encoding(rank_file, pattern)
+    parts = ["a", "'s", " ", "  ", "\n", "1", "é", "漢", "😀", ".", "\x1c", "\u3000", " the", "\t", "</s>"]
+    for _ in range(3000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(14)))
+        ids = byte_bpe.encode_text(text, rank_file, pattern, length=2)
+        assert ids == b"".join(i.to_bytes(4, "little") for i in whole.encode_ordinary(text))
+        assert byte_bpe.decode_ids(ids, rank_file, pattern) == text.encode()
+        assert "".join(byte_bpe.slices(text, 2)) == text
+
+
+# Token counts
+
+
+def test_counts_equal_library(spark, monkeypatch):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(queries.PIECE_FILE))
+    df = documents(spark)
+    as_tables(monkeypatch, df)
+    rows = queries.tokens(spark, "").collect()
+    want = Counter()
+    for r in df.collect():
+        n = len(model.encode(r.text or ""))
+        want[r.doc_id, len((r.text or "").encode()), n, n > 4096] += 1
+    assert Counter(map(tuple, rows)) == want
+    as_tables(monkeypatch, documents(spark, EMPTY))
+    assert queries.tokens(spark, "").count() == 0
+
+
+def test_segments_add_up(monkeypatch):
+    rnd = random.Random(6)
+    known = token_counts.Counter(public_tokenizers.path(queries.PIECE_FILE))
+    assert known.separable
+    monkeypatch.setattr(token_counts, "CACHED", 50)
+    known.frequent = {" the": known._encode(" the")}
+    parts = ["a", " ", "  ", "\n", "the", " the", "▁", "é", ".", "\t", "\r", "漢", "😀", "<s>", "</s>", "\x00", "<0x0A>", "   "]
+    for _ in range(5000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(14)))
+        assert known.count(text) == len(known.model.encode(text)), repr(text)
+    assert len(known) <= 50
+
+
+# Personal data
+
+
+def plain_spans(t):
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    return {
+        "email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)],
+        "ip": [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))],
+        "card": [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))],
+        "phone": [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15],
+    }
+
+
+def test_base_spans_equal_patterns():
+    rnd = random.Random(2)
+    parts = ["a", "b", "@", ".", "+", "1", "23", "4539578763621486", " ", "-", "(", ")", "a.b", "x@y.z", "1.2.3.4", "999", "é", "\n", "٣", "password=abc12345x", "0", "%"]
+    for _ in range(20_000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randrange(16)))
+        found = pii.find(text)
+        assert {k: found[k] for k in pii.BASE} == plain_spans(text), repr(text)
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, "1" * 200_000, "1." * 100_000, "@" * 100_000, "+1 " * 60_000, "a" * 100_000 + "@" + "b." * 90_000, "token" * 40_000, "http://" * 30_000])
+def test_long_texts_are_linear(text):
+    import time
+
+    began = time.time()
+    pii.find(text)
+    assert time.time() - began < 3
+
+
+def test_added_spans():
+    text = "IBAN: GB82 WEST 1234 5698 7654 32, ssn 123-45-6789, token = \"8824c3a463b8b0d6\", http://me:pw@host/x and GB82 WEST; the token is gone"
+    found = {k: [text[s:e] for s, e in v] for k, v in pii.find(text).items() if v}
+    assert found["account"] == ["GB82 WEST 1234 5698 7654 32", "123-45-6789"]
+    assert found["secret"] == ["8824c3a463b8b0d6"]
+    assert found["url"] == ["me:pw@host/x"]
+    assert "8824" not in pii.redact(text, pii.find(text))
+    assert pii.redact("mail a@b.cd now", pii.find("mail a@b.cd now")) == "mail [EMAIL] now"
+
+
+def test_personal_data_query(spark, monkeypatch):
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(["x a@b.cd 1.2.3.4 +1 (907) 555-1190 or 4539578763621486", None, "", "é a@b.cd", "clean text"])]
+    df = documents(spark, rows)
+    as_tables(monkeypatch, df)
+    got = {r.doc_id: r for r in queries.personal_data(spark, "").collect()}
+    first = ",".join(f"{k}:{s}:{e}" for k, v in plain_spans(rows[0][1]).items() for s, e in v)
+    assert got[0].spans == first and got[0].base_sha256 == hashlib.sha256(first.encode()).hexdigest()
+    assert (got[0].n_email, got[0].n_ip, got[0].n_card, got[0].n_phone) == (1, 1, 1, 1)
+    assert got[3].spans == "email:2:8"
+    assert got[1].spans == got[2].spans == got[4].spans == ""
+    as_tables(monkeypatch, documents(spark, EMPTY))
+    assert queries.personal_data(spark, "").count() == 0
+    cleaned = pii.redact_column(df)
+    assert cleaned.columns == df.columns and cleaned.count() == df.count()
+    assert cleaned.where("text like '%@%'").count() == 0
+
+
+# Quality rules
+
+
+def plain_rules(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    five = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    twice, seen = Counter(five), set()
+    for i, w in enumerate(five):
+        if twice[w] > 1:
+            seen.update(range(i, i + 5))
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(seen), n < 10 or 100 * len(seen) > 20 * n
+
+
+def test_rules_equal_plain(spark, monkeypatch):
+    rnd = random.Random(8)
+    more = [(1000 + i, "".join(rnd.choice(["a", "b", " ", " ", "\n", "\t", "|", "\x0b", "é", "\x85", "\u00a0"]) for _ in range(rnd.randrange(80))), "en", "s", 0) for i in range(150)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts())] + more
+    df = documents(spark, rows)
+    as_tables(monkeypatch, df)
+    got = queries.rules(spark, "").collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    plain = {r[0]: plain_rules(r[1]) for r in rows}
+    assert len(got) == df.count()
+    for r in got:
+        assert tuple(r[n] for n in names) == plain[r.doc_id], r.doc_id
+        assert not (r.kept and r.base_failed)
+    as_tables(monkeypatch, documents(spark, EMPTY))
+    assert queries.rules(spark, "").count() == 0
+
+
+def test_rule_table_is_data(spark):
+    df = documents(spark, [(1, "plain words " * 20 + "x", "en", "s", 0)])
+    everything = quality_rules.judge(df, rules=(("none", "n_words", None, 1),)).first()
+    assert everything.failed == ["none"]
+    assert quality_rules.judge(df, rules=()).select(F.size("failed").alias("n")).first().n == 0
