@@ -7,10 +7,11 @@ the text. Runs of digits are their own anchors for addresses and card numbers.
 
 Base kinds (fixed rules, leftmost, non-overlapping for each kind; a candidate that
 fails its validation is dropped without a retry): email, ip, card, phone.
-Added kinds: ``account`` (after a cue, an IBAN with valid check digits or a US social
-security number), ``secret`` (the
-value after a credential cue, if it looks random) and ``url`` (URLs that carry a user
-and password). Offsets count code points, the end is exclusive.
+Added kinds: ``contact`` (a telephone number in a usual layout that the base rule lost
+because more digits follow it), ``account`` (after a cue, an IBAN with valid check digits
+or a US social security number; a card number that the base rule lost beside other
+digits), ``secret`` (the value after a credential cue, if it looks random, keys with a
+known prefix and private key blocks) and ``url`` (URLs that carry a user and password). Offsets count code points, the end is exclusive.
 
 Defined cases: a null text is the empty text; repeated rows give repeated results; an
 empty table gives an empty one; other columns are not read. All walks are linear in the
@@ -28,11 +29,12 @@ from pyspark.sql import types as T
 from tessera.llm.common import map_rows
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("account", "secret", "url")
+ADDED = ("contact", "account", "secret", "url")
 
 # Cues of credentials and accounts, in lower case.
 SECRET_CUES = ("password", "passwd", "pwd", "api_key", "apikey", "api-key", "secret", "token", "access_key", "auth_key", "private_key")
 ACCOUNT_CUES = ("iban", "ssn", "social security")
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "sk-", "xoxb-", "xoxp-", "AIza", "-----BEGIN ")
 SCHEMES = ("http://", "https://", "ftp://")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,6 +45,12 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _VALUE = re.compile(r"[\"']?\s{0,3}(?:[:=]|is)\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,})")
 _IBAN = re.compile(r"[\s:#=]{1,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Z0-9])")
 _SSN = re.compile(r"[\s:#=]{1,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+# Layouts of keys, by prefix.
+_KEY = re.compile(
+    r"(?:A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pos]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,}|sk-[A-Za-z0-9_-]{20,}|xox[bp]-[A-Za-z0-9-]{10,}"
+    r"|AIza[A-Za-z0-9_-]{35}|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?)"
+)
+_USUAL_PHONE = re.compile(r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
 _CREDENTIAL = re.compile(r"[^\s/?#@:\"'<>]+:[^\s/?#@\"'<>]+@[^\s\"'<>]+")
 
 
@@ -55,7 +63,9 @@ def anchors():
     for kind, cues in (("email", ("@",)), ("phone", ("+",)), ("secret", SECRET_CUES), ("account", ACCOUNT_CUES), ("url", SCHEMES)):
         for cue in cues:
             for form in {cue, cue.capitalize(), cue.upper()}:
-                found.add_word(form, kind)
+                found.add_word(form, (kind, 0))
+    for prefix in KEY_PREFIXES:
+        found.add_word(prefix, ("key", len(prefix)))
     found.make_automaton()
     return found
 
@@ -96,13 +106,25 @@ def _addresses(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def _cards(text: str) -> list[tuple[int, int]]:
-    found = []
+def _cards(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Runs that are card numbers, and card numbers within longer runs of digits."""
+    found, within = [], []
     for run in _CARD.finditer(text):
         digits = run[0].replace(" ", "").replace("-", "")
         if 13 <= len(digits) <= 19 and luhn(digits):
             found.append(run.span())
-    return found
+        elif len(digits) > 16:
+            groups, i = list(re.finditer("[0-9]+", run[0])), 0
+            while i < len(groups):
+                for n in (1, 4, 3):  # one group, 4-4-4-4 or 4-6-5
+                    part = [g[0] for g in groups[i : i + n]]
+                    shape = tuple(map(len, part))
+                    if (n == 1 and 13 <= shape[0] <= 19 or shape in ((4, 4, 4, 4), (4, 6, 5))) and luhn("".join(part)):
+                        within.append((run.start() + groups[i].start(), run.start() + groups[i + n - 1].end()))
+                        i += n - 1
+                        break
+                i += 1
+    return found, within
 
 
 def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
@@ -111,8 +133,17 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     if not text:
         return spans
     ends = dict.fromkeys(spans, 0)
-    for last, kind in anchors().iter(text):
+    for last, (kind, length) in anchors().iter(text):
         span = None
+        if kind == "key":
+            kind, first = "secret", last + 1 - length
+            before = text[first - 1 : first] if first else " "
+            m = _KEY.match(text, first) if first >= ends[kind] and not before.isalnum() else None
+            span = m.span() if m else None
+            if span:
+                spans[kind].append(span)
+                ends[kind] = span[1]
+            continue
         if kind == "email":
             span = _email(text, last, ends[kind])
         elif last < ends[kind]:
@@ -121,6 +152,8 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
             if m := _PHONE.match(text, last):
                 ends[kind] = m.end()  # a match that fails is not tried again from within
                 span = m.span() if 9 <= sum(map(str.isdigit, m[0])) <= 15 else None
+                if span is None and (usual := _USUAL_PHONE.match(text, last)):
+                    spans["contact"].append(usual.span())
         elif kind == "secret":
             m = _VALUE.match(text, last + 1)
             span = m.span(1) if m and any(c in "0123456789" for c in m[1]) and any(c.isalpha() for c in m[1]) else None
@@ -134,7 +167,9 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         if span:
             spans[kind].append(span)
             ends[kind] = span[1]
-    spans["ip"], spans["card"] = _addresses(text), _cards(text)
+    spans["ip"] = _addresses(text)
+    spans["card"], within = _cards(text)
+    spans["account"] = sorted(spans["account"] + within)
     return spans
 
 

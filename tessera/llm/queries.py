@@ -109,8 +109,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": URLS_SQL, "op7_chat_formatting": CHATS_SQL, "op8_quality_rules": RULES_SQL}
-
+    return {"op1_ngram_jaccard_join": NEAR_SQL, "op2_url_filters": URLS_SQL, "op7_chat_formatting": CHATS_SQL, "op8_quality_rules": RULES_SQL}
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS found FROM documents),
+w AS (SELECT r, doc_id, CASE WHEN len(found) = 0 AND text <> '' THEN [text] ELSE found END AS words FROM d),
+s AS (SELECT DISTINCT r, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT r, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS i, b.r AS j, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.r <> b.r GROUP BY a.r, b.r),
+e AS (SELECT i, j FROM p JOIN n x ON x.r = i JOIN n y ON y.r = j WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+reach(u, v) AS (SELECT r, r FROM d UNION SELECT q.u, e.j FROM reach q JOIN e ON q.v = e.i),
+least AS (SELECT u, min(d.doc_id) AS class_id FROM reach JOIN d ON d.r = v GROUP BY u),
+deg AS (SELECT i, count(*) AS n_links FROM e GROUP BY i)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links FROM d JOIN least ON u = d.r LEFT JOIN deg ON deg.i = d.r
+"""
 
 URLS_SQL = r"""
 WITH RECURSIVE p AS (
