@@ -81,3 +81,14 @@ def decode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id")
         return key, n, ids, decode_ids(ids, rank_file, pattern)
 
     return map_rows(df.select(id_col, "n_tokens", "ids"), row, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")
+
+
+def round_trip(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, n_tokens, ids, decoded)``: ``encode`` and ``decode`` in one pass of one worker a task."""
+    kind = dict(df.dtypes)[id_col]
+
+    def row(key, text):
+        ids = encode_text(text, rank_file, pattern)
+        return key, len(ids) // 4, ids, decode_ids(ids, rank_file, pattern)
+
+    return map_rows(df.select(id_col, text_col), row, f"`{id_col}` {kind}, n_tokens long, ids binary, decoded binary")

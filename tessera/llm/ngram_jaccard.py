@@ -46,6 +46,9 @@ BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
 #: Shingles of small families that share a group, on average.
 PACK_SHINGLES = 400_000
 
+#: Words whose hashes a worker keeps; it starts over when they are so many.
+CACHED_WORDS = 1 << 17
+
 _WORD = re.compile(r"\w+")
 
 
@@ -53,7 +56,7 @@ class _WordHashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) >= CACHED_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -46,9 +46,7 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
-    rank_file = public_tokenizers.path(RANK_FILE)
-    ids = byte_bpe.encode(docs, rank_file, public_tokenizers.PATTERN)
-    back = byte_bpe.decode(ids, rank_file, public_tokenizers.PATTERN)
+    back = byte_bpe.round_trip(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -34,6 +34,9 @@ def test_bpe_equals_library(spark, monkeypatch):
         raw = b"".join(i.to_bytes(4, "little") for i in ids)
         want[r.doc_id, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == want
+    rank_file, pattern = public_tokenizers.path(queries.RANK_FILE), public_tokenizers.PATTERN
+    apart = byte_bpe.decode(byte_bpe.encode(df, rank_file, pattern), rank_file, pattern)
+    assert Counter(map(tuple, apart.collect())) == Counter(map(tuple, byte_bpe.round_trip(df, rank_file, pattern).collect()))
     as_tables(monkeypatch, documents(spark, EMPTY))
     assert queries.byte_bpe_round_trip(spark, "").count() == 0
 
