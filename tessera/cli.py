@@ -24,16 +24,12 @@ def _file_table(spark: SparkSession, path: str) -> DataFrame:
     return rows.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("line")) - 1).alias("file_idx"), F.col("id").alias("file"), "taxid")
 
 
-def _records(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
-    """Records of the listed files, by path relative to ``folder``; a bad record ends its file."""
-    found = fm.read_fasta(spark, folder, mode="STOP").unionByName(fm.read_fasta(spark, f"{folder}/skim", mode="STOP")) if _exists(spark, f"{folder}/skim") else fm.read_fasta(spark, folder, mode="STOP")
-    shown = F.regexp_extract("file", r"((?:skim/)?[^/]*)$", 1)
-    return found.withColumn("file", shown).join(files, "file").select("file_idx", "seq")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def _records(spark: SparkSession, folder: str, files: DataFrame, split: str | None = None) -> DataFrame:
+    """Records of the listed files, in ``folder`` or among split files; a bad record ends its file."""
+    found = fm.read_fasta(spark, folder, mode="STOP").withColumn("file", F.element_at(F.split("file", "/"), -1))
+    if split:
+        found = found.unionByName(fm.read_split_fasta(spark, split))
+    return found.join(files, "file").select("file_idx", "seq")
 
 
 def file2taxid(spark, a):
@@ -41,12 +37,12 @@ def file2taxid(spark, a):
     taxids = pr.last_wins(fm.read_taxids(spark, a.map), "id", "line") if a.map else None
     table, parts = pr.file_table(records, taxids, pr.budget(a.k), a.overlap)
     fm.write_rows(table.orderBy("file"), ["file", "taxid"], f"{a.out}/f2t", "overwrite", order="file")
-    fm.write_fasta(parts, f"{a.out}/skim", "overwrite")
+    fm.write_split_fasta(parts, f"{a.out}/split", "overwrite")
 
 
 def pairwise(spark, a):
     files = _file_table(spark, a.table)
-    postings = ix.file_kmers(_records(spark, a.folder, files), a.k, _syncmer(a))
+    postings = ix.file_kmers(_records(spark, a.folder, files, a.split), a.k, _syncmer(a))
     di.distances(postings, files).write.mode("overwrite").parquet(f"{a.out}/distances")
     files.write.mode("overwrite").parquet(f"{a.out}/files")
 
@@ -56,7 +52,7 @@ def extend(spark, a):
     n = old_files.count()
     new_files = _file_table(spark, a.table).withColumn("file_idx", (F.col("file_idx") + n).cast("int"))
     files = old_files.unionByName(new_files)
-    records = _records(spark, a.old_folder, old_files).unionByName(_records(spark, a.new_folder, new_files))
+    records = _records(spark, a.old_folder, old_files, a.split).unionByName(_records(spark, a.new_folder, new_files, a.split))
     di.extended(old, ix.file_kmers(records, a.k, _syncmer(a)), files, n).write.mode("overwrite").parquet(f"{a.out}/distances")
     files.write.mode("overwrite").parquet(f"{a.out}/files")
 
@@ -70,7 +66,7 @@ def order(spark, a):
 
 def build(spark, a):
     files = _file_table(spark, a.table)
-    ix.Index.build(_records(spark, a.folder, files), files, a.k, _syncmer(a)).save(a.out, "overwrite")
+    ix.Index.build(_records(spark, a.folder, files, a.split), files, a.k, _syncmer(a)).save(a.out, "overwrite")
 
 
 def build_lossy(spark, a):
@@ -110,10 +106,10 @@ def parser() -> argparse.ArgumentParser:
 
     c = command("file2taxid", file2taxid, "folder", overlap=1_000_000, map=None)
     c.add_argument("-k", type=int, default=15)
-    command("pairwise-distances", pairwise, "table", "folder", kmers=True)
-    command("extend-distances", extend, "pd", "table", "new_folder", "old_folder", kmers=True)
+    command("pairwise-distances", pairwise, "table", "folder", kmers=True, split=None)
+    command("extend-distances", extend, "pd", "table", "new_folder", "old_folder", kmers=True, split=None)
     command("order", order, "pd", start=0)
-    command("build", build, "table", "folder", kmers=True)
+    command("build", build, "table", "folder", kmers=True, split=None)
     command("build-lossy", build_lossy, "level", "db")
     c = command("classify", classify, "db", "reads")
     c.add_argument("-e", type=int, default=12)

@@ -91,7 +91,7 @@ def split_name(name: Column, record: Column, fragment: Column | None = None) ->
     return F.concat_ws(".", stem, record.cast("string"), *([fragment.cast("string")] if fragment is not None else []))
 
 
-def shown_path(path: Column, split_dir: str = "skim") -> Column:
+def shown_path(path: Column, split_dir: str = "split") -> Column:
     """The file's name, after the name of the folder for split files if it lies there."""
     parts = F.split(path, "/")
     return F.when((F.size(parts) > 1) & (F.get(parts, F.size(parts) - 2) == split_dir), F.concat_ws("/", F.lit(split_dir), F.element_at(parts, -1))).otherwise(F.element_at(parts, -1))

@@ -55,7 +55,7 @@ def split_files(records: DataFrame, longest: int, overlap: int) -> DataFrame:
     return whole.unionByName(kept).unionByName(cut)
 
 
-def file_table(records: DataFrame, taxids: DataFrame | None, longest: int, overlap: int, split_dir: str = "skim") -> tuple[DataFrame, DataFrame]:
+def file_table(records: DataFrame, taxids: DataFrame | None, longest: int, overlap: int, split_dir: str = "split") -> tuple[DataFrame, DataFrame]:
     """The table ``(file, taxid)`` and the records to write for files that were split."""
     found = with_taxids(first_records(records), taxids)
     parts = split_files(records, longest, overlap)

@@ -525,7 +525,7 @@ def saved_index(spark, sf_dir):
 @query("c1_file_table", f"""WITH s AS (SELECT doc_id, source || '.fna' AS file, {_SEQ} AS seq, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rec FROM documents),
 size_ AS (SELECT file, sum(length(seq)) AS bases, arg_min(doc_id, rec) AS taxid FROM s GROUP BY file),
 parts AS (SELECT s.*, bases, taxid, greatest(ceil(length(seq) / 20000.0), 1)::BIGINT AS n FROM s JOIN size_ USING (file)),
-named AS (SELECT file, taxid, CASE WHEN bases <= 20000 THEN file WHEN length(seq) <= 20000 THEN 'skim/' || replace(file, '.fna', '') || '.' || rec ELSE 'skim/' || replace(file, '.fna', '') || '.' || rec || '.' || idx END AS name
+named AS (SELECT file, taxid, CASE WHEN bases <= 20000 THEN file WHEN length(seq) <= 20000 THEN 'split/' || replace(file, '.fna', '') || '.' || rec ELSE 'split/' || replace(file, '.fna', '') || '.' || rec || '.' || idx END AS name
   FROM (SELECT *, unnest(range(CASE WHEN bases > 20000 AND length(seq) > 20000 THEN n ELSE 1 END)) AS idx FROM parts))
 SELECT DISTINCT name AS file, taxid FROM named""")
 def file_table_rows(spark, sf_dir):

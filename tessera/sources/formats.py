@@ -91,6 +91,18 @@ def write_fasta(records: DataFrame, path: str, mode: str = "errorifexists") -> N
     records.select(F.concat_ws("\n", head, "seq").alias("value")).write.mode(mode).text(path)
 
 
+def write_split_fasta(parts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """One folder ``name=...`` with one FASTA file for each split file."""
+    head = F.concat(F.lit(">"), F.col("id"), F.coalesce(F.concat(F.lit(" "), F.col("desc")), F.lit("")))
+    parts.select(F.element_at(F.split("name", "/"), -1).alias("name"), F.concat_ws("\n", head, "seq").alias("value")).write.partitionBy("name").mode(mode).text(path)
+
+
+def read_split_fasta(spark: SparkSession, path: str, split_dir: str = "split") -> DataFrame:
+    """Records of split files, named as in the table of files."""
+    found = read_fasta(spark, path, "STOP", None)
+    return found.withColumn("file", F.concat(F.lit(f"{split_dir}/"), F.regexp_extract("file", "name=([^/]+)/[^/]*$", 1)))
+
+
 def write_fastq(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
     head = F.concat(F.lit("@"), F.col("id"), F.coalesce(F.concat(F.lit(" "), F.col("desc")), F.lit("")))
     records.select(F.concat_ws("\n", head, F.col("seq"), F.lit("+"), F.col("qual")).alias("value")).write.mode(mode).text(path)

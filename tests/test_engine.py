@@ -127,7 +127,7 @@ def test_taxids_and_splits(spark):
     assert {r.taxid for r in pr.with_taxids(files, None).collect()} == {0}
     records = spark.createDataFrame([("x.fna", 0, "a", None, "A" * 30), ("x.fna", 1, "b", None, "C" * 5), ("y.fna", 0, "b", "d", "G" * 8)], "file string, record_idx int, id string, desc string, seq string")
     table, parts = pr.file_table(records, pr.last_wins(taxids, "id", "line"), 12, 4)
-    assert Counter(map(tuple, table.collect())) == Counter([("skim/x.0.0", 2), ("skim/x.0.1", 2), ("skim/x.0.2", 2), ("skim/x.1", 2), ("y.fna", 3)])
+    assert Counter(map(tuple, table.collect())) == Counter([("split/x.0.0", 2), ("split/x.0.1", 2), ("split/x.0.2", 2), ("split/x.1", 2), ("y.fna", 3)])
     assert {(r.name, r.desc, len(r.seq)) for r in parts.collect()} == {("x.0.0", "0..12", 12), ("x.0.1", "8..22", 14), ("x.0.2", "18..30", 12), ("x.1", None, 5)}
     clash = spark.createDataFrame([("x.fna", 0, "a", None, "A" * 10), ("x.fna", 1, "a", None, "A" * 10), ("x.fa", 0, "a", None, "C" * 10), ("x.fa", 1, "a", None, "C" * 10)], records.schema)
     with pytest.raises(ValueError):

@@ -73,11 +73,11 @@ def test_arguments(k, syncmer):
 def test_scalars(spark):
     row = spark.range(1).select(
         sq.base_code(F.lit("g")).alias("g"), sq.base_code(F.lit("N")).alias("n"), sq.encode(F.lit("ACGT")).alias("code"), sq.decode(F.lit(27), 4).alias("word"),
-        sq.split_name(F.lit("a.b.fna"), F.lit(2)).alias("name"), sq.shown_path(F.lit("/r/skim/x.0")).alias("split"), sq.shown_path(F.lit("/r/seqs/x.fna")).alias("plain"),
+        sq.split_name(F.lit("a.b.fna"), F.lit(2)).alias("name"), sq.shown_path(F.lit("/r/split/x.0")).alias("split"), sq.shown_path(F.lit("/r/seqs/x.fna")).alias("plain"),
         sq.rescaled(F.lit(5), F.lit(200), 100).alias("half_up"), sq.rescaled(F.lit(5), F.lit(100), 100).alias("kept"),
         sq.fragments(F.lit("ACGTACGTAC"), 4, 2).alias("parts"),
     ).first()
     assert (row.g, row.n, row.code, row.word) == (2, None, 27, "ACGT")
-    assert (row.name, row.split, row.plain) == ("a.b.2", "skim/x.0", "x.fna")
+    assert (row.name, row.split, row.plain) == ("a.b.2", "split/x.0", "x.fna")
     assert (row.half_up, row.kept) == (3, 5)
     assert [(p.start, p.end, p.seq) for p in row.parts] == [(0, 5, "ACGTA"), (3, 9, "TACGTA"), (7, 10, "TAC")]

@@ -35,7 +35,7 @@ def test_taxid_lines(spark, tmp_path):
 
 def test_output_path(tmp_path):
     assert fm.output_path(str(tmp_path), "db") == f"{tmp_path}/db"
-    assert fm.output_path("a.b", "skim.db") == "a.skim.db"
+    assert fm.output_path("a.b", "split.db") == "a.split.db"
 
 
 def test_commands(spark, tmp_path, monkeypatch):
@@ -63,6 +63,20 @@ def test_commands(spark, tmp_path, monkeypatch):
     assert {len(r.seq) for r in fm.read_fastq(spark, f"{t}/chop/chopped.fastq").collect()} == {10}
 
 
+def test_split_files_are_found_again(spark, tmp_path):
+    (tmp_path / "seqs").mkdir()
+    (tmp_path / "seqs" / "a.fna").write_text(f">a\n{'ACGTTGCA' * 20}\n>b\nACGGT\n")
+    (tmp_path / "seqs" / "c.fna").write_text(">c\nACGTTGCAAC\n")
+    t = f"file://{tmp_path}"
+    cli.main(["file2taxid", f"{t}/seqs", "-o", f"{t}/o", "-k", "5", "--overlap", "10"])
+    names = sorted(r.id for r in fm.read_taxids(spark, f"{t}/o/f2t").collect())
+    assert names == ["c.fna", "split/a.0.0", "split/a.0.1", "split/a.0.2", "split/a.0.3", "split/a.1"]
+    cli.main(["pairwise-distances", f"{t}/o/f2t", f"{t}/seqs", "--split", f"{t}/o/split", "-o", f"{t}/pd", "-k", "5", "-s", "5"])
+    assert spark.read.parquet(f"{t}/pd/distances").where("i <> j").count() == 15
+    index = fm.read_split_fasta(spark, f"{t}/o/split")
+    assert sorted((r.file, len(r.seq)) for r in index.collect()) == [("split/a.0.0", 45), ("split/a.0.1", 50), ("split/a.0.2", 50), ("split/a.0.3", 45), ("split/a.1", 5)]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from tessera.operators.classify import classify
     from tessera.operators.index import Index
