@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +25,9 @@ def checked(k: int, syncmer: Syncmer) -> None:
         raise ValueError("s must be at most k, and t at most k - s")
 
 
+@lru_cache(maxsize=1)
 def _codes():
+    """Base codes by byte; 255 for every other byte."""
     import numpy as np
 
     table = np.full(256, 255, np.uint8)

@@ -305,7 +305,7 @@ def set_bits(spark, sf_dir):
     return lists.agg(F.sum(F.size("files")).alias("set_bits"), F.count("*").alias("kmers")).join(files, how="full", on=F.lit(True))
 
 
-@query("a4_inverted_index", f"WITH {_kmers('k', 'item_id', 'benchmark')} SELECT kmer, string_agg(DISTINCT id::VARCHAR, ',' ORDER BY lpad(id::VARCHAR, 9, '0')) AS files FROM (SELECT DISTINCT kmer, id FROM k) GROUP BY kmer".replace("string_agg(DISTINCT id::VARCHAR, ',' ORDER BY lpad(id::VARCHAR, 9, '0'))", "array_to_string(list(id ORDER BY id), ',')"))
+@query("a4_inverted_index", f"WITH {_kmers('k', 'item_id', 'benchmark')} SELECT kmer, array_to_string(list(id ORDER BY id), ',') AS files FROM (SELECT DISTINCT kmer, id FROM k) GROUP BY kmer")
 def inverted_lists(spark, sf_dir):
     found = ix.inverted(ix.file_kmers(reads(spark, sf_dir), K, file_col="read_id"), "read_id")
     return found.select("kmer", F.array_join(F.transform("files", lambda x: x.cast("string")), ",").alias("files"))
