@@ -1,4 +1,3 @@
-import hashlib
 import random
 from collections import defaultdict
 
@@ -210,4 +209,3 @@ def test_sparse_sites_shrink(spark):
     big = got["big", "p"]
     assert big.n == 300 and abs(big.host_posterior - 0.7) < 0.01
     assert 0.0 < got["tiny", "p"].host_posterior < prior.mean
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
