@@ -109,13 +109,21 @@ def _position(word: str, k: int, s: int, rightmost: bool = True) -> str:
 
 _POSTINGS = _kmers("k", "doc_id", "documents") + ",\npost AS (SELECT DISTINCT id AS file_idx, kmer FROM k)"
 _READS = _kmers("r", "item_id", "benchmark")
-_HITS = f"""{_POSTINGS},
-{_READS},
-f AS (SELECT file_idx, count(*) AS n_kmers, count(*) / {TOTAL}.0::DOUBLE AS p FROM post GROUP BY file_idx),
+
+
+def _hits(k: int = K, syncmer: tuple[int, int] | None = None, total: int = TOTAL) -> str:
+    """CTEs ending in ``cand``, the hits of each read and file above expectation."""
+    return f"""{_kmers('k', 'doc_id', 'documents', k=k, syncmer=syncmer)},
+post AS (SELECT DISTINCT id AS file_idx, kmer FROM k),
+{_kmers('r', 'item_id', 'benchmark', k=k, syncmer=syncmer)},
+f AS (SELECT file_idx, count(*) AS n_kmers, count(*) / {total}.0::DOUBLE AS p FROM post GROUP BY file_idx),
 n AS (SELECT id AS read_id, count(*) AS n FROM r GROUP BY id),
 h AS (SELECT r.id AS read_id, post.file_idx, count(*) AS x FROM r JOIN post ON r.kmer = post.kmer GROUP BY ALL),
 cand AS (SELECT h.read_id, h.file_idx, h.x, n.n, f.n_kmers, f.p, (CASE WHEN n.n > {TRIALS} THEN floor(h.x * {TRIALS} / n.n + 0.5) ELSE h.x END)::BIGINT AS xs
   FROM h JOIN n USING (read_id) JOIN f USING (file_idx) WHERE h.x > n.n * f.p)"""
+
+
+_HITS = _hits()
 _LNC = f"lnc AS (SELECT j, (SELECT coalesce(sum(ln(i)), 0) FROM range(1, {TRIALS + 1}) t(i)) - coalesce((SELECT sum(ln(i)) FROM range(1, j + 1) t(i)), 0) - coalesce((SELECT sum(ln(i)) FROM range(1, {TRIALS} - j + 1) t(i)), 0) AS c FROM range(0, {TRIALS + 1}) g(j))"
 
 
@@ -127,8 +135,8 @@ top AS (SELECT p, xs, max(t) AS m FROM term GROUP BY p, xs),
 tail AS (SELECT p, xs, m + ln(sum(exp(t - m))) AS lsf FROM term JOIN top USING (p, xs) GROUP BY p, xs, m UNION ALL SELECT p, xs, {zero} FROM {pairs} WHERE xs >= {TRIALS})"""
 
 
-def _classified(zero: str) -> str:
-    return f"""WITH {_HITS}, pairs AS (SELECT DISTINCT p, xs FROM cand), {_tails('pairs', zero)},
+def _classified(zero: str, hits: str = _HITS) -> str:
+    return f"""WITH {hits}, pairs AS (SELECT DISTINCT p, xs FROM cand), {_tails('pairs', zero)},
 best AS (SELECT read_id, file_idx, lsf FROM cand JOIN tail USING (p, xs) QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY round(lsf, 9), file_idx) = 1),
 hit AS (SELECT read_id, 'doc' || file_idx || '.fna' AS file, coalesce(l.quality, 0) AS taxid FROM best LEFT JOIN labels l ON l.doc_id = file_idx WHERE lsf < -{EXPONENT} * ln(10))
 SELECT CASE WHEN file IS NULL THEN 'U' ELSE 'C' END AS flag, b.item_id AS read_id, coalesce(taxid, 0)::BIGINT AS taxid, coalesce(file, '-') AS file FROM benchmark b LEFT JOIN hit ON b.item_id = hit.read_id"""
@@ -395,7 +403,7 @@ def classify_zero_first(spark, sf_dir):
     return cl.classify(reads(spark, sf_dir), doc_index(spark, sf_dir), EXPONENT, TRIALS, zero_sorts_last=False)
 
 
-@query("c5_classify_default_k")
+@query("c5_classify_default_k", _classified("0.0", _hits(15, (9, 2), km.KNOWN_UNIVERSES[15, 9, 2])))
 def classify_k15(spark, sf_dir):
     index = ix.Index.build(docs(spark, sf_dir), doc_files(spark, sf_dir), 15, (9, 2))
     return cl.classify(reads(spark, sf_dir), index, EXPONENT, TRIALS)
