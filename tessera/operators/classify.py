@@ -11,7 +11,7 @@ from tessera.functions.binomial import ln_tail
 from tessera.functions.sequence import rescaled
 from tessera.operators.index import Index
 from tessera.operators.kmers import Syncmer, kmers
-from tessera.plans.shared import if_small
+from tessera.plans.shared import if_small, written
 
 
 def read_kmers(reads: DataFrame, k: int, syncmer: Syncmer = None, read_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
@@ -52,7 +52,7 @@ def winners(scored: DataFrame, read_col: str = "read_id") -> DataFrame:
 
 def scored(reads: DataFrame, index: Index, trials: int = 100, zero_sorts_last: bool = True, read_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
     counted = read_kmers(reads, index.k, index.syncmer, read_col, seq_col)
-    wanted = candidates(hits(counted, index.postings, read_col), read_sizes(counted, read_col), index.files, trials, read_col)
+    wanted = written(candidates(hits(counted, index.postings, read_col), read_sizes(counted, read_col), index.files, trials, read_col), "candidates")
     return wanted.join(tails(wanted, trials, zero_sorts_last), ["p", "xs"])
 
 

@@ -16,7 +16,7 @@ from tessera.plans.shared import written
 
 def file_kmers(records: DataFrame, k: int, syncmer: Syncmer = None, file_col: str = "file_idx", seq_col: str = "seq") -> DataFrame:
     """The set of k-mers of each file, over all its records: ``(file_col, kmer)``."""
-    return kmers(records, [file_col], seq_col, k, syncmer).distinct()
+    return kmers(records, [file_col], seq_col, k, syncmer, repeats=False).distinct()
 
 
 def cardinalities(postings: DataFrame, file_col: str = "file_idx") -> DataFrame:

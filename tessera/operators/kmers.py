@@ -73,9 +73,15 @@ def canonical_codes(sequence: bytes, k: int, syncmer: Syncmer):
     return at, code
 
 
-def kmers(df: DataFrame, keys: list[str], seq_col: str, k: int, syncmer: Syncmer = None, positions: bool = False) -> DataFrame:
-    """One row ``(*keys, [pos,] kmer)`` for each k-mer, repeats included."""
+def kmers(df: DataFrame, keys: list[str], seq_col: str, k: int, syncmer: Syncmer = None, positions: bool = False, repeats: bool = True) -> DataFrame:
+    """One row ``(*keys, [pos,] kmer)`` for each k-mer.
+
+    Without ``repeats``, which excludes ``positions``, a row's k-mers leave the kernel once
+    each; rows with the same keys may still give the same ones.
+    """
     checked(k, syncmer)
+    if positions and not repeats:
+        raise ValueError("positions tell repeats apart")
     schema = T.StructType([df.schema[c] for c in keys] + [T.StructField("pos", T.LongType())] * positions + [T.StructField("kmer", T.LongType())])
 
     def batches(source):
@@ -88,6 +94,9 @@ def kmers(df: DataFrame, keys: list[str], seq_col: str, k: int, syncmer: Syncmer
                 at, code = canonical_codes(b"\n".join(texts), k, syncmer)
                 begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
                 row = np.searchsorted(begins, at, side="right") - 1
+                if not repeats:
+                    once = np.unique(row << 32 | code)  # codes fit 32 bits
+                    row, code = once >> 32, once & 0xFFFFFFFF
                 ids = [part.column(i).take(pa.array(row)) for i in range(len(keys))]
                 pos = [pa.array(at - begins[row])] if positions else []
                 yield pa.RecordBatch.from_arrays([*ids, *pos, pa.array(code)], names=schema.names)

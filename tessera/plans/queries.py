@@ -260,11 +260,11 @@ def ln_gammas(spark, sf_dir):
 
 
 @query("m5_big_exp", """WITH v AS (SELECT order_, value FROM (SELECT l_orderkey * 10 + l_linenumber AS order_, l_extendedprice * (l_discount - 0.05) AS value FROM lineitem WHERE l_linenumber = 1)), e AS (SELECT *, CASE WHEN value = 0 THEN 0 ELSE floor(log2(abs(value)))::INTEGER END AS exp FROM v)
-SELECT order_ AS id, exp, round(CASE WHEN value = 0 THEN 0 ELSE value / 2.0 ** exp END, 9) AS mant, round(value, 6) AS back FROM e""")
+SELECT order_ AS id, exp, CASE WHEN value = 0 THEN 0.0::DOUBLE ELSE value / 2.0 ** exp END AS mant, value AS back FROM e""")
 def big_exps(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_extendedprice").cast("double") * (F.col("l_discount").cast("double") - 0.05)).alias("v"))
     rows = rows.withColumn("big", bi.big_exp(F.col("v")))
-    return rows.select("id", F.col("big.exp").alias("exp"), F.round("big.mant", 9).alias("mant"), F.round(bi.as_double(F.col("big")), 6).alias("back"))
+    return rows.select("id", F.col("big.exp").alias("exp"), F.col("big.mant").alias("mant"), bi.as_double(F.col("big")).alias("back"))
 
 
 @query("m6_log_arithmetic", "SELECT i, j, round(ln(i * 1e-3) + ln(j * 1e-3), 9) AS times, round(ln(i * 1e-3 + j * 1e-3), 9) AS plus, CASE WHEN i > j THEN round(ln(i * 1e-3 - j * 1e-3), 9) END AS minus, round(ln(i * 1e-3) - ln(j * 1e-3), 9) AS over FROM range(1, 30) t(i), range(1, 30) u(j)")

@@ -41,6 +41,8 @@ def test_kernel_equals_sql(spark, k, syncmer):
     df = spark.createDataFrame(rows, "id int, kmer_ string, seq string")
     got = sorted(map(tuple, km.kmers(df, ["id"], "seq", k, syncmer, positions=True).collect()))
     assert got == sorted((r.id, r.pos, r.kmer) for r in km.kmers_sql(df, ["id"], "seq", k, syncmer).collect())
+    once = sorted(map(tuple, km.kmers(df, ["id"], "seq", k, syncmer, repeats=False).collect()))
+    assert once == sorted({(i, kmer) for i, _, kmer in got})
 
 
 def plain_universe(k, s, t):
