@@ -22,7 +22,10 @@ and ``n_links`` (other documents at the threshold or above, copies counted).
 
 Defined cases: a null or empty text has no shingles and is alone in its class; a text
 without a word character is one shingle, the text itself; repeated rows are copies of
-each other; an empty table gives an empty one; other columns are not read.
+each other; a row without an integer or string id takes part like any other, under a
+stand-in made from its text that follows all usual ids, and only a class without any id
+shows a stand-in as ``class_id``; an empty table gives an empty one; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -138,17 +141,31 @@ def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     return tuple(found)
 
 
+def with_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``__id``, the id or its stand-in, and ``__hash`` of the text."""
+    kind, mark = dict(docs.dtypes)[id_col], F.xxhash64(text_col)
+    if kind == "string":
+        given = F.coalesce(id_col, F.concat(F.lit("\U0010ffff"), F.hex(mark)))
+    elif kind in ("tinyint", "smallint", "int", "bigint"):
+        given = F.coalesce(F.col(id_col).cast("long"), F.lit(1 << 62) + F.shiftrightunsigned(mark, 2))
+    else:
+        given = F.col(id_col)
+    return docs.withColumns({"__id": given, "__hash": mark})
+
+
 def sketch(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, key, n, bands)``; all but the id are null where there is no shingle."""
-    kind = dict(docs.dtypes)[id_col]
+    """``(doc_id, given, mark, key, n, bands)``: the id with stand-ins and as it is, a hash of the text, and its sketch, null where there is no shingle."""
+    marked = with_ids(docs, id_col, text_col)
+    kinds = dict(marked.dtypes)
 
-    def row(doc_id, text):
+    def row(doc_id, given, mark, text):
         found = shingles(text, size)
         if not len(found):
-            return doc_id, None, None, None
-        return doc_id, class_key(found), len(found), bands(minhashes(found)).tolist()
+            return doc_id, given, mark, None, None, None
+        return doc_id, given, mark, class_key(found), len(found), bands(minhashes(found)).tolist()
 
-    return map_rows(docs.select(id_col, text_col), row, f"doc_id {kind}, key binary, n long, bands array<long>")
+    schema = f"doc_id {kinds['__id']}, given {kinds[id_col]}, mark long, key binary, n long, bands array<long>"
+    return map_rows(marked.select("__id", id_col, "__hash", text_col), row, schema)
 
 
 def _links(sides, sets, signatures, copies, threshold, tolerance):
@@ -261,6 +278,12 @@ def jaccard_classes(
     block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """``(id_col, class_id, n_links)``, one row for each row of ``docs``."""
+    found = _classes(docs, size, threshold, tolerance, id_col, text_col, block_docs, block_shingles)
+    return found.select(F.col("given").alias(id_col), "class_id", "n_links")
+
+
+def _classes(docs: DataFrame, size: int, threshold: float, tolerance: float, id_col: str, text_col: str, block_docs: int, block_shingles: int) -> DataFrame:
+    """``(doc_id, given, mark, class_id, n_links)``"""
     bounded_batches(docs.sparkSession)
     sketched = Written(sketch(docs, size, id_col, text_col), "sketch").df
     keyed = sketched.where("key is not null")
@@ -272,7 +295,7 @@ def jaccard_classes(
     families = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("family"))
     members = Written(families.join(reps, "key"), "members").df
     tasks = _grouped(members, threshold, block_docs, block_shingles)
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
+    texts = with_ids(docs.select(id_col, text_col), id_col, text_col).select(F.col("__id").alias("rep"), F.col(text_col).alias("text"))
     groups = tasks.join(texts, "rep").select("*", F.explode("task").alias("group")).drop("task")
     verified = Written(
         groups.groupBy("group").applyInArrow(_verifier(size, threshold, tolerance), f"key binary, links long, root binary, class_id {kind}, split boolean"),
@@ -287,17 +310,27 @@ def jaccard_classes(
     found = reps.join(whole.unionByName(split.select("key", "links", "class_id")), "key", "left").select(
         "key", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    return sketched.select("doc_id", "key").join(found, "key", "left").select(
-        F.col("doc_id").alias(id_col), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    return sketched.select("doc_id", "given", "mark", "key").join(found, "key", "left").select(
+        "doc_id", "given", "mark", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(
+    docs: DataFrame,
+    size: int = 5,
+    threshold: float = 0.8,
+    tolerance: float = 1e-6,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    block_docs: int = BLOCK_DOCS,
+    block_shingles: int = BLOCK_SHINGLES,
+) -> DataFrame:
     """One row of each class, the one with the least id; all columns stay.
 
-    Of repeated rows with the same id one is kept.
+    Of rows with the same id and text one is kept; rows with the same id and other texts
+    are documents of their own, and each that has its class's least id stays.
     """
-    classes = jaccard_classes(docs, id_col=id_col, text_col=text_col, **options)
-    kept = classes.where(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    found = _classes(docs, size, threshold, tolerance, id_col, text_col, block_docs, block_shingles)
+    kept = found.where("doc_id = class_id").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__hash"))
+    marked = with_ids(docs, id_col, text_col)
+    return marked.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)

@@ -63,6 +63,26 @@ def test_one_of_each_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_rows_without_an_id_take_part(spark, kind):
+    rnd = random.Random(8)
+    a, b, c, d = (prose(rnd, 80) for _ in range(4))
+    near = lambda t: t + " end"
+    rows = [(1, a), (None, near(a)), (None, b), (None, near(b)), (None, None), (None, ""), (7, c), (7, d), (8, near(c)), (7, c)]
+    made = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, class_id int")
+    df = made.withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = ngram_jaccard.jaccard_classes(df).collect()
+    assert len(got) == len(rows)
+    assert Counter(None if r.doc_id is None else int(r.doc_id) for r in got) == Counter(i for i, _ in rows)
+    assert sorted(r.n_links for r in got) == [0, 0, 0, 1, 1, 1, 1, 2, 2, 2]
+    assert sum(r.doc_id is None and str(r.class_id) == "1" for r in got) == 1
+    kept = ngram_jaccard.drop_near_duplicates(df)
+    assert kept.columns == df.columns and kept.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+    texts_kept = [r.text for r in kept.collect()]
+    assert len(texts_kept) == 6 and {a, c, d, None, ""} < set(texts_kept)
+    assert len({b, near(b)} & set(texts_kept)) == 1
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     least = ngram_jaccard.least_matches(0.8, 1e-6)
     assert list(least) == sorted(least) and least[-1] < 0.8 * ngram_jaccard.HASHES
