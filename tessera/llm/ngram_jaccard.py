@@ -212,7 +212,7 @@ def _verifier(size: int, threshold: float, tolerance: float):
         import numpy as np
 
         group = group.sort_by([("family", "ascending"), ("rep", "ascending"), ("key", "ascending")])
-        columns = {c: group.column(c).to_pylist() for c in ("family", "key", "rep", "copies", "side", "split", "text")}
+        columns = {c: group.column(c).to_pylist() for c in ("group", "family", "key", "rep", "copies", "side", "split", "text")}
         out = {"key": [], "links": [], "root": [], "class_id": [], "split": []}
         rows = list(range(len(columns["key"])))
         while rows:
@@ -227,7 +227,8 @@ def _verifier(size: int, threshold: float, tolerance: float):
                     seen.add(key), kept.append(i), sets.append(found)
             sides = np.array([columns["side"][i] for i in kept])
             split = columns["split"][here[0]]
-            between = split and len(set(sides.tolist())) > 1
+            place = columns["group"][here[0]].split(".")[1:]  # a block may be empty, so the sides present do not tell
+            between = split and place[:2] != place[2:]
             links, roots = _links(sides if between else None, sets, np.array([minhashes(s) for s in sets]), [columns["copies"][i] for i in kept], threshold, tolerance)
             out["key"] += [columns["key"][i] for i in kept]
             out["links"] += links

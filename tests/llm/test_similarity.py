@@ -48,6 +48,19 @@ def test_classes_equal_brute_force(spark, options):
     assert Counter(map(tuple, got)) == plain_classes([(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_blocks_without_documents_add_no_links(spark):
+    rnd = random.Random(17)
+    rows = []
+    for f in range(8):  # families of three long texts and three blocks, of which most leave one empty
+        words = prose(rnd, 300).split()
+        for c in range(3):
+            rows.append((3 * f + c, " ".join([*words, f"f{f}", f"c{c}"]), "en", "s", 0))
+    df = documents(spark, rows).dropDuplicates(["doc_id"])
+    got = ngram_jaccard.jaccard_classes(df, block_shingles=120).collect()
+    assert Counter(map(tuple, got)) == plain_classes([(r.doc_id, r.text) for r in df.collect()])
+    assert {r.n_links for r in got} == {2}
+
+
 def test_other_sizes_and_empty(spark):
     df = documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(near_texts()[:80])])
     got = ngram_jaccard.jaccard_classes(df, size=2, threshold=0.9).collect()
