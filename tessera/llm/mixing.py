@@ -13,10 +13,10 @@ the one bucket that is cut is ranked. A length that a third of all rows share is
 spread over BUCKETS groups.
 
 Defined cases: a null text has size 0; null is a source of its own and comes last; a
-document of size 0 is never taken; repeated rows are documents of their own (rows with
-the same id and size are ranked together, so any of them may be taken); an empty table
-gives an empty one; other columns are not read by ``plan``. Reruns agree, since only
-sizes, ids and the seed decide.
+document of size 0 is never taken; repeated rows are documents of their own, also where
+ids are null or repeat; rows that are equal in source, id and text are counted, not
+ranked, so many copies do not meet in one task; an empty table gives an empty one; other
+columns are not read by ``plan``. Reruns agree, since only rows and the seed decide.
 """
 
 from __future__ import annotations
@@ -27,10 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import lookup
+from tessera.plans.shared import written
 
 BUCKETS = 1024
 #: Sources that one mixture may have; their sums (one row each) come to the driver.
 MOST_SOURCES = 1_000_000
+#: Copies that one row is repeated to at a time.
+REPEATS = 4096
 
 
 def words(text: Column) -> Column:
@@ -110,14 +113,34 @@ def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1
     Sources in order of their code points, null last, take the weights in turn.
     ``most`` is a whole number of passes.
     """
-    return _plan(docs.select(F.col(id_col), F.col(source_col).alias("__source"), words(F.col(text_col)).alias("size")), weights, share, most, seed, id_col).select(
-        id_col, "size", "source_size", "target", "taken"
-    )
+    sized = _sized(docs, id_col, text_col, source_col)
+    groups = _plan(sized.select("__id", "__source", F.col("__size").alias("size"), "__mark"), weights, share, most, seed, ("__mark",))
+    parts = F.array(*(F.struct(n.alias("rows"), c.alias("copies")) for n, c in ((F.col("__extra"), F.col("passes") + 1), (F.col("__n") - F.col("__extra"), F.col("passes")))))
+    parted = groups.withColumn("__part", F.explode(F.filter(parts, lambda p: p["rows"] > 0)))
+    return _repeated(parted, F.col("__part.rows")).select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("__part.copies") * F.col("size")).alias("taken"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """``docs`` with ``__id``, ``__source``, ``__size`` and ``__mark``, a hash of the text."""
+    return docs.select("*", F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.xxhash64(text_col).alias("__mark"), words(F.col(text_col)).alias("__size"))
+
 
+def _repeated(df: DataFrame, times: Column) -> DataFrame:
+    """Each row ``times`` times, at least once; no long array is made."""
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / REPEATS)))
+    chunks = df.withColumn("__times", times).withColumn("__chunk", first)
+    each = F.sequence(F.lit(1).cast("long"), F.least(F.lit(REPEATS).cast("long"), F.col("__times") - F.col("__chunk") * REPEATS))
+    return chunks.withColumn("__copy", F.explode(each)).drop("__times", "__chunk", "__copy")
 
-def _plan(sized: DataFrame, weights, share, most, seed, id_col, carry: tuple[str, ...] = ()) -> DataFrame:
+
+def _plan(sized: DataFrame, weights, share, most, seed, marks: tuple[str, ...]) -> DataFrame:
+    """``(__source, size, __id, *marks, __n, passes, __extra, source_size, target)``, a row for each set of equal rows.
+
+    All ``__n`` rows of a set are taken ``passes`` times, and ``__extra`` of them once more.
+    """
     spark = sized.sparkSession
-    lengths = sized.groupBy("__source", "size").agg(F.count("*").alias("n"))
+    groups = written(sized.groupBy("__source", "size", "__id", *marks).agg(F.count("*").alias("__n")), "mixture")
+    lengths = groups.groupBy("__source", "size").agg(F.sum("__n").alias("n"))
     sums = lengths.groupBy("__source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -136,29 +159,38 @@ def _plan(sized: DataFrame, weights, share, most, seed, id_col, carry: tuple[str
         return pd.DataFrame({"__source": [key[0]] * len(pdf), "size": pdf["size"], "quota": [extra.get(n, 0) for n in pdf["size"].tolist()]})
 
     quotas = lengths.groupBy("__source").applyInPandas(fit, "__source string, size long, quota long")
-    hashed = sized.withColumn("__hash", F.xxhash64(F.lit(seed), id_col, "size")).withColumn("__bucket", F.shiftrightunsigned("__hash", 64 - BUCKETS.bit_length() + 1).cast("int"))
+    hashed = groups.withColumn("__hash", F.xxhash64(F.lit(seed), "__id", "__mark")).withColumn("__bucket", F.shiftrightunsigned("__hash", 64 - BUCKETS.bit_length() + 1).cast("int"))
     keys = ["__source", "size", "__bucket"]
-    per = hashed.groupBy(*keys).agg(F.count("*").alias("__n"))
+    per = hashed.groupBy(*keys).agg(F.sum("__n").alias("__n"))
     per = per.join(quotas.where("quota > 0").select(F.col("__source").alias("__s"), F.col("size").alias("__z"), "quota"), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z"))).drop("__s", "__z")
     upto = Window.partitionBy("__source", "size").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     room = F.greatest(F.least(F.col("quota") - F.coalesce(F.sum("__n").over(upto), F.lit(0)), F.col("__n")), F.lit(0))
     rooms = per.withColumn("__room", room).where("__room > 0").select(F.col("__source").alias("__s"), F.col("size").alias("__z"), F.col("__bucket").alias("__b"), "__room")
     placed = hashed.join(rooms, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")) & (F.col("__bucket") == F.col("__b")), "left").drop("__s", "__z", "__b")
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__hash", id_col))
-    placed = placed.withColumn("__extra", (rank <= F.coalesce("__room", F.lit(0))).cast("long"))
-    return lookup(placed, sources, ["__source"]).withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + F.col("__extra")).otherwise(0)).select(
-        id_col, *carry, "size", F.col("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__hash", "__id", *marks).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumn("__extra", F.greatest(F.least(F.coalesce("__room", F.lit(0)) - before, F.col("__n")), F.lit(0)))
+    return lookup(placed, sources, ["__source"]).withColumn("passes", F.when(F.col("size") > 0, F.col("passes")).otherwise(0)).select(
+        "__source", "size", "__id", *marks, "__n", "passes", "__extra", "source_size", "target"
     )
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixture itself: rows of ``docs`` as often as the plan takes them; all columns stay.
 
-    The plan moves ids and sizes only; texts are shuffled once, to their copies. Of rows
-    that share an id the number of copies is summed and given to each distinct row's share.
+    The plan moves ids, sizes and hashes only; texts are shuffled once, to their copies. Rows
+    that are told apart by no column share their copies: each comes as often as all are taken, and
+    what only some of them are taken for comes from one.
     """
-    sized = docs.select(F.col(id_col), F.col(source_col).alias("__source"), words(F.col(text_col)).alias("size"))
-    copies = _plan(sized, weights, share, most, seed, id_col).where("copies > 0").select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), "copies")
-    copies = copies.groupBy("__id", "__size").agg(F.min("copies").alias("__copies"))
-    joined = docs.withColumn("__words", words(F.col(text_col))).join(copies, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    read = _sized(docs, id_col, text_col, source_col).withColumns({"__row": F.xxhash64(*hashed), "__row2": F.xxhash64(F.lit(seed), *hashed)})
+    marks = ("__mark", "__row", "__row2")
+    groups = written(_plan(read.select("__id", "__source", F.col("__size").alias("size"), *marks), weights, share, most, seed, marks), "mixed")
+    keys = ["__row", "__row2"]
+    whole = F.col("passes") + (F.col("__extra") == F.col("__n")).cast("long")
+    each = read.join(groups.select(*keys, whole.alias("__copies")).where("__copies > 0"), keys)
+    made = _repeated(each, F.col("__copies")).select(*docs.columns)
+    some = groups.where("__extra > 0 and __extra < __n").select(*keys, "__extra")
+    if some.isEmpty():
+        return made
+    one = read.join(some, keys).dropDuplicates(keys)
+    return made.unionByName(_repeated(one, F.col("__extra")).select(*docs.columns))

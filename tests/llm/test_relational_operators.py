@@ -1,5 +1,5 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -172,6 +172,29 @@ def test_mixture(spark, monkeypatch):
     assert queries.mixture(spark, "").count() == 0
 
 
+def test_mixture_of_repeated_and_null_ids(spark):
+    rows = [(7, f"one length w{i}", "en", "a", 0) for i in range(40)] + [(None, f"no id here w{i}", "en", "b", 0) for i in range(40)]
+    rows += [(9, "copies of one row", "en", "c", 0)] * 30 + [(9, "copies of one row", "de", "c", 0)] * 10 + [(i, f"unique w{i}", "en", "c", 0) for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for weights, share in (((3, 1, 2), 1.5), ((1, 5, 3), 0.4), ((1, 1, 4), 1.1)):
+        planned = mixing.plan(df, weights, share).collect()
+        made = mixing.mix(df, weights, share).collect()
+        assert len(planned) == len(rows)
+        named, want, target = {120: "a", 160: "b", 220: "c"}, Counter(), {}
+        for r in planned:
+            want[named[r.source_size]] += r.taken
+            target[named[r.source_size]] = r.target
+        size = Counter()
+        for r in made:
+            size[r.source] += len(r.text.split())
+        assert all(size[s] == want[s] and abs(size[s] - target[s]) <= 4 for s in "abc")
+        distinct = Counter((r.doc_id, r.text) for r in made if r.source != "c")
+        for source in "ab":
+            copies = [distinct[i, t] for i, t, _, s, _ in rows if s == source]
+            assert max(copies) - min(copies) <= 1
+        assert Counter(made) == Counter(mixing.mix(df, weights, share).collect())
+
+
 # Quality classifier
 
 
