@@ -83,16 +83,36 @@ def _joined(df: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     return df.join(best, ["host", "path"], "left")
 
 
+def _without_dots(path: Column) -> Column:
+    """An absolute path without its ``.`` and ``..`` segments, as RFC 3986 removes them."""
+    segments = F.split(path, "/")
+    step = lambda done, s: F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+    left = F.aggregate(F.slice(segments, 2, F.size(segments)), F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(left, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(left) > 0), "/").otherwise(""))
+
+
 def page_targets(url: Column, html: Column) -> Column:
-    """Absolute targets of a page's canonical links and meta refreshes."""
+    """Absolute targets of a page's canonical links and meta refreshes.
+
+    Relative ones are resolved against the page's URL; a ``base`` element is not read.
+    Fragments alone and schemes without a host give none.
+    """
     page = F.coalesce(html, F.lit(""))
     tags = lambda name, needs: F.filter(F.regexp_extract_all(page, F.lit(rf"(?is)(<{name}\s[^>]*>)"), F.lit(1)), lambda t: t.rlike(needs))
     canonical = F.transform(tags("link", r"(?i)rel\s*=\s*[\"']?[^\"'>]*canonical"), lambda t: F.regexp_extract(t, r"(?i)\shref\s*=\s*[\"']?([^\"'\s>]+)", 1))
     refresh = F.transform(tags("meta", r"(?i)http-equiv\s*=\s*[\"']?refresh"), lambda t: F.regexp_extract(t, r"(?i)url\s*=\s*[\"']?([^\"'\s>]+)", 1))
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
     found = F.when(F.lower(page).rlike("canonical|refresh"), F.concat(canonical, refresh)).otherwise(F.array().cast("array<string>"))
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)?", 1))
+    within = lambda t: F.concat(site, _without_dots(F.regexp_extract(t, r"(?s)^[^?#]*", 0)), F.regexp_extract(t, r"(?s)[?#].*$", 0))
     absolute = lambda t: (
-        F.when(t.contains("://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(t.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), t))
+        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$") | (host_of(url) == ""), F.lit(None).cast("string"))
+        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+        .when(t.startswith("/"), within(t))
+        .when(t.startswith("?"), F.concat(site, path_of(url), t))
+        .otherwise(within(F.concat(folder, t)))
     )
     return F.array_compact(F.transform(F.transform(found, lambda t: F.replace(t, F.lit("&amp;"), F.lit("&"))), absolute))
 

@@ -75,6 +75,27 @@ def test_redirect_table(spark):
     assert {r.page_id: r.verdict for r in got.collect()} == {1: "block", 2: "allow"}
 
 
+def test_relative_targets(spark):
+    want = {
+        "g": "http://a.net/b/c/g", "./g": "http://a.net/b/c/g", "g/": "http://a.net/b/c/g/", "/g": "http://a.net/g", "//g.net/x": "http://g.net/x", "?y=1&amp;z": "http://a.net/b/c/d.html?y=1&z",
+        "g?y#s": "http://a.net/b/c/g?y#s", "..": "http://a.net/b/", "../": "http://a.net/b/", "../g": "http://a.net/b/g", "../..": "http://a.net/", "../../../g": "http://a.net/g", "/./g": "http://a.net/g",
+        ".": "http://a.net/b/c/", "./g/.": "http://a.net/b/c/g/", "g/../h": "http://a.net/b/c/h", "g?y=../x": "http://a.net/b/c/g?y=../x", "go?to=http://b.net/": "http://a.net/b/c/go?to=http://b.net/",
+        "https://x.org/a/../b": "https://x.org/a/../b", "#top": None, "mailto:me": None,
+    }
+    rows = [(t, "http://a.net/b/c/d.html?q#f", f'<link rel="canonical" href="{t}">') for t in want]
+    rows += [("bare", "http://a.net", '<meta http-equiv="refresh" content="0; url=index.html">'), ("none", "no scheme", '<link rel="canonical" href="g">')]
+    df = spark.createDataFrame(rows, "target string, url string, html string")
+    got = {r.target: r.found for r in df.select("target", url_filter.page_targets(F.col("url"), F.col("html")).alias("found")).collect()}
+    assert got == {t: [u] if u else [] for t, u in want.items()} | {"bare": ["http://a.net/index.html"], "none": []}
+
+
+def test_relative_links_join_classes(spark):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [(1, "http://x.net/a/1", link("2")), (2, "http://x.net/a/2", link("../b/3")), (3, "http://x.net/b/3", link("http://shop.com/de/1")), (4, "http://x.net/b/4", '<meta http-equiv="refresh" content="0; url=3">')]
+    got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES)
+    assert {r.page_id: (r.verdict, r.by_class) for r in got.collect()} == dict.fromkeys((1, 2, 3, 4), ("block", True))
+
+
 # Chats
 
 
