@@ -45,6 +45,15 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _VALUE = re.compile(r"[\"']?\s{0,3}(?:[:=]|is)\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{8,})")
 _IBAN = re.compile(r"[\s:#=]{1,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Z0-9])")
 _SSN = re.compile(r"[\s:#=]{1,3}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+# Characters of an account number, by country.
+_IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 "
+        "IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 "
+        "SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 # Layouts of keys, by prefix.
 _KEY = re.compile(
     r"(?:A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pos]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{40,}|sk-[A-Za-z0-9_-]{20,}|xox[bp]-[A-Za-z0-9-]{10,}"
@@ -83,6 +92,23 @@ def iban_valid(account: str) -> bool:
     return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def _iban(text: str, at: int) -> tuple[int, int] | None:
+    """An account number after a cue; what follows it after a blank may look like a part of it.
+
+    The country's length comes first, then the whole match; a country that is not known
+    has each shorter end between groups tried.
+    """
+    m = _IBAN.match(text, at)
+    if not m:
+        return None
+    start, whole = m.start(1), m[1]
+    ends = [g.end() for g in re.finditer("[A-Z0-9]+", whole)][::-1]
+    if length := _IBAN_LENGTHS.get(whole[:2]):
+        filled = [i + 1 for i, c in enumerate(whole) if c != " "]
+        ends = [e for e in filled[length - 1 : length] if e in ends] + ends[:1]
+    return next(((start, start + e) for e in ends if iban_valid(whole[:e])), None)
+
+
 def _email(text: str, at: int, after: int) -> tuple[int, int] | None:
     start = at
     while start > after and text[start - 1] in _LOCAL:
@@ -160,8 +186,8 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         elif kind == "account":
             if m := _SSN.match(text, last + 1):
                 span = m.span(1)
-            elif (m := _IBAN.match(text, last + 1)) and iban_valid(m[1]):
-                span = m.span(1)
+            else:
+                span = _iban(text, last + 1)
         elif m := _CREDENTIAL.match(text, last + 1):
             span = m.span()
         if span:

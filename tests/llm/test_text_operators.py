@@ -117,6 +117,20 @@ def test_long_texts_are_linear(text):
     assert time.time() - began < 3
 
 
+def test_account_before_other_words():
+    account, other = "DE89 3704 0044 0532 0130 00", "ZZ28 7654 3210 9876 5432 1"
+    assert pii.iban_valid(account) and not pii.iban_valid(account + "1")
+    for after in (" Please", " BIC COBADEFF", " PLEASE PAY NOW", " 2024", " A", "", ".", "\nNow", " please", " X1 Y2 Z3 Q4 R5 S6 T7 U8"):
+        for written in (account, account.replace(" ", "")):
+            text = f"IBAN {written}{after}"
+            assert [text[s:e] for s, e in pii.find(text)["account"]] == [written]
+            assert pii.redact(text, pii.find(text)) == f"IBAN [ACCOUNT]{after}"
+    digits = next(f"{n:02}" for n in range(98) if pii.iban_valid(f"ZZ{n:02}{other[4:]}"))  # of no known country
+    text = f"iban: ZZ{digits}{other[4:]} Thanks"
+    assert [text[s:e] for s, e in pii.find(text)["account"]] == [f"ZZ{digits}{other[4:]}"]
+    assert not pii.find("IBAN DE89 3704 0044 0532 0130 01 Please")["account"]
+
+
 def test_added_spans():
     text = "IBAN: GB82 WEST 1234 5698 7654 32, ssn 123-45-6789, token = \"8824c3a463b8b0d6\", http://me:pw@host/x and GB82 WEST; the token is gone"
     found = {k: [text[s:e] for s, e in v] for k, v in pii.find(text).items() if v}
