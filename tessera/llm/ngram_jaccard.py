@@ -284,7 +284,7 @@ def jaccard_classes(
 
 
 def _classes(docs: DataFrame, size: int, threshold: float, tolerance: float, id_col: str, text_col: str, block_docs: int, block_shingles: int) -> DataFrame:
-    """``(doc_id, given, mark, class_id, n_links)``"""
+    """``(doc_id, given, mark, class, class_id, n_links)``; ``class`` tells classes apart, null where there is no shingle."""
     bounded_batches(docs.sparkSession)
     sketched = Written(sketch(docs, size, id_col, text_col), "sketch").df
     keyed = sketched.where("key is not null")
@@ -302,17 +302,17 @@ def _classes(docs: DataFrame, size: int, threshold: float, tolerance: float, id_
         groups.groupBy("group").applyInArrow(_verifier(size, threshold, tolerance), f"key binary, links long, root binary, class_id {kind}, split boolean"),
         "verified",
     ).df
-    whole = verified.where("not split").select("key", "links", "class_id")
+    whole = verified.where("not split").select("key", "links", F.col("root").alias("class"), "class_id")
     parts = verified.where("split")
     joined = connected_components(parts.select(F.col("key").alias("u"), F.col("root").alias("v")))
     least = joined.join(reps, joined["node"] == reps["key"]).groupBy("component").agg(F.min("rep").alias("class_id"))
-    classes = joined.join(least, "component").select(F.col("node").alias("key"), "class_id")
+    classes = joined.join(least, "component").select(F.col("node").alias("key"), F.col("component").alias("class"), "class_id")
     split = parts.groupBy("key").agg(F.sum("links").alias("links")).join(classes, "key", "left")
-    found = reps.join(whole.unionByName(split.select("key", "links", "class_id")), "key", "left").select(
-        "key", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    found = reps.join(whole.unionByName(split.select("key", "links", "class", "class_id")), "key", "left").select(
+        "key", F.coalesce("class", "key").alias("class"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return sketched.select("doc_id", "given", "mark", "key").join(found, "key", "left").select(
-        "doc_id", "given", "mark", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+        "doc_id", "given", "mark", "class", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
@@ -329,9 +329,10 @@ def drop_near_duplicates(
     """One row of each class, the one with the least id; all columns stay.
 
     Of rows with the same id and text one is kept; rows with the same id and other texts
-    are documents of their own, and each that has its class's least id stays.
+    are documents of their own, and of those of one class the least hash of the text stays.
     """
     found = _classes(docs, size, threshold, tolerance, id_col, text_col, block_docs, block_shingles)
-    kept = found.where("doc_id = class_id").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__hash"))
+    least = found.where("class is not null and doc_id = class_id").groupBy("class").agg(F.min("mark").alias("mark"), F.min("doc_id").alias("doc_id"))
+    kept = least.unionByName(found.where("class is null"), allowMissingColumns=True).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__hash"))
     marked = with_ids(docs, id_col, text_col)
     return marked.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)

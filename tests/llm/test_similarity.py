@@ -76,6 +76,17 @@ def test_one_of_each_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("options", [{}, {"block_docs": 2, "block_shingles": 100}])
+def test_one_of_near_copies_under_one_id_stays(spark, options):
+    rnd = random.Random(9)
+    a, b = prose(rnd, 80), prose(rnd, 80)
+    rows = [(1, a), (1, a + " end"), (1, "begin " + a), (1, a + " end"), (2, a), (1, b), (3, b + " end"), (1, ""), (1, None), (None, prose(rnd, 30))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in ngram_jaccard.drop_near_duplicates(df, **options).collect()]
+    assert len(kept) == 5 and {(1, b), (1, ""), (1, None), rows[-1]} < set(kept)
+    assert sum(i == 1 and a in (t or "") for i, t in kept) == 1
+
+
 @pytest.mark.parametrize("kind", ["long", "int", "string"])
 def test_rows_without_an_id_take_part(spark, kind):
     rnd = random.Random(8)
