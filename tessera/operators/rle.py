@@ -2,145 +2,234 @@
 
 Fixed values of the format: 00 and 14 bits: a run of zeros; 01 and 14 bits: a run of ones;
 1 and 15 bits: a literal, the lowest bit for the lowest index.
+
+The functions take many lists at once, flat with offsets, as Arrow holds them. A list's
+blocks depend on each other, so all lists advance by one block a step; there are as many
+steps as the longest list has blocks, and each is a few numpy operations.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 LONGEST, LITERAL_BITS = (1 << 14) - 1, 15
 ONES, LITERAL = 1 << 14, 1 << 15
+#: Lists and positions share one 64-bit key; positions are below this.
+SPAN = 40
+
+# Most ones of a literal that goes at one saved block and at two, by level.
+MOST_ONES = {1: (0, 1), 2: (1, 2), 3: (2, 4)}
+
+
+def _keys(values, offsets):
+    """``list << SPAN | value``, increasing wherever each list increases."""
+    import numpy as np
+
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)) << SPAN | values
+
+
+def _offsets(lists, n):
+    import numpy as np
+
+    return np.concatenate([[0], np.cumsum(np.bincount(lists, minlength=n))]).astype(np.int64)
+
+
+def increasing_lists(values, offsets):
+    """``(values, offsets)`` without any index that is not above all before it in its list."""
+    import numpy as np
+
+    keys = _keys(values, offsets)
+    before = np.concatenate([[-1], np.maximum.accumulate(keys)[:-1]]) if len(keys) else keys
+    keep = keys > before
+    return values[keep], _offsets(keys[keep] >> SPAN, len(offsets) - 1)
+
+
+def run_lists(values, offsets):
+    """``(list, end, bit)`` of the runs, none longer than LONGEST, in order; ``end`` is exclusive."""
+    import numpy as np
+
+    values, offsets = increasing_lists(values, offsets)
+    keys = _keys(values, offsets)
+    first = np.concatenate([[True], keys[1:] != keys[:-1] + 1]) if len(keys) else np.empty(0, bool)
+    begin, end = keys[first], keys[np.concatenate([first[1:], [True]])] + 1 if len(keys) else keys
+    lists = begin >> SPAN
+    before = np.where(np.concatenate([[-1], lists[:-1]]) == lists, np.concatenate([[0], end[:-1]]), lists << SPAN)
+    starts, ends = np.column_stack([before, begin]).ravel(), np.column_stack([begin, end]).ravel()
+    pieces = -(-(ends - starts) // LONGEST)
+    nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    upto = np.minimum(np.repeat(starts, pieces) + (nth + 1) * LONGEST, np.repeat(ends, pieces))
+    return np.repeat(np.repeat(lists, 2), pieces), upto & ((1 << SPAN) - 1), np.repeat(np.tile([0, 1], len(lists)), pieces)
+
+
+def encode_lists(values, offsets):
+    """``(blocks, offsets)``: short runs share literals; a run that starts a block and fills one stays a run."""
+    import numpy as np
+
+    n = len(offsets) - 1
+    values, offsets = increasing_lists(values, offsets)
+    lists, ends, bits = run_lists(values, offsets)
+    edges = lists << SPAN | ends
+    upto = _offsets(lists, n)[1:]  # after the last run of each list
+    now = np.flatnonzero(np.diff(offsets))
+    pos = np.zeros(len(now), np.int64)
+    made: list[tuple] = []
+    while len(now):
+        at = np.searchsorted(edges, now << SPAN | pos, side="right")  # the run that holds the position
+        left, last = ends[at] - pos, at + 1 == upto[now]
+        run = (left >= LITERAL_BITS) | last
+        made.append((now << SPAN | pos, np.where(run, ONES * bits[at] | left, LITERAL), run))
+        pos = np.where(run, ends[at], pos + LITERAL_BITS)
+        more = pos < ends[upto[now] - 1]
+        now, pos = now[more], pos[more]
+    if not made:
+        return np.empty(0, np.int64), np.zeros(n + 1, np.int64)
+    key, block, run = (np.concatenate(c) for c in zip(*made, strict=True))
+    order = np.argsort(key)
+    key, block, run = key[order], block[order], run[order]
+    ones = _keys(values, offsets)
+    of = np.searchsorted(key, ones, side="right") - 1
+    within = ~run[of]
+    block += np.bincount(of[within], weights=1 << (ones - key[of])[within], minlength=len(block)).astype(np.int64)
+    return block, _offsets(key >> SPAN, n)
+
+
+def decode_lists(blocks, offsets):
+    """``(values, offsets)`` of the ones that blocks hold."""
+    import numpy as np
+
+    n = len(offsets) - 1
+    lists = np.repeat(np.arange(n), np.diff(offsets))
+    literal, run = blocks & LITERAL > 0, blocks & (LITERAL | ONES) == ONES
+    width = np.where(literal, LITERAL_BITS, blocks & LONGEST)
+    begin = np.cumsum(width) - width
+    begin -= np.repeat(begin[offsets[:-1].clip(max=max(len(blocks) - 1, 0))], np.diff(offsets)) if len(blocks) else 0
+    at, bit = np.nonzero(blocks[literal][:, None] >> np.arange(LITERAL_BITS) & 1)
+    long = np.repeat(begin[run], width[run]) + np.arange(width[run].sum()) - np.repeat(np.cumsum(width[run]) - width[run], width[run])
+    keys = np.sort(np.concatenate([lists[literal][at] << SPAN | begin[literal][at] + bit, np.repeat(lists[run], width[run]) << SPAN | long]))
+    return keys & ((1 << SPAN) - 1), _offsets(keys >> SPAN, n)
+
+
+def ones_of(blocks):
+    """The number of ones of each block."""
+    import numpy as np
+
+    return np.where(blocks & LITERAL > 0, np.bitwise_count(blocks & (LITERAL - 1)), np.where(blocks & ONES > 0, blocks & LONGEST, 0)).astype(np.int64)
+
+
+def checked(level: int) -> int:
+    if level not in MOST_ONES:
+        raise ValueError("the level must be 1, 2 or 3")
+    return level
+
+
+def lossy_lists(blocks, offsets, level: int):
+    """``(blocks, offsets)``: literals of few ones beside runs of zeros become part of these runs, if that saves blocks."""
+    import numpy as np
+
+    one, two = MOST_ONES[checked(level)]
+    least = 0 if level == 3 else 1
+    n = len(offsets) - 1
+    out, used = np.zeros(len(blocks), np.int64), np.zeros(n, np.int64)
+    padded = np.append(blocks, LITERAL)
+    now = np.flatnonzero(np.diff(offsets))
+    at = offsets[:-1].copy()
+    while len(now):
+        block, place = padded[at[now]], offsets[now] + used[now]
+        at[now] += 1
+        previous = np.where(used[now] > 0, out[place - 1], LITERAL)
+        following = np.where(at[now] < offsets[now + 1], padded[at[now]], LITERAL)
+        before, after = previous < ONES, following < ONES
+        total = LITERAL_BITS + np.where(before, previous, 0) + np.where(after, following, 0)
+        saved = before.astype(np.int64) + after + 1 - -(-total // LONGEST)
+        ones = np.bitwise_count(block & (LITERAL - 1))
+        sparse = (saved >= 1) & ((ones >= 1) & (ones <= one) | (saved == 2) & (ones >= least) & (ones <= two))
+        goes = (block & LITERAL > 0) & sparse
+        place -= goes & before
+        at[now] += goes & after
+        out[place] = np.where(goes, np.minimum(total, LONGEST), block)
+        long = goes & (total > LONGEST)
+        out[place[long] + 1] = total[long] - LONGEST
+        used[now] = place - offsets[now] + 1 + long
+        now = now[at[now] < offsets[now + 1]]
+    kept = np.concatenate([[0], np.cumsum(used)])
+    nth = np.arange(kept[-1]) - np.repeat(kept[:-1], used)
+    return out[np.repeat(offsets[:-1], used) + nth], kept
+
+
+def _one(values):
+    import numpy as np
+
+    flat = np.array(list(values), np.int64)
+    return flat, np.array([0, len(flat)], np.int64)
 
 
 def increasing(indices) -> list[int]:
-    """What remains if every index that is not above all before it is skipped."""
-    kept: list[int] = []
-    for i in indices:
-        if not kept or i > kept[-1]:
-            kept.append(int(i))
-    return kept
+    return increasing_lists(*_one(indices))[0].tolist()
 
 
 def runs(indices) -> list[tuple[int, int]]:
-    """Runs as (bit, length), none longer than LONGEST."""
-    found: list[tuple[int, int]] = []
-
-    def add(bit: int, length: int) -> None:
-        while length > 0:
-            found.append((bit, min(length, LONGEST)))
-            length -= LONGEST
-
-    begin = end = 0  # the open run of ones is [begin, end)
-    done = 0
-    for i in [*increasing(indices), None]:
-        if i is not None and i == end and end > begin:
-            end += 1
-            continue
-        if end > begin:
-            add(1, end - begin)
-            done = end
-        if i is not None:
-            add(0, i - done)
-            begin, end = i, i + 1
-    return found
-
-
-def to_blocks(found: list[tuple[int, int]]) -> list[int]:
-    """Short runs share literals; a run that starts a block and fills one stays a run."""
-    blocks: list[int] = []
-    bits = width = pieces = 0
-    for bit, length in found:
-        if pieces:
-            fill = min(length, LITERAL_BITS - width)
-            bits |= ((1 << fill) - 1) * bit << width
-            width, pieces, length = width + fill, pieces + 1, length - fill
-            if width == LITERAL_BITS:
-                blocks.append(LITERAL | bits)
-                bits = width = pieces = 0
-        if length >= LITERAL_BITS:
-            blocks.append(ONES * bit | length)
-        elif length:
-            bits, width, pieces = ((1 << length) - 1) * bit, length, 1
-    if pieces == 1:
-        blocks.append(ONES * (bits & 1) | width)
-    elif pieces:
-        blocks.append(LITERAL | bits)
-    return blocks
+    """Runs of one list as (bit, length)."""
+    _, ends, bits = run_lists(*_one(indices))
+    return [(b, e - s) for b, e, s in zip(bits.tolist(), ends.tolist(), [0, *ends.tolist()], strict=False)]
 
 
 def encode(indices) -> list[int]:
-    return to_blocks(runs(indices))
+    return encode_lists(*_one(indices))[0].tolist()
 
 
 def decode(blocks) -> list[int]:
-    found: list[int] = []
-    at = 0
-    for block in map(int, blocks):
-        if block & LITERAL:
-            found += [at + i for i in range(LITERAL_BITS) if block >> i & 1]
-            at += LITERAL_BITS
-        else:
-            if block & ONES:
-                found += range(at, at + (block & LONGEST))
-            at += block & LONGEST
-    return found
-
-
-def sparse(level: int, ones: int, saved: int) -> bool:
-    """Whether a literal of so many ones goes, if that saves so many blocks."""
-    if level not in (1, 2, 3):
-        raise ValueError("the level must be 1, 2 or 3")
-    most = {1: (0, 1), 2: (1, 2), 3: (2, 4)}[level]  # ones at one saved block, at two
-    least = 0 if level == 3 else 1
-    return saved >= 1 and (1 <= ones <= most[0] or saved == 2 and least <= ones <= most[1])
+    return decode_lists(*_one(blocks))[0].tolist()
 
 
 def lossy(blocks, level: int) -> list[int]:
-    """Literals of few ones beside runs of zeros become part of these runs."""
-    out: list[int] = []
-    rest = [int(b) for b in blocks][::-1]
-    zeros = lambda b: b < ONES
-    while rest:
-        block = rest.pop()
-        if block & LITERAL:
-            before = out[-1] if out and zeros(out[-1]) else None
-            after = rest[-1] if rest and zeros(rest[-1]) else None
-            total = LITERAL_BITS + (before or 0) + (after or 0)
-            saved = (before is not None) + (after is not None) + 1 - -(-total // LONGEST)
-            if sparse(level, (block & ~LITERAL).bit_count(), saved):
-                if before is not None:
-                    out.pop()
-                if after is not None:
-                    rest.pop()
-                out += [min(total, LONGEST)] + [total - LONGEST] * (total > LONGEST)
-                continue
-        out.append(block)
-    return out
-
-
-@pandas_udf(T.ArrayType(T.IntegerType()))
-def encode_udf(lists: pd.Series) -> pd.Series:
-    return lists.map(encode)
-
-
-@pandas_udf(T.ArrayType(T.IntegerType()))
-def decode_udf(lists: pd.Series) -> pd.Series:
-    return lists.map(decode)
-
-
-@pandas_udf(T.IntegerType())
-def naive_runs_udf(lists: pd.Series) -> pd.Series:
-    return lists.map(lambda v: len(runs(v)))
+    return lossy_lists(*_one(blocks), level)[0].tolist()
+
+
+def _flat(lists: pa.Array):
+    import numpy as np
+
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(np.int64)
+    return values, offsets - offsets[0]
+
+
+def _nested(values, offsets) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
+
+
+@arrow_udf(T.ArrayType(T.IntegerType()))
+def encode_udf(lists: pa.Array) -> pa.Array:
+    return _nested(*encode_lists(*_flat(lists)))
+
+
+@arrow_udf(T.ArrayType(T.IntegerType()))
+def decode_udf(blocks: pa.Array) -> pa.Array:
+    return _nested(*decode_lists(*_flat(blocks)))
+
+
+@arrow_udf(T.LongType())
+def naive_runs_udf(lists: pa.Array) -> pa.Array:
+    import numpy as np
+
+    return pa.array(np.bincount(run_lists(*_flat(lists))[0], minlength=len(lists)))
+
+
+@arrow_udf(T.LongType())
+def set_bits_udf(blocks: pa.Array) -> pa.Array:
+    import numpy as np
+
+    values, offsets = _flat(blocks)
+    upto = np.concatenate([[0], np.cumsum(ones_of(values))])
+    return pa.array(upto[offsets[1:]] - upto[offsets[:-1]])
 
 
 def lossy_udf(level: int):
-    if level not in (1, 2, 3):
-        raise ValueError("the level must be 1, 2 or 3")
+    checked(level)
 
-    @pandas_udf(T.ArrayType(T.IntegerType()))
-    def apply(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda v: lossy(v, level))
+    @arrow_udf(T.ArrayType(T.IntegerType()))
+    def apply(blocks: pa.Array) -> pa.Array:
+        return _nested(*lossy_lists(*_flat(blocks), level))
 
     return apply
