@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import time
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import classify as cl
@@ -12,6 +13,7 @@ from tessera.operators import distance as di
 from tessera.operators import index as ix
 from tessera.operators import ordering as od
 from tessera.operators import prepare as pr
+from tessera.plans.shared import if_small, numbered, scratch, written
 from tessera.sources import formats as fm
 
 
@@ -20,31 +22,41 @@ def _syncmer(args) -> tuple[int, int] | None:
 
 
 def _file_table(spark: SparkSession, path: str) -> DataFrame:
-    rows = fm.read_taxids(spark, path)
-    return rows.select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("line")) - 1).alias("file_idx"), F.col("id").alias("file"), "taxid")
+    rows = numbered(fm.read_taxids(spark, path), "line", name="file_idx")
+    return rows.select(F.col("file_idx").cast("int").alias("file_idx"), F.col("id").alias("file"), "taxid")
 
 
 def _records(spark: SparkSession, folder: str, files: DataFrame, split: str | None = None) -> DataFrame:
-    """Records of the listed files, in ``folder`` or among split files; a bad record ends its file."""
+    """Records of the listed files, in ``folder`` or among split files; a bad record ends its file.
+
+    A listed file that is in neither is an error.
+    """
+    missing = [r["file"] for r in files.join(fm.known_files(spark, folder, split), "file", "left_anti").select("file").take(5)]
+    if missing:
+        raise FileNotFoundError(f"listed, but not in {folder}: {', '.join(missing)}")
     found = fm.read_fasta(spark, folder, mode="STOP").withColumn("file", F.element_at(F.split("file", "/"), -1))
     if split:
         found = found.unionByName(fm.read_split_fasta(spark, split))
-    return found.join(files, "file").select("file_idx", "seq")
+    return found.join(if_small(files), "file").select("file_idx", "seq")
 
 
 def file2taxid(spark, a):
     records = fm.read_fasta(spark, a.folder)
     taxids = pr.last_wins(fm.read_taxids(spark, a.map), "id", "line") if a.map else None
     table, parts = pr.file_table(records, taxids, pr.budget(a.k), a.overlap)
-    fm.write_rows(table.orderBy("file"), ["file", "taxid"], f"{a.out}/f2t", "overwrite", order="file")
-    fm.write_split_fasta(parts, f"{a.out}/split", "overwrite")
+    fm.write_rows(table.orderBy("file"), ["file", "taxid"], fm.output_path(spark, a.out, "f2t"), "overwrite", order="file")
+    fm.write_split_fasta(parts, fm.output_path(spark, a.out, "split"), "overwrite")
 
 
 def pairwise(spark, a):
     files = _file_table(spark, a.table)
-    postings = ix.file_kmers(_records(spark, a.folder, files, a.split), a.k, _syncmer(a))
-    di.distances(postings, files).write.mode("overwrite").parquet(f"{a.out}/distances")
-    files.write.mode("overwrite").parquet(f"{a.out}/files")
+    postings = written(ix.file_kmers(_records(spark, a.folder, files, a.split), a.k, _syncmer(a)), "postings")
+    _write_distances(di.distances(postings, files), files, fm.output_path(spark, a.out, "pd"))
+
+
+def _write_distances(dist: DataFrame, files: DataFrame, path: str) -> None:
+    dist.write.mode("overwrite").parquet(f"{path}/distances")
+    files.write.mode("overwrite").parquet(f"{path}/files")
 
 
 def extend(spark, a):
@@ -53,38 +65,39 @@ def extend(spark, a):
     new_files = _file_table(spark, a.table).withColumn("file_idx", (F.col("file_idx") + n).cast("int"))
     files = old_files.unionByName(new_files)
     records = _records(spark, a.old_folder, old_files, a.split).unionByName(_records(spark, a.new_folder, new_files, a.split))
-    di.extended(old, ix.file_kmers(records, a.k, _syncmer(a)), files, n).write.mode("overwrite").parquet(f"{a.out}/distances")
-    files.write.mode("overwrite").parquet(f"{a.out}/files")
+    _write_distances(di.extended(old, written(ix.file_kmers(records, a.k, _syncmer(a)), "postings"), files, n), files, fm.output_path(spark, a.out, "pd"))
 
 
 def order(spark, a):
     dist, files = spark.read.parquet(f"{a.pd}/distances"), spark.read.parquet(f"{a.pd}/files")
     tour = od.ordering(dist, a.start)
     fm.logs().info("tour: %s", od.tour_statistics(tour, dist).first().asDict())
-    fm.write_rows(od.ordered_files(tour, files), ["file", "taxid"], f"{a.out}/o.f2t", "overwrite", order="pos")
+    fm.write_rows(od.ordered_files(tour, files), ["file", "taxid"], fm.output_path(spark, a.out, "o.f2t"), "overwrite", order="pos")
 
 
 def build(spark, a):
     files = _file_table(spark, a.table)
-    ix.Index.build(_records(spark, a.folder, files, a.split), files, a.k, _syncmer(a)).save(a.out, "overwrite")
+    ix.Index.build(_records(spark, a.folder, files, a.split), files, a.k, _syncmer(a)).save(fm.output_path(spark, a.out, "db"), "overwrite")
 
 
 def build_lossy(spark, a):
-    ix.Index.load(spark, a.db).lossy(a.level).save(a.out, "overwrite")
+    ix.Index.load(spark, a.db).lossy(a.level).save(fm.output_path(spark, a.out, "cdb"), "overwrite")
 
 
 def classify(spark, a):
     reads = fm.read_fastq(spark, a.reads).select(F.col("id").alias("read_id"), "seq")
+    began = time.time()
     done = cl.classify(reads, ix.Index.load(spark, a.db), a.e, a.n)
-    fm.write_rows(done, ["flag", "read_id", "taxid", "file"], f"{a.out}/r2f", "overwrite")
-    fm.logs().info("classified: %s", cl.statistics(reads).first().asDict())
+    fm.write_rows(done, ["flag", "read_id", "taxid", "file"], fm.output_path(spark, a.out, "r2f"), "overwrite")
+    seconds = time.time() - began
+    fm.logs().info("classified: %s", cl.throughput(cl.statistics(reads), seconds).first().asDict())
 
 
 def chop(spark, a):
     if a.fasta:
-        fm.write_fasta(pr.chopped(fm.read_fasta(spark, a.reads, "STOP", None), a.length), f"{a.out}/chopped.fasta", "overwrite")
+        fm.write_fasta(pr.chopped(fm.read_fasta(spark, a.reads, "STOP", None), a.length), fm.output_path(spark, a.out, "chopped.fasta"), "overwrite")
     else:
-        fm.write_fastq(pr.chopped(fm.read_fastq(spark, a.reads, "STOP"), a.length), f"{a.out}/chopped.fastq", "overwrite")
+        fm.write_fastq(pr.chopped(fm.read_fastq(spark, a.reads, "STOP"), a.length), fm.output_path(spark, a.out, "chopped.fastq"), "overwrite")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -120,7 +133,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
-    args.run(SparkSession.builder.appName("tessera").getOrCreate(), args)
+    with scratch():
+        args.run(SparkSession.builder.appName("tessera").getOrCreate(), args)
 
 
 if __name__ == "__main__":

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import logging
 import os
+import posixpath
 import sys
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.shared import if_small, written
+
 # Extensions of FASTA files, told apart by case.
+FASTA_ENDINGS = (".fna", ".fasta", ".fa")
 FASTA_GLOB = "*.{fna,fasta,fa}"
 
 
@@ -18,21 +23,42 @@ def fasta_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", FASTA_GLOB).load(folder).select("path", F.col("length").alias("bytes"))
 
 
+def plain_path(path: Column) -> Column:
+    """A path as files are named; the hidden metadata column has it percent-encoded."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def _lines(reader: DataFrameReader, path: str, glob: str | None = None) -> DataFrame:
+    """``(file, __block, value)`` of text files, which are split into blocks."""
+    text = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    return text.select(plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("__block"), "value")
+
+
+def _in_files(lines: DataFrame, name: str = "line") -> DataFrame:
+    """``lines`` with each one's number in its file, from 0.
+
+    A line's place within its block is known where it is read, so no line is shuffled or
+    sorted: only the numbers of lines of the blocks are.
+    """
+    placed = lines.withColumn("__at", F.monotonically_increasing_id())
+    blocks = placed.groupBy("file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("file", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__start"))
+    return placed.join(if_small(written(starts, "blocks")), ["file", "__block"]).withColumn(name, F.col("__at") + F.col("__start")).drop("__at", "__block", "__start")
+
+
 def read_fasta(spark: SparkSession, path: str, mode: str = "FAILFAST", glob: str | None = FASTA_GLOB) -> DataFrame:
     """``(file, record_idx, id, desc, seq)``; files are split at records, not read whole.
 
     A record without an id is bad: FAILFAST raises, DROP leaves it out, and STOP leaves
     out it and what follows in its file.
     """
-    reader = spark.read.option("lineSep", "\n>")
-    text = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
-    at = text.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__line"))
-    at = at.where(F.trim("value") != "")
+    at = _in_files(_lines(spark.read.option("lineSep", "\n>"), path, glob).where(F.trim("value") != ""), "record_idx")
     body = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", "")
     head, rest = F.split(body, "\n", 2)[0], F.coalesce(F.get(F.split(body, "\n", 2), F.lit(1)), F.lit(""))
     rows = at.select(
         "file",
-        (F.row_number().over(Window.partitionBy("file").orderBy("__block", "__line")) - 1).cast("int").alias("record_idx"),
+        F.col("record_idx").cast("int").alias("record_idx"),
         F.regexp_extract(head, r"^(\S*)", 1).alias("id"),
         F.nullif(F.regexp_extract(head, r"^\S*\s+(.*)$", 1), F.lit("")).alias("desc"),
         F.regexp_replace(rest, r"\s", "").alias("seq"),
@@ -43,29 +69,31 @@ def read_fasta(spark: SparkSession, path: str, mode: str = "FAILFAST", glob: str
 def read_fastq(spark: SparkSession, path: str, mode: str = "DROP") -> DataFrame:
     """``(file, record_idx, id, desc, seq, qual)`` of records of four lines.
 
-    A line of qualities may start like a header, so framing needs the count of lines: a
-    file is the unit of reading here, and large inputs should come as many files.
+    A line of qualities may start like a header, so records are framed by the numbers of
+    lines. Files are split anywhere; four lines meet by one aggregation, which map tasks
+    begin, so about one row a record is shuffled.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\n+$", ""), "\n").alias("lines"))
-    frames = F.transform(F.sequence(F.lit(0), F.ceil(F.size("lines") / 4).cast("int") - 1), lambda i: F.slice("lines", i * 4 + 1, 4))
-    rows = text.select("file", F.posexplode(frames).alias("record_idx", "r")).select(
-        "file", "record_idx",
-        F.regexp_extract(F.col("r")[0], r"^@(\S*)", 1).alias("id"), F.nullif(F.regexp_extract(F.col("r")[0], r"^@\S*\s+(.*)$", 1), F.lit("")).alias("desc"),
-        F.get("r", F.lit(1)).alias("seq"), F.get("r", F.lit(2)).alias("__plus"), F.get("r", F.lit(3)).alias("qual"),
+    lines = _in_files(_lines(spark.read.option("lineSep", "\n"), path))
+    part = lambda i: F.max(F.when(F.col("line") % 4 == i, F.regexp_replace("value", "\r", "")))
+    framed = lines.groupBy("file", F.floor(F.col("line") / 4).cast("int").alias("record_idx")).agg(*(part(i).alias(f"__{i}") for i in range(4)))
+    framed = framed.where(F.concat_ws("", *(f"__{i}" for i in range(4))) != "")  # empty lines at the end of a file
+    rows = framed.select(
+        "file", "record_idx", F.regexp_extract("__0", r"^@(\S*)", 1).alias("id"), F.nullif(F.regexp_extract("__0", r"^@\S*\s+(.*)$", 1), F.lit("")).alias("desc"),
+        F.col("__1").alias("seq"), F.col("__2").alias("__plus"), F.col("__3").alias("qual"),
     )
     bad = ~F.coalesce((F.col("id") != "") & F.col("__plus").startswith("+") & (F.length("seq") == F.length("qual")), F.lit(False))
     return _handled(rows, bad, mode, "FASTQ").drop("__plus")
 
 
-def _handled(rows: DataFrame, bad, mode: str, what: str) -> DataFrame:
+def _handled(rows: DataFrame, bad: Column, mode: str, what: str) -> DataFrame:
     if mode == "DROP":
         return rows.where(~bad)
     if mode == "FAILFAST":
         return rows.where(F.when(bad, F.raise_error(F.concat(F.lit(f"bad {what} record in "), F.col("file"))).cast("boolean")).otherwise(True))
     if mode != "STOP":
         raise ValueError("the mode must be FAILFAST, DROP or STOP")
-    upto = Window.partitionBy("file").orderBy("record_idx")
-    return rows.withColumn("__bad", F.max(bad.cast("int")).over(upto)).where("__bad = 0").drop("__bad")
+    first = written(rows.where(bad).groupBy("file").agg(F.min("record_idx").alias("__bad")), "bad-records")
+    return rows.join(if_small(first), "file", "left").where("__bad is null or record_idx < __bad").drop("__bad")
 
 
 def parse_taxids(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -80,10 +108,12 @@ def parse_taxids(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_taxids(spark: SparkSession, path: str) -> DataFrame:
-    """``(line, id, taxid)`` in file order; ``line`` numbers grow with the place in the file."""
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__l"))
-    numbered = text.withColumn("line", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("__f", "__b", "__l")) - 1)
-    return parse_taxids(numbered.select("line", "value"))
+    """``(line, id, taxid)``; ``line`` is the number of the line, through all files by name."""
+    lines = _in_files(_lines(spark.read, path))
+    sizes = lines.groupBy("file").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    starts = sizes.select("file", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return parse_taxids(lines.join(if_small(written(starts, "files")), "file").select((F.col("line") + F.col("__start")).alias("line"), "value"))
 
 
 def write_fasta(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -100,7 +130,22 @@ def write_split_fasta(parts: DataFrame, path: str, mode: str = "errorifexists")
 def read_split_fasta(spark: SparkSession, path: str, split_dir: str = "split") -> DataFrame:
     """Records of split files, named as in the table of files."""
     found = read_fasta(spark, path, "STOP", None)
-    return found.withColumn("file", F.concat(F.lit(f"{split_dir}/"), F.regexp_extract("file", "name=([^/]+)/[^/]*$", 1)))
+    return found.withColumn("file", F.concat(F.lit(f"{split_dir}/"), plain_path(F.regexp_extract("file", "name=([^/]+)/[^/]*$", 1))))
+
+
+def _entries(spark: SparkSession, folder: str) -> list:
+    """The entries of a folder, as the file system lists them: ``(name, is a file)``."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(found)
+    return [(e.getPath().getName(), e.isFile()) for e in listed]
+
+
+def known_files(spark: SparkSession, folder: str, split: str | None = None, split_dir: str = "split") -> DataFrame:
+    """``(file)``: names of the FASTA files of a folder, empty ones too, and of split files, from listings alone."""
+    names = [n for n, is_file in _entries(spark, folder) if is_file and n.endswith(FASTA_ENDINGS)]
+    if split:
+        names += [f"{split_dir}/{unquote(n.removeprefix('name='))}" for n, is_file in _entries(spark, split) if not is_file and n.startswith("name=")]
+    return spark.createDataFrame([(n,) for n in names], "file string")
 
 
 def write_fastq(records: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -121,11 +166,17 @@ def read_classification(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(parts[0].alias("flag"), parts[1].alias("read_id"), parts[2].cast("long").alias("taxid"), parts[3].alias("file"))
 
 
-def output_path(out: str, extension: str) -> str:
+def is_folder(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(found) and fs.getFileStatus(found).isDirectory()
+
+
+def output_path(spark: SparkSession, out: str, extension: str) -> str:
     """In a folder ``out/extension``; else ``out`` with its last extension replaced."""
-    if os.path.isdir(out):
-        return os.path.join(out, extension)
-    return f"{os.path.splitext(out)[0]}.{extension}"
+    if is_folder(spark, out):
+        return posixpath.join(out, extension)
+    return f"{posixpath.splitext(out)[0]}.{extension}"
 
 
 def logs(level: str | None = None) -> logging.Logger:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tessera import cli
 from tessera.sources import formats as fm
@@ -33,9 +34,64 @@ def test_taxid_lines(spark, tmp_path):
     assert [(r.line, r.id, r.taxid) for r in fm.read_taxids(spark, f"file://{tmp_path}/t").collect()] == [(1, "a", 1), (4, "d", 7)]
 
 
-def test_output_path(tmp_path):
-    assert fm.output_path(str(tmp_path), "db") == f"{tmp_path}/db"
-    assert fm.output_path("a.b", "split.db") == "a.split.db"
+def test_output_path(spark, tmp_path):
+    assert fm.output_path(spark, f"file://{tmp_path}", "db") == f"file://{tmp_path}/db"
+    assert fm.output_path(spark, f"file://{tmp_path}/a.b", "split.db") == f"file://{tmp_path}/a.split.db"
+
+
+def test_numbers_do_not_depend_on_blocks(spark, tmp_path):
+    """Small blocks, so records and lines lie across them; a name with a blank and a plus."""
+    (tmp_path / "in").mkdir()
+    fasta = [(f"r{i}", "ACGT" * (i % 7) + "A" * (i % 3)) for i in range(300)]
+    (tmp_path / "in" / "a b+c.fna").write_text("".join(f">{i}\n{s}\n" for i, s in fasta))
+    (tmp_path / "in" / "z.fna").write_text(">last\nAC\n")
+    reads = [(f"q{i}", "ACGT" * (1 + i % 9)) for i in range(300)]
+    (tmp_path / "x.fastq").write_text("".join(f"@{i}\n{s}\n+\n{'@' * len(s)}\n" for i, s in reads) + "\n\n")
+    (tmp_path / "t").write_text("".join(f"name{i}\t{i}\n" for i in range(500)))
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set(key, "700")
+    try:
+        rows = fm.read_fasta(spark, f"file://{tmp_path}/in").collect()
+        framed = fm.read_fastq(spark, f"file://{tmp_path}/x.fastq", "FAILFAST")
+        assert fm._lines(spark.read, f"file://{tmp_path}/x.fastq").rdd.getNumPartitions() > 5
+        assert [(r.id, r.seq) for r in sorted(framed.collect(), key=lambda r: r.record_idx)] == reads
+        assert [(r.line, r.id) for r in sorted(fm.read_taxids(spark, f"file://{tmp_path}/t").collect())] == [(i, f"name{i}") for i in range(500)]
+    finally:
+        spark.conf.set(key, before)
+    assert [(r.id, r.seq) for r in sorted((r for r in rows if r.file.endswith("/a b+c.fna")), key=lambda r: r.record_idx)] == fasta
+    assert [(r.record_idx, r.id) for r in rows if r.file.endswith("/z.fna")] == [(0, "last")]
+
+
+def test_a_listed_file_that_is_missing_is_an_error(spark, tmp_path):
+    (tmp_path / "seqs").mkdir()
+    (tmp_path / "seqs" / "a b.fna").write_text(">a\nACGTTGCAAC\n")
+    (tmp_path / "seqs" / "empty.fna").write_text("")
+    t = f"file://{tmp_path}"
+    (tmp_path / "f2t").write_text("a b.fna\t1\nempty.fna\t2\n")
+    cli.main(["build", f"{t}/f2t", f"{t}/seqs", "-o", f"{t}/ok", "-k", "5", "-s", "5"])
+    from tessera.operators.index import Index
+
+    assert [(r.file, r.n_kmers) for r in Index.load(spark, f"{t}/ok.db").files.orderBy("file_idx").collect()] == [("a b.fna", 4), ("empty.fna", 0)]
+    (tmp_path / "f2t").write_text("a b.fna\t1\ngone.fna\t2\n")
+    with pytest.raises(FileNotFoundError, match="gone.fna"):
+        cli.main(["build", f"{t}/f2t", f"{t}/seqs", "-o", f"{t}/bad", "-k", "5", "-s", "5"])
+
+
+def test_mates_are_classified_apart(spark, tmp_path):
+    import random
+
+    from tessera.operators.classify import classify, statistics, throughput
+    from tessera.operators.index import Index
+
+    rnd = random.Random(4)
+    genomes = ["".join(rnd.choice("ACGT") for _ in range(600)) for _ in range(2)]
+    index = Index.build(spark.createDataFrame(list(enumerate(genomes)), "file_idx int, seq string"), spark.createDataFrame([(0, "f0", 10), (1, "f1", 11)], "file_idx int, file string, taxid long"), 9, None)
+    (tmp_path / "r.fastq").write_text("".join(f"@frag {m}\n{g[50:150]}\n+\n{'I' * 100}\n" for m, g in enumerate(genomes)) + "@frag 2\nACG\n+\nIII\n")
+    reads = fm.read_fastq(spark, f"file://{tmp_path}/r.fastq").select(F.col("id").alias("read_id"), "seq")
+    for source in (reads, reads.repartition(3)):
+        assert sorted(map(tuple, classify(source, index).collect())) == [("C", "frag", 10, "f0"), ("C", "frag", 11, "f1"), ("U", "frag", 0, "-")]
+    rates = throughput(statistics(reads), 2).first()
+    assert (rates.reads, rates.bases, rates.reads_per_second, round(rates.mbp_per_second * 1e6, 6)) == (3, 203, 1.5, 101.5)
 
 
 def test_commands(spark, tmp_path, monkeypatch):
@@ -48,17 +104,20 @@ def test_commands(spark, tmp_path, monkeypatch):
         (tmp_path / "seqs" / f"{n}.fna").write_text(f">{n}\n{g}\n")
     (tmp_path / "map").write_text("a\t5\nb\t6\nc\t7\n")
     (tmp_path / "reads.fastq").write_text("".join(f"@{n}\n{g[100:190]}\n+\n{'I' * 90}\n" for n, g in genomes.items()))
+    for folder in ("o1", "out", "chop"):
+        (tmp_path / folder).mkdir()
     t = f"file://{tmp_path}"
     cli.main(["file2taxid", f"{t}/seqs", "--map", f"{t}/map", "-o", f"{t}/o1", "-k", "11"])
     cli.main(["pairwise-distances", f"{t}/o1/f2t", f"{t}/seqs", "-o", f"{t}/pd", "-k", "11", "-s", "7"])
-    cli.main(["order", f"{t}/pd", "-o", f"{t}/pd"])
-    cli.main(["build", f"{t}/pd/o.f2t", f"{t}/seqs", "-o", f"{t}/db", "-k", "11", "-s", "11"])
-    cli.main(["classify", f"{t}/db", f"{t}/reads.fastq", "-o", f"{t}/out"])
+    cli.main(["order", f"{t}/pd.pd", "-o", f"{t}/tour"])
+    cli.main(["build", f"{t}/tour.o.f2t", f"{t}/seqs", "-o", f"{t}/db", "-k", "11", "-s", "11"])
+    cli.main(["classify", f"{t}/db.db", f"{t}/reads.fastq", "-o", f"{t}/out"])
     rows = {r.read_id: r.taxid for r in fm.read_classification(spark, f"{t}/out/r2f").collect()}
     assert rows == {"a": 5, "b": 6, "c": 7}
-    cli.main(["build-lossy", "1", f"{t}/db", "-o", f"{t}/cdb"])
-    cli.main(["extend-distances", f"{t}/pd", f"{t}/o1/f2t", f"{t}/seqs", f"{t}/seqs", "-o", f"{t}/pd2", "-k", "11", "-s", "7"])
-    assert spark.read.parquet(f"{t}/pd2/distances").count() == 21
+    cli.main(["build-lossy", "1", f"{t}/db.db", "-o", f"{t}/less"])
+    assert spark.read.parquet(f"{t}/less.cdb/files").count() == 3
+    cli.main(["extend-distances", f"{t}/pd.pd", f"{t}/o1/f2t", f"{t}/seqs", f"{t}/seqs", "-o", f"{t}/pd2", "-k", "11", "-s", "7"])
+    assert spark.read.parquet(f"{t}/pd2.pd/distances").count() == 21
     cli.main(["chop-reads", f"{t}/reads.fastq", "--length", "10", "-o", f"{t}/chop"])
     assert {len(r.seq) for r in fm.read_fastq(spark, f"{t}/chop/chopped.fastq").collect()} == {10}
 
@@ -67,12 +126,13 @@ def test_split_files_are_found_again(spark, tmp_path):
     (tmp_path / "seqs").mkdir()
     (tmp_path / "seqs" / "a.fna").write_text(f">a\n{'ACGTTGCA' * 20}\n>b\nACGGT\n")
     (tmp_path / "seqs" / "c.fna").write_text(">c\nACGTTGCAAC\n")
+    (tmp_path / "o").mkdir()
     t = f"file://{tmp_path}"
     cli.main(["file2taxid", f"{t}/seqs", "-o", f"{t}/o", "-k", "5", "--overlap", "10"])
     names = sorted(r.id for r in fm.read_taxids(spark, f"{t}/o/f2t").collect())
     assert names == ["c.fna", "split/a.0.0", "split/a.0.1", "split/a.0.2", "split/a.0.3", "split/a.1"]
     cli.main(["pairwise-distances", f"{t}/o/f2t", f"{t}/seqs", "--split", f"{t}/o/split", "-o", f"{t}/pd", "-k", "5", "-s", "5"])
-    assert spark.read.parquet(f"{t}/pd/distances").where("i <> j").count() == 15
+    assert spark.read.parquet(f"{t}/pd.pd/distances").where("i <> j").count() == 15
     index = fm.read_split_fasta(spark, f"{t}/o/split")
     assert sorted((r.file, len(r.seq)) for r in index.collect()) == [("split/a.0.0", 45), ("split/a.0.1", 50), ("split/a.0.2", 50), ("split/a.0.3", 45), ("split/a.1", 5)]
 
