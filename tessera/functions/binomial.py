@@ -110,3 +110,32 @@ def ln_add(a: Column, b: Column) -> Column:
 def ln_subtract(a: Column, b: Column) -> Column:
     """ln(e^a - e^b) for a > b."""
     return a + F.log1p(-F.exp(b - a))
+
+
+def big_exp_of(big: Column) -> Column:
+    """e to the power of a number; the result may lie beyond doubles, the exponent must not."""
+    return big_from_ln(as_double(big))
+
+
+def big_power(big: Column, power: Column | float) -> Column:
+    """A number above zero to any power; zero stays zero for powers above zero."""
+    zero = F.struct(F.lit(0).alias("exp"), F.lit(0.0).alias("mant"))
+    return F.when(big["mant"] == 0, zero).otherwise(big_from_ln(ln_of_big(big) * power))
+
+
+def big_sqrt(big: Column) -> Column:
+    """The square root; an odd exponent lends one to the mantissa, so nothing is rounded twice."""
+    odd = F.pmod(big["exp"], F.lit(2))
+    root = F.struct(F.floor(big["exp"] / 2).cast("int").alias("exp"), F.sqrt(big["mant"] * (odd + 1)).alias("mant"))
+    return F.when(big["mant"] == 0, F.struct(F.lit(0).alias("exp"), F.lit(0.0).alias("mant"))).otherwise(root)
+
+
+def big_square(big: Column) -> Column:
+    mant = big["mant"] * big["mant"]
+    over = (mant >= 2).cast("int")
+    return F.struct((big["exp"] * 2 + over).alias("exp"), (mant / (over + 1)).alias("mant"))
+
+
+def big_less(a: Column, b: Column) -> Column:
+    """Exponents are compared first, then mantissas; so zero, whose exponent is 0, is not the least."""
+    return (a["exp"] < b["exp"]) | ((a["exp"] == b["exp"]) & (a["mant"] < b["mant"]))

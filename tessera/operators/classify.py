@@ -10,33 +10,44 @@ from pyspark.sql import functions as F
 from tessera.functions.binomial import ln_tail
 from tessera.functions.sequence import rescaled
 from tessera.operators.index import Index
-from tessera.operators.kmers import Syncmer, kmers
+from tessera.operators.kmers import Syncmer, kmer_counts
 from tessera.plans.shared import if_small, written
 
 
+#: Tells records apart: paired reads and repeated rows may share an id.
+ROW = "__record"
+
+
 def read_kmers(reads: DataFrame, k: int, syncmer: Syncmer = None, read_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
-    """``(read, kmer, times)``: repeats within a read are counted before any join."""
-    return kmers(reads, [read_col], seq_col, k, syncmer).groupBy(read_col, "kmer").agg(F.count("*").alias("times"))
+    """``(__record, read_col, kmer, times)``, and for each record a row with a null k-mer.
+
+    Records are numbered where they are read and their k-mers counted there, so nothing is
+    shuffled. Stored, since hits and sizes both need it and the numbers must not change.
+    """
+    marked = reads.select(F.monotonically_increasing_id().alias(ROW), read_col, seq_col)
+    return written(kmer_counts(marked, [ROW, read_col], seq_col, k, syncmer), "read-kmers")
 
 
 def read_sizes(counted: DataFrame, read_col: str = "read_id") -> DataFrame:
-    """All k-mers of a read, whether a file has them or not."""
-    return counted.groupBy(read_col).agg(F.sum("times").alias("n"))
+    """``(__record, read_col, n)``: all k-mers of each record, whether a file has them or not."""
+    return counted.groupBy(ROW, read_col).agg(F.sum("times").alias("n"))
 
 
-def hits(counted: DataFrame, postings: DataFrame, read_col: str = "read_id") -> DataFrame:
-    """``(read, file_idx, x)``
+def hits(counted: DataFrame, postings: DataFrame) -> DataFrame:
+    """``(__record, file_idx, x)``
 
     Few reads are broadcast to the postings, which then need no shuffle; beyond the counted
     bound both sides shuffle by k-mer, and adaptive execution splits frequent ones.
     """
-    return postings.join(if_small(counted), "kmer").groupBy(read_col, "file_idx").agg(F.sum("times").alias("x"))
+    asked = counted.where("kmer is not null").select(ROW, "kmer", "times")
+    return postings.join(if_small(asked), "kmer").groupBy(ROW, "file_idx").agg(F.sum("times").alias("x"))
 
 
-def candidates(found: DataFrame, sizes: DataFrame, files: DataFrame, trials: int, read_col: str = "read_id") -> DataFrame:
+def candidates(found: DataFrame, sizes: DataFrame, files: DataFrame, trials: int) -> DataFrame:
     """Hits above expectation (x > n p, unscaled), with ``xs``, the hits out of ``trials``."""
-    joined = found.join(sizes, read_col).join(files.select("file_idx", "n_kmers", "p"), "file_idx")
-    return joined.where((F.col("p") > 0) & (F.col("x") > F.col("n") * F.col("p"))).withColumn("xs", rescaled(F.col("x"), F.col("n"), trials))
+    known = if_small(files.where("p > 0").select("file_idx", "n_kmers", "p"))
+    joined = found.join(sizes, ROW).join(known, "file_idx")
+    return joined.where(F.col("x") > F.col("n") * F.col("p")).withColumn("xs", rescaled(F.col("x"), F.col("n"), trials))
 
 
 def tails(wanted: DataFrame, trials: int, zero_sorts_last: bool = True) -> DataFrame:
@@ -44,26 +55,40 @@ def tails(wanted: DataFrame, trials: int, zero_sorts_last: bool = True) -> DataF
     return wanted.select("p", "xs").distinct().withColumn("lsf", ln_tail(F.col("p"), F.col("xs"), trials, zero_sorts_last))
 
 
-def winners(scored: DataFrame, read_col: str = "read_id") -> DataFrame:
-    """The least tail of each read; between equal ones, to nine decimals, the first file."""
-    order = Window.partitionBy(read_col).orderBy(F.round("lsf", 9), "file_idx")
+def winners(scored: DataFrame, decimals: int | None = None) -> DataFrame:
+    """The least tail of each record; between equal ones the first file.
+
+    ``decimals`` rounds ln p first, which makes other engines' last digits irrelevant.
+    """
+    least = F.col("lsf") if decimals is None else F.round("lsf", decimals)
+    order = Window.partitionBy(ROW).orderBy(least, "file_idx")
     return scored.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
 
 
-def scored(reads: DataFrame, index: Index, trials: int = 100, zero_sorts_last: bool = True, read_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
-    counted = read_kmers(reads, index.k, index.syncmer, read_col, seq_col)
-    wanted = written(candidates(hits(counted, index.postings, read_col), read_sizes(counted, read_col), index.files, trials, read_col), "candidates")
-    return wanted.join(tails(wanted, trials, zero_sorts_last), ["p", "xs"])
+def scored(counted: DataFrame, index: Index, trials: int = 100, zero_sorts_last: bool = True, read_col: str = "read_id") -> DataFrame:
+    """Candidates of counted reads, with ln of their tails as ``lsf``."""
+    wanted = written(candidates(hits(counted, index.postings), read_sizes(counted, read_col), index.files, trials), "candidates")
+    return wanted.join(if_small(tails(wanted, trials, zero_sorts_last)), ["p", "xs"])
 
 
-def classify(reads: DataFrame, index: Index, exponent: int = 12, trials: int = 100, zero_sorts_last: bool = True, read_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
-    """``(flag, read, taxid, file)`` for every read; C below 10^-exponent, else U, 0 and ``-``."""
-    best = winners(scored(reads, index, trials, zero_sorts_last, read_col, seq_col), read_col).where(F.col("lsf") < -exponent * math.log(10))
-    named = best.select(read_col, "file_idx").join(index.files.select("file_idx", "taxid", "file"), "file_idx").drop("file_idx")
-    return reads.select(read_col).join(named, read_col, "left").select(
+def classify(
+    reads: DataFrame, index: Index, exponent: int = 12, trials: int = 100, zero_sorts_last: bool = True, read_col: str = "read_id", seq_col: str = "seq", decimals: int | None = None
+) -> DataFrame:
+    """``(flag, read, taxid, file)`` for every record; C below 10^-exponent, else U, 0 and ``-``."""
+    counted = read_kmers(reads, index.k, index.syncmer, read_col, seq_col)
+    best = winners(scored(counted, index, trials, zero_sorts_last, read_col), decimals).where(F.col("lsf") < -exponent * math.log(10))
+    named = best.select(ROW, "file_idx").join(if_small(index.files.select("file_idx", "taxid", "file")), "file_idx").drop("file_idx")
+    every = counted.where("kmer is null").select(ROW, read_col)
+    return every.join(named, ROW, "left").select(
         F.when(F.col("file").isNull(), "U").otherwise("C").alias("flag"), read_col, F.coalesce("taxid", F.lit(0)).cast("long").alias("taxid"), F.coalesce("file", F.lit("-")).alias("file")
     )
 
 
 def statistics(reads: DataFrame, seq_col: str = "seq") -> DataFrame:
     return reads.agg(F.count("*").alias("reads"), F.coalesce(F.sum(F.length(seq_col)), F.lit(0)).alias("bases"))
+
+
+def throughput(counts: DataFrame, seconds: float) -> DataFrame:
+    """``statistics`` with reads and millions of bases a second."""
+    rate = lambda c, unit: F.try_divide(F.col(c), F.lit(float(seconds) * unit))
+    return counts.withColumns({"seconds": F.lit(float(seconds)), "reads_per_second": rate("reads", 1), "mbp_per_second": rate("bases", 1e6)})

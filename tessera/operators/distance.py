@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
+from tessera.operators.index import inverted
 
 
 def intersections(postings: DataFrame, file_col: str = "file_idx", from_file: int | None = None) -> DataFrame:
-    """``(i, j, shared)`` for pairs i > j that share a k-mer; with ``from_file``, only rows i >= it."""
-    left = postings.select(F.col(file_col).alias("i"), "kmer")
+    """``(i, j, shared)`` for pairs i > j that share a k-mer; with ``from_file``, only rows i >= it.
+
+    The postings are shuffled once, to their lists. Lists that many k-mers share give their
+    pairs once, with the number of these k-mers as weight.
+    """
+    lists = inverted(postings, file_col).where(F.size("files") > 1).groupBy("files").agg(F.count("*").alias("weight"))
+    firsts = lists.select("weight", "files", F.posexplode("files").alias("at", "i")).where("at > 0")
     if from_file is not None:
-        left = left.where(F.col("i") >= from_file)
-    right = postings.select(F.col(file_col).alias("j"), "kmer")
-    return left.join(right, "kmer").where("i > j").groupBy("i", "j").agg(F.count("*").alias("shared"))
+        firsts = firsts.where(F.col("i") >= from_file)
+    both = firsts.select("weight", "i", F.explode(F.slice("files", F.lit(1), F.col("at"))).alias("j"))
+    return both.groupBy("i", "j").agg(F.sum("weight").alias("shared"))
 
 
 def pairs(postings: DataFrame, files: DataFrame, file_col: str = "file_idx", from_file: int | None = None) -> DataFrame:

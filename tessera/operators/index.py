@@ -51,10 +51,16 @@ def expanded(blocks: DataFrame, file_col: str = "file_idx") -> DataFrame:
     return blocks.select("kmer", F.explode(rle.decode_udf("blocks")).alias(file_col))
 
 
-def size_totals(lists: DataFrame, blocks: DataFrame) -> DataFrame:
-    """One row: set bits, runs before literals, and blocks."""
-    left = lists.agg(F.sum(F.size("files")).alias("set_bits"), F.sum(rle.naive_runs_udf("files")).alias("naive_runs"))
-    return left.join(blocks.agg(F.sum(F.size("blocks")).alias("blocks")), how="full", on=F.lit(True))
+def size_totals(lists: DataFrame) -> DataFrame:
+    """One row: runs before literals, blocks, and the set bits that the blocks hold."""
+    sized = compressed(lists.select("kmer", "files")).select(F.size("blocks").alias("blocks"), rle.set_bits_udf("blocks").alias("set_bits"))
+    runs = lists.agg(F.sum(rle.naive_runs_udf("files")).alias("naive_runs"))
+    return sized.agg(F.sum("set_bits").alias("set_bits"), F.sum("blocks").alias("blocks")).join(runs, how="full", on=F.lit(True)).select("set_bits", "naive_runs", "blocks")
+
+
+def set_bits(postings: DataFrame) -> DataFrame:
+    """One row ``(set_bits, kmers)``; lists are counted, not built."""
+    return postings.groupBy("kmer").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("set_bits"), F.count("*").alias("kmers"))
 
 
 @dataclass
@@ -79,13 +85,13 @@ class Index:
         total = universe(records.sparkSession, k, syncmer).first()["total"]
         postings = written(file_kmers(records, k, syncmer).select("kmer", "file_idx"), "postings")
         known = files.select("file_idx", "file", "taxid").join(shares(postings, total), "file_idx", "left").na.fill({"n_kmers": 0, "p": 0.0})
-        return Index(postings, known, k, syncmer, total)
+        return Index(postings, written(known, "files"), k, syncmer, total)
 
     def lossy(self, level: int) -> Index:
         """Postings after lossy compression, with each file's p counted anew."""
-        kept = expanded(lossy(compressed(inverted(self.postings)), level))
+        kept = written(expanded(lossy(compressed(inverted(self.postings)), level)), "postings")
         files = self.files.drop("n_kmers", "p").join(shares(kept, self.total), "file_idx", "left").na.fill({"n_kmers": 0, "p": 0.0})
-        return Index(kept, files, self.k, self.syncmer, self.total)
+        return Index(kept, written(files, "files"), self.k, self.syncmer, self.total)
 
     def with_taxid(self, file: str, taxid: int) -> Index:
         """One file's taxid changed; an unknown file or the same value is an error."""

@@ -13,7 +13,10 @@ from tessera.functions import sequence as sq
 
 Syncmer = tuple[int, int] | None  # (s, t)
 
-# Sizes of two universes of canonical k-mers, (k, s, t) to number.
+#: Bases that the kernel takes at once.
+PIECE = 1 << 22
+
+# Sizes of universes of canonical k-mers, (k, s, t) to number.
 KNOWN_UNIVERSES = {(15, 9, 2): 63_439_162}
 
 
@@ -73,11 +76,48 @@ def canonical_codes(sequence: bytes, k: int, syncmer: Syncmer):
     return at, code
 
 
+def _pieces(texts: list[bytes], k: int):
+    """Sequences joined to pieces of about PIECE bytes: ``(bytes, begins, rows, offsets)``.
+
+    A longer sequence is cut with an overlap, so every window lies in just one piece.
+    """
+    parts: list[bytes] = []
+    rows: list[int] = []
+    offsets: list[int] = []
+    size = 0
+    for row, text in enumerate(texts):
+        for start in range(0, max(len(text) - k + 1, 1), PIECE):
+            part = text[start : start + PIECE + k - 1]
+            if parts and size + len(part) > PIECE:
+                yield _joined(parts, rows, offsets)
+                parts, rows, offsets, size = [], [], [], 0
+            parts.append(part), rows.append(row), offsets.append(start)
+            size += len(part) + 1
+    if parts:
+        yield _joined(parts, rows, offsets)
+
+
+def _joined(parts: list[bytes], rows: list[int], offsets: list[int]):
+    import numpy as np
+
+    return b"\n".join(parts), np.cumsum([0] + [len(p) + 1 for p in parts[:-1]]), np.array(rows), np.array(offsets)
+
+
+def _extracted(batch: pa.RecordBatch, column: int, k: int, syncmer: Syncmer):
+    """For each piece of a batch: the row, the position and the code of each k-mer, in order."""
+    import numpy as np
+
+    for raw, begins, rows, offsets in _pieces([(t or "").encode("latin-1", "replace") for t in batch.column(column).to_pylist()], k):
+        at, code = canonical_codes(raw, k, syncmer)
+        part = np.searchsorted(begins, at, side="right") - 1
+        yield rows[part], at - begins[part] + offsets[part], code
+
+
 def kmers(df: DataFrame, keys: list[str], seq_col: str, k: int, syncmer: Syncmer = None, positions: bool = False, repeats: bool = True) -> DataFrame:
     """One row ``(*keys, [pos,] kmer)`` for each k-mer.
 
     Without ``repeats``, which excludes ``positions``, a row's k-mers leave the kernel once
-    each; rows with the same keys may still give the same ones.
+    for each piece of about PIECE bases; rows with the same keys may still give the same ones.
     """
     checked(k, syncmer)
     if positions and not repeats:
@@ -90,16 +130,36 @@ def kmers(df: DataFrame, keys: list[str], seq_col: str, k: int, syncmer: Syncmer
         for batch in source:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [(t or "").encode("latin-1", "replace") for t in part.column(len(keys)).to_pylist()]
-                at, code = canonical_codes(b"\n".join(texts), k, syncmer)
-                begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
-                row = np.searchsorted(begins, at, side="right") - 1
-                if not repeats:
-                    once = np.unique(row << 32 | code)  # codes fit 32 bits
-                    row, code = once >> 32, once & 0xFFFFFFFF
-                ids = [part.column(i).take(pa.array(row)) for i in range(len(keys))]
-                pos = [pa.array(at - begins[row])] if positions else []
-                yield pa.RecordBatch.from_arrays([*ids, *pos, pa.array(code)], names=schema.names)
+                for row, pos, code in _extracted(part, len(keys), k, syncmer):
+                    if not repeats:
+                        once = np.unique(row << 32 | code)  # codes fit 32 bits
+                        row, code = once >> 32, once & 0xFFFFFFFF
+                    ids = [part.column(i).take(pa.array(row)) for i in range(len(keys))]
+                    yield pa.RecordBatch.from_arrays([*ids, *([pa.array(pos)] if positions else []), pa.array(code)], names=schema.names)
+
+    return df.select(*keys, seq_col).mapInArrow(batches, schema)
+
+
+def kmer_counts(df: DataFrame, keys: list[str], seq_col: str, k: int, syncmer: Syncmer = None) -> DataFrame:
+    """``(*keys, kmer, times)``: the k-mers of each row, counted where the row is read.
+
+    Each row also gives one with a null k-mer and no times, so rows without k-mers stay. The
+    counts of a k-mer in a row longer than PIECE may come in parts.
+    """
+    checked(k, syncmer)
+    schema = T.StructType([df.schema[c] for c in keys] + [T.StructField("kmer", T.LongType()), T.StructField("times", T.LongType(), False)])
+
+    def batches(source):
+        import numpy as np
+
+        for batch in source:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                ids = [part.column(i) for i in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*ids, pa.nulls(part.num_rows, pa.int64()), pa.array(np.zeros(part.num_rows, np.int64))], names=schema.names)
+                for row, _, code in _extracted(part, len(keys), k, syncmer):
+                    once, times = np.unique(row << 32 | code, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(once >> 32)) for c in ids), pa.array(once & 0xFFFFFFFF), pa.array(times)], names=schema.names)
 
     return df.select(*keys, seq_col).mapInArrow(batches, schema)
 

@@ -10,25 +10,34 @@ MOST_FILES = 20_000
 
 
 def greedy_tour(dist: DataFrame, start: int = 0) -> list[int]:
-    """From ``start`` always to the nearest file not seen, the lowest index between equals."""
+    """From ``start`` always to the nearest file not seen, the lowest index between equals.
+
+    The lower triangle comes to the driver row by row, in four bytes a distance: 800 MB for
+    the most files.
+    """
     import numpy as np
 
-    n = (dist.agg(F.max("i")).first()[0] if dist.columns else None) or 0
-    if n + 1 > MOST_FILES:
-        raise ValueError(f"more than {MOST_FILES} files")
-    rows = dist.select("i", "j", "dist").toArrow()
-    i, j, d = (rows.column(c).to_numpy() for c in ("i", "j", "dist"))
-    if not len(i):
+    seen = dist.agg(F.max("i").alias("last"), F.max("dist").alias("most")).first()
+    if seen["last"] is None:
         return []
-    if not 0 <= start <= n:
+    n = seen["last"] + 1
+    if n > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} files")
+    if not 0 <= start < n:
         raise ValueError("the start is no file")
-    full = np.full((n + 1, n + 1), np.iinfo(np.int64).max)
-    full[i, j] = full[j, i] = d
-    seen, tour = np.zeros(n + 1, bool), [start]
-    seen[start] = True
-    while len(tour) <= n:
-        tour.append(int(np.argmin(np.where(seen, np.iinfo(np.int64).max, full[tour[-1]]))))
-        seen[tour[-1]] = True
+    kind = np.uint32 if seen["most"] < 1 << 32 else np.uint64
+    begin = np.arange(n + 1, dtype=np.int64) * np.arange(1, n + 2) // 2  # of each row in the triangle
+    flat = np.zeros(begin[n], kind)
+    packed = dist.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "dist"))), lambda x: x["dist"]).alias("row"))
+    for r in packed.toLocalIterator(prefetchPartitions=False):
+        flat[begin[r["i"]] : begin[r["i"] + 1]] = r["row"]
+    left, tour = np.ones(n, bool), [start]
+    left[start] = False
+    while len(tour) < n:
+        at = tour[-1]
+        near = np.concatenate([flat[begin[at] : begin[at + 1]], flat[begin[at + 1 : n] + at]])
+        tour.append(int(np.flatnonzero(left)[near[left].argmin()]))
+        left[tour[-1]] = False
     return tour
 
 

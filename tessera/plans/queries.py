@@ -6,9 +6,10 @@ Roles: a document, or all documents of a source, is a reference file; passages o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import binomial as bi
@@ -20,7 +21,7 @@ from tessera.operators import kmers as km
 from tessera.operators import ordering as od
 from tessera.operators import prepare as pr
 from tessera.operators import rle
-from tessera.plans.shared import shared_dir, written
+from tessera.plans.shared import new_path, written
 from tessera.session import table
 from tessera.sources import formats as fm
 
@@ -259,10 +260,10 @@ def ln_gammas(spark, sf_dir):
     return rows.select("n", F.round(bi.ln_gamma_int(F.col("n")), 6).alias("by_sum"), F.round(bi.ln_gamma(F.col("n").cast("double")), 6).alias("by_function"), F.round(bi.ln_gamma(F.col("n") + 0.5), 6).alias("half"))
 
 
-@query("m5_big_exp", """WITH v AS (SELECT order_, value FROM (SELECT l_orderkey * 10 + l_linenumber AS order_, l_extendedprice * (l_discount - 0.05) AS value FROM lineitem WHERE l_linenumber = 1)), e AS (SELECT *, CASE WHEN value = 0 THEN 0 ELSE floor(log2(abs(value)))::INTEGER END AS exp FROM v)
+@query("m5_big_exp", """WITH v AS (SELECT order_, value FROM (SELECT l_orderkey * 10 + l_linenumber AS order_, l_extendedprice * (l_discount - 0.05) AS value FROM lineitem)), e AS (SELECT *, CASE WHEN value = 0 THEN 0 ELSE floor(log2(abs(value)))::INTEGER END AS exp FROM v)
 SELECT order_ AS id, exp, CASE WHEN value = 0 THEN 0.0::DOUBLE ELSE value / 2.0 ** exp END AS mant, value AS back FROM e""")
 def big_exps(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_extendedprice").cast("double") * (F.col("l_discount").cast("double") - 0.05)).alias("v"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_extendedprice").cast("double") * (F.col("l_discount").cast("double") - 0.05)).alias("v"))
     rows = rows.withColumn("big", bi.big_exp(F.col("v")))
     return rows.select("id", F.col("big.exp").alias("exp"), F.col("big.mant").alias("mant"), bi.as_double(F.col("big")).alias("back"))
 
@@ -274,6 +275,24 @@ def log_arithmetic(spark, sf_dir):
     return rows.select("i", "j", F.round(a + b, 9).alias("times"), F.round(bi.ln_add(a, b), 9).alias("plus"), F.when(F.col("i") > F.col("j"), F.round(bi.ln_subtract(a, b), 9)).alias("minus"), F.round(a - b, 9).alias("over"))
 
 
+@query("m7_big_functions", """WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice::DOUBLE AS v, l_quantity::DOUBLE / 10 AS w FROM lineitem)
+SELECT id, round(sqrt(v), 6) AS root, round(v * v / 1e6, 6) AS square, round(0.7 * ln(v), 6) AS ln_power, round(exp(w), 6) AS e_to, round(ln(v), 9) AS ln, v AS back FROM v""")
+def big_functions(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), bi.big_exp(F.col("l_extendedprice").cast("double")).alias("v"), bi.big_exp(F.col("l_quantity").cast("double") / 10).alias("w"))
+    v, plain = F.col("v"), bi.as_double
+    return rows.select(
+        "id", F.round(plain(bi.big_sqrt(v)), 6).alias("root"), F.round(plain(bi.big_square(v)) / 1e6, 6).alias("square"), F.round(bi.ln_of_big(bi.big_power(v, 0.7)), 6).alias("ln_power"),
+        F.round(plain(bi.big_exp_of(F.col("w"))), 6).alias("e_to"), F.round(bi.ln_of_big(v), 9).alias("ln"), plain(v).alias("back"),
+    )
+
+
+@query("m8_big_compare", "WITH v AS (SELECT i, CASE WHEN i = 0 THEN 0.0 ELSE 1.7 ** (i - 20) END::DOUBLE AS v FROM range(0, 41) t(i)), b AS (SELECT i, v, CASE WHEN v = 0 THEN 0 ELSE floor(log2(v)) END AS e FROM v) SELECT a.i AS i, b.i AS j, a.e < b.e OR (a.e = b.e AND a.v < b.v) AS less FROM b a, b b")
+def big_compare(spark, sf_dir):
+    rows = [(i, 0.0 if i == 0 else 1.7 ** (i - 20)) for i in range(41)]
+    pairs = spark.createDataFrame([(i, j, v, w) for i, v in rows for j, w in rows], "i long, j long, v double, w double")
+    return pairs.select("i", "j", bi.big_less(bi.big_exp(F.col("v")), bi.big_exp(F.col("w"))).alias("less"))
+
+
 @query("m10_cutoffs", f"WITH pairs AS (SELECT p, x AS xs FROM (SELECT unnest([0.0001, 0.001, 0.011, 0.05, 0.1])::DOUBLE AS p), range(0, 101) t(x)), {_tails('pairs', '-1e300')}, e AS (SELECT unnest([9, 12, 15, 18]) AS e) SELECT p, e, min(xs) AS x FROM tail, e WHERE lsf < -e * ln(10) GROUP BY p, e")
 def cutoffs(spark, sf_dir):
     grid = spark.createDataFrame([(p,) for p in (0.0001, 0.001, 0.011, 0.05, 0.1)], "p double")
@@ -308,9 +327,8 @@ def file_shares(spark, sf_dir):
 
 @query("a3_set_bits", f"WITH {_POSTINGS} SELECT count(*) AS set_bits, count(DISTINCT kmer) AS kmers, count(DISTINCT file_idx) AS files FROM post")
 def set_bits(spark, sf_dir):
-    lists = ix.inverted(ix.file_kmers(docs(spark, sf_dir), K))
     files = docs(spark, sf_dir).where(F.length("seq") >= K).select(F.countDistinct("file_idx").alias("files"))
-    return lists.agg(F.sum(F.size("files")).alias("set_bits"), F.count("*").alias("kmers")).join(files, how="full", on=F.lit(True))
+    return ix.set_bits(ix.file_kmers(docs(spark, sf_dir), K)).join(files, how="full", on=F.lit(True))
 
 
 @query("a4_inverted_index", f"WITH {_kmers('k', 'item_id', 'benchmark')} SELECT kmer, array_to_string(list(id ORDER BY id), ',') AS files FROM (SELECT DISTINCT kmer, id FROM k) GROUP BY kmer")
@@ -348,36 +366,83 @@ def round_trip(spark, sf_dir):
     return blocks.groupBy(F.array_join(F.transform("files", lambda x: x.cast("string")), ",").alias("files")).agg(F.count("*").alias("n_kmers"), F.sum("kmer").alias("total"))
 
 
-@query("r1_blocks")
+def _lists(postings: str) -> str:
+    """CTEs ending in ``lists(files, weight, l)``: distinct lists, and how many k-mers have each."""
+    return f"{postings}, per AS (SELECT kmer, list(file_idx ORDER BY file_idx) AS files FROM post GROUP BY kmer), lists AS (SELECT files, count(*) AS weight, row_number() OVER () AS l FROM per GROUP BY files)"
+
+
+#: CTEs from ``lists`` to ``runs`` and ``blocks(l, pos, block)``; the files are so few that no run needs a second block.
+_BLOCKS = """one AS (SELECT l, unnest(files)::BIGINT AS i FROM lists),
+isle AS (SELECT l, min(i) AS a, max(i) + 1 AS b FROM (SELECT l, i, i - row_number() OVER (PARTITION BY l ORDER BY i) AS g FROM one) GROUP BY l, g),
+runs AS (SELECT l, 1 AS bit, a, b FROM isle UNION ALL SELECT l, 0, p, a FROM (SELECT l, a, coalesce(lag(b) OVER (PARTITION BY l ORDER BY a), 0) AS p FROM isle) WHERE p < a),
+total AS (SELECT l, max(b) AS n FROM runs GROUP BY l),
+walk(l, pos, next_, whole, bit) AS (
+  SELECT l, 0::BIGINT, CASE WHEN b >= 15 OR b = n THEN b ELSE 15 END, b >= 15 OR b = n, bit FROM runs JOIN total USING (l) WHERE a = 0
+  UNION ALL
+  SELECT w.l, w.next_, CASE WHEN r.b - w.next_ >= 15 OR r.b = t.n THEN r.b ELSE w.next_ + 15 END, r.b - w.next_ >= 15 OR r.b = t.n, r.bit
+  FROM walk w JOIN total t ON t.l = w.l JOIN runs r ON r.l = w.l AND r.a <= w.next_ AND w.next_ < r.b),
+bits AS (SELECT w.l, w.pos, sum(1 << (o.i - w.pos)::INTEGER) AS v FROM walk w JOIN one o ON o.l = w.l AND o.i >= w.pos AND o.i < w.pos + 15 WHERE NOT whole GROUP BY w.l, w.pos),
+blocks AS (SELECT w.l, w.pos, (CASE WHEN whole THEN bit * 16384 + next_ - pos ELSE 32768 + coalesce(v, 0) END)::BIGINT AS block FROM walk w LEFT JOIN bits USING (l, pos))"""
+
+_GOES = {1: "s = 2 AND n = 1", 2: "n = 1 OR (s = 2 AND n BETWEEN 1 AND 2)", 3: "n BETWEEN 1 AND 2 OR (s = 2 AND n BETWEEN 0 AND 4)"}
+
+
+def _thinned(level: int) -> str:
+    """CTEs from ``blocks`` to ``kept(l, file_idx)``: zeros before and after a sparse literal become one run with it.
+
+    Sizes stay far below the longest run, so a merge saves as many blocks as the literal has neighbours of zeros.
+    """
+    return f"""every AS (SELECT l, list(block ORDER BY pos) AS bs FROM blocks GROUP BY l),
+fold(l, bs, nth, done) AS (
+  SELECT l, bs, 1, []::BIGINT[] FROM every
+  UNION ALL
+  SELECT l, bs, CASE WHEN goes THEN nth + 1 + after ELSE nth + 1 END,
+    CASE WHEN goes THEN list_append(list_slice(done, 1, len(done) - before), 15 + CASE WHEN before = 1 THEN done[len(done)] ELSE 0 END + CASE WHEN after = 1 THEN bs[nth + 1] ELSE 0 END) ELSE list_append(done, bs[nth]) END
+  FROM (SELECT *, bs[nth] >= 32768 AND s >= 1 AND ({_GOES[level]}) AS goes
+    FROM (SELECT *, before + after AS s, bit_count((bs[nth] & 32767)::BIGINT) AS n
+      FROM (SELECT *, CASE WHEN len(done) > 0 AND done[len(done)] < 16384 THEN 1 ELSE 0 END AS before, CASE WHEN nth < len(bs) AND bs[nth + 1] < 16384 THEN 1 ELSE 0 END AS after FROM fold WHERE nth <= len(bs))))),
+steps AS (SELECT l, unnest(done) AS block, generate_subscripts(done, 1) AS k FROM fold WHERE nth > len(bs)),
+sized AS (SELECT *, CASE WHEN block >= 32768 THEN 15 ELSE block & 16383 END AS width FROM steps),
+placed AS (SELECT l, block, width, sum(width) OVER (PARTITION BY l ORDER BY k) - width AS pos FROM sized),
+kept AS (SELECT l, pos + i AS file_idx FROM placed, range(15) t(i) WHERE block >= 32768 AND (block >> i) & 1 = 1
+  UNION ALL SELECT l, pos + i FROM (SELECT l, pos, unnest(range(width::BIGINT)) AS i FROM placed WHERE block < 32768 AND block >= 16384))"""
+
+
+@query("r1_blocks", f"WITH RECURSIVE {_lists(_SOURCES)}, {_BLOCKS}, e AS (SELECT l, array_to_string(list(block ORDER BY pos), ',') AS blocks FROM blocks GROUP BY l) SELECT blocks, sum(weight)::BIGINT AS n_kmers FROM e JOIN lists USING (l) GROUP BY blocks")
 def block_rows(spark, sf_dir):
     return ix.compressed(source_lists(spark, sf_dir)).groupBy(F.array_join(F.transform("blocks", lambda x: x.cast("string")), ",").alias("blocks")).agg(F.count("*").alias("n_kmers"))
 
 
-@query("a13_totals")
+@query("a13_totals", f"WITH RECURSIVE {_lists(_POSTINGS)}, {_BLOCKS} SELECT (SELECT sum(len(files) * weight) FROM lists)::BIGINT AS set_bits, (SELECT sum(weight) FROM runs JOIN lists USING (l))::BIGINT AS naive_runs, (SELECT sum(weight) FROM blocks JOIN lists USING (l))::BIGINT AS blocks")
 def totals(spark, sf_dir):
-    lists = document_lists(spark, sf_dir)
-    return ix.size_totals(lists, ix.compressed(lists))
+    return ix.size_totals(written(document_lists(spark, sf_dir), "lists"))
 
 
 for _level in (1, 2, 3):
 
-    @query(f"r7_lossy_{_level}")
+    @query(
+        f"r7_lossy_{_level}",
+        f"WITH RECURSIVE {_lists(_POSTINGS)}, {_BLOCKS}, {_thinned(_level)}, n AS (SELECT file_idx, sum(weight) AS n FROM kept JOIN lists USING (l) GROUP BY file_idx)"
+        f" SELECT doc_id AS file_idx, coalesce(n, 0)::BIGINT AS n_kmers, round(coalesce(n, 0) / {TOTAL}.0::DOUBLE, 12) AS p FROM documents LEFT JOIN n ON doc_id = file_idx",
+    )
     def lossy_sizes(spark, sf_dir, level=_level):
         kept = ix.expanded(ix.lossy(ix.compressed(document_lists(spark, sf_dir)), level))
-        return ix.shares(kept, TOTAL, docs(spark, sf_dir))
+        return ix.shares(kept, TOTAL, docs(spark, sf_dir)).withColumn("p", F.round("p", 12))
 
 
 # Reads -----------------------------------------------------------------------------
 
 
-@query("a6_read_sizes", f"WITH {_READS} SELECT id AS read_id, count(*) AS n FROM r GROUP BY id")
+@query("a6_read_sizes", f"WITH {_READS}, n AS (SELECT id, count(*) AS n FROM r GROUP BY id) SELECT item_id AS read_id, coalesce(n, 0) AS n FROM benchmark LEFT JOIN n ON id = item_id")
 def sizes_of_reads(spark, sf_dir):
-    return cl.read_sizes(cl.read_kmers(reads(spark, sf_dir), K))
+    return cl.read_sizes(cl.read_kmers(reads(spark, sf_dir), K)).select("read_id", "n")
 
 
 @query("a5_hits", f"WITH {_HITS} SELECT read_id, file_idx, x FROM h")
 def hit_rows(spark, sf_dir):
-    return cl.hits(cl.read_kmers(reads(spark, sf_dir), K), ix.file_kmers(docs(spark, sf_dir), K))
+    counted = cl.read_kmers(reads(spark, sf_dir), K)
+    found = cl.hits(counted, ix.file_kmers(docs(spark, sf_dir), K))
+    return found.join(counted.where("kmer is null").select(cl.ROW, "read_id"), cl.ROW).select("read_id", "file_idx", "x")
 
 
 @query("f9_candidates", f"WITH {_HITS} SELECT read_id, file_idx, x, n, n_kmers, xs FROM cand")
@@ -387,26 +452,37 @@ def candidate_rows(spark, sf_dir):
     return cl.candidates(cl.hits(counted, index.postings), cl.read_sizes(counted), index.files, TRIALS).select("read_id", "file_idx", "x", "n", "n_kmers", "xs")
 
 
+#: Digits of ln p that other engines must share: ties are told by them in the queries with SQL.
+DECIMALS = 9
+
+
 @query("a7_winners", f"WITH {_HITS}, pairs AS (SELECT DISTINCT p, xs FROM cand), {_tails('pairs')} SELECT read_id, file_idx, x, xs, round(lsf, 6) AS lsf FROM cand JOIN tail USING (p, xs) QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY round(lsf, 9), file_idx) = 1")
 def winner_rows(spark, sf_dir):
-    found = cl.winners(cl.scored(reads(spark, sf_dir), doc_index(spark, sf_dir), TRIALS))
+    found = cl.winners(cl.scored(cl.read_kmers(reads(spark, sf_dir), K), doc_index(spark, sf_dir), TRIALS), DECIMALS)
     return found.select("read_id", "file_idx", "x", "xs", F.round("lsf", 6).alias("lsf"))
 
 
 @query("c5_classify", _classified("0.0"))
 def classify_rows(spark, sf_dir):
-    return cl.classify(reads(spark, sf_dir), doc_index(spark, sf_dir), EXPONENT, TRIALS)
+    return cl.classify(reads(spark, sf_dir), doc_index(spark, sf_dir), EXPONENT, TRIALS, decimals=DECIMALS)
 
 
 @query("c5_classify_zero_first", _classified("-1e300"))
 def classify_zero_first(spark, sf_dir):
-    return cl.classify(reads(spark, sf_dir), doc_index(spark, sf_dir), EXPONENT, TRIALS, zero_sorts_last=False)
+    return cl.classify(reads(spark, sf_dir), doc_index(spark, sf_dir), EXPONENT, TRIALS, zero_sorts_last=False, decimals=DECIMALS)
 
 
 @query("c5_classify_default_k", _classified("0.0", _hits(15, (9, 2), km.KNOWN_UNIVERSES[15, 9, 2])))
 def classify_k15(spark, sf_dir):
     index = ix.Index.build(docs(spark, sf_dir), doc_files(spark, sf_dir), 15, (9, 2))
-    return cl.classify(reads(spark, sf_dir), index, EXPONENT, TRIALS)
+    return cl.classify(reads(spark, sf_dir), index, EXPONENT, TRIALS, decimals=DECIMALS)
+
+
+@query("c5_classify_mates", f"WITH c AS ({_classified('0.0')}) SELECT flag, 'pair' || (read_id // 2) AS read_id, taxid, file FROM c")
+def classify_mates(spark, sf_dir):
+    """Two records share an id, as mates do; each is classified by itself."""
+    mates = reads(spark, sf_dir).withColumn("read_id", F.concat(F.lit("pair"), F.floor(F.col("read_id") / 2).cast("string")))
+    return cl.classify(mates, doc_index(spark, sf_dir), EXPONENT, TRIALS, decimals=DECIMALS)
 
 
 @query("a16_statistics", f"SELECT count(*) AS reads, sum(length({_SEQ}))::BIGINT AS bases FROM conversations")
@@ -492,40 +568,34 @@ def taxid_lines(spark, sf_dir):
     return fm.parse_taxids(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), value.alias("value")))
 
 
-def _folder(spark, name: str) -> str:
-    import uuid
-
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def doc_records(spark, sf_dir):
     return docs(spark, sf_dir).where(F.length("seq") > 0).select(F.concat(F.lit("d"), F.col("file_idx").cast("string")).alias("id"), F.col("source").alias("desc"), "seq")
 
 
 @query("s1_fasta", f"SELECT 'd' || doc_id AS id, source AS \"desc\", {_SEQ} AS seq FROM documents WHERE length({_SEQ}) > 0")
 def fasta_scan(spark, sf_dir):
-    path = _folder(spark, "fasta")
+    path = new_path(spark, "fasta")
     fm.write_fasta(doc_records(spark, sf_dir), path)
     return fm.read_fasta(spark, path, glob=None).select("id", "desc", "seq")
 
 
 @query("s2_fastq", f"SELECT 'd' || doc_id AS id, source AS \"desc\", {_SEQ} AS seq, repeat('@', length({_SEQ})::INTEGER) AS qual FROM documents WHERE length({_SEQ}) > 0")
 def fastq_scan(spark, sf_dir):
-    path = _folder(spark, "fastq")
+    path = new_path(spark, "fastq")
     fm.write_fastq(doc_records(spark, sf_dir).withColumn("qual", F.expr("repeat('@', length(seq))")), path)
     return fm.read_fastq(spark, path).select("id", "desc", "seq", "qual")
 
 
 @query("k6_classification_table", _classified("0.0"))
 def classification_table(spark, sf_dir):
-    path = _folder(spark, "r2f")
+    path = new_path(spark, "r2f")
     fm.write_rows(classify_rows(spark, sf_dir), ["flag", "read_id", "taxid", "file"], path)
     return fm.read_classification(spark, path).withColumn("read_id", F.col("read_id").cast("long"))
 
 
 @query("k1_saved_index", _classified("0.0"))
 def saved_index(spark, sf_dir):
-    path = _folder(spark, "index")
+    path = new_path(spark, "index")
     doc_index(spark, sf_dir).save(path)
     return cl.classify(reads(spark, sf_dir), ix.Index.load(spark, path), EXPONENT, TRIALS)
 
@@ -537,8 +607,6 @@ named AS (SELECT file, taxid, CASE WHEN bases <= 20000 THEN file WHEN length(seq
   FROM (SELECT *, unnest(range(CASE WHEN bases > 20000 AND length(seq) > 20000 THEN n ELSE 1 END)) AS idx FROM parts))
 SELECT DISTINCT name AS file, taxid FROM named""")
 def file_table_rows(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = table(spark, sf_dir, "documents")
     record = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
     records = rows.select(F.concat("source", F.lit(".fna")).alias("file"), record.alias("record_idx"), F.col("doc_id").cast("string").alias("id"), F.lit(None).cast("string").alias("desc"), sq.letters_as_bases(F.col("text")).alias("seq"))
@@ -546,11 +614,99 @@ def file_table_rows(spark, sf_dir):
     return pr.file_table(records, taxids, 20000, OVERLAP)[0]
 
 
+@query("s3_listing", "SELECT DISTINCT source || CASE regexp_extract(source, '[0-9]+')::INTEGER % 4 WHEN 0 THEN '.fna' WHEN 1 THEN '.fasta' WHEN 2 THEN '.fa' END AS file FROM documents WHERE regexp_extract(source, '[0-9]+')::INTEGER % 4 < 3")
+def listing(spark, sf_dir):
+    """Files of four extensions, one of them in capitals, and one in a subfolder: three are listed."""
+    names = [r["source"] for r in table(spark, sf_dir, "documents").select("source").distinct().collect()]  # a fixture of twenty files
+    endings = (".fna", ".fasta", ".fa", ".FA")
+    path = new_path(spark, "listed")
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in names:
+        number = int(re.sub("[^0-9]", "", name))
+        for folder in (path, f"{path}/sub"):
+            fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}{endings[number % 4]}")).close()
+    return fm.known_files(spark, path)
+
+
+_RECORD = f"SELECT doc_id, source, {_SEQ} AS seq FROM documents"
+
+
+@query("k3_split_fasta", f"""WITH s AS ({_RECORD}), l AS (SELECT *, greatest(ceil(length(seq) / {LONGEST}.0), 1)::BIGINT AS parts FROM s WHERE length(seq) > {LONGEST}),
+i AS (SELECT *, ceil(length(seq) / parts::DOUBLE)::BIGINT AS part, unnest(range(parts)) AS idx FROM l),
+e AS (SELECT *, greatest(0, idx * part - {OVERLAP // 2}) AS a, least(idx * part + part + {OVERLAP // 2}, length(seq)) AS b FROM i)
+SELECT 'split/d' || doc_id || '.0.' || idx AS file, 0 AS record_idx, 'd' || doc_id AS id, a || '..' || b AS "desc", substr(seq, a + 1, b - a) AS seq FROM e""")
+def split_fasta(spark, sf_dir):
+    """Files of one record; the long ones are split, written and found again."""
+    path = new_path(spark, "split")
+    name = F.concat(F.lit("d"), F.col("file_idx").cast("string"))
+    records = docs(spark, sf_dir).select(F.concat(name, F.lit(".fna")).alias("file"), F.lit(0).alias("record_idx"), name.alias("id"), F.lit(None).cast("string").alias("desc"), "seq")
+    fm.write_split_fasta(pr.split_files(records, LONGEST, OVERLAP).where("split"), path)
+    return fm.read_split_fasta(spark, path)
+
+
+@query("k4_file2taxid", "SELECT row_number() OVER (ORDER BY source || '.fna') - 1 AS line, source || '.fna' AS id, max(doc_id) AS taxid FROM documents GROUP BY source")
+def file2taxid(spark, sf_dir):
+    path = new_path(spark, "f2t")
+    rows = table(spark, sf_dir, "documents").groupBy(F.concat("source", F.lit(".fna")).alias("file")).agg(F.max("doc_id").alias("taxid"))
+    fm.write_rows(rows, ["file", "taxid"], path, order="file")
+    return fm.read_taxids(spark, path)
+
+
+@query("k5_ordered_table", f"{_TOUR} SELECT pos AS line, 'src' || file_idx AS id, file_idx::BIGINT AS taxid FROM tour")
+def ordered_table(spark, sf_dir):
+    path = new_path(spark, "o.f2t")
+    fm.write_rows(ordered_rows(spark, sf_dir), ["file", "taxid"], path, order="pos")
+    return fm.read_taxids(spark, path)
+
+
+@query("k7_chopped_fasta", f"SELECT 'd' || doc_id AS id, source AS \"desc\", substr(seq, 1, {CHOP}) AS seq FROM ({_RECORD}) WHERE length(seq) > 0")
+def chopped_fasta(spark, sf_dir):
+    path = new_path(spark, "chopped")
+    fm.write_fasta(pr.chopped(doc_records(spark, sf_dir), CHOP), path)
+    return fm.read_fasta(spark, path, glob=None).select("id", "desc", "seq")
+
+
+@query("c8_chop_reads", f"SELECT 'd' || doc_id AS id, substr(seq, 1, {CHOP}) AS seq, repeat('@', least(length(seq), {CHOP})::INTEGER) AS qual FROM ({_RECORD}) WHERE length(seq) > 0")
+def chopped_reads(spark, sf_dir):
+    source, out = new_path(spark, "fastq"), new_path(spark, "chopped")
+    fm.write_fastq(doc_records(spark, sf_dir).withColumn("qual", F.expr("repeat('@', length(seq))")), source)
+    fm.write_fastq(pr.chopped(fm.read_fastq(spark, source, "STOP"), CHOP), out)
+    return fm.read_fastq(spark, out).select("id", "seq", "qual")
+
+
+@query("f11_bad_reads", f"SELECT 'd' || doc_id AS id, seq FROM ({_RECORD}) WHERE length(seq) > 0 AND doc_id % 3 <> 0")
+def good_reads(spark, sf_dir):
+    """A third of the records has too few qualities; the others stay."""
+    path = new_path(spark, "fastq")
+    qual = F.expr("repeat('I', length(seq) - CAST(CAST(substring(id, 2) AS long) % 3 = 0 AS int))")
+    fm.write_fastq(doc_records(spark, sf_dir).withColumn("qual", qual), path)
+    return fm.read_fastq(spark, path).select("id", "seq")
+
+
+@query("f12_stop_at_bad", f"WITH s AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, {_SEQ} AS seq FROM documents WHERE length({_SEQ}) > 0) SELECT 'd' || doc_id AS id, source AS \"desc\", seq FROM s WHERE n < 7")
+def records_before_bad(spark, sf_dir):
+    """One file a source, whose seventh record has no id."""
+    path = new_path(spark, "fasta")
+    nth = F.row_number().over(Window.partitionBy("desc").orderBy(F.substring("id", 2, 20).cast("long")))
+    marked = doc_records(spark, sf_dir).withColumn("n", nth).withColumn("head", F.when(F.col("n") == 7, "").otherwise(F.concat_ws(" ", "id", "desc")))
+    lines = marked.select("desc", "n", F.concat(F.lit(">"), "head", F.lit("\n"), "seq").alias("value"))
+    lines.repartition("desc").sortWithinPartitions("desc", "n").select(F.col("desc").alias("source"), "value").write.partitionBy("source").text(path)
+    return fm.read_fasta(spark, f"{path}/*", "STOP", None).select("id", "desc", "seq")
+
+
+@query("c6_lossy_index", SQL["r7_lossy_2"])
+def lossy_index(spark, sf_dir):
+    """The files of a lossy index, saved and loaded."""
+    path = new_path(spark, "cdb")
+    doc_index(spark, sf_dir).lossy(2).save(path)
+    return ix.Index.load(spark, path).files.select("file_idx", "n_kmers", F.round("p", 12).alias("p"))
+
+
 @query("st_classify_stream", _classified("0.0"))
 def classify_streamed(spark, sf_dir):
     from tessera.streaming.reads import classify_stream
 
-    out, mark, source = _folder(spark, "stream-out"), _folder(spark, "stream-mark"), _folder(spark, "stream-in")
+    out, mark, source = new_path(spark, "stream-out"), new_path(spark, "stream-mark"), new_path(spark, "stream-in")
     reads(spark, sf_dir).repartition(3).write.parquet(source)
     stream = spark.readStream.schema("read_id long, seq string").option("maxFilesPerTrigger", 2).parquet(source)
     classify_stream(stream, doc_index(spark, sf_dir), out, mark, EXPONENT, TRIALS).awaitTermination()

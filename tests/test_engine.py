@@ -118,6 +118,57 @@ def test_binomial(spark):
     assert 1 <= big.far.mant < 2 and math.log(big.far.mant) + big.far.exp * math.log(2) == pytest.approx(-2000)
 
 
+def test_big_functions(spark):
+    rows = spark.createDataFrame([(v,) for v in (1e-300, 0.03, 1.0, 2.5, 7e250)], "v double").select("v", bi.big_exp(F.col("v")).alias("b"))
+    tiny = lambda b: bi.big_square(bi.big_square(b))
+    found = rows.select("v", *(bi.ln_of_big(f(F.col("b"))).alias(n) for n, f in (("root", bi.big_sqrt), ("fourth", tiny), ("power", lambda b: bi.big_power(b, 3.5))))).collect()
+    for r in found:
+        assert (r.root, r.fourth, r.power) == pytest.approx((math.log(r.v) / 2, math.log(r.v) * 4, math.log(r.v) * 3.5))
+    e = spark.range(1).select(bi.ln_of_big(bi.big_exp_of(bi.big_exp(F.lit(-5000.0)))).alias("v"), bi.big_power(bi.big_exp(F.lit(0.0)), 2)["mant"].alias("z")).first()
+    assert e.v == pytest.approx(-5000) and e.z == 0
+    less = spark.range(1).select(*(bi.big_less(bi.big_exp(F.lit(a)), bi.big_exp(F.lit(b))).alias(n) for n, a, b in (("x", 1.0, 1.5), ("y", 1e-9, 0.0), ("z", 0.0, 1e-9)))).first()
+    assert (less.x, less.y, less.z) == (True, True, False)
+
+
+def test_long_sequences_are_cut_without_loss(spark, monkeypatch):
+    from tessera.operators import kmers as km
+
+    rows = [(0, "".join(rnd.choice("ACGTN") if i % 50 == 0 else rnd.choice("ACGT") for i in range(900))), (1, "ACGTACGTAC"), (2, "AC"), (3, None)]
+    df = spark.createDataFrame(rows, "id int, seq string")
+    whole = km.kmers(df, ["id"], "seq", 5, positions=True).collect()
+    for piece in (1, 7, 64):
+        assert [x for raw, begins, r, o in km._pieces([b"ACGTACGTAC"], 5) for x in r]
+        monkeypatch.setattr(km, "PIECE", piece)
+        texts = [(s or "").encode() for _, s in rows]
+        found = []
+        for raw, begins, row, offset in km._pieces(texts, 5):
+            at, code = canonical_codes(raw, 5, None)
+            part = [sum(b <= a for b in begins) - 1 for a in at]
+            found += [(int(row[p]), int(a - begins[p] + offset[p]), int(c)) for p, a, c in zip(part, at, code, strict=True)]
+        assert sorted(found) == sorted((r.id, r.pos, r.kmer) for r in whole)
+    counts = Counter((r.id, r.kmer) for r in whole)
+    got = km.kmer_counts(df, ["id"], "seq", 5).where("times > 0").groupBy("id", "kmer").agg(F.sum("times").alias("n")).collect()
+    assert {(r.id, r.kmer): r.n for r in got} == counts
+
+
+def test_shared_tables_and_numbers(spark):
+    from tessera.plans import shared
+
+    df = spark.range(1000).withColumn("t", F.col("id").cast("string"))
+    assert shared.is_small(df) and not shared.is_small(df, 999) and not shared.is_small(df, size=100) and shared.is_small(df.where("false"))
+    for rows, members in ((100, df.where("id % 10 = 0")), (0, df.where("false"))):
+        found = shared.maybe_in(df, F.col("t"), members, F.col("t"), rows)
+        assert found.columns == [*df.columns, "__maybe"] and found.count() == 1000
+        assert found.where("id % 10 = 0 and not __maybe").count() == 100 - rows and found.where("__maybe").count() <= 1.2 * rows
+    assert shared.numbered(df.repartition(7), F.desc("id")).where("number <> 999 - id").count() == 0
+    exists = lambda t: t.path and shared.Written.__module__ and spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t.path))
+    with shared.scratch():
+        inner = []
+        kept = shared.settled(lambda: inner.append(shared.Written(df, "inner")) or inner[0].df.where("id < 5"), "kept")
+        assert kept.df.count() == 5 and exists(kept) and not exists(inner[0])
+    assert not exists(kept)
+
+
 def test_taxids_and_splits(spark):
     taxids = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("b", 3, 2)], "id string, taxid long, line long")
     assert {r.id: r.taxid for r in pr.last_wins(taxids, "id", "line").collect()} == {"a": 2, "b": 3}
