@@ -1,22 +1,30 @@
 """Approximate nearest neighbours by additive quantisation.
 
-A vector is approximated by the sum of one word from each of several codebooks, whose
-words have the full dimension. The codebooks start from k-means on residuals and are
-refined by least squares over the codes; they are fitted on at most SAMPLE rows, taken
-in the order of a hash of their ids. Every row is encoded by a beam search and stored
-with the squared norm of its approximation. A query scores a block of codes by table
-lookups, |x'|^2 - 2 sum_m <q, c_m>, and the SHORTLIST best of each block are ranked
-again by exact distances in double precision.
-
-Queries and rows meet in blocks of bounded size, so a task holds one block of each
-whatever the numbers of rows. Equal vectors of a block take one place of the shortlist
-and are then expanded by their least ids, so copies cannot crowd others out.
-
-Defined cases: vectors that are null, zero, of another length than the fitted ones, or
+1. A vector is approximated by the sum of one word from each of several codebooks, whose
+   words have the full dimension. The codebooks start from k-means on residuals and are
+   refined by least squares over the codes; they are fitted on at most SAMPLE rows, taken
+   in the order of a hash of their ids. Every row is encoded by a beam search and stored
+   with the squared norm of its approximation.
+2. Rows with one vector become one, with its ``k + 1`` least ids, so copies neither crowd
+   others out nor cost more than one.
+3. A query scores a block of codes by table lookups, |x'|^2 - 2 sum_m <q, c_m>. Blocks hold
+   codes, norms and digests only, and are dealt by hash, so of the SHORTLIST best of all a
+   block has its share and a margin of six standard deviations. The best of all blocks are
+   the query's shortlist: five times the root of the number of distinct vectors, 8 k at
+   least and SHORTLIST at most.
+4. The shortlists are joined to the vectors and ranked by exact distances in double
+   precision; the vectors that stay are expanded to their ids.
+
+Queries and codes meet in tasks of at most BLOCK_ROWS codes and BLOCK_QUERIES queries,
+whatever the numbers of rows.
+
+Defined cases: vectors that are null, zero, of another length than most fitted ones, or
 with null or non-finite components take no part, neither as queries nor as candidates; a
-null id takes no part; of query rows with one id one is taken; a row is no candidate for
-a query of its own id; ties go to smaller ids; too few candidates give fewer rows; an
-empty table gives an empty one; other columns are not read.
+null id takes no part; of query rows with one id the one whose vector has the least digest
+is taken; a row is no candidate for a query of its own id; repeated rows are one candidate,
+rows with one id and other vectors are candidates of their own; ties go to smaller ids; too
+few candidates give fewer rows; an empty table gives an empty one; other columns are read
+by ``is_query`` only. Vectors may be of any length that a row can hold.
 """
 
 from __future__ import annotations
@@ -27,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.plans.shared import Written
+from tessera.plans.shared import written
 
 SAMPLE = 16_384
-CODEBOOKS, CODEWORDS, BEAM = 16, 64, 4
-#: Rows of a block, on average, and distinct vectors ranked exactly in each block for a query.
-BLOCK_ROWS, BLOCK_QUERIES, SHORTLIST = 8192, 1024, 400
+CODEBOOKS, CODEWORDS, BEAM = 32, 64, 4
+#: Codes and queries of one task at most, and rows that the kernels take at once.
+BLOCK_ROWS, BLOCK_QUERIES, CHUNK = 1 << 17, 1 << 14, 1024
+#: Distinct vectors ranked exactly for a query, at most.
+SHORTLIST = 320
 
 
 def usable(vector: Column) -> Column:
@@ -54,47 +64,65 @@ class Quantiser:
         """Codes (n, CODEBOOKS) of the best sums that a beam search finds."""
         import numpy as np
 
+        return np.concatenate([self._encoded(x[i : i + CHUNK], beam) for i in range(0, len(x), CHUNK)]) if len(x) else np.zeros((0, len(self.books)), np.uint8)
+
+    def _encoded(self, x, beam: int):
+        import numpy as np
+
         n = len(x)
-        left = x[:, None, :]  # residuals of the partial sums kept for each row
+        left = x[:, None, :].astype(np.float32)  # residuals of the partial sums kept for each row
+        error = np.zeros((n, 1), np.float32)
         codes = np.zeros((n, 1, 0), np.uint8)
-        for book in self.books:
-            error = (left**2).sum(2)[:, :, None] - 2 * left @ book.T + (book**2).sum(1)
-            flat = error.reshape(n, -1)
+        for book in self.books.astype(np.float32):
+            flat = (error[:, :, None] - 2 * left @ book.T + (book**2).sum(1)).reshape(n, -1)
             width = min(beam, flat.shape[1])
             best = np.argpartition(flat, width - 1, axis=1)[:, :width]
+            error = np.take_along_axis(flat, best, 1)
             parent, word = best // len(book), best % len(book)
             left = np.take_along_axis(left, parent[:, :, None], 1) - book[word]
             codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None].astype(np.uint8)], 2)
-        return codes[np.arange(n), (left**2).sum(2).argmin(1)]
+        return codes[np.arange(n), error.argmin(1)]
 
     def decode(self, codes):
         return sum(book[codes[:, m]] for m, book in enumerate(self.books))
 
 
+def _sums(x, labels, n: int):
+    """Sums of the rows of ``x`` by label, and the numbers of rows."""
+    import numpy as np
+
+    order, counts = np.argsort(labels, kind="stable"), np.bincount(labels, minlength=n)
+    found = np.zeros((n, x.shape[1]), x.dtype)
+    begins = np.cumsum(counts) - counts
+    found[counts > 0] = np.add.reduceat(x[order], begins[counts > 0], axis=0)
+    return found, counts
+
+
 def fit(x, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, rounds: int = 2, seed: int = 5) -> Quantiser:
     """Codebooks for the rows of ``x``: residual k-means, then least squares over the codes."""
     import numpy as np
 
     rnd = np.random.Generator(np.random.PCG64(seed))
     words = max(1, min(codewords, len(x)))
-    left, books = x.copy(), []
+    left, books = x.astype(np.float32), []
     for _ in range(codebooks):
         book = left[rnd.choice(len(left), words, replace=False)].copy()
         for _ in range(8):
-            near = ((book**2).sum(1) - 2 * left @ book.T).argmin(1)
-            sums, n = np.zeros_like(book), np.bincount(near, minlength=words)
-            np.add.at(sums, near, left)
+            sums, n = _sums(left, ((book**2).sum(1) - 2 * left @ book.T).argmin(1), words)
             book[n > 0] = sums[n > 0] / n[n > 0, None]
-        near = ((book**2).sum(1) - 2 * left @ book.T).argmin(1)
-        left = left - book[near]
+        left = left - book[((book**2).sum(1) - 2 * left @ book.T).argmin(1)]
         books.append(book)
-    found = Quantiser(np.array(books))
+    found = Quantiser(np.array(books, np.float64))
     for _ in range(rounds):
-        codes = found.encode(x)
-        hot = np.zeros((len(x), codebooks * words))
+        codes = found.encode(x).astype(np.int64)
+        gram, right = np.zeros((codebooks, words, codebooks, words)), np.zeros((codebooks, words, x.shape[1]))
         for m in range(codebooks):
-            hot[np.arange(len(x)), m * words + codes[:, m].astype(np.int64)] = 1
-        solved = np.linalg.solve(hot.T @ hot + 1e-3 * np.eye(hot.shape[1]), hot.T @ x + 1e-3 * found.books.reshape(-1, x.shape[1]))
+            right[m] = _sums(x, codes[:, m], words)[0]
+            for other in range(m + 1):
+                both = np.bincount(codes[:, m] * words + codes[:, other], minlength=words * words).reshape(words, words)
+                gram[m, :, other], gram[other, :, m] = both, both.T
+        size = codebooks * words
+        solved = np.linalg.solve(gram.reshape(size, size) + 1e-3 * np.eye(size), right.reshape(size, -1) + 1e-3 * found.books.reshape(size, -1))
         found = Quantiser(solved.reshape(codebooks, words, -1))
     return found
 
@@ -103,7 +131,7 @@ def fit_on(vectors: DataFrame, id_col: str, vector_col: str, sample: int = SAMPL
     """The quantiser of a bounded sample; None where no vector is usable."""
     import numpy as np
 
-    rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(sample).select(vector_col).toArrow()
+    rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col, F.xxhash64(vector_col)).limit(sample).select(vector_col).toArrow()
     lists = rows.column(0).to_pylist()
     if not lists:
         return None
@@ -112,83 +140,108 @@ def fit_on(vectors: DataFrame, id_col: str, vector_col: str, sample: int = SAMPL
     return fit(np.array([v for v in lists if len(v) == width], np.float64))
 
 
-def index(vectors: DataFrame, quantiser: Quantiser, id_col: str, vector_col: str) -> DataFrame:
-    """``(id, vector binary, codes binary, norm)`` of every usable row; vectors as doubles."""
+def index(vectors: DataFrame, quantiser: Quantiser, id_col: str, vector_col: str, is_query: Column) -> DataFrame:
+    """``(id, asked, key, v, codes, norm)`` of every usable row: a digest of the vector, and the vector in its own precision."""
     width = quantiser.dimension
-    rows = vectors.where(F.col(id_col).isNotNull() & (F.size(vector_col) == width) & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    single = dict(vectors.dtypes)[vector_col] == "array<float>"
+    rows = vectors.where(F.col(id_col).isNotNull() & (F.size(vector_col) == width) & usable(F.col(vector_col)))
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asked"), F.col(vector_col).cast("array<double>").alias("v"))
 
     def batches(source):
         import numpy as np
+        import xxhash
 
         for batch in source:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(start, CHUNK)
                 x = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-                codes = quantiser.encode(x)
-                norms = (quantiser.decode(codes) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)], names=["id", "v", "codes", "norm"]
-                )
+                kept = np.ascontiguousarray(x, "<f4" if single else "<f8")
+                raw, first, of = np.unique(kept.view(np.dtype((np.void, kept.itemsize * width))).ravel(), return_index=True, return_inverse=True)
+                codes = quantiser.encode(x[first])
+                keys, norms = [xxhash.xxh3_128_digest(r.tobytes()) for r in raw], (quantiser.decode(codes) ** 2).sum(1)
+                each = [pa.array(keys, pa.binary()), pa.array([r.tobytes() for r in raw], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norms)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("asked"), *(c.take(pa.array(of)) for c in each)], names=["id", "asked", "key", "v", "codes", "norm"])
+
+    return rows.mapInArrow(batches, "id long, asked boolean, key binary, v binary, codes binary, norm double")
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: str, rows: int):
+    import numpy as np
 
-    return rows.mapInArrow(batches, "id long, v binary, codes binary, norm double")
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(rows, -1)
 
 
-def _searcher(quantiser: Quantiser, k: int, shortlist: int):
+def _searcher(quantiser: Quantiser, kind: str, most: int):
+    """The ``most`` best rows of a block for each query, by lookup tables."""
+
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         import numpy as np
 
-        out = {"query_id": [], "vec_id": [], "score": []}
+        made = []
         if rows.num_rows and queries.num_rows:
-            rows = rows.sort_by("id")
-            ids = rows.column("id").to_numpy()
-            raw = rows.column("v").to_pylist()
-            first: dict[bytes, int] = {}
-            copies: list[list[int]] = []  # of each distinct vector, its least ids
-            at = []
-            for i, v in enumerate(raw):
-                j = first.setdefault(v, len(first))
-                if j == len(copies):
-                    copies.append([])
-                    at.append(i)
-                if len(copies[j]) <= k:  # one more, as one may be the query itself
-                    copies[j].append(int(ids[i]))
-            x = np.frombuffer(b"".join(raw[i] for i in at), np.float64).reshape(len(at), -1)
-            every = rows.column("codes").to_pylist()
-            codes = np.frombuffer(b"".join(every[i] for i in at), np.uint8).reshape(len(at), -1)
-            norms = rows.column("norm").to_numpy()[at]
-            for query, v in zip(queries.column("id").to_pylist(), queries.column("v").to_pylist(), strict=True):
-                q = np.frombuffer(v, np.float64)
-                tables = quantiser.books @ q
+            rows = rows.sort_by("key")  # so that equal scores give the same rows again
+            codes = np.ascontiguousarray(_matrix(rows.column("codes"), "u1", rows.num_rows).T).astype(np.intp)
+            norms, n = rows.column("norm").to_numpy(), min(most, rows.num_rows)
+            keys = rows.column("key").combine_chunks()
+            for query, q in zip(queries.column("id").to_pylist(), _matrix(queries.column("v"), kind, queries.num_rows).astype(np.float64), strict=True):
                 score = norms.copy()
-                for m, lut in enumerate(tables):
-                    score -= 2 * lut[codes[:, m]]
-                n = min(len(score), shortlist)
+                for table, code in zip(-2 * quantiser.books @ q, codes, strict=True):
+                    score += table[code]
                 near = np.argpartition(score, n - 1)[:n]
-                exact = np.sqrt(((x[near] - q) ** 2).sum(1))
-                best = sorted((d, i) for d, j in zip(exact.tolist(), near.tolist(), strict=True) for i in copies[j] if i != query)[:k]
-                out["query_id"] += [query] * len(best)
-                out["vec_id"] += [i for _, i in best]
-                out["score"] += [d for d, _ in best]
-        return pa.table([pa.array(out["query_id"], pa.int64()), pa.array(out["vec_id"], pa.int64()), pa.array(out["score"], pa.float64())], names=list(out))
+                made.append(pa.record_batch([pa.array(np.full(n, query)), keys.take(pa.array(near)), pa.array(score[near])], names=["query_id", "key", "near"]))
+        kinds = pa.schema([("query_id", pa.int64()), ("key", pa.binary()), ("near", pa.float64())])
+        return pa.Table.from_batches([b.cast(kinds) for b in made], kinds)
 
     return search
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, shortlist: int = SHORTLIST) -> DataFrame:
+def _measured(pairs: DataFrame, kind: str) -> DataFrame:
+    """``(query_id, key, score)`` of pairs with both vectors: Euclidean distances in double precision."""
+
+    def batches(source):
+        import numpy as np
+
+        for batch in source:
+            if batch.num_rows:
+                a, b = (_matrix(batch.column(c), kind, batch.num_rows).astype(np.float64) for c in ("v", "q"))
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("key"), pa.array(np.sqrt(((a - b) ** 2).sum(1)))], names=["query_id", "key", "score"])
+
+    return pairs.select("query_id", "key", "v", "q").mapInArrow(batches, "query_id long, key binary, score double")
+
+
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, shortlist: int = SHORTLIST
+) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query, by distance, then id."""
     spark = vectors.sparkSession
-    empty = "query_id long, rank int, vec_id long, score double"
     quantiser = fit_on(vectors, id_col, vector_col)
     if quantiser is None:
-        return spark.createDataFrame([], empty)
-    rows = Written(index(vectors, quantiser, id_col, vector_col), "codes").df
-    asked = rows.withColumnRenamed("id", id_col).where(is_query).select(F.col(id_col).alias("id"), "v").dropDuplicates(["id"])
-    n, m = rows.count(), asked.count()
-    parts, lots = max(1, -(-n // block_rows)), max(1, -(-m // block_queries))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
+    rows = written(index(vectors, quantiser, id_col, vector_col, is_query), "codes")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+    ids = rows.select("key", "id").distinct().withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    once = written(rows.groupBy("key").agg(F.first("v").alias("v"), F.first("codes").alias("codes"), F.first("norm").alias("norm")).join(ids, "key"), "vectors")
+    asked = written(rows.where("asked").groupBy("id").agg(F.min("key").alias("key")).join(once.select("key", "v"), "key"), "queries")
+
+    n, m = once.count(), asked.count()
+    block = min(block_rows, max(4096, -(-n // spark.sparkContext.defaultParallelism)))
+    parts, lots = max(1, -(-n // block)), max(1, -(-m // block_queries))
+    wanted = min(shortlist, max(8 * k, int(5 * n**0.5)))
+    share = wanted / parts
+    most = wanted if parts == 1 else min(wanted, int(share + 6 * share**0.5 + 9))
     upto = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))
-    left = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn("lot", upto(lots))
-    right = asked.withColumn("lot", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(lots)).cast("int")).withColumn("part", upto(parts))
-    found = left.groupBy("part", "lot").cogroup(right.groupBy("part", "lot")).applyInArrow(_searcher(quantiser, k, shortlist), "query_id long, vec_id long, score double")
+    dealt = lambda c, x, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(x)).cast("int")
+    left = once.select("key", "codes", "norm", dealt("key", parts, 1).alias("part")).withColumn("lot", upto(lots))
+    right = asked.select("id", "v", dealt("id", lots, 3).alias("lot")).withColumn("part", upto(parts))
+    found = left.groupBy("part", "lot").cogroup(right.groupBy("part", "lot")).applyInArrow(_searcher(quantiser, kind, most), "query_id long, key binary, near double")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy("near", "key"))
+    short = written(found.withColumn("nth", best).where(F.col("nth") <= wanted).select("query_id", "key"), "shortlists")
+
+    others = ~((F.size("ids") == 1) & (F.col("ids")[0] == F.col("query_id")))  # of what only the query has, nothing is a candidate
+    pairs = short.join(once.select("key", "v", "ids"), "key").where(others).select("query_id", "key", "v").join(asked.select(F.col("id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    place = F.rank().over(Window.partitionBy("query_id").orderBy("score"))
+    kept = _measured(pairs, kind).withColumn("place", place).where(F.col("place") <= k).join(once.select("key", "ids"), "key")
+    each = kept.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,34 @@ def test_neighbours(spark, blocks):
     assert hits >= 0.9 * 10 * len(by)
 
 
+def test_copies_of_a_query_crowd_nothing_out(spark):
+    near, far = [1.0, 0.0, 0.5], [1.0, 0.25, 0.5]
+    rows = [(100, near)] * 12 + [(200, near)] * 2 + [(7, far), (300, [9.0, 9.0, 9.0]), (100, [1.0, 0.0, 0.75]), (8, near)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for source in (df, df.repartition(5), df.union(df)):
+        got = additive_ann.nearest(source, F.col("vec_id").isin(100, 200), 3).collect()
+        by = {q: [(r.vec_id, round(r.score, 6)) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (100, 200)}
+        first = {r.vec_id for r in got if r.query_id == 100}
+        assert by[200] == [(8, 0.0), (100, 0.0), (7, 0.25)]
+        assert 100 not in first and {8, 200, 7} == first
+    again = additive_ann.nearest(df.repartition(5), F.col("vec_id") == 100, 3).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, additive_ann.nearest(df, F.col("vec_id") == 100, 3).collect()))
+
+
+def test_shortlist_is_small(spark):
+    """A few hundred of many vectors, from several blocks, still hold nine in ten of the nearest."""
+    rnd = np.random.Generator(np.random.PCG64(8))
+    x = rnd.normal(size=(12_000, 24)).astype(np.float32) @ rnd.normal(size=(24, 24)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": list(range(len(x))), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}))
+    got = additive_ann.nearest(df, F.col("vec_id") % 100 == 0, 10, block_rows=4096).collect()
+    assert len(got) == 1200
+    queries_ = x[::100].astype(np.float64)
+    exact = ((queries_**2).sum(1)[:, None] + (x.astype(np.float64) ** 2).sum(1) - 2 * queries_ @ x.T.astype(np.float64))
+    exact[np.arange(120), np.arange(120) * 100] = np.inf
+    truth = np.argsort(exact, 1)[:, :10]
+    assert sum(r.vec_id in truth[r.query_id // 100] for r in got) >= 0.9 * 1200
+
+
 def test_few_or_no_vectors(spark):
     df = vectors(spark)
     assert additive_ann.nearest(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
