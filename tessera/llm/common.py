@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessera.plans.shared import is_small
+
 #: Rows of one Arrow batch: texts may be long, and a batch is held in memory.
 BATCH_ROWS = 512
 
-#: A table of at most this many rows may be broadcast by ``lookup``.
-BROADCAST_ROWS = 200_000
-
-
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of texts small; a smaller setting of the session stays."""
+    """Keep Arrow batches of texts small; a smaller setting of the session stays.
+
+    Spark reads the setting when a plan runs, after the operator has returned, so it is not
+    put back; other queries of the session only get smaller batches.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -38,15 +40,15 @@ def map_rows(df: DataFrame, row: Callable[..., tuple], schema) -> DataFrame:
     return df.mapInArrow(batches, schema)
 
 
-def lookup(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join to a table with one row a key, null keys matching null.
+def lookup(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join to a table with one row a key, null keys matching null.
 
-    ``small`` is counted first: up to BROADCAST_ROWS rows it is broadcast, and beyond
-    that both sides shuffle and adaptive execution splits hot keys. Its key columns
-    are dropped from the result, its other names must be new to ``df``.
+    ``small``, which should be stored, is counted first: within the bounds of ``is_small`` it
+    is broadcast, and beyond that both sides shuffle and adaptive execution splits hot keys.
+    Its key columns are dropped from the result, its other names must be new to ``df``.
     """
-    renamed = small.select(*(F.col(k).alias(f"__{k}") if k in keys else F.col(k) for k in small.columns))
-    if renamed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    renamed = small.select(*(F.col(k).alias(f"__key_{k}") if k in keys else F.col(k) for k in small.columns))
+    if is_small(renamed):
         renamed = F.broadcast(renamed)
-    on = [df[k].eqNullSafe(renamed[f"__{k}"]) for k in keys]
-    return df.join(renamed, on, "left").drop(*(f"__{k}" for k in keys))
+    on = [df[k].eqNullSafe(renamed[f"__key_{k}"]) for k in keys]
+    return df.join(renamed, on, how).drop(*(f"__key_{k}" for k in keys))

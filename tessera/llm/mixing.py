@@ -7,16 +7,21 @@ rounded down, and a bounded-knapsack dynamic program over the other documents of
 length fills the rest, which is at most a few times the longest document. Then each
 length's count of documents is selected in the order of a seeded hash.
 
-The selection needs no rank over a whole length: a first hash byte deals the documents of
-a length over buckets, counts by bucket tell which buckets are taken whole, and only
-the one bucket that is cut is ranked. A length that a third of all rows share is thus
-spread over BUCKETS groups.
-
-Defined cases: a null text has size 0; null is a source of its own and comes last; a
-document of size 0 is never taken; repeated rows are documents of their own, also where
-ids are null or repeat; rows that are equal in source, id and text are counted, not
-ranked, so many copies do not meet in one task; an empty table gives an empty one; other
-columns are not read by ``plan``. Reruns agree, since only rows and the seed decide.
+The selection is a threshold: the documents of a source and length up to a hash are taken.
+A first part of the hash deals them over buckets, counts by bucket tell which bucket is cut,
+and only this one is ranked, so a length that a third of all rows share is spread over
+BUCKETS groups. The thresholds, one row for each source and length, are all that is joined
+to the documents, whose texts are not shuffled.
+
+Targets are found by aggregates over the table of sources, whatever their number. One task
+has the distinct lengths of one source, at most as many as its longest document has words,
+and the program takes 24 bytes for each word of that document.
+
+Defined cases: a null text has size 0; very long texts are counted whole; null is a source
+of its own and comes last; a document of size 0 is never taken; repeated rows are documents
+of their own, also where ids are null or repeat; of rows with one hash, which equal rows
+have, a part is taken by the order of their other columns; an empty table gives an empty one;
+other columns are not read by ``plan``. Reruns agree, since only rows and the seed decide.
 """
 
 from __future__ import annotations
@@ -27,11 +32,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import lookup
-from tessera.plans.shared import written
+from tessera.plans.shared import numbered, written
 
 BUCKETS = 1024
-#: Sources that one mixture may have; their sums (one row each) come to the driver.
-MOST_SOURCES = 1_000_000
 #: Copies that one row is repeated to at a time.
 REPEATS = 4096
 
@@ -40,25 +43,32 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def targets(sizes: Sequence[int], weights: Sequence[float], share: float, most: float) -> list[float]:
-    """Words for each source: ``share`` of all words by weight, none above ``most`` times its size.
+def targets(sums: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
+    """``(__source, source_size, target)`` from ``(__source, source_size)``.
 
-    What the limits cut off is shared again by weight among the others until none is above.
+    Sources in order of their code points, null last, take the weights in turn and get
+    ``share`` of all words by weight, none above ``most`` times its size. What the limits cut
+    off is shared again by weight among the others until none is above. A source above its
+    limit stays so, because the level only rises; each round is one aggregation.
     """
-    left, total = set(range(len(sizes))), share * sum(sizes)
-    found = [0.0] * len(sizes)
-    while left:
-        weight = sum(weights[i] for i in left)
-        over = {i for i in left if total * weights[i] > most * sizes[i] * weight}
-        if not over:
-            for i in left:
-                found[i] = total * weights[i] / weight
+    ranked = numbered(sums.select("__source", "source_size"), F.col("__source").isNull(), "__source", name="__nth")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("__nth") % len(weights) + 1).cast("int"))
+    table = written(ranked.select("__source", "source_size", weight.alias("__weight")), "sources")
+    limit = F.col("source_size") * F.lit(float(most))
+    first = table.agg(F.sum("source_size").alias("size"), F.sum("__weight").alias("weight")).first()
+    whole = share * (first["size"] or 0)
+    total, left = whole, first["weight"] or 0.0
+    while True:
+        above = F.lit(total) * F.col("__weight") > limit * F.lit(left)
+        got = table.agg(F.sum(F.when(above, limit)).alias("limits"), F.sum(F.when(~above, F.col("__weight"))).alias("weight")).first()
+        now = (whole - (got["limits"] or 0.0), got["weight"] or 0.0)
+        if now == (total, left):
             break
-        for i in over:
-            found[i] = float(most * sizes[i])
-        total -= sum(found[i] for i in over)
-        left -= over
-    return found
+        total, left = now
+        if not left:
+            break
+    level = F.lit(total) * F.col("__weight") / F.lit(left) if left else limit
+    return table.select("__source", "source_size", F.when(above, limit).otherwise(level).alias("target"))
 
 
 def fit_counts(counts: dict[int, int], budget: int) -> dict[int, int]:
@@ -107,22 +117,58 @@ def fit_counts(counts: dict[int, int], budget: int) -> dict[int, int]:
     return {n: t for n, t in taken.items() if t}
 
 
-def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``(id_col, size, source_size, target, taken)``; ``taken`` counts words with repeats.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    """``docs`` with ``__source``, ``__size`` and ``__hash``, which decides the order of selection."""
+    return docs.withColumns({"__source": F.col(source_col).cast("string"), "__size": words(F.col(text_col)), "__hash": F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col))})
 
-    Sources in order of their code points, null last, take the weights in turn.
-    ``most`` is a whole number of passes.
-    """
-    sized = _sized(docs, id_col, text_col, source_col)
-    groups = _plan(sized.select("__id", "__source", F.col("__size").alias("size"), "__mark"), weights, share, most, seed, ("__mark",))
-    parts = F.array(*(F.struct(n.alias("rows"), c.alias("copies")) for n, c in ((F.col("__extra"), F.col("passes") + 1), (F.col("__n") - F.col("__extra"), F.col("passes")))))
-    parted = groups.withColumn("__part", F.explode(F.filter(parts, lambda p: p["rows"] > 0)))
-    return _repeated(parted, F.col("__part.rows")).select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("__part.copies") * F.col("size")).alias("taken"))
 
+def _cuts(sized: DataFrame, weights, share, most, seed) -> DataFrame:
+    """``(__source, __size, __passes, __source_size, __target, __cut, __some)``, a row for each source and length.
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """``docs`` with ``__id``, ``__source``, ``__size`` and ``__mark``, a hash of the text."""
-    return docs.select("*", F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.xxhash64(text_col).alias("__mark"), words(F.col(text_col)).alias("__size"))
+    All documents are taken ``__passes`` times, and those with a hash up to ``__cut`` once
+    more; but if ``__some`` is above 0, only so many of those whose hash is ``__cut`` itself.
+    """
+    keys = ["__source", "__size"]
+    groups = written(sized.groupBy(*keys, "__hash").agg(F.count("*").alias("__n")), "mixture")
+    lengths = written(groups.groupBy(*keys).agg(F.sum("__n").alias("__n")), "lengths")
+    sums = lengths.groupBy("__source").agg(F.sum(F.col("__size") * F.col("__n")).alias("source_size"))
+    wanted = targets(sums, weights, share, most)
+    passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(most)))).otherwise(0).cast("long")
+    budget = F.when(passes < most, F.rint(F.col("target") - passes * F.col("source_size"))).otherwise(0).cast("long")
+    sources = written(wanted.select("__source", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), passes.alias("__passes"), budget.alias("__budget")), "targets")
+
+    def fit(pdf):
+        extra = fit_counts(dict(zip(pdf["__size"].tolist(), pdf["__n"].tolist(), strict=True)), int(pdf["__budget"].iloc[0]))
+        return pdf[["__source", "__size"]].assign(__quota=[extra.get(n, 0) for n in pdf["__size"].tolist()])
+
+    fitted = lookup(lengths, sources.select("__source", "__budget"), ["__source"]).groupBy("__source").applyInPandas(fit, "__source string, __size long, __quota long")
+    quotas = written(fitted, "quotas")
+    hashed = groups.withColumn("__bucket", F.shiftright("__hash", 65 - BUCKETS.bit_length()).cast("int"))
+    per = lookup(hashed.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__n")), quotas.where("__quota > 0"), keys, "inner")
+    upto = lambda order: F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    reached = lambda df, order, room: df.withColumn("__before", upto(order)).where((F.col("__before") < F.col(room)) & (F.col(room) <= F.col("__before") + F.col("__n")))
+    cut = written(reached(per, "__bucket", "__quota").select(*keys, "__bucket", (F.col("__quota") - F.col("__before")).alias("__room")), "cut-buckets")
+    last = reached(lookup(hashed, cut, [*keys, "__bucket"], "inner"), "__hash", "__room")
+    left = F.col("__room") - F.col("__before")
+    cuts = written(last.select(*keys, F.col("__hash").alias("__cut"), F.when(left < F.col("__n"), left).otherwise(0).alias("__some")), "cuts")
+    every = lookup(lookup(lengths.select(*keys), sources.drop("__budget"), ["__source"]), cuts, keys)
+    return written(every.withColumn("__passes", F.when(F.col("__size") > 0, F.col("__passes")).otherwise(0)), "thresholds")
+
+
+def _decided(sized: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``sized`` with the thresholds, ``__copies`` and ``__tied``: rows of which only some are taken once more."""
+    joined = lookup(sized, cuts, ["__source", "__size"])
+    tied = F.coalesce((F.col("__hash") == F.col("__cut")) & (F.col("__some") > 0), F.lit(False))
+    more = F.coalesce((F.col("__hash") <= F.col("__cut")) & ~tied, F.lit(False)).cast("long")
+    return joined.withColumns({"__copies": F.col("__passes") + more, "__tied": tied})
+
+
+def _parted(tied: DataFrame, keys: list[str], carry: list[str]) -> DataFrame:
+    """Equal rows of ``tied`` by their keys: ``__n`` of them, ``__extra`` taken once more."""
+    same = ["__source", "__size"]
+    groups = tied.groupBy(*same, *keys).agg(F.count("*").alias("__n"), F.first("__some").alias("__some"), *(F.first(c).alias(c) for c in carry))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*same).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return groups.withColumn("__extra", F.greatest(F.least(F.col("__some") - before, F.col("__n")), F.lit(0)))
 
 
 def _repeated(df: DataFrame, times: Column) -> DataFrame:
@@ -130,67 +176,39 @@ def _repeated(df: DataFrame, times: Column) -> DataFrame:
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / REPEATS)))
     chunks = df.withColumn("__times", times).withColumn("__chunk", first)
     each = F.sequence(F.lit(1).cast("long"), F.least(F.lit(REPEATS).cast("long"), F.col("__times") - F.col("__chunk") * REPEATS))
-    return chunks.withColumn("__copy", F.explode(each)).drop("__times", "__chunk", "__copy")
+    return chunks.withColumn("__each", F.explode(each)).drop("__times", "__chunk", "__each")
 
 
-def _plan(sized: DataFrame, weights, share, most, seed, marks: tuple[str, ...]) -> DataFrame:
-    """``(__source, size, __id, *marks, __n, passes, __extra, source_size, target)``, a row for each set of equal rows.
+def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``(id_col, size, source_size, target, taken)``; ``taken`` counts words with repeats.
 
-    All ``__n`` rows of a set are taken ``passes`` times, and ``__extra`` of them once more.
+    ``most`` is a whole number of passes. The texts are scanned once.
     """
-    spark = sized.sparkSession
-    groups = written(sized.groupBy("__source", "size", "__id", *marks).agg(F.count("*").alias("__n")), "mixture")
-    lengths = groups.groupBy("__source", "size").agg(F.sum("__n").alias("n"))
-    sums = lengths.groupBy("__source").agg(F.sum(F.col("size") * F.col("n")).alias("size")).limit(MOST_SOURCES + 1).collect()
-    if len(sums) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sums.sort(key=lambda r: (r["__source"] is None, r["__source"] or ""))
-    wanted = targets([r["size"] for r in sums], [weights[i % len(weights)] for i in range(len(sums))], share, most)
-    rows = [(r["__source"], r["size"], t, min(int(t // r["size"]), int(most)) if r["size"] else 0) for r, t in zip(sums, wanted, strict=True)]
-    kind = "__source string, source_size long, target double, passes long"
-    sources = spark.createDataFrame(rows, kind)
-    passes = {r[0]: (r[3], round(r[2] - r[3] * r[1])) for r in rows}
-
-    def fit(key, pdf):
-        import pandas as pd
-
-        whole, budget = passes[None if key[0] is None or key[0] != key[0] else key[0]]
-        extra = fit_counts(dict(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), budget if whole < most else 0)
-        return pd.DataFrame({"__source": [key[0]] * len(pdf), "size": pdf["size"], "quota": [extra.get(n, 0) for n in pdf["size"].tolist()]})
-
-    quotas = lengths.groupBy("__source").applyInPandas(fit, "__source string, size long, quota long")
-    hashed = groups.withColumn("__hash", F.xxhash64(F.lit(seed), "__id", "__mark")).withColumn("__bucket", F.shiftrightunsigned("__hash", 64 - BUCKETS.bit_length() + 1).cast("int"))
-    keys = ["__source", "size", "__bucket"]
-    per = hashed.groupBy(*keys).agg(F.sum("__n").alias("__n"))
-    per = per.join(quotas.where("quota > 0").select(F.col("__source").alias("__s"), F.col("size").alias("__z"), "quota"), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z"))).drop("__s", "__z")
-    upto = Window.partitionBy("__source", "size").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    room = F.greatest(F.least(F.col("quota") - F.coalesce(F.sum("__n").over(upto), F.lit(0)), F.col("__n")), F.lit(0))
-    rooms = per.withColumn("__room", room).where("__room > 0").select(F.col("__source").alias("__s"), F.col("size").alias("__z"), F.col("__bucket").alias("__b"), "__room")
-    placed = hashed.join(rooms, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")) & (F.col("__bucket") == F.col("__b")), "left").drop("__s", "__z", "__b")
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__hash", "__id", *marks).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = placed.withColumn("__extra", F.greatest(F.least(F.coalesce("__room", F.lit(0)) - before, F.col("__n")), F.lit(0)))
-    return lookup(placed, sources, ["__source"]).withColumn("passes", F.when(F.col("size") > 0, F.col("passes")).otherwise(0)).select(
-        "__source", "size", "__id", *marks, "__n", "passes", "__extra", "source_size", "target"
-    )
+    sized = written(_sized(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, seed).select(F.col(id_col).alias("__id"), "__source", "__size", "__hash"), "sizes")
+    cuts = _cuts(sized, weights, share, most, seed)
+    rows = _decided(sized, cuts)
+    carry = ["__source_size", "__target", "__passes"]
+    groups = _parted(rows.where("__tied"), ["__id", "__hash"], carry)
+    parts = F.array(*(F.struct(n.alias("rows"), c.alias("copies")) for n, c in ((F.col("__extra"), F.col("__passes") + 1), (F.col("__n") - F.col("__extra"), F.col("__passes")))))
+    apart = groups.withColumn("__part", F.explode(F.filter(parts, lambda p: p["rows"] > 0))).withColumn("__copies", F.col("__part.copies"))
+    wanted = ["__id", "__size", "__source_size", "__target", "__copies"]
+    both = rows.where("not __tied").select(*wanted).unionByName(_repeated(apart, F.col("__part.rows")).select(*wanted))
+    return both.select(F.col("__id").alias(id_col), F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixture itself: rows of ``docs`` as often as the plan takes them; all columns stay.
+    """The mixture itself: rows of ``docs`` as often as ``plan`` takes them; all columns stay.
 
-    The plan moves ids, sizes and hashes only; texts are shuffled once, to their copies. Rows
-    that are told apart by no column share their copies: each comes as often as all are taken, and
-    what only some of them are taken for comes from one.
+    Of rows that no column tells apart, the copies that only some are taken for come from one.
     """
-    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    read = _sized(docs, id_col, text_col, source_col).withColumns({"__row": F.xxhash64(*hashed), "__row2": F.xxhash64(F.lit(seed), *hashed)})
-    marks = ("__mark", "__row", "__row2")
-    groups = written(_plan(read.select("__id", "__source", F.col("__size").alias("size"), *marks), weights, share, most, seed, marks), "mixed")
-    keys = ["__row", "__row2"]
-    whole = F.col("passes") + (F.col("__extra") == F.col("__n")).cast("long")
-    each = read.join(groups.select(*keys, whole.alias("__copies")).where("__copies > 0"), keys)
-    made = _repeated(each, F.col("__copies")).select(*docs.columns)
-    some = groups.where("__extra > 0 and __extra < __n").select(*keys, "__extra")
-    if some.isEmpty():
+    read = _sized(docs, id_col, text_col, source_col, seed)
+    cuts = _cuts(written(read.select("__source", "__size", "__hash"), "sizes"), weights, share, most, seed)
+    rows = _decided(read, cuts)
+    made = _repeated(rows.where("__copies > 0"), F.col("__copies")).select(*docs.columns)
+    if cuts.where("__some > 0").isEmpty():
         return made
-    one = read.join(some, keys).dropDuplicates(keys)
+    hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    tied = rows.where("__tied").withColumns({"__row": F.xxhash64(*hashed), "__row2": F.xxhash64(F.lit(seed), *hashed)})
+    extra = written(_parted(tied, ["__row", "__row2"], []).where("__extra > 0").select("__row", "__row2", "__extra"), "tied")
+    one = lookup(tied, extra, ["__row", "__row2"], "inner").dropDuplicates(["__row", "__row2"])
     return made.unionByName(_repeated(one, F.col("__extra")).select(*docs.columns))

@@ -11,12 +11,16 @@
    its path's posterior against the global mean. The document's own evidence is taken
    out of its site's sums first, so a single document does not confirm itself.
 
-Sums go through map-side partial aggregation, so a host with a third of all rows costs
-one row a task. The tables of sites are joined by broadcast only up to a counted size.
-
-Defined cases: a null or empty text has zero features and is scored like any other; null
-hosts and paths are sites of their own; repeated rows count each time; an empty table
-gives an empty one; without labels of both kinds the fit raises a ValueError.
+Texts are scanned once: what is kept of them is stored with its log-odds. Sums go through
+map-side partial aggregation, so a host with a third of all rows costs one row a task. The
+tables of sites are joined by broadcast only up to a counted size.
+
+Defined cases: a null text is the empty text, which has features like any other; very long
+texts are scored whole; null hosts and paths are sites of their own; repeated rows count
+each time, in the fit too, up to its bound; equal log-odds get equal decisions, so no ties
+arise; without labels of both kinds, or without any, nothing tells texts apart and all have
+log-odds of zero; an empty table gives an empty one; other columns are not read, and of
+carried columns those named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import lookup
 from tessera.llm.quality_rules import SPACES, words_of
-from tessera.plans.shared import Written
+from tessera.plans.shared import written
 
 #: Labelled rows that the text classifier is fitted on, at most.
 FIT_ROWS = 20_000
@@ -83,14 +87,20 @@ class TextModel:
 
 
 def fit_text_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS, ridge: float = 1.0) -> TextModel:
-    """Ridge logistic regression by Newton steps on a bounded sample of labelled rows."""
+    """Ridge logistic regression by Newton steps on a bounded sample of labelled rows.
+
+    At most ``rows`` labels are taken, and of the rows that have them, which repeated ids
+    may multiply, at most ``rows`` again.
+    """
     import numpy as np
 
-    chosen = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col), F.col(label_col).alias("__y")).orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    found = with_features(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), text_col).select("__x", F.col("__y").cast("double")).toPandas()
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("__y"))
+    chosen = known.orderBy(F.xxhash64("__id"), "__id", "__y").limit(rows)
+    joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen), "__id")
+    found = with_features(joined, "__text").select("__id", "__x", "__y").orderBy(F.xxhash64("__id"), F.xxhash64("__x"), "__id", "__y").limit(rows).toPandas()
     y = found["__y"].to_numpy() if len(found) else np.empty(0)
     if len(set(y.tolist())) < 2:
-        raise ValueError("labels of both kinds are needed")
+        return TextModel((0.0,) * len(FEATURES), (1.0,) * len(FEATURES), (0.0,) * len(FEATURES), 0.0)
     x = np.array(found["__x"].tolist())
     means, scales = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.column_stack([(x - means) / scales, np.ones(len(x))])
@@ -126,41 +136,47 @@ def _strength(sites: DataFrame, mean: Column, n: str = "n", rate: str = "rate")
 
 def site_posteriors(scored: DataFrame) -> tuple[SitePrior, DataFrame]:
     """From ``host``, ``path`` and ``p``: the priors, and per (host, path) the sums and posteriors."""
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good"))
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
+    paths = written(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("good")), "sites")
+    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good")), "hosts")
     total = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("good")).first()
     mean = min(max((total["good"] or 0.0) / total["n"], 1e-4), 1 - 1e-4) if total["n"] else 0.5
     rated = hosts.withColumn("rate", F.col("host_good") / F.col("host_n"))
     host_strength = _strength(rated, F.lit(mean), "host_n")
     posterior = (F.col("host_good") + host_strength * mean) / (F.col("host_n") + host_strength)
-    both = paths.join(hosts.withColumn("host_posterior", posterior).withColumnRenamed("host", "__h"), F.col("host").eqNullSafe(F.col("__h"))).drop("__h")
+    both = lookup(paths, hosts.withColumn("host_posterior", posterior), ["host"])
     path_strength = _strength(both.withColumn("rate", F.col("good") / F.col("n")), F.col("host_posterior"))
-    return SitePrior(mean, host_strength, path_strength), both
+    path_posterior = (F.col("good") + path_strength * F.col("host_posterior")) / (F.col("n") + path_strength)
+    return SitePrior(mean, host_strength, path_strength), both.withColumn("path_posterior", path_posterior)
 
 
-def score(docs: DataFrame, model: TextModel, host: Column, path: Column, site_weight: float = SITE_WEIGHT, keep_log_odds: float = KEEP_LOG_ODDS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``id_col``, ``host``, ``path``, ``p``, posteriors of the site, ``log_odds`` and ``kept``.
+RESULTS = ("site_host", "site_path", "text_p", "host_posterior", "path_posterior", "log_odds", "quality_kept")
 
-    ``carry`` names columns of ``docs`` to keep beside these (the whole texts, for a
-    filter). One scan of the texts leaves a narrow table of log-odds, from which the
-    sites' sums come and, without ``carry``, the decisions too. With it the texts are
-    scanned once more, so that none is shuffled while the table of sites is small
-    enough to be broadcast.
-    """
-    columns = list(dict.fromkeys([id_col, *(carry or [])]))
-    base = docs.select(*dict.fromkeys([*columns, text_col]), host.alias("__host"), path.alias("__path"))
-    odds = with_features(base, text_col).select(*columns, "__host", "__path", model.log_odds(F.col("__x")).alias("__odds"))
-    narrow = Written(odds.select(id_col, "__host", "__path", "__odds"), "log-odds").df
-    prior, sites = site_posteriors(narrow.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (1 / (1 + F.exp(-F.col("__odds")))).alias("p")))
-    known = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "n", "good", "host_n", "host_good")
-    joined = lookup(odds if carry else narrow, known, ["__host", "__path"])
+
+def _judged(docs: DataFrame, model: TextModel, host: Column, path: Column, site_weight: float, keep_log_odds: float, text_col: str, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` and the results, whose names begin with ``__``."""
+    base = docs.select(*columns, F.col(text_col).alias("__text"), host.alias("__host"), path.alias("__path"))
+    odds = written(with_features(base, "__text").select(*columns, "__host", "__path", model.log_odds(F.col("__x")).alias("__odds")), "log-odds")
     p = 1 / (1 + F.exp(-F.col("__odds")))
-    host_rate = (F.col("host_good") - p + prior.host_strength * prior.mean) / (F.col("host_n") - 1 + prior.host_strength)
-    path_rate = F.greatest(F.least((F.col("good") - p + prior.path_strength * host_rate) / (F.col("n") - 1 + prior.path_strength), F.lit(1 - 1e-6)), F.lit(1e-6))
-    joined = joined.withColumn("__host_rate", host_rate).withColumn("__path_rate", path_rate)
+    prior, sites = site_posteriors(odds.select(F.col("__host").alias("host"), F.col("__path").alias("path"), p.alias("p")))
+    known = written(sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), *(F.col(c).alias(f"__{c}") for c in ("n", "good", "host_n", "host_good"))), "sums")
+    host_rate = (F.col("__host_good") - p + prior.host_strength * prior.mean) / (F.col("__host_n") - 1 + prior.host_strength)
+    path_rate = F.greatest(F.least((F.col("__good") - p + prior.path_strength * F.col("__host_rate")) / (F.col("__n") - 1 + prior.path_strength), F.lit(1 - 1e-6)), F.lit(1e-6))
     shift = F.log(F.col("__path_rate") / (1 - F.col("__path_rate"))) - F.log(F.lit(prior.mean / (1 - prior.mean)))
-    joined = joined.withColumn("__posterior", F.col("__odds") + site_weight * shift)
-    return joined.select(
-        *columns, F.col("__host").alias("site_host"), F.col("__path").alias("site_path"), p.alias("text_p"),
-        F.col("__host_rate").alias("host_posterior"), F.col("__path_rate").alias("path_posterior"), F.col("__posterior").alias("log_odds"), (F.col("__posterior") >= keep_log_odds).alias("quality_kept"),
-    )
+    judged = lookup(odds, known, ["__host", "__path"]).withColumn("__host_rate", host_rate).withColumn("__path_rate", path_rate).withColumn("__log_odds", F.col("__odds") + site_weight * shift)
+    return judged.withColumns({"__p": p, "__kept": F.col("__log_odds") >= keep_log_odds})
+
+
+def score(docs: DataFrame, model: TextModel, host: Column, path: Column, site_weight: float = SITE_WEIGHT, keep_log_odds: float = KEEP_LOG_ODDS, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``id_col``, ``site_host``, ``site_path``, ``text_p``, posteriors of the site, ``log_odds`` and ``quality_kept``.
+
+    ``carry`` names further columns of ``docs`` to keep beside these.
+    """
+    columns = [c for c in dict.fromkeys([id_col, *(carry or [])]) if c not in RESULTS]
+    done = _judged(docs, model, host, path, site_weight, keep_log_odds, text_col, columns)
+    inner = ("__host", "__path", "__p", "__host_rate", "__path_rate", "__log_odds", "__kept")
+    return done.select(*columns, *(F.col(c).alias(name) for c, name in zip(inner, RESULTS, strict=True)))
+
+
+def keep(docs: DataFrame, model: TextModel, host: Column, path: Column, site_weight: float = SITE_WEIGHT, keep_log_odds: float = KEEP_LOG_ODDS, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their columns as they are."""
+    return _judged(docs, model, host, path, site_weight, keep_log_odds, text_col, docs.columns).where("__kept").select(*docs.columns)

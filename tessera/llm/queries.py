@@ -33,10 +33,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, carry: list[str] | None =
     return quality_bayes.score(docs, model, F.col("source"), F.col("lang"), carry=carry)
 
 
+def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    return quality_bayes.keep(docs, quality_bayes.fit_text_model(docs, labels), F.col("source"), F.col("lang"))
+
+
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def site_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hierarchy of priors over labelled documents, with the labels as evidence."""
+    known = table(spark, sf_dir, "labels").where("quality is not null").select("doc_id", F.col("quality").cast("double").alias("p"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"))
+    _, sites = quality_bayes.site_posteriors(docs.join(known, "doc_id"))
+    return sites.select("host", "path", "n", "host_n", *(F.round(c, 9).alias(c) for c in ("good", "host_good", "host_posterior", "path_posterior")))
+
+
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
@@ -45,6 +57,11 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"), (3, 1, 2), 1.5, 2.0)
 
 
+def mixture_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes and targets alone, which SQL can tell."""
+    return mixture(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
 def byte_bpe_digests(docs: DataFrame) -> DataFrame:
     back = byte_bpe.round_trip(docs, public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -103,11 +120,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": rules,
         "op9_personal_data": personal_data,
         "op10_token_counts": tokens,
+        "op3_site_posteriors": site_posteriors,
+        "op5_targets": mixture_targets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": NEAR_SQL, "op2_url_filters": URLS_SQL, "op7_chat_formatting": CHATS_SQL, "op8_quality_rules": RULES_SQL}
+    return {"op1_ngram_jaccard_join": NEAR_SQL, "op2_url_filters": URLS_SQL, "op7_chat_formatting": CHATS_SQL, "op8_quality_rules": RULES_SQL, "op3_site_posteriors": SITES_SQL, "op5_targets": TARGETS_SQL}
 
 
 NEAR_SQL = r"""
@@ -124,6 +143,33 @@ deg AS (SELECT i, count(*) AS n_links FROM e GROUP BY i)
 SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links FROM d JOIN least ON u = d.r LEFT JOIN deg ON deg.i = d.r
 """
 
+SITES_SQL = """
+WITH x AS (SELECT source AS host, lang AS path, quality::DOUBLE AS p FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+paths AS (SELECT host, path, count(*) AS n, sum(p) AS good FROM x GROUP BY host, path),
+hosts AS (SELECT host, count(*) AS host_n, sum(p) AS host_good FROM x GROUP BY host),
+g AS (SELECT least(greatest(sum(host_good) / sum(host_n), 1e-4), 1 - 1e-4) AS mean FROM hosts),
+hb AS (SELECT greatest(sum(host_n * (host_good / host_n - mean) ** 2) - sum(mean * (1 - mean)), 0) / sum(host_n * mean * (1 - mean)) AS b FROM hosts, g),
+hs AS (SELECT least(greatest(1 / greatest(b, 1e-6) - 1, 1.0), 1e4) AS s FROM hb),
+hp AS (SELECT host, host_n, host_good, (host_good + s * mean) / (host_n + s) AS host_posterior FROM hosts, g, hs),
+b AS (SELECT p.host, path, n, good, host_n, host_good, host_posterior FROM paths p JOIN hp ON p.host IS NOT DISTINCT FROM hp.host),
+pb AS (SELECT greatest(sum(n * (good / n - host_posterior) ** 2) - sum(host_posterior * (1 - host_posterior)), 0) / sum(n * host_posterior * (1 - host_posterior)) AS b FROM b),
+ps AS (SELECT least(greatest(1 / greatest(b, 1e-6) - 1, 1.0), 1e4) AS s FROM pb)
+SELECT host, path, n, host_n, round(good, 9) AS good, round(host_good, 9) AS host_good, round(host_posterior, 9) AS host_posterior, round((good + s * host_posterior) / (n + s), 9) AS path_posterior FROM b, ps
+"""
+
+TARGETS_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, list_extract([3, 1, 2], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER)::DOUBLE AS w FROM d GROUP BY source),
+whole AS (SELECT 1.5::DOUBLE * sum(source_size) AS t, sum(w) AS w FROM s),
+fill(t, w) AS (
+  SELECT t, w FROM whole
+  UNION
+  SELECT any_value(whole.t) - coalesce(sum(2.0::DOUBLE * source_size) FILTER (f.t * s.w > 2 * source_size * f.w), 0), coalesce(sum(s.w) FILTER (f.t * s.w <= 2 * source_size * f.w), 0) FROM fill f, s, whole GROUP BY f.t, f.w),
+level AS (SELECT arg_min(t, w) AS t, min(w) AS w FROM fill),
+targets AS (SELECT source, source_size, CASE WHEN l.t * s.w > 2 * source_size * l.w THEN 2.0 * source_size ELSE l.t * s.w / l.w END AS target FROM s, level l)
+SELECT doc_id, size, source_size, round(target::DOUBLE, 6) AS target FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+"""
+
 URLS_SQL = r"""
 WITH RECURSIVE p AS (
   SELECT page_id, url, coalesce(html, '') AS html,

@@ -1,8 +1,12 @@
+import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tessera.llm import chat_format, mixing, quality_bayes, queries, url_filter
@@ -137,13 +141,29 @@ def test_layouts_by_fingerprint(spark):
 # Mixing
 
 
-def test_targets():
-    sizes, weights = [100, 10, 40, 50], [3, 1, 2, 3]
-    got = mixing.targets(sizes, weights, 1.5, 2.0)
-    assert sum(got) == pytest.approx(300)
-    assert all(t <= 2 * s + 1e-9 for t, s in zip(got, sizes, strict=True))
-    assert got[1] == 20 and got[3] == 100
-    assert mixing.targets([], [], 1.5, 2.0) == [] and mixing.targets([0, 0], [1, 1], 1.5, 2.0) == [0.0, 0.0]
+def plain_targets(sizes, weights, share, most):
+    """One source at a time goes to its limit, the one furthest above it first."""
+    found, left, total = {}, dict(sizes), share * sum(sizes.values())
+    weight = dict(zip(sorted(sizes, key=lambda s: (s is None, s or "")), [weights[i % len(weights)] for i in range(len(sizes))], strict=True))
+    while left:
+        now = {s: total * weight[s] / sum(weight[x] for x in left) for s in left}
+        worst = max(left, key=lambda s: now[s] - most * left[s])
+        if now[worst] <= most * left[worst]:
+            return found | now
+        found[worst] = most * left.pop(worst)
+        total -= found[worst]
+    return found
+
+
+def test_targets(spark):
+    rnd = random.Random(4)
+    cases = [{}, {"a": 0, None: 0}, {"a": 100, "b": 10, "c": 40, "d": 50}, {"Z": 5, "a": 1, "é": 900, None: 40}]
+    cases += [{f"s{i}": int(10 ** rnd.uniform(0, 6)) for i in range(200)}]
+    for sizes in cases:
+        for weights, share, most in (((3, 1, 2), 1.5, 2.0), ((1, 100), 3.0, 2.0))[: 1 + len(sizes) // 200]:
+            sums = spark.createDataFrame(list(sizes.items()), "__source string, source_size long")
+            got = {r["__source"]: r.target for r in mixing.targets(sums, weights, share, most).collect()}
+            assert got == pytest.approx(plain_targets(sizes, weights, share, most))
 
 
 def test_fit_counts_finds_exact_sums():
@@ -182,13 +202,15 @@ def test_mixture(spark, monkeypatch):
         target[s] = r.target
         assert r.taken in (0, r["size"], 2 * r["size"])
     assert all(r.source_size == size[source[r.doc_id]] for r in got)
-    order = sorted(size, key=lambda s: (s is None, s or ""))
-    want = mixing.targets([size[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))], 1.5, 2.0)
-    assert [target[s] for s in order] == pytest.approx(want)
-    assert all(abs(taken[s] - target[s]) <= 3 for s in order)
-    made = mixing.mix(df.dropDuplicates(["doc_id"]))
+    assert target == pytest.approx(plain_targets(size, (3, 1, 2), 1.5, 2.0))
+    assert all(abs(taken[s] - target[s]) <= 3 for s in size)
+    made = mixing.mix(df)
     assert made.columns == df.columns
-    assert made.count() == sum(r.taken // r["size"] for r in mixing.plan(df.dropDuplicates(["doc_id"])).collect() if r["size"])
+    want = Counter()
+    for r in got:
+        want[r.doc_id] += r.taken
+    assert Counter({i: n for i, n in want.items() if n}) == sum((Counter({r.doc_id: len((r.text or "").split())}) for r in made.collect()), Counter())
+    assert plain(queries.mixture_targets(spark, "")) == in_duckdb(queries.TARGETS_SQL, documents=df.select("doc_id", "text", "source"))
     tables(monkeypatch, documents=documents(spark, EMPTY))
     assert queries.mixture(spark, "").count() == 0
 
@@ -239,10 +261,79 @@ def test_quality_on_held_out_rows(spark):
     assert next(r.quality_kept for r in got if r.doc_id == 902)
     narrow = {r.doc_id: r.log_odds for r in queries.quality_scores(df, marks).collect()}
     assert all(narrow[r.doc_id] == pytest.approx(r.log_odds) for r in got)
-    model = quality_bayes.fit_text_model(df, marks)
-    assert quality_bayes.score(documents(spark, EMPTY), model, F.col("source"), F.col("lang")).count() == 0
-    with pytest.raises(ValueError):
-        quality_bayes.fit_text_model(df, marks.where("quality = 1"))
+    empty = documents(spark, EMPTY)
+    for docs, labels in ((empty, marks), (empty, marks.where("false")), (df, marks.where("false")), (df, marks.where("quality = 1"))):
+        undecided = queries.quality_scores(docs, labels).collect()
+        assert len(undecided) == docs.count() and all(r.quality_kept and abs(r.log_odds) < 1e-9 for r in undecided)
+        assert queries.keep_quality(docs, labels).count() == docs.count()
+
+
+def plain_features(text):
+    words, lines = re.findall(r"[^\x20\x09-\x0D]+", text or ""), [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    n, chars = len(words), len(text or "")
+    of = lambda pattern: len(regex.findall(pattern, text or ""))
+    per = lambda a, b: a / max(b, 1)
+    return [
+        math.log1p(n) / 5, min(per(chars, n), 40) / 10, per(of(r"\p{Lu}"), chars) * 5, min(per(of("[#*$%&<>]"), n), 3), min(per(of("[!?]"), n), 3), per(of("[0-9]"), chars) * 5,
+        min(per(of(r"\|"), n) * 3, 3), per(len(set(words)), n), 1 - per(len(set(lines)), len(lines)), math.log1p(per(n, len(lines))) / 3,
+    ]
+
+
+def strength(sites):
+    """Pseudo-counts from (n, rate, mean)."""
+    whole = sum(n * m * (1 - m) for n, _, m in sites)
+    between = max(sum(n * (r - m) ** 2 for n, r, m in sites) - sum(m * (1 - m) for _, _, m in sites), 0) / whole
+    return min(max(1 / max(between, 1e-6) - 1, 1), 1e4)
+
+
+def test_quality_query_equals_brute_force(spark, monkeypatch):
+    rnd = random.Random(7)
+    rows, labels = [], []
+    for i in range(300):
+        good = rnd.random() < (0.9 if i % 3 else 0.4)
+        text = prose(rnd, rnd.randrange(5, 60))
+        host = rnd.choice(["big", "big", "big", "mid", None, f"sparse{i}"])  # a sixth of the hosts have one document
+        rows.append((i, text if good else " | ".join(w.upper() + "!" * rnd.randrange(3) for w in text.split()), rnd.choice(["en", "de", None]), host, 0))
+        if i % 2:
+            labels.append((i, int(good) if rnd.random() < 0.95 else int(not good)))
+    rows += [(900, None, "en", "big", 0), (901, "", None, None, 0), (902, "é\n\né\n!", "de", "mid", 0), (None, "no id", "en", "big", 0)]
+    df = spark.createDataFrame([(*r, 1, 2.0, True) for r in rows + rows[:3]], "doc_id long, text string, lang string, source string, n_chars long, n int, good double, host_n boolean")
+    tables(monkeypatch, documents=df, labels=spark.createDataFrame(labels, "doc_id long, quality int"))
+    every = rows + rows[:3]
+    x = np.array([plain_features(r[1]) for r in every])
+    known = dict(labels)
+    fit = [i for i, r in enumerate(every) if r[0] in known]
+    means, scales = x[fit].mean(0), np.maximum(x[fit].std(0), 1e-6)
+    z, y = np.column_stack([(x - means) / scales, np.ones(len(x))]), np.array([known[every[i][0]] for i in fit], float)
+    w = np.zeros(11)
+    penalty = np.array([1.0] * 10 + [1e-6])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-z[fit] @ w))
+        w -= np.linalg.solve((z[fit].T * (p * (1 - p))) @ z[fit] + np.diag(penalty), z[fit].T @ (p - y) + penalty * w)
+    odds = np.clip(z @ w, -12, 12)
+    p = 1 / (1 + np.exp(-odds))
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for r, v in zip(every, p, strict=True):
+        hosts[r[3]].append(v), paths[r[3], r[2]].append(v)
+    mean = p.mean()
+    s1 = strength([(len(v), np.mean(v), mean) for v in hosts.values()])
+    posterior = {h: (sum(v) + s1 * mean) / (len(v) + s1) for h, v in hosts.items()}
+    s2 = strength([(len(v), np.mean(v), posterior[k[0]]) for k, v in paths.items()])
+    want = []
+    for r, o, v in zip(every, odds, p, strict=True):
+        host, path = hosts[r[3]], paths[r[3], r[2]]
+        rate = (sum(path) - v + s2 * (sum(host) - v + s1 * mean) / (len(host) - 1 + s1)) / (len(path) - 1 + s2)
+        want.append((r[0], o + 0.5 * (math.log(rate / (1 - rate)) - math.log(mean / (1 - mean)))))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    got = sorted(((r.doc_id, r.log_odds) for r in queries.quality(spark, "").collect()), key=key)
+    want.sort(key=key)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [v for _, v in got] == pytest.approx([v for _, v in want], abs=1e-6)
+    kept = queries.keep_quality(df, queries.table(spark, "", "labels"))
+    assert kept.columns == df.columns and kept.count() == sum(v >= -1 for _, v in want)
+    known_docs = df.dropDuplicates(["doc_id"])
+    tables(monkeypatch, documents=known_docs, labels=queries.table(spark, "", "labels"))
+    assert plain(queries.site_posteriors(spark, "")) == in_duckdb(queries.SITES_SQL, documents=known_docs, labels=queries.table(spark, "", "labels"))
 
 
 def test_sparse_sites_shrink(spark):
