@@ -1,22 +1,25 @@
 """A corpus pipeline of five stages over ``documents``.
 
-Each stage gets what the one before it kept, written as Parquet and read again.
+Each stage gets what the one before it kept, written as Parquet and read again; tables that
+a stage writes on its way, and what it got, are deleted once its result is stored. Empty
+input gives an empty result, and the stages take the defined cases of their operators.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, ngram_jaccard, pii, queries
-from tessera.plans.shared import written
+from tessera.plans.shared import settled
 from tessera.session import table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    scored = queries.quality_scores(docs, table(spark, sf_dir, "labels"), carry=docs.columns)
-    return scored.where("quality_kept").select(*docs.columns)
+    return queries.keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = settled(partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            before.drop()
+        docs, before = kept.df, kept
     return STAGES[-1][1](spark, docs, sf_dir)
