@@ -1,31 +1,35 @@
 """Near duplicates by the Jaccard similarity of word n-grams, with Bayesian pruning.
 
 1. One Arrow pass gives each document a 128-bit key of its set of shingles (n-grams of
-   lower-cased words, five words by default; a shorter text is one shingle) and its
-   MinHash values. Documents with equal keys form a class of copies at similarity 1;
-   only one representative of each goes on, with the number of its copies.
-2. Representatives that share a band of MinHash values are linked to the least of that
-   bucket, a star and not all pairs, and the connected components of these stars are
-   families. With 24 bands of 4 values a pair at the threshold of 0.8 has no common
-   band with a probability of about 3e-6.
-3. Within a family the MinHash values are compared 16 at a time. Under a uniform prior
-   the posterior of the similarity after m of n equal values is Beta(m+1, n-m+1); a pair
-   is dropped once the posterior probability of reaching the threshold is below
-   ``tolerance``. What is left is verified exactly on the sets of shingles.
-4. A small family is one group. A larger one is dealt over blocks by the number of
-   shingles, since the threshold bounds the ratio of sizes, and by hash within a size;
-   a group compares two blocks and returns, for each document, the number of links and
-   a root, never the pairs. The final classes are the connected components over these.
+   lower-cased words, five words by default; a shorter text is one shingle), its bands of
+   MinHash values and a byte of each value. Documents with equal keys form a class of copies
+   at similarity 1; only one representative of each goes on, with the number of its copies.
+2. Representatives that share a band are linked to the least of that bucket, a star and not
+   all pairs. With 40 bands of 6 values a pair at the threshold of 0.8 has no common band
+   with a probability of about 5e-6.
+3. The MinHash bytes of a link's ends are compared 16 at a time. Under a uniform prior the
+   posterior of the similarity after m of n equal values is Beta(m+1, n-m+1); a link is
+   dropped once the posterior probability of reaching the threshold is below ``tolerance``.
+   (Unequal values with equal bytes only keep more.) In a bucket whose documents are not all
+   joined by then, those that are not are compared with each other in the same way. What is
+   left makes families by connected components, so texts that share a passage, but are not
+   near the threshold, form none, and no text has moved so far.
+4. The members' texts, found by a filter of bounded size, are verified exactly on the sets of
+   shingles, after the same pruning on whole MinHash values. A small family is one group. A
+   larger one is dealt over blocks by the number of shingles, since the threshold bounds the
+   ratio of sizes, and by hash within a size; a group compares two blocks and returns, for
+   each document, the number of links and a root, never the pairs. The final classes are the
+   connected components over these.
 
 Result: one row a document with ``class_id`` (the least id in its connected component)
 and ``n_links`` (other documents at the threshold or above, copies counted).
 
 Defined cases: a null or empty text has no shingles and is alone in its class; a text
-without a word character is one shingle, the text itself; repeated rows are copies of
-each other; a row without an integer or string id takes part like any other, under a
-stand-in made from its text that follows all usual ids, and only a class without any id
-shows a stand-in as ``class_id``; an empty table gives an empty one; other columns are
-not read.
+without a word character is one shingle, the text itself; very long texts are compared
+whole; repeated rows are copies of each other; the least id names a class, so ties do not
+arise; a row without an integer or string id takes part like any other, under a stand-in
+made from its text that follows all usual ids, and only a class without any id shows a
+stand-in as ``class_id``; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,16 +42,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, map_rows
+from tessera.llm.common import bounded_batches, lookup, map_rows
 from tessera.operators.components import connected_components
-from tessera.plans.shared import Written
+from tessera.plans.shared import maybe_in, written
 
-BANDS, ROWS, STEP = 24, 4, 16
+BANDS, ROWS, STEP = 40, 6, 16
 HASHES = BANDS * ROWS
 #: Bounds of one group of step 4: documents and shingles of a block.
 BLOCK_DOCS, BLOCK_SHINGLES = 1000, 1_000_000
 #: Shingles of small families that share a group, on average.
 PACK_SHINGLES = 400_000
+#: Documents of a bucket that are compared in one group.
+BUCKET_DOCS = 2000
 
 #: Words whose hashes a worker keeps; it starts over when they are so many.
 CACHED_WORDS = 1 << 17
@@ -154,20 +160,120 @@ def with_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sketch(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``(doc_id, given, mark, key, n, bands)``: the id with stand-ins and as it is, a hash of the text, and its sketch, null where there is no shingle."""
+    """``(doc_id, given, mark, key, n, bands, bytes)``: the id with stand-ins and as it is, a hash of the text, and its sketch, null where there is no shingle."""
     marked = with_ids(docs, id_col, text_col)
     kinds = dict(marked.dtypes)
 
     def row(doc_id, given, mark, text):
         found = shingles(text, size)
         if not len(found):
-            return doc_id, given, mark, None, None, None
-        return doc_id, given, mark, class_key(found), len(found), bands(minhashes(found)).tolist()
+            return doc_id, given, mark, None, None, None, None
+        values = minhashes(found)
+        return doc_id, given, mark, class_key(found), len(found), bands(values).tolist(), values.astype("u1").tobytes()
 
-    schema = f"doc_id {kinds['__id']}, given {kinds[id_col]}, mark long, key binary, n long, bands array<long>"
+    schema = f"doc_id {kinds['__id']}, given {kinds[id_col]}, mark long, key binary, n long, bands array<long>, bytes binary"
     return map_rows(marked.select("__id", id_col, "__hash", text_col), row, schema)
 
 
+def _bytes(column):
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
+def _likely(pairs: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """``(u, v)`` of the links that may reach the threshold; ``pairs`` has both ends' sizes and bytes."""
+
+    def batches(source):
+        import numpy as np
+
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            n, m = (batch.column(c).to_numpy() for c in ("n_u", "n_v"))
+            left = np.flatnonzero(np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9)
+            a, b = _bytes(batch.column("bytes_u")), _bytes(batch.column("bytes_v"))
+            left, _ = _pruned(left, lambda at, part: (a[at, part] == b[at, part]).sum(axis=1), threshold, tolerance)
+            yield batch.select(["u", "v"]).take(pa.array(left))
+
+    return pairs.select("u", "v", "n_u", "n_v", "bytes_u", "bytes_v").mapInArrow(batches, "u binary, v binary")
+
+
+def _pruned(left, equal_in, threshold: float, tolerance: float):
+    """What is left of the candidates after comparing their values step by step, and their matches."""
+    import numpy as np
+
+    equal = np.zeros(len(left), np.int64)
+    for k, enough in enumerate(least_matches(threshold, tolerance)):
+        if not len(left):
+            break
+        equal += equal_in(left, slice(k * STEP, (k + 1) * STEP))
+        keep = equal >= enough
+        left, equal = left[keep], equal[keep]
+    return left, equal
+
+
+def _joiner(threshold: float, tolerance: float):
+    """Links ``(u, v)`` between parts of a bucket: as few as join what may reach the threshold."""
+
+    def join(group: pa.Table) -> pa.Table:
+        import numpy as np
+
+        group = group.sort_by([("n", "ascending"), ("key", "ascending")])
+        n, values, named = group.column("n").to_numpy(), _bytes(group.column("bytes")), group.column("part").to_pylist()
+        blocks = group.column("block").to_numpy()
+        place = group.column("task")[0].as_py().split(".")[1:]
+        between = place[0] != place[1]
+        part = np.unique(np.array(named, object), return_inverse=True)[1]
+        out = []
+        for i in range(len(n)):
+            last = np.searchsorted(n, n[i] / threshold + 1e-9, side="right")
+            left = np.arange(i + 1, last)
+            left = left[part[left] != part[i]]
+            if between:
+                left = left[blocks[left] != blocks[i]]
+            left, _ = _pruned(left, lambda at, step, i=i: (values[at, step] == values[i, step]).sum(axis=1), threshold, tolerance)
+            for j in left.tolist():
+                if part[j] != part[i]:
+                    out.append((named[i], named[j]))
+                    part[part == part[j]] = part[i]
+        return pa.table([pa.array([u for u, _ in out], pa.binary()), pa.array([v for _, v in out], pa.binary())], names=["u", "v"])
+
+    return join
+
+
+def _families(reps: DataFrame, threshold: float, tolerance: float, bucket_docs: int) -> DataFrame:
+    """``(key, family)`` of representatives that are joined to others by links which may reach the threshold."""
+    bands_ = reps.select("key", F.explode("bands").alias("band"))
+    repeated = written(bands_.groupBy("band").agg(F.count("*").alias("rows")).where("rows > 1").select("band"), "bands")
+    shared = maybe_in(bands_, F.col("band"), repeated, F.col("band"), repeated.count()).where("__maybe").select("band", "key")
+    buckets = written(shared.join(repeated, "band"), "buckets")
+    heads = buckets.groupBy("band").agg(F.min("key").alias("head"))
+    star = buckets.join(heads, "band").where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v")).distinct()
+    star = written(star, "stars")
+    ends = buckets.select("key").distinct()
+    signed = written(maybe_in(reps, F.col("key"), ends, F.col("key"), ends.count()).where("__maybe").select("key", "n", "bytes"), "bytes")
+    side = lambda c: signed.select(F.col("key").alias(c), F.col("n").alias(f"n_{c}"), F.col("bytes").alias(f"bytes_{c}"))
+    links = written(_likely(star.join(side("u"), "u").join(side("v"), "v"), threshold, tolerance), "links")
+    joined = written(connected_components(links), "joined")
+
+    parted = written(buckets.join(joined.withColumnRenamed("node", "key"), "key", "left").select("band", "key", F.coalesce("component", "key").alias("part")), "parts")
+    # a bucket of two was compared by its star; buckets of the same documents are compared once
+    known = parted.groupBy("band").agg(F.count("*").alias("docs"), F.min("part").alias("least"), F.max("part").alias("most"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("set"))
+    open_ = written(known.where("docs > 2 and least <> most").groupBy("docs", "set").agg(F.min("band").alias("band")).select("band", "docs"), "open")
+    if open_.isEmpty():
+        return joined.select(F.col("node").alias("key"), F.col("component").alias("family"))
+    blocks = F.ceil(F.col("docs") / F.lit(bucket_docs))
+    rows = parted.join(open_, "band").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit(11)), F.col("blocks")))
+    name = lambda j: F.concat_ws(".", F.col("band").cast("string"), F.least("block", j).cast("string"), F.greatest("block", j).cast("string"))
+    rows = rows.withColumn("task", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), name)))
+    groups = rows.select("task", "block", "key", "part").join(signed, "key").groupBy("task")
+    more = written(connected_components(groups.applyInArrow(_joiner(threshold, tolerance), "u binary, v binary")), "joined-parts")
+    whole = more.select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    every = joined.select(F.col("node").alias("key"), F.col("component").alias("part")).union(more.select("node", "node")).distinct()
+    return every.join(whole, "part", "left").select("key", F.coalesce("whole", "part").alias("family"))
+
+
 def _links(sides, sets, signatures, copies, threshold, tolerance):
     """Links of each document and a root of each: pairs of one family, or of two blocks of it."""
     import numpy as np
@@ -183,20 +289,12 @@ def _links(sides, sets, signatures, copies, threshold, tolerance):
 
     order = np.argsort(sizes, kind="stable")
     ordered = sizes[order]
-    least = least_matches(threshold, tolerance)
     for at, i in enumerate(order):
         last = np.searchsorted(ordered, sizes[i] / threshold + 1e-9, side="right")
         left = order[at + 1 : last]
         if sides is not None:
             left = left[sides[left] != sides[i]]
-        equal = np.zeros(len(left), np.int64)
-        for k, enough in enumerate(least):
-            if not len(left):
-                break
-            part = slice(k * STEP, (k + 1) * STEP)
-            equal += (signatures[left, part] == signatures[i, part]).sum(axis=1)
-            keep = equal >= enough
-            left, equal = left[keep], equal[keep]
+        left, _ = _pruned(left, lambda at, part, i=i: (signatures[at, part] == signatures[i, part]).sum(axis=1), threshold, tolerance)
         for j in left.tolist():
             shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if shared >= threshold * (len(sets[i]) + len(sets[j]) - shared) - 1e-9:
@@ -264,7 +362,7 @@ def _grouped(members: DataFrame, threshold: float, block_docs: int, block_shingl
     below = F.transform(upto(F.col("below")), lambda j: name(g - 1, j, g, i))
     above = F.transform(upto(F.col("above")), lambda j: name(g, i, g + 1, j))
     parts = parts.withColumn("task", F.concat(same, below, above)).withColumn("side", F.concat_ws(".", g.cast("string"), i.cast("string")))
-    wanted = ["family", "key", "rep", "copies", "split", "side", "task"]
+    wanted = ["family", "key", "rep", "mark", "copies", "split", "side", "task"]
     return small.select(*wanted).unionByName(parts.select(*wanted))
 
 
@@ -277,43 +375,42 @@ def jaccard_classes(
     text_col: str = "text",
     block_docs: int = BLOCK_DOCS,
     block_shingles: int = BLOCK_SHINGLES,
+    bucket_docs: int = BUCKET_DOCS,
 ) -> DataFrame:
     """``(id_col, class_id, n_links)``, one row for each row of ``docs``."""
-    found = _classes(docs, size, threshold, tolerance, id_col, text_col, block_docs, block_shingles)
+    found = _classes(docs, size, threshold, tolerance, id_col, text_col, block_docs, block_shingles, bucket_docs)
     return found.select(F.col("given").alias(id_col), "class_id", "n_links")
 
 
-def _classes(docs: DataFrame, size: int, threshold: float, tolerance: float, id_col: str, text_col: str, block_docs: int, block_shingles: int) -> DataFrame:
+def _classes(docs: DataFrame, size: int, threshold: float, tolerance: float, id_col: str, text_col: str, block_docs: int, block_shingles: int, bucket_docs: int) -> DataFrame:
     """``(doc_id, given, mark, class, class_id, n_links)``; ``class`` tells classes apart, null where there is no shingle."""
     bounded_batches(docs.sparkSession)
-    sketched = Written(sketch(docs, size, id_col, text_col), "sketch").df
+    sketched = written(sketch(docs, size, id_col, text_col), "sketch")
     keyed = sketched.where("key is not null")
     kind = dict(sketched.dtypes)["doc_id"]
-    reps = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    buckets = keyed.groupBy("key").agg(F.first("bands").alias("bands")).select("key", F.explode("bands").alias("band"))
-    heads = buckets.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("rows")).where("rows > 1").select("band", "head")
-    edges = buckets.join(heads, "band").where("key <> head").select(F.col("key").alias("u"), F.col("head").alias("v"))
-    families = connected_components(edges).select(F.col("node").alias("key"), F.col("component").alias("family"))
-    members = Written(families.join(reps, "key"), "members").df
+    firsts = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n", "bands", "bytes")))
+    firsts = written(firsts, "representatives")
+    reps = firsts.select("key", F.col("first.doc_id").alias("rep"), F.col("first.mark").alias("mark"), "copies", "n")
+    families = _families(firsts.select("key", "n", "bands", "bytes"), threshold, tolerance, bucket_docs)
+    members = written(families.join(reps, "key"), "members")
     tasks = _grouped(members, threshold, block_docs, block_shingles)
-    texts = with_ids(docs.select(id_col, text_col), id_col, text_col).select(F.col("__id").alias("rep"), F.col(text_col).alias("text"))
-    groups = tasks.join(texts, "rep").select("*", F.explode("task").alias("group")).drop("task")
-    verified = Written(
-        groups.groupBy("group").applyInArrow(_verifier(size, threshold, tolerance), f"key binary, links long, root binary, class_id {kind}, split boolean"),
-        "verified",
-    ).df
+    texts = with_ids(docs.select(id_col, text_col), id_col, text_col).select(F.col("__id").alias("rep"), F.col("__hash").alias("mark"), F.col(text_col).alias("text"))
+    wanted = maybe_in(texts, F.struct("rep", "mark"), members, F.struct("rep", "mark"), members.count()).where("__maybe").groupBy("rep", "mark").agg(F.first("text").alias("text"))
+    groups = tasks.join(wanted, ["rep", "mark"]).select("*", F.explode("task").alias("group")).drop("task", "mark")
+    verified = written(groups.groupBy("group").applyInArrow(_verifier(size, threshold, tolerance), f"key binary, links long, root binary, class_id {kind}, split boolean"), "verified")
     whole = verified.where("not split").select("key", "links", F.col("root").alias("class"), "class_id")
     parts = verified.where("split")
-    joined = connected_components(parts.select(F.col("key").alias("u"), F.col("root").alias("v")))
+    joined = written(connected_components(parts.select(F.col("key").alias("u"), F.col("root").alias("v"))), "split-classes")
     least = joined.join(reps, joined["node"] == reps["key"]).groupBy("component").agg(F.min("rep").alias("class_id"))
     classes = joined.join(least, "component").select(F.col("node").alias("key"), F.col("component").alias("class"), "class_id")
     split = parts.groupBy("key").agg(F.sum("links").alias("links")).join(classes, "key", "left")
-    found = reps.join(whole.unionByName(split.select("key", "links", "class", "class_id")), "key", "left").select(
+    linked = whole.unionByName(split.select("key", "links", "class", "class_id"))
+    copied = reps.join(linked, "key", "left").where("copies > 1 or class is not null").select(
         "key", F.coalesce("class", "key").alias("class"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
-    return sketched.select("doc_id", "given", "mark", "key").join(found, "key", "left").select(
-        "doc_id", "given", "mark", "class", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
-    )
+    # a document that is neither copied nor linked is its own class, and needs no row here
+    found = lookup(sketched.select("doc_id", "given", "mark", "key"), written(copied, "classes"), ["key"])
+    return found.select("doc_id", "given", "mark", F.coalesce("class", "key").alias("class"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def drop_near_duplicates(
@@ -325,14 +422,22 @@ def drop_near_duplicates(
     text_col: str = "text",
     block_docs: int = BLOCK_DOCS,
     block_shingles: int = BLOCK_SHINGLES,
+    bucket_docs: int = BUCKET_DOCS,
 ) -> DataFrame:
     """One row of each class, the one with the least id; all columns stay.
 
     Of rows with the same id and text one is kept; rows with the same id and other texts
     are documents of their own, and of those of one class the least hash of the text stays.
+    Documents that are alone in their class are told by a filter and pass without a shuffle.
     """
-    found = _classes(docs, size, threshold, tolerance, id_col, text_col, block_docs, block_shingles)
-    least = found.where("class is not null and doc_id = class_id").groupBy("class").agg(F.min("mark").alias("mark"), F.min("doc_id").alias("doc_id"))
-    kept = least.unionByName(found.where("class is null"), allowMissingColumns=True).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__hash"))
-    marked = with_ids(docs, id_col, text_col)
-    return marked.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    found = _classes(docs, size, threshold, tolerance, id_col, text_col, block_docs, block_shingles, bucket_docs)
+    alone = F.when(F.col("class").isNull(), F.struct("doc_id", "mark"))
+    labelled = written(found.select("doc_id", "mark", "class", alone.alias("alone")), "labelled")
+    groups = labelled.groupBy("class", "alone").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "mark")).alias("first")).where("rows > 1")
+    groups = written(groups.select("class", "alone", "first"), "groups")
+    rows = lookup(labelled, groups, ["class", "alone"], "inner").groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__hash")).agg(F.first((F.struct("doc_id", "mark") == F.col("first"))).alias("__stays"))
+    rows = written(rows, "grouped")
+    pair = F.struct("__id", "__hash")
+    marked = maybe_in(with_ids(docs, id_col, text_col), pair, rows, pair, rows.count())
+    once = marked.where("__maybe").dropDuplicates(["__id", "__hash"]).join(rows, ["__id", "__hash"], "left").where("coalesce(__stays, true)")
+    return marked.where("not __maybe").select(*docs.columns).unionByName(once.select(*docs.columns))

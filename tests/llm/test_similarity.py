@@ -62,6 +62,48 @@ def test_blocks_without_documents_add_no_links(spark):
     assert {r.n_links for r in got} == {2}
 
 
+def test_hot_buckets_are_joined_whole(spark):
+    """Buckets dealt over blocks find the links that their stars miss."""
+    rnd = random.Random(23)
+    rows = []
+    for f in range(6):
+        base = prose(rnd, 120).split()
+        for c in range(25):
+            words = list(base)
+            for _ in range(rnd.randrange(0, 9)):
+                words[rnd.randrange(120)] = f"w{f}x{c}x{rnd.randrange(99)}"
+            rows.append((25 * f + c, " ".join(words), "en", "s", 0))
+    df = documents(spark, rows).dropDuplicates(["doc_id"])
+    got = ngram_jaccard.jaccard_classes(df, bucket_docs=4).collect()
+    assert Counter(map(tuple, got)) == plain_classes([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_passages_in_common_cost_no_more_than_a_row_a_band(spark, monkeypatch):
+    """A chain in which neighbours share a third, and all a passage: work grows with the documents, and no text moves."""
+    stored = {}
+
+    def recorded(df, name):
+        made = ngram_jaccard_written(df, name)
+        stored[name] = stored.get(name, 0) + made.count()
+        return made
+
+    ngram_jaccard_written = ngram_jaccard.written
+    monkeypatch.setattr(ngram_jaccard, "written", recorded)
+    seen = {}
+    for n in (500, 2000):
+        stored.clear()
+        word = lambda i, k: f"w{i}x{k}"
+        passages = [" ".join(word(i, k) for k in range(40)) for i in range(n + 1)]
+        common = " ".join(f"all{k}" for k in range(15))
+        df = spark.createDataFrame([(i, f"{passages[i]} {common} {passages[i + 1]}") for i in range(n)], "doc_id long, text string")
+        got = ngram_jaccard.jaccard_classes(df).collect()
+        assert len(got) == n and all(r.class_id == r.doc_id and r.n_links == 0 for r in got)
+        seen[n] = dict(stored)
+    assert seen[2000]["members"] == seen[2000]["links"] == 0
+    for name, rows in seen[2000].items():
+        assert rows <= 5 * seen[500].get(name, 0) + 50, name
+
+
 def test_other_sizes_and_empty(spark):
     df = documents(spark, [(i, t, "en", "s", 0) for i, t in enumerate(near_texts()[:80])])
     got = ngram_jaccard.jaccard_classes(df, size=2, threshold=0.9).collect()
