@@ -27,6 +27,20 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def planted_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages with links planted in them, and hops between hubs, so that classes decide."""
+    n = F.col("page_id")
+    link = F.when(n % 4 == 0, F.concat(F.lit('<link title="rel=canonical" rel="next Canonical" href="/hub/../hub'), (n % 7).cast("string"), F.lit('/./x?a=1&amp;b=2">')))
+    link = link.when(n % 4 == 1, F.concat(F.lit("<meta content='0; url=http://hub"), (n % 11).cast("string"), F.lit(".net/x' http-equiv=refresh>")))
+    link = link.when(n % 4 == 2, F.lit("<link rel=stylesheet href=http://shop.com/de/canonical.css>")).otherwise(F.concat(F.lit("<link href=//hub"), (n % 5).cast("string"), F.lit(".net/x rel=canonical>")))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.when(n % 2 == 0, F.concat(F.lit("http://site"), (n % 13).cast("string"), F.lit(".net/a/"), n.cast("string"))).otherwise(F.col("url")), F.lit("")).alias("url"), link.alias("html"))
+    j = F.col("id")
+    end = F.when(j % 3 == 0, F.concat(F.lit("http://shop.com/de/"), j.cast("string"))).when(j % 3 == 1, F.concat(F.lit("http://www.example.org/ok/"), j.cast("string"))).otherwise(F.concat(F.lit("http://plain.net/"), j.cast("string")))
+    hops = spark.range(11).select(F.concat(F.lit("http://hub"), j.cast("string"), F.lit(".net/x")).alias("src"), end.alias("dst"))
+    hops = hops.unionByName(spark.range(7).select(F.concat(F.lit("https://site3.net/hub"), j.cast("string"), F.lit("/x?a=1&b=2")).alias("src"), F.concat(F.lit("http://hub"), (j + 4).cast("string"), F.lit(".net/x")).alias("dst")))
+    return url_filter.filter_urls(pages, URL_RULES, hops)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """A document's host is its source, and its path the language section in it."""
     model = quality_bayes.fit_text_model(docs, labels)
@@ -120,13 +134,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": rules,
         "op9_personal_data": personal_data,
         "op10_token_counts": tokens,
+        "op2_redirects": planted_redirects,
         "op3_site_posteriors": site_posteriors,
         "op5_targets": mixture_targets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": NEAR_SQL, "op2_url_filters": URLS_SQL, "op7_chat_formatting": CHATS_SQL, "op8_quality_rules": RULES_SQL, "op3_site_posteriors": SITES_SQL, "op5_targets": TARGETS_SQL}
+    return {"op1_ngram_jaccard_join": NEAR_SQL, "op2_url_filters": URLS_SQL, "op2_redirects": PLANTED_SQL, "op7_chat_formatting": CHATS_SQL, "op8_quality_rules": RULES_SQL, "op3_site_posteriors": SITES_SQL, "op5_targets": TARGETS_SQL}
 
 
 NEAR_SQL = r"""
@@ -170,21 +185,36 @@ targets AS (SELECT source, source_size, CASE WHEN l.t * s.w > 2 * source_size *
 SELECT doc_id, size, source_size, round(target::DOUBLE, 6) AS target FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 """
 
-URLS_SQL = r"""
-WITH RECURSIVE p AS (
+_URLS = r"""
+p AS (
   SELECT page_id, url, coalesce(html, '') AS html,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 2), '') AS path
-  FROM pages),
+  FROM given),
 tags AS (
-  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^>]*>')) AS tag FROM p WHERE html ILIKE '%canonical%' OR html ILIKE '%refresh%'),
+  SELECT url, host, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\s[^>]*>')) AS tag FROM p WHERE html ILIKE '%canonical%' OR html ILIKE '%refresh%'),
+attributes AS (SELECT *, regexp_extract_all(tag, '(?s)[^\s"''<>/=]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>][^\s>]*))?') AS a FROM tags),
+raw AS (
+  SELECT url, host, path, lower(tag[2:5]) AS kind, list_filter(a, lambda x: regexp_matches(x, '(?i)^rel\s*='))[1] AS rel, list_filter(a, lambda x: regexp_matches(x, '(?i)^href\s*='))[1] AS href,
+    list_filter(a, lambda x: regexp_matches(x, '(?i)^http-equiv\s*='))[1] AS equiv, list_filter(a, lambda x: regexp_matches(x, '(?i)^content\s*='))[1] AS content FROM attributes),
+plain AS (
+  SELECT url, host, path, kind, trim(regexp_replace(regexp_replace(rel, '(?s)^[^=]*=\s*', ''), '(?s)^(["''])(.*)["'']$', '\2')) AS rel, trim(regexp_replace(regexp_replace(href, '(?s)^[^=]*=\s*', ''), '(?s)^(["''])(.*)["'']$', '\2')) AS href,
+    trim(regexp_replace(regexp_replace(equiv, '(?s)^[^=]*=\s*', ''), '(?s)^(["''])(.*)["'']$', '\2')) AS equiv, trim(regexp_replace(regexp_replace(content, '(?s)^[^=]*=\s*', ''), '(?s)^(["''])(.*)["'']$', '\2')) AS content FROM raw),
 found AS (
-  SELECT url, CASE WHEN regexp_matches(tag, '(?i)^<link') AND regexp_matches(tag, '(?i)rel\s*=\s*["'']?[^"''>]*canonical') THEN regexp_extract(tag, '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1)
-    WHEN regexp_matches(tag, '(?i)^<meta') AND regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1) END AS t FROM tags),
+  SELECT url, host, path, replace(CASE WHEN kind = 'link' AND list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') THEN href
+    WHEN kind = 'meta' AND lower(equiv) = 'refresh' THEN regexp_extract(content, '(?i)(?:^|[;,\s])url\s*=\s*["'']?([^"''\s]*)', 1) END, '&amp;', '&') AS t FROM plain),
+aimed AS (
+  SELECT url, host, t, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, path,
+    CASE WHEN starts_with(t, '/') THEN t ELSE '/' || regexp_extract(path, '(?s)^/(.*/)?', 1) || t END AS whole FROM found),
+folded AS (
+  SELECT *, regexp_extract(whole, '(?s)^[^?#]*') AS way, regexp_extract(whole, '(?s)[?#].*$') AS rest,
+    list_reduce(string_split(regexp_extract(whole, '(?s)^[^?#]*'), '/')[2:], lambda d, s: CASE WHEN s = '.' THEN d WHEN s = '..' THEN regexp_replace(d, '/[^/]*$', '') ELSE d || '/' || s END, '') AS d FROM aimed),
 links AS (
-  SELECT url AS src, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN split_part(url, '://', 1) || ':' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^.*?://[^/?#]*') || t END AS dst FROM (SELECT url, replace(t, '&amp;', '&') AS t FROM found)),
-urls AS (SELECT url FROM p UNION SELECT dst FROM links WHERE dst IS NOT NULL),
+  SELECT url AS src, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:|^#|^$') OR host = '' THEN NULL
+    WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '?') THEN scheme || '://' || host || path || t
+    ELSE scheme || '://' || host || CASE WHEN d = '' THEN '/' ELSE d END || CASE WHEN d <> '' AND regexp_matches(way, '/\.\.?$') THEN '/' ELSE '' END || rest END AS dst FROM folded
+  UNION ALL SELECT src, dst FROM hops),
+urls AS (SELECT url FROM p UNION SELECT dst FROM links WHERE dst IS NOT NULL UNION SELECT src FROM links WHERE src IS NOT NULL),
 parts AS (
   SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 2) AS path, regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 3) AS query FROM urls),
@@ -196,12 +226,25 @@ ruled AS (
 edges AS (
   SELECT DISTINCT a.node AS u, b.node AS v FROM links l JOIN nodes a ON l.src = a.url JOIN nodes b ON l.dst = b.url WHERE a.node <> b.node),
 both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
-reach(u, v) AS (SELECT u, v FROM both_ways UNION SELECT r.u, b.v FROM reach r JOIN both_ways b ON r.v = b.u),
-decided AS (SELECT r.u AS node, min(x.action) AS by_class FROM (SELECT u, v FROM reach UNION SELECT u, u FROM both_ways) r JOIN ruled x ON x.node = r.v WHERE x.action IS NOT NULL GROUP BY r.u)
+reach(u, least) AS (SELECT u, least(u, min(v)) FROM both_ways GROUP BY u UNION SELECT b.u, r.least FROM reach r JOIN both_ways b ON r.u = b.v WHERE r.least < b.u),
+label AS (SELECT u AS node, min(least) AS component FROM reach GROUP BY u),
+linked AS (SELECT DISTINCT url FROM (SELECT src AS url FROM links WHERE dst IS NOT NULL UNION SELECT dst FROM links WHERE src IS NOT NULL)),
+class_ AS (SELECT component, min(x.action) AS by_class FROM label JOIN ruled x USING (node) JOIN linked USING (url) WHERE x.action IS NOT NULL GROUP BY component),
+decided AS (SELECT node, by_class FROM label JOIN class_ USING (component))
 SELECT p.page_id, p.host, p.path, x.rule, coalesce(x.action, d.by_class, 'allow') AS verdict, x.action IS NULL AND d.by_class IS NOT NULL AS by_class
 FROM p LEFT JOIN ruled x ON p.url = x.url LEFT JOIN decided d ON x.node = d.node
 """
 
+URLS_SQL = f"WITH RECURSIVE given AS (SELECT page_id, url, html FROM pages), hops(src, dst) AS (SELECT NULL::VARCHAR, NULL::VARCHAR WHERE false), {_URLS}"
+
+PLANTED_SQL = f"""WITH RECURSIVE given AS (
+  SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'http://site' || (page_id % 13) || '.net/a/' || page_id ELSE url END AS url,
+    CASE page_id % 4 WHEN 0 THEN '<link title="rel=canonical" rel="next Canonical" href="/hub/../hub' || (page_id % 7) || '/./x?a=1&amp;b=2">' WHEN 1 THEN '<meta content=''0; url=http://hub' || (page_id % 11) || '.net/x'' http-equiv=refresh>'
+      WHEN 2 THEN '<link rel=stylesheet href=http://shop.com/de/canonical.css>' ELSE '<link href=//hub' || (page_id % 5) || '.net/x rel=canonical>' END AS html FROM pages),
+hops(src, dst) AS (
+  SELECT 'http://hub' || j || '.net/x', CASE j % 3 WHEN 0 THEN 'http://shop.com/de/' || j WHEN 1 THEN 'http://www.example.org/ok/' || j ELSE 'http://plain.net/' || j END FROM range(11) t(j)
+  UNION ALL SELECT 'https://site3.net/hub' || j || '/x?a=1&b=2', 'http://hub' || (j + 4) || '.net/x' FROM range(7) t(j)), {_URLS}"""
+
 CHATS_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

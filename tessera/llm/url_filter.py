@@ -8,12 +8,13 @@ components of these edges. A URL without a rule of its own takes the decision of
 class: allow if any member is explicitly allowed, else block if any is blocked. A rule
 of its own always goes first.
 
-Only built-in functions run here. Nodes are 128-bit digests of host, path and query,
-so the components hold no long strings.
+Only built-in functions run here. Pages are scanned once for links, which are stored. Nodes
+are 128-bit digests of host, path and query, so the components hold no long strings.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, meets no
-rule and is no node; a null page has no edges; repeated rows give repeated results; an
-empty table gives an empty one; other columns are not read.
+rule and is no node; a null page has no edges; very long pages are read whole; between rules
+of one length, and within a class, allow wins, so no ties are left; repeated rows give
+repeated results; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,13 +24,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import lookup
 from tessera.operators.components import connected_components
+from tessera.plans.shared import written
 
 #: Rules up to this number are compiled into one expression, beyond it they are joined.
 COMPILED = 200
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
+_TAG = r"(?is)<(?:link|meta)\s[^>]*>"
+_ATTRIBUTE = r"""(?s)[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
+_REFRESH = r"""(?i)(?:^|[;,\s])url\s*=\s*["']?([^"'\s]*)"""
 
 
 def _lower(text: Column) -> Column:
@@ -91,18 +97,34 @@ def _without_dots(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(left, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(left) > 0), "/").otherwise(""))
 
 
+def _attribute(attributes: Column, name: str) -> Column:
+    """The value of a tag's first attribute of a name, without its quotes; empty if there is none."""
+    first = F.get(F.filter(attributes, lambda x: x.rlike(rf"(?i)^{name}\s*=")), F.lit(0))
+    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(first, r"(?s)^[^=]*=\s*", ""), r"(?s)^([\"'])(.*)[\"']$", "$2")), F.lit(""))
+
+
+def _target(tag: Column) -> Column:
+    """What one tag refers to as a canonical link or a refresh; empty if it is neither."""
+
+    def of(found: Column) -> Column:
+        canonical = tag.rlike("(?i)^<link") & F.array_contains(F.split(F.lower(_attribute(found, "rel")), r"\s+"), "canonical")
+        refresh = tag.rlike("(?i)^<meta") & (F.lower(_attribute(found, "http-equiv")) == "refresh")
+        return F.when(canonical, _attribute(found, "href")).when(refresh, F.regexp_extract(_attribute(found, "content"), _REFRESH, 1)).otherwise("")
+
+    return F.get(F.transform(F.array(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(0))), of), F.lit(0))
+
+
 def page_targets(url: Column, html: Column) -> Column:
     """Absolute targets of a page's canonical links and meta refreshes.
 
-    Relative ones are resolved against the page's URL; a ``base`` element is not read.
+    Attributes are read one by one, so values and other attributes are not taken for them.
+    Relative targets are resolved against the page's URL; a ``base`` element is not read.
     Fragments alone and schemes without a host give none.
     """
     page = F.coalesce(html, F.lit(""))
-    tags = lambda name, needs: F.filter(F.regexp_extract_all(page, F.lit(rf"(?is)(<{name}\s[^>]*>)"), F.lit(1)), lambda t: t.rlike(needs))
-    canonical = F.transform(tags("link", r"(?i)rel\s*=\s*[\"']?[^\"'>]*canonical"), lambda t: F.regexp_extract(t, r"(?i)\shref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.transform(tags("meta", r"(?i)http-equiv\s*=\s*[\"']?refresh"), lambda t: F.regexp_extract(t, r"(?i)url\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    tags = F.regexp_extract_all(page, F.lit(_TAG), F.lit(0))
+    found = F.when(F.lower(page).rlike("canonical|refresh"), F.transform(tags, _target)).otherwise(F.array().cast("array<string>"))
     scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-    found = F.when(F.lower(page).rlike("canonical|refresh"), F.concat(canonical, refresh)).otherwise(F.array().cast("array<string>"))
     site = F.concat(scheme, F.lit("://"), host_of(url))
     folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)?", 1))
     within = lambda t: F.concat(site, _without_dots(F.regexp_extract(t, r"(?s)^[^?#]*", 0)), F.regexp_extract(t, r"(?s)[?#].*$", 0))
@@ -126,18 +148,19 @@ def filter_urls(
     the decision came from the class of the URL.
     """
     read = pages.select(id_col, F.col(url_col).alias("__url"), *([F.col(html_col).alias("__html")] if html_col else []))
-    edges = read.select(F.col("__url").alias("src"), F.explode(page_targets(F.col("__url"), F.col("__html"))).alias("dst")) if html_col else None
+    links = read.select(F.col("__url").alias("src"), F.explode(page_targets(F.col("__url"), F.col("__html"))).alias("dst")) if html_col else None
     if redirects is not None:
         more = redirects.select("src", "dst")
-        edges = more if edges is None else edges.unionByName(more)
-    ruled = with_rule(read.select(id_col, "__url"), rules, F.col("__url")).withColumn("__node", node_of(F.col("__url")))
-    if edges is not None:
-        classes = connected_components(edges.select(node_of(F.col("src")).alias("u"), node_of(F.col("dst")).alias("v")))
-        ends = edges.select(F.explode(F.array("src", "dst")).alias("__url")).where("__url is not null").distinct()
+        links = more if links is None else links.unionByName(more)
+    ruled = with_rule(read.select(id_col, "__url"), rules, F.col("__url"))
+    if links is not None:
+        edges = written(links.where("src is not null and dst is not null").distinct(), "links")
+        classes = written(connected_components(edges.select(node_of(F.col("src")).alias("u"), node_of(F.col("dst")).alias("v"))), "classes")
+        ends = edges.select(F.explode(F.array("src", "dst")).alias("__url")).distinct()
         decided = with_rule(ends, rules, F.col("__url")).where("action is not null").select(node_of(F.col("__url")).alias("node"), "action")
         verdicts = classes.join(decided, "node").groupBy("component").agg(F.min("action").alias("by"))  # 'allow' sorts before 'block'
-        of_node = classes.join(verdicts, "component").select(F.col("node").alias("__node"), "by")
-        ruled = ruled.join(of_node, "__node", "left")
+        of_node = written(classes.join(verdicts, "component").select(F.col("node").alias("__node"), "by"), "verdicts")
+        ruled = lookup(ruled.withColumn("__node", F.when(F.col("action").isNull(), node_of(F.col("__url")))).drop("__url"), of_node, ["__node"])
     else:
         ruled = ruled.withColumn("by", F.lit(None).cast("string"))
     return ruled.select(

@@ -93,6 +93,27 @@ def test_relative_targets(spark):
     assert got == {t: [u] if u else [] for t, u in want.items()} | {"bare": ["http://a.net/index.html"], "none": []}
 
 
+def test_attributes_are_read_one_by_one(spark):
+    want = {
+        "<link rel=stylesheet href=http://shop.com/de/canonical.css>": [], '<link title="rel=canonical" href="http://x.net/">': [], "<link rel=canonical href=http://x.net/a?b=c>": ["http://x.net/a?b=c"],
+        "<LINK HREF='http://x.net/1' data-href='http://no.net/' REL='Next CANONICAL'>": ["http://x.net/1"], '<link data-rel="canonical" href="http://x.net/">': [], '<link rel="canonical">': [],
+        '<meta name="refresh" content="0; url=http://x.net/">': [], "<meta content='5;URL=http://x.net/q' http-equiv=Refresh>": ["http://x.net/q"], '<meta http-equiv="refresh" content="30">': [],
+        "<meta http-equiv=\"refresh\" content=\"0; url='http://x.net/z'\">": ["http://x.net/z"], "<linked rel=canonical href=http://x.net/>": [], '<link\n rel = "canonical"\n href = " http://x.net/b " />': ["http://x.net/b"],
+        '<p>canonical</p><link rel="canonical" href="http://x.net/1"><link rel="canonical" href="http://x.net/2">': ["http://x.net/1", "http://x.net/2"], "<link " + "a='b' " * 20_000 + "rel=canonical href=http://x.net/l>": ["http://x.net/l"],
+    }
+    df = spark.createDataFrame([(t, "http://a.net/b") for t in want], "html string, url string")
+    assert {r.html: r.found for r in df.select("html", url_filter.page_targets(F.col("url"), F.col("html")).alias("found")).collect()} == want
+
+
+def test_planted_redirects_equal_sql(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"http://h{i % 9}.{'net' if i % 3 else 'com'}/{'de/' * (i % 2)}{i}", None) for i in range(200)] + [(900, None, None)], "page_id long, url string, html string")
+    tables(monkeypatch, pages=df)
+    got = queries.planted_redirects(spark, "")
+    assert plain(got) == in_duckdb(queries.PLANTED_SQL, pages=df)
+    by = Counter((r.verdict, r.by_class) for r in got.collect())
+    assert by["block", True] > 5 and by["allow", True] > 5, by
+
+
 def test_relative_links_join_classes(spark):
     link = lambda u: f'<link rel="canonical" href="{u}">'
     rows = [(1, "http://x.net/a/1", link("2")), (2, "http://x.net/a/2", link("../b/3")), (3, "http://x.net/b/3", link("http://shop.com/de/1")), (4, "http://x.net/b/4", '<meta http-equiv="refresh" content="0; url=3">')]
