@@ -1,9 +1,9 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds the anchors: at-signs, plus signs, URL schemes
-and identifier cues. A local parser for each kind then walks from the anchor to the
-boundaries and validates what it finds, so no pattern is tried at every position of
-the text. Runs of digits are their own anchors for addresses and card numbers.
+One Aho-Corasick pass over a text finds the anchors: at-signs, plus signs, URL schemes,
+identifier cues, dots between digits and neighbouring digits. A local parser for each kind
+then walks from the anchor to the boundaries and validates what it finds, so no pattern is
+tried at every position of the text.
 
 Base kinds (fixed rules, leftmost, non-overlapping for each kind; a candidate that
 fails its validation is dropped without a retry): email, ip, card, phone.
@@ -13,9 +13,10 @@ or a US social security number; a card number that the base rule lost beside oth
 digits), ``secret`` (the value after a credential cue, if it looks random, keys with a
 known prefix and private key blocks) and ``url`` (URLs that carry a user and password). Offsets count code points, the end is exclusive.
 
-Defined cases: a null text is the empty text; repeated rows give repeated results; an
-empty table gives an empty one; other columns are not read. All walks are linear in the
-text's length, also for long runs of digits or letters.
+Defined cases: a null text is the empty text; very long texts are read whole, and all walks
+are linear in the text's length, also for long runs of digits or letters; between equal
+matches the leftmost counts, so no ties arise; repeated rows give repeated results; an empty
+table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -75,6 +76,11 @@ def anchors():
                 found.add_word(form, (kind, 0))
     for prefix in KEY_PREFIXES:
         found.add_word(prefix, ("key", len(prefix)))
+    for a in "0123456789":
+        for b in "0123456789":
+            found.add_word(f"{a}.{b}", ("ip", 3))
+            for between in ("", " ", "-"):
+                found.add_word(f"{a}{between}{b}", ("card", 2 + len(between)))
     found.make_automaton()
     return found
 
@@ -117,40 +123,41 @@ def _email(text: str, at: int, after: int) -> tuple[int, int] | None:
     return (start, domain.end()) if domain else None
 
 
-def _addresses(text: str) -> list[tuple[int, int]]:
-    found = []
-    for run in _DOTTED.finditer(text):
-        if run[0].count(".") < 3:
-            continue
-        start, parts = run.start(), run[0].split(".")
-        for i in range(0, len(parts) - 3, 4):
-            four = parts[i : i + 4]
-            end = start + sum(map(len, four)) + 3
-            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
-                found.append((start, end))
-            start = end + 1
-    return found
-
-
-def _cards(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Runs that are card numbers, and card numbers within longer runs of digits."""
-    found, within = [], []
-    for run in _CARD.finditer(text):
-        digits = run[0].replace(" ", "").replace("-", "")
-        if 13 <= len(digits) <= 19 and luhn(digits):
-            found.append(run.span())
-        elif len(digits) > 16:
-            groups, i = list(re.finditer("[0-9]+", run[0])), 0
-            while i < len(groups):
-                for n in (1, 4, 3):  # one group, 4-4-4-4 or 4-6-5
-                    part = [g[0] for g in groups[i : i + n]]
-                    shape = tuple(map(len, part))
-                    if (n == 1 and 13 <= shape[0] <= 19 or shape in ((4, 4, 4, 4), (4, 6, 5))) and luhn("".join(part)):
-                        within.append((run.start() + groups[i].start(), run.start() + groups[i + n - 1].end()))
-                        i += n - 1
-                        break
-                i += 1
-    return found, within
+def _addresses(text: str, at: int, after: int) -> tuple[list[tuple[int, int]], int]:
+    """Addresses in the run of digits and dots round an anchor, and the end of the run."""
+    start = at
+    while start > after and "0" <= text[start - 1] <= "9":
+        start -= 1
+    run = _DOTTED.match(text, start)
+    found, parts = [], run[0].split(".")
+    for i in range(0, len(parts) - 3, 4):
+        four = parts[i : i + 4]
+        end = start + sum(map(len, four)) + 3
+        if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+            found.append((start, end))
+        start = end + 1
+    return found, run.end()
+
+
+def _cards(text: str, at: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]], int]:
+    """The run of digits that an anchor begins, if it is a card number, card numbers within a longer run, and its end."""
+    run = _CARD.match(text, at)
+    digits = run[0].replace(" ", "").replace("-", "")
+    if 13 <= len(digits) <= 19 and luhn(digits):
+        return [run.span()], [], run.end()
+    within: list[tuple[int, int]] = []
+    if len(digits) > 16:
+        groups, i = list(re.finditer("[0-9]+", run[0])), 0
+        while i < len(groups):
+            for n in (1, 4, 3):  # one group, 4-4-4-4 or 4-6-5
+                part = [g[0] for g in groups[i : i + n]]
+                shape = tuple(map(len, part))
+                if (n == 1 and 13 <= shape[0] <= 19 or shape in ((4, 4, 4, 4), (4, 6, 5))) and luhn("".join(part)):
+                    within.append((run.start() + groups[i].start(), run.start() + groups[i + n - 1].end()))
+                    i += n - 1
+                    break
+            i += 1
+    return [], within, run.end()
 
 
 def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
@@ -158,9 +165,21 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
     spans: dict[str, list[tuple[int, int]]] = {k: [] for k in BASE + ADDED}
     if not text:
         return spans
-    ends = dict.fromkeys(spans, 0)
+    ends, inside = dict.fromkeys(spans, 0), []
     for last, (kind, length) in anchors().iter(text):
         span = None
+        if kind == "card" or kind == "ip":
+            first = last + 1 - length
+            if first < ends[kind]:  # of a run that was parsed from its first anchor
+                continue
+            if kind == "card":
+                whole, within, ends[kind] = _cards(text, first)
+                spans["card"] += whole
+                inside += within
+            else:
+                whole, ends[kind] = _addresses(text, first, ends[kind])
+                spans["ip"] += whole
+            continue
         if kind == "key":
             kind, first = "secret", last + 1 - length
             before = text[first - 1 : first] if first else " "
@@ -193,9 +212,7 @@ def find(text: str | None) -> dict[str, list[tuple[int, int]]]:
         if span:
             spans[kind].append(span)
             ends[kind] = span[1]
-    spans["ip"] = _addresses(text)
-    spans["card"], within = _cards(text)
-    spans["account"] = sorted(spans["account"] + within)
+    spans["account"] = sorted(spans["account"] + inside)
     return spans
 
 
