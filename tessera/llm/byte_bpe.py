@@ -5,9 +5,10 @@ no match of the pattern can span: before a single space that stands between two
 characters that are not white space. Every alternative of the pattern takes a space
 at its start only, so the matches, and with them the ids, are those of the whole text.
 
-Defined cases: a null text is encoded as the empty text (no ids, no bytes); repeated
-rows give repeated results; an empty table gives an empty one; other columns than the
-named ones are not read, so their names cannot clash.
+Defined cases: a null text is encoded as the empty text (no ids, no bytes); very long
+texts are encoded whole; rows do not depend on each other, so no ties arise; repeated rows
+give repeated results; an empty table gives an empty one; other columns than the named ones
+are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -10,11 +10,13 @@ Tier one is a broadcast table of the lengths of frequent pre-tokens, at most
 FREQUENT entries of at most LONGEST characters. Tier two is each worker's own cache,
 emptied at CACHED entries; only what both miss is encoded.
 
-The frequent pre-tokens come from at most SAMPLE Arrow batches of documents. They only speed up the
-lookup: every text is counted in full, and the counts do not depend on the sample.
+The frequent pre-tokens come from the first Arrow batch of at most SAMPLE partitions, which
+are spread evenly over all. They only speed up the lookup: every text is counted in full, and
+the counts do not depend on the sample.
 
-Defined cases: a null text counts as the empty text (0 bytes, 0 tokens); repeated rows
-give repeated results; an empty table gives an empty one; other columns are not read.
+Defined cases: a null text counts as the empty text (0 bytes, 0 tokens); very long texts are
+counted whole; rows do not depend on each other, so no ties arise; repeated rows give
+repeated results; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import collections
 import re
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,20 +82,23 @@ def counter(model_file: str) -> Counter:
     return Counter(model_file)
 
 
-def frequent_lengths(df: DataFrame, model_file: str, text_col: str = "text", batches: int = SAMPLE) -> dict[str, int]:
-    """Lengths of the pre-tokens seen most often in the first ``batches`` Arrow batches, at most FREQUENT."""
+def frequent_lengths(df: DataFrame, model_file: str, text_col: str = "text", partitions: int = SAMPLE) -> dict[str, int]:
+    """Lengths of the pre-tokens seen most often in the first Arrow batches of some partitions, at most FREQUENT."""
     bounded_batches(df.sparkSession)
 
     def count(source):
-        for batch in source:
+        for batch in islice(source, 1):
             seen = collections.Counter()
             for text in batch.column(0).to_pylist():
                 seen.update(_SEGMENT.findall(f" {text or ''}"))
             top = [(s, n) for s, n in seen.most_common(FREQUENT // 4) if len(s) <= LONGEST]
             yield pa.RecordBatch.from_arrays([pa.array([[s for s, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], names=["segments", "n"])
 
+    counted = df.select(text_col).mapInArrow(count, "segments array<string>, n array<long>").rdd
+    every = counted.getNumPartitions()
+    chosen = sorted({i * every // partitions for i in range(min(partitions, every))} if every > partitions else range(every))
     seen: collections.Counter = collections.Counter()
-    for r in df.select(text_col).mapInArrow(count, "segments array<string>, n array<long>").limit(batches).collect():  # takes partitions one after another
+    for r in df.sparkSession.sparkContext.runJob(counted, list, chosen) if chosen else []:  # other partitions are not touched
         seen.update(dict(zip(r.segments, r.n, strict=True)))
     known = Counter(model_file)
     return {s: known[s] for s, n in seen.most_common(FREQUENT) if n > 1}
