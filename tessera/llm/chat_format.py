@@ -1,24 +1,29 @@
 """Chat formatting by schema fingerprints.
 
-The nested field paths of a record, without the types of their values, are hashed into
-a fingerprint, and the fingerprint selects a declarative mapping from that layout to
-canonical turns (position, role, text). Tables with a row for each turn are told by the
-paths of the table's schema, and JSON records each by its own paths, so one column may
-mix layouts. A fingerprint without a mapping is reported, never guessed.
+A record is a JSON object in one of many layouts: messages in a list under various names and
+depths, texts in parts, or a field for each turn. All its nested field paths, of every
+element at every depth and without types, are hashed into a fingerprint, and the fingerprint
+selects a declarative mapping to canonical turns (position, role, text), so one column may mix
+layouts. Top-level annotations (``ANNOTATIONS``) are left out of the paths; any other unknown
+path makes another fingerprint. A record without a mapping is returned without a layout and
+without a text, never dropped and never guessed.
 
 Template, for each turn: ``<|im_start|>`` role ``<|im_sep|>`` text ``<|im_end|>`` and a
 line feed. Inside roles and texts a backslash is doubled, and one backslash is put after
 the first character of every control string, so no control string can stand there and
-``unescape`` gives the text back. The loss mask holds the spans (code points, end
-exclusive) of the texts of assistant turns in the formatted text.
+``unescape`` gives the text back. The loss mask holds the spans of the texts of assistant
+turns in the formatted text, in code points and in bytes, ends exclusive.
 
-Only built-in functions run here. A conversation becomes one text, so its turns meet in
-one row by definition; offsets come from a window over the conversation.
+Only built-in functions run here. Values of strings are emptied before a record is parsed
+for its paths, so long texts cost one scan. A conversation becomes one text, so its turns meet
+in one row by definition; offsets come from a window over the conversation, and masked texts
+are cut by bytes, so both are linear in its length.
 
 Defined cases: a null role or text is empty; a null turn number sorts first, and turns
-with equal numbers by role and text; a null conversation id is one conversation;
-repeated rows are turns of their own; an empty table gives an empty one; other columns
-are not read.
+with equal numbers by role and text; rows without a conversation id are conversations of one
+turn, since nothing says that they belong together; repeated rows are turns of their own;
+records with repeated or null ids are formatted each; an empty list of messages has no turns
+and an empty text; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,13 +37,17 @@ START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 # Control strings of common templates.
 CONTROL = r"(<)(\||/?s>)|(\[)(/?INST\])|(<)(</?SYS>>)"
 
-#: layout -> (field paths, where turns come from). ``rows``: one row a turn, by column;
-#: ``list``: (array, role field, text field); ``fields``: (role, field) in order.
+# Names of roles in some layouts, and their canonical names.
+ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: layout -> where turns come from. ``list``: paths of the list, and within it of role and text,
+#: where ``[]`` joins the parts of a text; ``more``: further paths of the layout; ``fields``:
+#: (role, field) in order; ``roles``: names of roles that are not canonical.
 LAYOUTS: dict[str, dict] = {
-    "turn rows": {"rows": {"conversation": "conv_id", "turn": "turn", "role": "role", "text": "text"}},
     "messages": {"list": ("messages", "role", "content")},
-    "sharegpt": {"list": ("conversations", "from", "value")},
-    "dialog": {"list": ("dialog", "speaker", "text")},
+    "message parts": {"list": ("messages", "role", "content[].text"), "more": ("messages[].content[].type",)},
+    "sharegpt": {"list": ("conversations", "from", "value"), "roles": ROLES},
+    "dialog": {"list": ("dialog", "speaker", "text"), "roles": ROLES},
+    "nested turns": {"list": ("conversation.turns", "author.role", "message")},
     "instruction": {"fields": (("user", "instruction"), ("assistant", "output"))},
     "instruction with input": {"fields": (("user", "instruction"), ("user", "input"), ("assistant", "output"))},
     "prompt and completion": {"fields": (("user", "prompt"), ("assistant", "completion"))},
@@ -46,20 +55,24 @@ LAYOUTS: dict[str, dict] = {
     "system, prompt and response": {"fields": (("system", "system"), ("user", "prompt"), ("assistant", "response"))},
     "question and answer": {"fields": (("user", "question"), ("assistant", "answer"))},
 }
-# Names of roles in the layouts and their canonical names.
-ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Top-level fields that say something about a record and nothing about its layout.
+ANNOTATIONS = ("id", "lang", "meta", "metadata", "score", "source", "tags", "timestamp", "url")
+
+#: A string that is a key, or one that is a value.
+_STRING = r'(?s)("(?:[^"\\]++|\\.)*+"\s*+:)|(")(?:[^"\\]++|\\.)*+(")'
+#: Tokens of a schema as Spark writes it: a key, an opening, a closing, or a leaf.
+_TOKEN = r"(?:`(?:[^`]|``)*`|[A-Za-z0-9_]+): |OBJECT<|ARRAY<|>|[A-Z_]+(?:\([0-9, ]+\))?"
 
 
-def paths_of(layout: dict) -> list[str]:
-    if "rows" in layout:
-        return sorted(layout["rows"].values())
+def paths_of(layout: dict) -> list[tuple[str, ...]]:
+    """The sets of field paths that a layout has: a list may also be empty."""
     if "list" in layout:
         top, *fields = layout["list"]
-        return sorted(f"{top}[].{f}" for f in fields)
-    return sorted(f for _, f in layout["fields"])
+        return [tuple(sorted([*(f"{top}[].{f}" for f in fields), *layout.get("more", ())])), (f"{top}[]",)]
+    return [tuple(sorted(f for _, f in layout["fields"]))]
 
 
-def fingerprint_of(paths: list[str]) -> str:
+def fingerprint_of(paths: tuple[str, ...]) -> str:
     import hashlib
 
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
@@ -73,91 +86,132 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"\\(\\?)", "$1")
 
 
-def table_layout(df: DataFrame, layouts: dict[str, dict] = LAYOUTS) -> str:
-    """The layout with a row for each turn that the table's schema has; raises without one."""
-    have = set(df.columns)
-    for name, layout in layouts.items():
-        known = set(paths_of(layout)) if "rows" in layout else set()
-        if known and fingerprint_of(sorted(have & known)) == fingerprint_of(sorted(known)):
-            return name
-    raise ValueError(f"no layout has the fields {sorted(have)}")
+def field_paths(record: Column) -> Column:
+    """All nested field paths of a JSON object, such as ``messages[].role``; null for other texts.
 
+    The parser merges the elements of a list, so a path counts if any element has it.
+    """
+    empty = F.regexp_replace(record, _STRING, "$1$2$3")
+    shape = F.schema_of_variant(F.try_parse_json(empty))
+    top = lambda stack: F.element_at(stack, -1)
+    pop = lambda stack: F.slice(stack, F.lit(1), F.size(stack) - 1)
+    without_key = lambda stack: F.when((F.size(stack) > 0) & top(stack).startswith("."), pop(stack)).otherwise(stack)
+    key = lambda t: F.concat(F.lit("."), F.replace(F.regexp_replace(F.regexp_replace(t, ": $", ""), "^`|`$", ""), F.lit("``"), F.lit("`")))
 
-def fingerprint(record: Column, layouts: dict[str, dict] = LAYOUTS) -> Column:
-    """SHA-256 over the sorted field paths of a JSON text; null where it is no JSON object.
+    def step(state: Column, t: Column) -> Column:
+        stack, found = state["stack"], state["found"]
+        opens, is_key, closes = t.isin("OBJECT<", "ARRAY<"), t.endswith(": "), t == ">"
+        mark = F.when(t == "ARRAY<", F.lit("[]")).when(t == "OBJECT<", F.lit("")).otherwise(key(t))
+        after = F.when(is_key | opens, F.concat(stack, F.array(mark))).when(closes, without_key(pop(stack))).otherwise(without_key(stack))
+        more = F.when(is_key | opens | closes, found).otherwise(F.concat(found, F.array(F.substring(F.array_join(stack, ""), F.lit(2), F.lit(1 << 30)))))
+        return F.struct(after.alias("stack"), more.alias("found"))
 
-    Nesting is followed through one list of objects, which all the layouts share. Paths
-    that no layout names (ids, scores and the like) are left out before hashing.
-    """
-    known = sorted({p for layout in layouts.values() for p in paths_of(layout)})
-    value = F.try_parse_json(record)
-    shape = F.schema_of_variant(value)
-    top = F.array_sort(F.coalesce(F.json_object_keys(record), F.array().cast("array<string>")))
-    inner = lambda k: F.json_object_keys(F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("'][0]"))))
-    nested = F.transform(top, lambda k: F.coalesce(F.transform(inner(k), lambda f: F.concat(k, F.lit("[]."), f)), F.array(k)))
-    return F.when(shape.startswith("OBJECT<"), F.sha2(F.array_join(F.array_sort(F.filter(F.flatten(nested), lambda p: p.isin(known))), "\n"), 256))
+    nothing = F.array().cast("array<string>")
+    walked = F.aggregate(F.regexp_extract_all(shape, F.lit(_TOKEN), F.lit(0)), F.struct(nothing.alias("stack"), nothing.alias("found")), step, lambda s: s["found"])
+    return F.when(shape.startswith("OBJECT<"), F.array_sort(F.array_distinct(walked)))
+
+
+def fingerprint(record: Column) -> Column:
+    """SHA-256 over the sorted field paths of a JSON object without annotations; null for other texts."""
+    named = F.filter(field_paths(record), lambda p: ~p.rlike(rf"^(?:{'|'.join(ANNOTATIONS)})(?:[.\[]|$)"))
+    return F.sha2(F.array_join(named, "\n"), 256)
+
+
+def _schema(path: str) -> str:
+    """The schema of a dotted path, of which each part but the last is a struct or, with ``[]``, a list of them."""
+    first, _, rest = path.partition(".")
+    kind = f"struct<{_schema(rest)}>" if rest else "string"
+    return f"`{first.removesuffix('[]')}`: {f'array<{kind}>' if first.endswith('[]') else kind}"
 
 
-def _turn(pos: Column, role: Column, text: Column) -> Column:
-    return F.struct(pos.cast("int").alias("pos"), _role(role).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+def _at(value: Column, path: str) -> Column:
+    first, _, rest = path.partition(".")
+    if first.endswith("[]"):
+        inner = F.transform(value[first.removesuffix("[]")], lambda x: F.coalesce(_at(x, rest), F.lit("")))
+        return F.array_join(inner, "")
+    return _at(value[first], rest) if rest else value[first]
 
 
-def _listed(messages: Column, role: str, text: str) -> Column:
-    return F.transform(messages, lambda m, i: _turn(i, m[role], m[text]))
+def _merged(*schemas: str) -> str:
+    """Fields of two paths side by side; they share no first part."""
+    return ", ".join(schemas)
 
 
-def turns_from_json(df: DataFrame, id_col: str, record_col: str, layouts: dict[str, dict] = LAYOUTS) -> DataFrame:
-    """``(id_col, layout, turns array<struct<pos, role, text>>)``; both null where no mapping is known."""
+def _turns(record: Column, layout: dict) -> Column:
+    """The turns of records in a layout."""
+    names = layout.get("roles", {})
+
+    def role(value: Column) -> Column:
+        value = F.coalesce(value, F.lit(""))
+        return F.coalesce(F.create_map(*(F.lit(x) for pair in names.items() for x in pair))[F.lower(value)], value) if names else value
+
+    turn = lambda pos, who, text: F.struct(pos.cast("int").alias("pos"), who.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    if "list" in layout:
+        top, who, text = layout["list"]
+        *above, last = top.split(".")
+        kind = f"`{last}`: array<struct<{_merged(_schema(who), _schema(text))}>>"
+        for name in reversed(above):
+            kind = f"`{name}`: struct<{kind}>"
+        value = F.from_json(record, f"struct<{kind}>", {"maxStringLen": str((1 << 31) - 1)})
+        for name in [*above, last]:
+            value = value[name]
+        return F.transform(value, lambda m, i: turn(i, role(_at(m, who)), _at(m, text)))
+    value = F.from_json(record, f"struct<{', '.join(f'`{f}`: string' for _, f in layout['fields'])}>", {"maxStringLen": str((1 << 31) - 1)})
+    made = F.array(*(turn(F.lit(i), F.lit(who), value[field]) for i, (who, field) in enumerate(layout["fields"])))
+    return F.filter(made, lambda x: ~((x["role"] == "user") & (x["text"] == "") & (x["pos"] > 0)))
+
+
+def turns_from_json(df: DataFrame, record_col: str, layouts: dict[str, dict] = LAYOUTS) -> DataFrame:
+    """``df`` with ``layout`` and ``turns array<struct<pos, role, text>>``; both null where no mapping is known."""
+    kind = "array<struct<pos: int, role: string, text: string>>"
     print_, record = F.col("__print"), F.col(record_col)
-    name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<pos: int, role: string, text: string>>")
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast(kind)
     for known, layout in layouts.items():
-        if "list" in layout:
-            top, role, text = layout["list"]
-            schema = f"struct<{top}: array<struct<`{role}`: string, `{text}`: string>>>"
-            made = _listed(F.from_json(record, schema)[top], role, text)
-        elif "fields" in layout:
-            made = F.array(*(_turn(F.lit(i), F.lit(role), F.get_json_object(record, f"$.{field}")) for i, (role, field) in enumerate(layout["fields"])))
-            made = F.filter(made, lambda x: ~((x["role"] == "user") & (x["text"] == "") & (x["pos"] > 0)))
-        else:
-            continue
-        mine = print_ == fingerprint_of(paths_of(layout))
-        name, turns = F.when(mine, F.lit(known)).otherwise(name), F.when(mine, made).otherwise(turns)
-    return df.select(id_col, record_col, fingerprint(record, layouts).alias("__print")).select(id_col, name.alias("layout"), turns.alias("turns"))
-
-
-def _role(role: Column) -> Column:
-    low = F.lower(F.coalesce(role, F.lit("")))
-    out = low
-    for name, canonical in ROLES.items():
-        out = F.when(low == name, F.lit(canonical)).otherwise(out)
-    return out
-
-
-def format_turns(turns: DataFrame, id_col: str, order: list[str], role_col: str, text_col: str, trained_role: str = "assistant") -> DataFrame:
-    """``(id_col, formatted, mask array<struct<start, end>>)`` from one row for each turn."""
+        mine = print_.isin([fingerprint_of(p) for p in paths_of(layout)])
+        name, turns = F.when(mine, F.lit(known)).otherwise(name), F.when(mine, F.coalesce(_turns(record, layout), F.array().cast(kind))).otherwise(turns)
+    return df.withColumn("__print", fingerprint(record)).withColumns({"layout": name, "turns": turns}).drop("__print")
+
+
+def format_turns(turns: DataFrame, keys: list[str], order: list[str], role_col: str, text_col: str, trained_role: str = "assistant") -> DataFrame:
+    """``(*keys, formatted, mask array<struct<start, end, first_byte, last_byte>>)`` from one row for each turn.
+
+    A row whose role and text are both null is no turn, and keeps a conversation without any.
+    """
     role, text = escape(F.col(role_col)), escape(F.col(text_col))
+    is_turn = F.col(role_col).isNotNull() | F.col(text_col).isNotNull()
     rows = turns.select(
-        F.col(id_col), F.struct(*order, role_col, text_col).alias("__at"), (F.coalesce(F.col(role_col), F.lit("")) == trained_role).alias("__trained"),
-        F.concat(F.lit(START), role, F.lit(SEP)).alias("__head"), text.alias("__text"),
+        *keys, F.struct(*order, role_col, text_col).alias("__at"), (F.coalesce(F.col(role_col), F.lit("")) == trained_role).alias("__trained"),
+        F.when(is_turn, F.concat(F.lit(START), role, F.lit(SEP))).alias("__head"), text.alias("__text"),
     )
-    before = Window.partitionBy(id_col).orderBy("__at")
-    rows = rows.withColumn("__piece", F.concat("__head", "__text", F.lit(END)))
-    rows = rows.withColumn("__n", F.row_number().over(before)).withColumn("__from", F.coalesce(F.sum(F.length("__piece")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.length("__head"))
-    span = F.when(F.col("__trained"), F.struct(F.col("__from").alias("start"), (F.col("__from") + F.length("__text")).alias("end")))
-    joined = rows.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("__n", "__piece"))).alias("pieces"), F.sort_array(F.collect_list(span)).alias("mask"))
-    return joined.select(id_col, F.array_join(F.col("pieces")["__piece"], "").alias("formatted"), "mask")
+    before = Window.partitionBy(*keys).orderBy("__at")
+    rows = rows.withColumn("__piece", F.concat("__head", "__text", F.lit(END))).withColumn("__n", F.row_number().over(before))
+    upto = lambda size: F.coalesce(F.sum(size("__piece")).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + size("__head")
+    rows = rows.withColumns({"__from": upto(F.length), "__byte": upto(F.octet_length)})
+    span = F.struct(F.col("__from").alias("start"), (F.col("__from") + F.length("__text")).alias("end"), F.col("__byte").alias("first_byte"), (F.col("__byte") + F.octet_length("__text")).alias("last_byte"))
+    joined = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("__piece").isNotNull(), F.struct("__n", "__piece")))).alias("pieces"), F.sort_array(F.collect_list(F.when(F.col("__trained"), span))).alias("mask"))
+    return joined.select(*keys, F.array_join(F.col("pieces")["__piece"], "").alias("formatted"), "mask")
 
 
-def format_table(df: DataFrame, layouts: dict[str, dict] = LAYOUTS) -> DataFrame:
-    """Formats a table of turns; its layout is told by its schema."""
-    at = layouts[table_layout(df, layouts)]["rows"]
-    return format_turns(df, at["conversation"], [at["turn"]], at["role"], at["text"])
+def format_json(df: DataFrame, id_col: str, record_col: str, layouts: dict[str, dict] = LAYOUTS, keys: list[str] | None = None) -> DataFrame:
+    """``(id_col, layout, formatted, mask)`` of every record; all but the id are null without a mapping.
+
+    ``keys`` tell the records apart, by default numbers given to them here.
+    """
+    rows = df if keys else df.withColumn("__record", F.monotonically_increasing_id())
+    keys = keys or ["__record"]
+    by = [*dict.fromkeys([*keys, id_col]), "layout"]
+    turns = turns_from_json(rows.select(*dict.fromkeys([*keys, id_col, record_col])), record_col, layouts)
+    each = turns.select(*by, F.explode_outer("turns").alias("t")).select(*by, F.col("t.pos").alias("__pos"), F.col("t.role").alias("__role"), F.col("t.text").alias("__said"))
+    done = format_turns(each, by, ["__pos"], "__role", "__said")
+    known = F.col("layout").isNotNull()
+    return done.select(id_col, "layout", F.when(known, F.col("formatted")).alias("formatted"), F.when(known, F.col("mask")).alias("mask"))
 
 
-def format_json(df: DataFrame, id_col: str, record_col: str, layouts: dict[str, dict] = LAYOUTS) -> DataFrame:
-    """Formats JSON records; those without a known mapping are left out (see turns_from_json)."""
-    turns = turns_from_json(df, id_col, record_col, layouts).where("layout is not null").select(id_col, F.explode("turns").alias("t"))
-    return format_turns(turns.select(id_col, F.col("t.pos").alias("pos"), F.col("t.role").alias("role"), F.col("t.text").alias("text")), id_col, ["pos"], "role", "text")
+def fold_turns(turns: DataFrame, id_col: str, order: str, role_col: str, text_col: str) -> DataFrame:
+    """Rows of turns as ``(id_col, __row, turns)``, in order; rows without an id stay by themselves, told apart by ``__row``."""
+    alone = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    said = F.struct(F.col(order).alias("at"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
+    return turns.select(id_col, alone.alias("__row"), said.alias("said")).groupBy(id_col, "__row").agg(F.sort_array(F.collect_list("said")).alias("turns"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -170,14 +224,25 @@ def read_back(formatted: Column) -> Column:
 
 
 def masked_text(formatted: Column, mask: Column) -> Column:
-    """All text under the mask, unescaped, with nothing between."""
-    return F.array_join(F.transform(mask, lambda m: unescape(F.substring(formatted, m["start"].cast("int") + 1, (m["end"] - m["start"]).cast("int")))), "")
+    """All text under the mask, unescaped, with nothing between; cut by bytes, so a text is not counted through for each span."""
+    cut = lambda raw: lambda m: unescape(F.substring(raw, m["first_byte"].cast("int") + 1, (m["last_byte"] - m["first_byte"]).cast("int")).cast("string"))
+    parts = F.transform(F.array(formatted.cast("binary")), lambda raw: F.array_join(F.transform(mask, cut(raw)), ""))
+    return F.get(parts, F.lit(0))
 
 
 def example_record(layout: str) -> str:
     """A JSON record in a layout, for documentation and tests."""
     known = LAYOUTS[layout]
-    if "list" in known:
-        top, role, text = known["list"]
-        return json.dumps({top: [{role: "user", text: "a"}, {role: "assistant", text: "b"}]})
-    return json.dumps({field: role for role, field in known["fields"]})
+    if "fields" in known:
+        return json.dumps({field: role for role, field in known["fields"]})
+
+    def nested(path: str, value):
+        first, _, rest = path.partition(".")
+        inner = nested(rest, value) if rest else value
+        return {first.removesuffix("[]"): [inner] if first.endswith("[]") else inner}
+
+    top, who, text = known["list"]
+    messages = [nested(who, role) | nested(text, said) for role, said in (("user", "a"), ("assistant", "b"))]
+    if "more" in known:
+        messages = [{**m, "content": [{**part, "type": "text"} for part in m["content"]]} for m in messages]
+    return json.dumps(nested(top, messages))

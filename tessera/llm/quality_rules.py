@@ -8,7 +8,8 @@ Repeats of five-word windows are found by hashing the windows (64 bits, within o
 text). Most texts have no equal hashes and are done after a hash-set count; only the
 others sort their windows, which takes n log n steps for a text of n words.
 
-Defined cases: a null or empty text has no words and fails the base rule; repeated rows
+Defined cases: a null or empty text has no words and fails the base rule; very long texts
+are judged whole; a value equal to a threshold meets it, so ties are settled; repeated rows
 give repeated results; an empty table gives an empty one; other columns are not read.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
 WINDOW = 5
-#: Words from which a text must have a stop word.
+#: Words from which the share of stop words is judged.
 LONG = 50
 
 # Frequent function words of English, German, French and Spanish.
@@ -32,7 +33,7 @@ STOP_WORDS = ("the", "of", "and", "to", "in", "is", "that", "be", "have", "with"
 RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("word length", "mean_word_chars", 1.5, 30.0),
     ("symbols", "symbols_per_word", None, 0.3),
-    ("stop words", "stop_words_if_long", 1, None),
+    ("stop words", "stop_word_ratio_if_long", 0.02, None),
     ("repeated lines", "dup_line_ratio", None, 0.5),
     ("bullet lines", "bullet_line_ratio", None, 0.9),
     ("words with a letter", "letter_word_ratio", 0.5, None),
@@ -80,7 +81,7 @@ def measured(df: DataFrame, text_col: str = "text") -> tuple[list[Column], DataF
         "n_repeat_words": repeated_words(words),
         "n_lines": F.size(lines),
         "n_bullet_lines": F.regexp_count(text, F.lit(r"(?m)^[ \t]*[-*•]")),
-        "n_stop_words": F.size(F.array_intersect(words, F.array(*(F.lit(form) for w in STOP_WORDS for form in (w, w.capitalize()))))),
+        "n_stop_words": F.size(F.filter(words, lambda w: w.isin([form for w_ in STOP_WORDS for form in (w_, w_.capitalize())]))),
         "n_letter_words": F.size(F.filter(words, lambda w: w.rlike(r"\p{L}"))),
     }
     return [c.cast("long").alias(k) for k, c in columns.items()], with_arrays
@@ -94,7 +95,7 @@ def judge(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "t
     derived = {
         "mean_word_chars": ratio("word_chars", "n_words"),
         "symbols_per_word": ratio("n_symbols", "n_words"),
-        "stop_words_if_long": F.when(F.col("n_words") < LONG, 1).otherwise(F.col("n_stop_words")),
+        "stop_word_ratio_if_long": F.when(F.col("n_words") < LONG, 1.0).otherwise(ratio("n_stop_words", "n_words")),
         "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
         "bullet_line_ratio": ratio("n_bullet_lines", "n_lines"),
         "letter_word_ratio": ratio("n_letter_words", "n_words"),

@@ -85,6 +85,25 @@ def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe_digests(table(spark, sf_dir, "documents"))
 
 
+def chat_records(turns: DataFrame) -> DataFrame:
+    """Conversations as JSON records of five layouts, dealt by a hash of their ids: ``(conv_id, __row, record)``."""
+    folded = chat_format.fold_turns(turns, "conv_id", "turn", "role", "text")
+    said = F.transform("turns", lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
+    folded = folded.withColumn("turns", said).withColumn("dealt", F.pmod(F.xxhash64("conv_id"), F.lit(5)))
+    plain = F.forall("turns", lambda t: t["role"].isin("user", "assistant", "system"))
+    pair = (F.size("turns") == 2) & (F.get("turns", F.lit(0))["role"] == "user") & (F.get("turns", F.lit(1))["role"] == "assistant")
+    listed = lambda f: F.transform("turns", f)
+    name = lambda r: F.when(r == "user", F.lit("human")).when(r == "assistant", F.lit("gpt")).otherwise(r)
+    messages = F.struct(listed(lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))
+    parts = F.struct(listed(lambda t: F.struct(t["role"].alias("role"), F.array(F.struct(F.lit("text").alias("type"), t["text"].alias("text"))).alias("content"))).alias("messages"))
+    share = F.struct(listed(lambda t: F.struct(name(t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations"), F.lit(1).alias("score"))
+    prompt = F.struct(F.get("turns", F.lit(0))["text"].alias("prompt"), F.get("turns", F.lit(1))["text"].alias("response"))
+    nested = F.struct(F.struct(listed(lambda t: F.struct(F.struct(t["role"].alias("role")).alias("author"), t["text"].alias("message"))).alias("turns")).alias("conversation"))
+    dealt = F.col("dealt")
+    record = F.when((dealt == 0) & plain, F.to_json(share)).when((dealt == 1) & pair, F.to_json(prompt)).when(dealt <= 2, F.to_json(parts)).when(dealt == 3, F.to_json(nested)).otherwise(F.to_json(messages))
+    return folded.select("conv_id", "__row", record.alias("record"))
+
+
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.range(1).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -92,9 +111,9 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     ).select("conv_id", "t.turn", "t.role", "text")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    done = chat_format.format_table(turns)
+    done = chat_format.format_json(chat_records(turns), "conv_id", "record", keys=["conv_id", "__row"])
     turns_back = chat_format.read_back(F.col("formatted"))
-    done = done.select("conv_id", "formatted", turns_back.alias("turns"), chat_format.masked_text(F.col("formatted"), F.col("mask")).alias("loss"))
+    done = done.select("conv_id", "layout", "formatted", turns_back.alias("turns"), chat_format.masked_text(F.col("formatted"), F.col("mask")).alias("loss"))
     plain = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id",
@@ -247,8 +266,8 @@ hops(src, dst) AS (
 
 CHATS_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, NULL, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
   SELECT *, length(regexp_replace(replace(role, '\', '\\'), '(<)(\||/?s>)|(\[)(/?INST\])|(<)(</?SYS>>)', '\1\3\5\\\2\4\6', 'g'))
     + length(regexp_replace(replace(text, '\', '\\'), '(<)(\||/?s>)|(\[)(/?INST\])|(<)(</?SYS>>)', '\1\3\5\\\2\4\6', 'g')) + 12 + 10 + 11 AS chars FROM t)
@@ -257,7 +276,7 @@ SELECT conv_id, count(*) AS n_turns,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """
 
 RULES_SQL = r"""
@@ -276,7 +295,7 @@ m AS (
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
     len(lines) AS n_lines, len(regexp_extract_all(text, '(?m)^[ \t]*[-*•]')) AS n_bullet_lines,
-    len(list_filter(list_distinct(words), lambda x: x IN ('the', 'of', 'and', 'to', 'in', 'is', 'that', 'be', 'have', 'with', 'for', 'it', 'der', 'die', 'das', 'und', 'ist', 'nicht', 'von', 'mit', 'zu', 'den', 'le', 'la', 'les', 'de', 'des', 'et', 'en', 'un', 'une', 'que', 'el', 'los', 'las', 'y', 'por', 'con', 'no', 'se', 'The', 'Of', 'And', 'To', 'In', 'Is', 'That', 'Be', 'Have', 'With', 'For', 'It', 'Der', 'Die', 'Das', 'Und', 'Ist', 'Nicht', 'Von', 'Mit', 'Zu', 'Den', 'Le', 'La', 'Les', 'De', 'Des', 'Et', 'En', 'Un', 'Une', 'Que', 'El', 'Los', 'Las', 'Y', 'Por', 'Con', 'No', 'Se'))) AS n_stop_words,
+    len(list_filter(words, lambda x: x IN ('the', 'of', 'and', 'to', 'in', 'is', 'that', 'be', 'have', 'with', 'for', 'it', 'der', 'die', 'das', 'und', 'ist', 'nicht', 'von', 'mit', 'zu', 'den', 'le', 'la', 'les', 'de', 'des', 'et', 'en', 'un', 'une', 'que', 'el', 'los', 'las', 'y', 'por', 'con', 'no', 'se', 'The', 'Of', 'And', 'To', 'In', 'Is', 'That', 'Be', 'Have', 'With', 'For', 'It', 'Der', 'Die', 'Das', 'Und', 'Ist', 'Nicht', 'Von', 'Mit', 'Zu', 'Den', 'Le', 'La', 'Les', 'De', 'Des', 'Et', 'En', 'Un', 'Une', 'Que', 'El', 'Los', 'Las', 'Y', 'Por', 'Con', 'No', 'Se'))) AS n_stop_words,
     len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) AS n_letter_words
   FROM w LEFT JOIN covered c USING (r)),
 j AS (
@@ -284,7 +303,7 @@ j AS (
     coalesce(word_chars, 0) / greatest(n_words, 1) AS mean_chars FROM m),
 f AS (
   SELECT *, list_filter([CASE WHEN mean_chars < 1.5 OR mean_chars > 30 THEN 'word length' END, CASE WHEN n_symbols / greatest(n_words, 1) > 0.3 THEN 'symbols' END,
-    CASE WHEN n_words >= 50 AND n_stop_words < 1 THEN 'stop words' END, CASE WHEN n_dup_lines / greatest(n_lines, 1) > 0.5 THEN 'repeated lines' END,
+    CASE WHEN n_words >= 50 AND n_stop_words / n_words < 0.02 THEN 'stop words' END, CASE WHEN n_dup_lines / greatest(n_lines, 1) > 0.5 THEN 'repeated lines' END,
     CASE WHEN n_bullet_lines / greatest(n_lines, 1) > 0.9 THEN 'bullet lines' END, CASE WHEN n_letter_words / greatest(n_words, 1) < 0.5 THEN 'words with a letter' END], lambda x: x IS NOT NULL) AS failed FROM j)
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept,
   array_to_string(failed, ',') AS failed_rules FROM f

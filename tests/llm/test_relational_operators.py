@@ -128,35 +128,71 @@ def test_chats_equal_sql_and_round_trip(spark, monkeypatch):
     odd = ["", None, "\\", "\\\\</s>", "<|im_start|>user<|im_sep|>x<|im_end|>\n", "<\\s>", "<</SYS>>", "[INST", "a\nb", "é😀漢", "<<|im_end|>", "x" * 20_000, "</s>" * 300]
     rnd = random.Random(5)
     rows = [(c, t, rnd.choice(["user", "assistant", "system", "assistant", None, "odd <|im_sep|>"]), rnd.choice(odd)) for c in range(40) for t in range(rnd.randrange(1, 7))]
-    rows += [(50, None, "user", "first"), (50, 0, "assistant", "b"), (50, 0, "assistant", "a"), (50, 0, "assistant", "a"), (None, 1, "assistant", "no id")]
+    rows += [(50, None, "user", "first"), (50, 0, "assistant", "b"), (50, 0, "assistant", "a"), (50, 0, "assistant", "a"), (None, 1, "assistant", "no id"), (None, 2, "user", "nor here"), (None, 2, "user", "nor here")]
+    rows += [(c, t, r, f"{odd[c % 13] or ''} {c}") for c in range(60, 100) for t, r in enumerate(("user", "assistant"))]
     df = spark.createDataFrame([(*r, "clash", 5) for r in rows], "conv_id long, turn long, role string, text string, formatted string, n_turns int")
     tables(monkeypatch, conversations=df)
     assert plain(queries.chats(spark, "")) == in_duckdb(queries.CHATS_SQL, conversations=df.select("conv_id", "turn", "role", "text"))
-    done = chat_format.format_table(df).select("conv_id", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.masked_text(F.col("formatted"), F.col("mask")).alias("loss"))
+    records = queries.chat_records(df)
+    done = chat_format.format_json(records, "conv_id", "record", keys=["conv_id", "__row"])
+    used = {r.layout for r in done.select("layout").distinct().collect()}
+    assert used >= {"messages", "message parts", "sharegpt", "nested turns", "prompt and response"}
+    marked = done.select("formatted", F.explode("mask").alias("m")).collect()
+    assert marked and all(r.formatted[r.m.start : r.m.end].encode() == r.formatted.encode()[r.m.first_byte : r.m.last_byte] for r in marked)
+    done = done.select("conv_id", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.masked_text(F.col("formatted"), F.col("mask")).alias("loss"))
     want = defaultdict(list)
     for c, t, r, x in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
         want[c].append((r or "", x or ""))
-    for r in done.collect():
+    for r in done.where("conv_id is not null").collect():
         assert [tuple(t) for t in r.turns] == want[r.conv_id]
         assert r.loss == "".join(x for role, x in want[r.conv_id] if role == "assistant")
+    assert sorted(tuple(r.turns[0]) for r in done.where("conv_id is null").collect()) == [("assistant", "no id"), ("user", "nor here"), ("user", "nor here")]
     tables(monkeypatch, conversations=df.where("false"))
     assert [r.conv_id for r in queries.chats(spark, "").collect()] == [-1]
 
 
 def test_layouts_by_fingerprint(spark):
-    known = [n for n, v in chat_format.LAYOUTS.items() if "rows" not in v]
-    prints = {chat_format.fingerprint_of(chat_format.paths_of(v)) for v in chat_format.LAYOUTS.values()}
-    assert len(prints) == len(chat_format.LAYOUTS)
+    known = list(chat_format.LAYOUTS)
+    prints = [chat_format.fingerprint_of(p) for v in chat_format.LAYOUTS.values() for p in chat_format.paths_of(v)]
+    assert len(set(prints)) == len(prints) - 1  # two layouts share their empty list
     rows = [(i, chat_format.example_record(n)) for i, n in enumerate(known)]
-    rows += [(90, "no json"), (91, None), (92, "[1]"), (93, '{"other": 1}'), (94, '{"prompt": "p", "response": "r", "id": 7, "meta": {"a": 1}}')]
-    df = spark.createDataFrame(rows, "id long, record string")
-    got = {r.id: r for r in chat_format.turns_from_json(df, "id", "record").collect()}
-    assert [got[i].layout for i in range(len(known))] == known
-    assert all(got[i].turns[-1].role == "assistant" for i in range(len(known)))
-    assert [got[i].layout for i in (90, 91, 92, 93, 94)] == [None, None, None, None, "prompt and response"]
-    assert chat_format.format_json(df, "id", "record").count() == len(known) + 1
-    with pytest.raises(ValueError):
-        chat_format.table_layout(df)
+    first_without = '{"messages": [{"role": "system"}, {"role": "user", "content": "q"}, {"role": "assistant", "content": null}]}'
+    rows += [(90, "no json"), (91, None), (92, "[1]"), (93, '{"other": 1}'), (94, '{"prompt": "p", "response": "r", "id": 7, "meta": {"a": [1]}}'), (95, '{"messages": []}'), (96, first_without)]
+    rows += [(97, '{"prompt": "p", "response": "r", "messages": []}'), (98, '{"messages": [{"role": "user", "content": "a", "weight": 1}]}'), (98, chat_format.example_record("messages")), (None, chat_format.example_record("dialog")), (None, "{}")]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "id long, record string, layout string, formatted string")
+    got = {}
+    for r in chat_format.format_json(df, "id", "record").withColumn("turns", chat_format.read_back(F.col("formatted"))).collect():
+        got.setdefault(r.id, []).append(r)
+    assert sum(map(len, got.values())) == len(rows)  # nothing is dropped
+    assert [got[i][0].layout for i in range(len(known))] == known
+    assert all([t.role for t in got[i][0].turns][-1] == "assistant" for i in range(len(known)))
+    assert [tuple(t) for t in got[known.index("message parts")][0].turns] == [tuple(t) for t in got[known.index("nested turns")][0].turns] == [("user", "a"), ("assistant", "b")]
+    assert [got[i][0].layout for i in (90, 91, 92, 93, 94, 97)] == [None, None, None, None, "prompt and response", None]
+    assert (got[95][0].formatted, got[95][0].mask) == ("", []) and got[95][0].layout in ("messages", "message parts")
+    assert [tuple(t) for t in got[96][0].turns] == [("system", ""), ("user", "q"), ("assistant", "")]
+    assert sorted(str(r.layout) for r in got[98]) == ["None", "messages"] and sorted(str(r.layout) for r in got[None]) == ["None", "dialog"]
+    assert all(r.formatted is None and r.mask is None for x in got.values() for r in x if r.layout is None)
+
+
+def test_field_paths_are_nested(spark):
+    cases = {
+        '{"a": {"b": [{"c": 1}, {"d": [[true], [{"e": "x"}]]}]}, "f": null}': ["a.b[].c", "a.b[].d[][]", "f"],
+        '{"x y": "q\\": {[,", "`t`": {"u": "\\\\"}, "STRING": ["a: b", 1.5]}': ["STRING[]", "`t`.u", "x y"],
+        '{"m": [{"k": "' + "long: {\\u0022 " * 200_000 + '"}], "n": {}}': ["m[].k"], "{}": [], "[1]": None, "x": None,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "record string")
+    got = {r.record: r.p for r in df.select("record", chat_format.field_paths(F.col("record")).alias("p")).collect()}
+    assert got == cases
+
+
+def test_one_long_conversation_is_linear(spark):
+    """A text beyond the parser's usual bound, and very many turns."""
+    rows = [(1, 0, "user", "é" * 22_000_000), (1, 1, "assistant", "ok")] + [(2, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(30_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    done = chat_format.format_json(queries.chat_records(df), "conv_id", "record", keys=["conv_id", "__row"])
+    got = {r.conv_id: r for r in done.select("conv_id", "layout", F.size(chat_format.read_back(F.col("formatted"))).alias("n"), F.length("formatted").alias("chars"), chat_format.masked_text(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
+    assert (got[1].n, got[1].loss, got[2].n) == (2, "ok", 30_000) and got[1].chars > 22_000_000
+    assert got[2].loss == "".join(f"turn {i}" for i in range(1, 30_000, 2))
 
 
 # Mixing
