@@ -8,9 +8,9 @@ length fills the rest, which is at most a few times the longest document. Then e
 length's count of documents is selected in the order of a seeded hash.
 
 The selection is a threshold: the documents of a source and length up to a hash are taken.
-A first part of the hash deals them over buckets, counts by bucket tell which bucket is cut,
-and only this one is ranked, so a length that a third of all rows share is spread over
-BUCKETS groups. The thresholds, one row for each source and length, are all that is joined
+The first bits of the hash deal them over buckets, counts by bucket tell which bucket is cut,
+and only this one is ranked, so a length that a third of all rows share is spread over a
+thousand groups. The thresholds, one row for each source and length, are all that is joined
 to the documents, whose texts are not shuffled.
 
 Targets are found by aggregates over the table of sources, whatever their number. One task
@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import lookup
 from tessera.plans.shared import numbered, written
 
-BUCKETS = 1024
+#: Bits of the hash that deal a length's documents over 32 buckets, and each of these over 32.
+BITS = (5, 10)
 #: Copies that one row is repeated to at a time.
 REPEATS = 4096
 
@@ -143,12 +144,18 @@ def _cuts(sized: DataFrame, weights, share, most, seed) -> DataFrame:
 
     fitted = lookup(lengths, sources.select("__source", "__budget"), ["__source"]).groupBy("__source").applyInPandas(fit, "__source string, __size long, __quota long")
     quotas = written(fitted, "quotas")
-    hashed = groups.withColumn("__bucket", F.shiftright("__hash", 65 - BUCKETS.bit_length()).cast("int"))
-    per = lookup(hashed.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__n")), quotas.where("__quota > 0"), keys, "inner")
     upto = lambda order: F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    reached = lambda df, order, room: df.withColumn("__before", upto(order)).where((F.col("__before") < F.col(room)) & (F.col(room) <= F.col("__before") + F.col("__n")))
-    cut = written(reached(per, "__bucket", "__quota").select(*keys, "__bucket", (F.col("__quota") - F.col("__before")).alias("__room")), "cut-buckets")
-    last = reached(lookup(hashed, cut, [*keys, "__bucket"], "inner"), "__hash", "__room")
+    reached = lambda df, order: df.withColumn("__before", upto(order)).where((F.col("__before") < F.col("__room")) & (F.col("__room") <= F.col("__before") + F.col("__n")))
+    cut, above = quotas.where("__quota > 0").select(*keys, F.col("__quota").alias("__room")), []
+    for bits in BITS:  # a window has the parts of one bucket only
+        hashed = groups.withColumn("__bucket", F.shiftright("__hash", 64 - bits))
+        if above:
+            hashed = hashed.withColumn("__above", F.shiftright("__hash", 64 - above[-1]))
+        asked = lookup(hashed, cut, [*keys, *(["__above"] if above else [])], "inner")
+        per = asked.groupBy(*keys, "__bucket").agg(F.sum("__n").alias("__n"), F.first("__room").alias("__room"))
+        cut = written(reached(per, "__bucket").select(*keys, F.col("__bucket").alias("__above"), (F.col("__room") - F.col("__before")).alias("__room")), "cut-buckets")
+        above.append(bits)
+    last = reached(lookup(groups.withColumn("__above", F.shiftright("__hash", 64 - BITS[-1])), cut, [*keys, "__above"], "inner"), "__hash")
     left = F.col("__room") - F.col("__before")
     cuts = written(last.select(*keys, F.col("__hash").alias("__cut"), F.when(left < F.col("__n"), left).otherwise(0).alias("__some")), "cuts")
     every = lookup(lookup(lengths.select(*keys), sources.drop("__budget"), ["__source"]), cuts, keys)
