@@ -341,9 +341,9 @@ def _verifier(size: int, threshold: float, tolerance: float):
 def _grouped(members: DataFrame, threshold: float, block_docs: int, block_shingles: int) -> DataFrame:
     """Members with the ``task`` and ``side`` of each group of step 4 that they take part in."""
     sizes = members.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles"))
-    large = (F.col("docs") > block_docs) | (F.col("shingles") > 2 * block_shingles)
-    members = members.join(sizes.select("family", large.alias("split"), "shingles"), "family")
-    total = sizes.where(~large).agg(F.sum("shingles")).first()[0] or 0
+    large = written(sizes.where((F.col("docs") > block_docs) | (F.col("shingles") > 2 * block_shingles)), "large-families")
+    members = lookup(members, large.select("family", F.lit(True).alias("split")), ["family"]).na.fill(False, ["split"])
+    total = (members.agg(F.sum("n")).first()[0] or 0) - (large.agg(F.sum("shingles")).first()[0] or 0)
     packs = max(1, -(-total // PACK_SHINGLES))
     small = members.where("not split").withColumn("task", F.array(F.concat(F.lit("p"), F.pmod(F.xxhash64("family"), F.lit(packs)).cast("string")))).withColumn("side", F.lit("a"))
     width = F.log(F.lit(1.01 / threshold))
@@ -354,7 +354,7 @@ def _grouped(members: DataFrame, threshold: float, block_docs: int, block_shingl
         .join(blocks.select("family", (F.col("g") - 1).alias("g"), F.col("blocks").alias("above")), ["family", "g"], "left")
         .na.fill(0, ["below", "above"])
     )
-    parts = parts.join(near, ["family", "g"]).withColumn("i", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")))
+    parts = lookup(parts, written(near, "family-blocks"), ["family", "g"]).withColumn("i", F.pmod(F.xxhash64("key", F.lit(7)), F.col("blocks")))
     name = lambda g, i, h, j: F.concat_ws(".", F.hex("family"), g.cast("string"), i.cast("string"), h.cast("string"), j.cast("string"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
     g, i = F.col("g"), F.col("i")
