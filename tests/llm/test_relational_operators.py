@@ -343,25 +343,12 @@ def strength(sites):
     return min(max(1 / max(between, 1e-6) - 1, 1), 1e4)
 
 
-def test_quality_query_equals_brute_force(spark, monkeypatch):
-    rnd = random.Random(7)
-    rows, labels = [], []
-    for i in range(300):
-        good = rnd.random() < (0.9 if i % 3 else 0.4)
-        text = prose(rnd, rnd.randrange(5, 60))
-        host = rnd.choice(["big", "big", "big", "mid", None, f"sparse{i}"])  # a sixth of the hosts have one document
-        rows.append((i, text if good else " | ".join(w.upper() + "!" * rnd.randrange(3) for w in text.split()), rnd.choice(["en", "de", None]), host, 0))
-        if i % 2:
-            labels.append((i, int(good) if rnd.random() < 0.95 else int(not good)))
-    rows += [(900, None, "en", "big", 0), (901, "", None, None, 0), (902, "é\n\né\n!", "de", "mid", 0), (None, "no id", "en", "big", 0)]
-    df = spark.createDataFrame([(*r, 1, 2.0, True) for r in rows + rows[:3]], "doc_id long, text string, lang string, source string, n_chars long, n int, good double, host_n boolean")
-    tables(monkeypatch, documents=df, labels=spark.createDataFrame(labels, "doc_id long, quality int"))
-    every = rows + rows[:3]
-    x = np.array([plain_features(r[1]) for r in every])
-    known = dict(labels)
-    fit = [i for i, r in enumerate(every) if r[0] in known]
+def plain_quality(rows, known):
+    """Log-odds of rows (id, text, path, host, ...) by the labels known of some ids."""
+    x = np.array([plain_features(r[1]) for r in rows])
+    fit = [i for i, r in enumerate(rows) if r[0] in known]
     means, scales = x[fit].mean(0), np.maximum(x[fit].std(0), 1e-6)
-    z, y = np.column_stack([(x - means) / scales, np.ones(len(x))]), np.array([known[every[i][0]] for i in fit], float)
+    z, y = np.column_stack([(x - means) / scales, np.ones(len(x))]), np.array([known[rows[i][0]] for i in fit], float)
     w = np.zeros(11)
     penalty = np.array([1.0] * 10 + [1e-6])
     for _ in range(60):
@@ -370,17 +357,35 @@ def test_quality_query_equals_brute_force(spark, monkeypatch):
     odds = np.clip(z @ w, -12, 12)
     p = 1 / (1 + np.exp(-odds))
     hosts, paths = defaultdict(list), defaultdict(list)
-    for r, v in zip(every, p, strict=True):
+    for r, v in zip(rows, p, strict=True):
         hosts[r[3]].append(v), paths[r[3], r[2]].append(v)
     mean = p.mean()
     s1 = strength([(len(v), np.mean(v), mean) for v in hosts.values()])
     posterior = {h: (sum(v) + s1 * mean) / (len(v) + s1) for h, v in hosts.items()}
     s2 = strength([(len(v), np.mean(v), posterior[k[0]]) for k, v in paths.items()])
-    want = []
-    for r, o, v in zip(every, odds, p, strict=True):
+    found = []
+    for r, o, v in zip(rows, odds, p, strict=True):
         host, path = hosts[r[3]], paths[r[3], r[2]]
         rate = (sum(path) - v + s2 * (sum(host) - v + s1 * mean) / (len(host) - 1 + s1)) / (len(path) - 1 + s2)
-        want.append((r[0], o + 0.5 * (math.log(rate / (1 - rate)) - math.log(mean / (1 - mean)))))
+        found.append(o + 0.5 * (math.log(rate / (1 - rate)) - math.log(mean / (1 - mean))))
+    return found
+
+
+def test_quality_query_equals_brute_force(spark, monkeypatch):
+    rnd = random.Random(7)
+    rows, labels = [], []
+    for i in range(300):
+        good = rnd.random() < (0.9 if i % 3 else 0.4)
+        text = prose(rnd, rnd.randrange(5, 60))
+        host = rnd.choice(["big", "big", "big", "mid", None, f"sparse{i}"])  # a sixth of the hosts have one document
+        rows.append((i, text if good else " | ".join(w.upper() + "!" * rnd.randrange(3) for w in text.split()), rnd.choice(["en", "de", None]), host, 0))
+        if i % 2:
+            labels.append((i, int(good) if rnd.random() < 0.95 else int(not good)))
+    rows += [(900, None, "en", "big", 0), (901, "", None, None, 0), (902, "é\n\né\n!", "de", "mid", 0), (None, "no id", "en", "big", 0)]
+    df = spark.createDataFrame([(*r, 1, 2.0, True) for r in rows + rows[:3]], "doc_id long, text string, lang string, source string, n_chars long, n int, good double, host_n boolean")
+    tables(monkeypatch, documents=df, labels=spark.createDataFrame(labels, "doc_id long, quality int"))
+    every = rows + rows[:3]
+    want = [(r[0], v) for r, v in zip(every, plain_quality(every, dict(labels)), strict=True)]
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     got = sorted(((r.doc_id, r.log_odds) for r in queries.quality(spark, "").collect()), key=key)
     want.sort(key=key)
