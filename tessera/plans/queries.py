@@ -597,7 +597,7 @@ def classification_table(spark, sf_dir):
 def saved_index(spark, sf_dir):
     path = new_path(spark, "index")
     doc_index(spark, sf_dir).save(path)
-    return cl.classify(reads(spark, sf_dir), ix.Index.load(spark, path), EXPONENT, TRIALS)
+    return cl.classify(reads(spark, sf_dir), ix.Index.load(spark, path), EXPONENT, TRIALS, decimals=DECIMALS)
 
 
 @query("c1_file_table", f"""WITH s AS (SELECT doc_id, source || '.fna' AS file, {_SEQ} AS seq, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rec FROM documents),

@@ -38,9 +38,10 @@ def _in_files(lines: DataFrame, name: str = "line") -> DataFrame:
     """``lines`` with each one's number in its file, from 0.
 
     A line's place within its block is known where it is read, so no line is shuffled or
-    sorted: only the numbers of lines of the blocks are.
+    sorted: only the numbers of lines of the blocks are. The lines are stored with their
+    places, because a second scan may split the files otherwise once executors came or went.
     """
-    placed = lines.withColumn("__at", F.monotonically_increasing_id())
+    placed = written(lines.withColumn("__at", F.monotonically_increasing_id()), "lines")
     blocks = placed.groupBy("file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     before = Window.partitionBy("file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("file", "__block", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__start"))
