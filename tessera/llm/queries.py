@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import additive_ann, byte_bpe, chat_format, mixing, ngram_jaccard, pii, quality_bayes, quality_rules, token_counts, url_filter
+from tessera.llm import additive_ann, byte_bpe, chat_format, collocations, mixing, ngram_jaccard, pii, quality_bayes, quality_rules, substring_dedup, token_alignment, token_counts, url_filter
 from tessera.session import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 PIECE_FILE = "piece_bpe_32k.model"
+BYTE_FILE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 4096
 
 #: (action, host, path)
@@ -141,6 +142,19 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_FILE), TOKEN_LIMIT)
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), 100, 5, 2000, 100)
+
+
+def repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), 20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.aligned_links(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_FILE), public_tokenizers.path(PIECE_FILE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": near_duplicates,
@@ -153,6 +167,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": rules,
         "op9_personal_data": personal_data,
         "op10_token_counts": tokens,
+        "op11_collocations": phrases,
+        "op12_substring_dedup": repeats,
+        "op13_token_alignment": alignment,
         "op2_redirects": planted_redirects,
         "op3_site_posteriors": site_posteriors,
         "op5_targets": mixture_targets,
@@ -160,7 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": NEAR_SQL, "op2_url_filters": URLS_SQL, "op2_redirects": PLANTED_SQL, "op7_chat_formatting": CHATS_SQL, "op8_quality_rules": RULES_SQL, "op3_site_posteriors": SITES_SQL, "op5_targets": TARGETS_SQL}
+    return {"op1_ngram_jaccard_join": NEAR_SQL, "op2_url_filters": URLS_SQL, "op2_redirects": PLANTED_SQL, "op7_chat_formatting": CHATS_SQL, "op8_quality_rules": RULES_SQL, "op3_site_posteriors": SITES_SQL, "op5_targets": TARGETS_SQL, "op11_collocations": PHRASES_SQL, "op12_substring_dedup": REPEATS_SQL}
 
 
 NEAR_SQL = r"""
@@ -308,3 +325,31 @@ f AS (
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND len(failed) = 0 AS kept,
   array_to_string(failed, ',') AS failed_rules FROM f
 """
+
+PHRASES_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (SELECT lang, len, array_to_string(w[i:i + len - 1], ' ') AS phrase FROM (SELECT lang, w, len, unnest(range(1, len(w) - len + 2)) AS i FROM p, range(1, 6) AS s(len))),
+f AS (SELECT lang, len, phrase, count(*) AS n FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE len = 1 GROUP BY lang),
+c AS (SELECT lang, len, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE len > 1 AND n >= 100),
+cuts AS (SELECT lang, len, phrase, a, w, unnest(range(1, len)) AS k FROM c),
+scored AS (
+  SELECT x.lang, x.len, x.phrase, a, l.n AS l, r.n AS r, t.n, k, (1000::HUGEINT * a * t.n // (l.n::HUGEINT * r.n))::BIGINT AS score
+  FROM cuts x JOIN t USING (lang) JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:k], ' ') AND l.len = k
+  JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(w[k + 1:], ' ') AND r.len = x.len - k),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+within AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, len - m + 2)) AS i FROM c, range(2, 5) AS s(m) WHERE m < len) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest LEFT JOIN within USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a QUALIFY rank <= 2000
+"""
+
+REPEATS_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+later AS (SELECT r, i FROM g QUALIFY rank() OVER (PARTITION BY run ORDER BY doc_id NULLS LAST, i) > 1),
+covered AS (SELECT DISTINCT r, i + k AS i FROM later, range(20) AS s(k)),
+words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN covered USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w)::BIGINT - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
