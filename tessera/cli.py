@@ -15,6 +15,7 @@ from tessera.operators import ordering as od
 from tessera.operators import prepare as pr
 from tessera.plans.shared import if_small, numbered, scratch, written
 from tessera.sources import formats as fm
+from tessera.sources.snapshots import commit, opened
 
 
 def _syncmer(args) -> tuple[int, int] | None:
@@ -55,12 +56,17 @@ def pairwise(spark, a):
 
 
 def _write_distances(dist: DataFrame, files: DataFrame, path: str) -> None:
-    dist.write.mode("overwrite").parquet(f"{path}/distances")
-    files.write.mode("overwrite").parquet(f"{path}/files")
+    """A new version, so a matrix may replace the one that it was computed from."""
+    commit(files.sparkSession, path, {"distances": dist, "files": files}, mode="overwrite")
+
+
+def _distances(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    found = opened(spark, path)
+    return found.table("distances"), found.table("files")
 
 
 def extend(spark, a):
-    old, old_files = spark.read.parquet(f"{a.pd}/distances"), spark.read.parquet(f"{a.pd}/files")
+    old, old_files = _distances(spark, a.pd)
     n = old_files.count()
     new_files = _file_table(spark, a.table).withColumn("file_idx", (F.col("file_idx") + n).cast("int"))
     files = old_files.unionByName(new_files)
@@ -69,7 +75,7 @@ def extend(spark, a):
 
 
 def order(spark, a):
-    dist, files = spark.read.parquet(f"{a.pd}/distances"), spark.read.parquet(f"{a.pd}/files")
+    dist, files = _distances(spark, a.pd)
     tour = od.ordering(dist, a.start)
     fm.logs().info("tour: %s", od.tour_statistics(tour, dist).first().asDict())
     fm.write_rows(od.ordered_files(tour, files), ["file", "taxid"], fm.output_path(spark, a.out, "o.f2t"), "overwrite", order="pos")
@@ -85,12 +91,12 @@ def build_lossy(spark, a):
 
 
 def classify(spark, a):
-    reads = fm.read_fastq(spark, a.reads).select(F.col("id").alias("read_id"), "seq")
+    reads, seen = cl.observed(fm.read_fastq(spark, a.reads).select(F.col("id").alias("read_id"), "seq"))
     began = time.time()
     done = cl.classify(reads, ix.Index.load(spark, a.db), a.e, a.n)
     fm.write_rows(done, ["flag", "read_id", "taxid", "file"], fm.output_path(spark, a.out, "r2f"), "overwrite")
     seconds = time.time() - began
-    fm.logs().info("classified: %s", cl.throughput(cl.statistics(reads), seconds).first().asDict())
+    fm.logs().info("classified: %s", cl.throughput(spark.createDataFrame([seen.get], "reads long, bases long"), seconds).first().asDict())
 
 
 def chop(spark, a):

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.binomial import ln_tail
 from tessera.functions.sequence import rescaled
+from tessera.operators import rle
 from tessera.operators.index import Index
 from tessera.operators.kmers import Syncmer, kmer_counts
 from tessera.plans.shared import if_small, written
@@ -43,6 +44,28 @@ def hits(counted: DataFrame, postings: DataFrame) -> DataFrame:
     return postings.join(if_small(asked), "kmer").groupBy(ROW, "file_idx").agg(F.sum("times").alias("x"))
 
 
+#: K-mers up to which a scan of stored lists is told what to look for, so it skips the other buckets.
+FEW_KMERS = 1 << 12
+
+
+def list_hits(counted: DataFrame, lists: DataFrame) -> DataFrame:
+    """``(__record, file_idx, x)`` from compressed lists, which are not expanded.
+
+    Stored lists are bucketed by k-mer, so only reads shuffle to meet them, and few k-mers read
+    their own buckets alone. Blocks then go to counts record by record for each Arrow batch.
+    """
+    asked = counted.where("kmer is not null").select(ROW, "kmer", "times")
+    few = [r["kmer"] for r in asked.select("kmer").distinct().limit(FEW_KMERS + 1).collect()]
+    if len(few) <= FEW_KMERS:
+        lists = lists.where(F.col("kmer").isin(few))
+    met = lists.join(if_small(asked), "kmer").select(ROW, "blocks", "times")
+    return rle.weighted(met, ROW, "times").groupBy(ROW, "file_idx").agg(F.sum("n").alias("x"))
+
+
+def index_hits(counted: DataFrame, index: Index) -> DataFrame:
+    return hits(counted, index.pairs) if index.lists is None else list_hits(counted, index.lists)
+
+
 def candidates(found: DataFrame, sizes: DataFrame, files: DataFrame, trials: int) -> DataFrame:
     """Hits above expectation (x > n p, unscaled), with ``xs``, the hits out of ``trials``."""
     known = if_small(files.where("p > 0").select("file_idx", "n_kmers", "p"))
@@ -67,7 +90,7 @@ def winners(scored: DataFrame, decimals: int | None = None) -> DataFrame:
 
 def scored(counted: DataFrame, index: Index, trials: int = 100, zero_sorts_last: bool = True, read_col: str = "read_id") -> DataFrame:
     """Candidates of counted reads, with ln of their tails as ``lsf``."""
-    wanted = written(candidates(hits(counted, index.postings), read_sizes(counted, read_col), index.files, trials), "candidates")
+    wanted = written(candidates(index_hits(counted, index), read_sizes(counted, read_col), index.files, trials), "candidates")
     return wanted.join(if_small(tails(wanted, trials, zero_sorts_last)), ["p", "xs"])
 
 
@@ -84,6 +107,12 @@ def classify(
     )
 
 
+def observed(reads: DataFrame, seq_col: str = "seq") -> tuple[DataFrame, Observation]:
+    """``reads`` that count themselves, and their bases, in the pass that classifies them."""
+    seen = Observation()
+    return reads.observe(seen, F.count(F.lit(1)).alias("reads"), F.coalesce(F.sum(F.length(seq_col)), F.lit(0)).alias("bases")), seen
+
+
 def statistics(reads: DataFrame, seq_col: str = "seq") -> DataFrame:
     return reads.agg(F.count("*").alias("reads"), F.coalesce(F.sum(F.length(seq_col)), F.lit(0)).alias("bases"))
 

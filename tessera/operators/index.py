@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import posixpath
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from tessera.operators import rle
 from tessera.operators.kmers import Syncmer, kmers, universe
 from tessera.plans.shared import written
+from tessera.sources.snapshots import Snapshot, commit, new_folder, opened, versions
+
+#: Lists of a bucket of a stored index, about, and buckets at most.
+BUCKET_ROWS, MOST_BUCKETS = 1 << 20, 1 << 16
 
 
 def file_kmers(records: DataFrame, k: int, syncmer: Syncmer = None, file_col: str = "file_idx", seq_col: str = "seq") -> DataFrame:
@@ -63,15 +67,58 @@ def set_bits(postings: DataFrame) -> DataFrame:
     return postings.groupBy("kmer").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("set_bits"), F.count("*").alias("kmers"))
 
 
+def list_cardinalities(lists: DataFrame) -> DataFrame:
+    """``(file_idx, n_kmers)`` of compressed lists, from their runs."""
+    return rle.weighted(lists, None, None).groupBy("file_idx").agg(F.sum("n").alias("n_kmers"))
+
+
+def buckets_for(kmers: int) -> int:
+    """A power of two, for BUCKET_ROWS lists in each bucket or fewer."""
+    return min(MOST_BUCKETS, max(8, 1 << max(0, -(-kmers // BUCKET_ROWS) - 1).bit_length()))
+
+
+def _write_bucketed(lists: DataFrame, path: str, buckets: int) -> None:
+    """One file a bucket, sorted by k-mer. Spark's own writer of buckets needs a name, which is given up at once."""
+    spark, name = lists.sparkSession, f"tessera_{uuid.uuid4().hex}"
+    dealt = lists.repartition(buckets, "kmer")
+    try:
+        dealt.write.format("parquet").bucketBy(buckets, "kmer").sortBy("kmer").option("path", path).saveAsTable(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # it is external: its files stay
+
+
+def _read_bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """A table of the session over the folder, whose buckets spare joins by k-mer an exchange and the scan what no k-mer asks for."""
+    name = f"tessera_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE TABLE {name} (kmer BIGINT, blocks ARRAY<INT>) USING parquet CLUSTERED BY (kmer) SORTED BY (kmer) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 @dataclass
 class Index:
-    """Postings, the file table with p, and the parameters that reads must share."""
+    """Postings, the file table with p, and the parameters that reads must share.
+
+    A built index has ``pairs`` (kmer, file_idx). A lossy or loaded one has ``lists``, (kmer,
+    blocks): these are stored, bucketed by k-mer, and reads are matched against them as they are.
+    """
 
-    postings: DataFrame  # kmer, file_idx
     files: DataFrame  # file_idx, file, taxid, n_kmers, p
     k: int
     syncmer: Syncmer
     total: int
+    pairs: DataFrame | None = None
+    lists: DataFrame | None = None
+    stored: Snapshot | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        """``(kmer, file_idx)``"""
+        return self.pairs if self.pairs is not None else expanded(self.lists)
+
+    @property
+    def compressed(self) -> DataFrame:
+        """``(kmer, blocks)``"""
+        return self.lists if self.lists is not None else compressed(inverted(self.pairs))
 
     @staticmethod
     def build(records: DataFrame, files: DataFrame, k: int = 15, syncmer: Syncmer = (9, 2)) -> Index:
@@ -85,13 +132,14 @@ class Index:
         total = universe(records.sparkSession, k, syncmer).first()["total"]
         postings = written(file_kmers(records, k, syncmer).select("kmer", "file_idx"), "postings")
         known = files.select("file_idx", "file", "taxid").join(shares(postings, total), "file_idx", "left").na.fill({"n_kmers": 0, "p": 0.0})
-        return Index(postings, written(known, "files"), k, syncmer, total)
+        return Index(written(known, "files"), k, syncmer, total, pairs=postings)
 
     def lossy(self, level: int) -> Index:
-        """Postings after lossy compression, with each file's p counted anew."""
-        kept = written(expanded(lossy(compressed(inverted(self.postings)), level)), "postings")
-        files = self.files.drop("n_kmers", "p").join(shares(kept, self.total), "file_idx", "left").na.fill({"n_kmers": 0, "p": 0.0})
-        return Index(kept, written(files, "files"), self.k, self.syncmer, self.total)
+        """Lists after lossy compression, with each file's p counted anew from their blocks."""
+        kept = written(lossy(self.compressed, level), "lists")
+        counted = list_cardinalities(kept).withColumn("p", F.col("n_kmers") / F.lit(self.total))
+        files = self.files.drop("n_kmers", "p").join(counted, "file_idx", "left").na.fill({"n_kmers": 0, "p": 0.0})
+        return Index(written(files, "files"), self.k, self.syncmer, self.total, lists=kept)
 
     def with_taxid(self, file: str, taxid: int) -> Index:
         """One file's taxid changed; an unknown file or the same value is an error."""
@@ -100,17 +148,25 @@ class Index:
             raise KeyError(f"{file} is not in the index once")
         if found[0] == taxid:
             raise ValueError(f"{file} has the taxid {taxid} already")
-        return Index(self.postings, self.files.withColumn("taxid", F.when(F.col("file") == file, F.lit(taxid)).otherwise(F.col("taxid"))), self.k, self.syncmer, self.total)
+        return replace(self, files=self.files.withColumn("taxid", F.when(F.col("file") == file, F.lit(taxid)).otherwise(F.col("taxid"))))
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
-        """Postings are clustered by k-mer, so a reader can prune and lists compress."""
-        self.postings.repartitionByRange("kmer").sortWithinPartitions("kmer", "file_idx").write.mode(mode).parquet(posixpath.join(path, "postings"))
-        self.files.write.mode(mode).parquet(posixpath.join(path, "files"))
-        meta = json.dumps({"k": self.k, "syncmer": self.syncmer, "total": self.total})
-        self.files.sparkSession.range(1).select(F.lit(meta).alias("value")).coalesce(1).write.mode(mode).text(posixpath.join(path, "meta"))
+        """A new version of the index at ``path``; lists that it holds already are not written again."""
+        spark = self.files.sparkSession
+        if mode != "overwrite" and versions(spark, path):
+            raise FileExistsError(path)
+        if self.stored and self.stored.path == path:
+            folder, buckets = self.stored.folders["lists"], self.stored.properties["buckets"]
+        else:
+            lists = written(self.compressed, "lists") if self.lists is None else self.lists
+            folder, buckets = new_folder("lists"), buckets_for(lists.count())
+            _write_bucketed(lists, posixpath.join(path, folder), buckets)
+        properties = {"k": self.k, "syncmer": self.syncmer, "total": self.total, "buckets": buckets}
+        commit(spark, path, {"lists": folder, "files": self.files}, properties, mode)
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> Index:
-        meta = json.loads(spark.read.text(posixpath.join(path, "meta")).first()["value"])
-        read = lambda name: spark.read.parquet(posixpath.join(path, name))
-        return Index(read("postings"), read("files"), meta["k"], tuple(meta["syncmer"]) if meta["syncmer"] else None, meta["total"])
+    def load(spark: SparkSession, path: str, version: int | None = None) -> Index:
+        found = opened(spark, path, version)
+        meta = found.properties
+        lists = _read_bucketed(spark, found.folder("lists"), meta["buckets"])
+        return Index(found.table("files"), meta["k"], tuple(meta["syncmer"]) if meta["syncmer"] else None, meta["total"], lists=lists, stored=found)

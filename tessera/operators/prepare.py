@@ -21,8 +21,19 @@ def last_wins(rows: DataFrame, key: str, line: str) -> DataFrame:
 
 
 def first_records(records: DataFrame) -> DataFrame:
-    """``(file, id)``: the first record of each file."""
-    return records.groupBy("file").agg(F.min_by("id", "record_idx").alias("id"))
+    """``(file, id)``: the first record of each file, by number or else by place."""
+    return records.groupBy("file").agg(F.min_by("id", "record_idx" if "record_idx" in records.columns else "at").alias("id"))
+
+
+def with_numbers(records: DataFrame) -> DataFrame:
+    """``records`` with ``record_idx``, from 0 in each file; without it, records are ordered by ``at``.
+
+    Only names and places meet in a file's task, not sequences.
+    """
+    if "record_idx" in records.columns:
+        return records
+    number = F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1
+    return records.join(records.select("file", "at").withColumn("record_idx", number), ["file", "at"])
 
 
 def with_taxids(files: DataFrame, taxids: DataFrame | None, strict: bool = True) -> DataFrame:
@@ -45,7 +56,7 @@ def split_files(records: DataFrame, longest: int, overlap: int) -> DataFrame:
     """
     sized = records.join(file_lengths(records), "file")
     whole = sized.where(F.col("bases") <= longest).select("file", F.col("file").alias("name"), "id", "desc", "seq", F.lit(False).alias("split"))
-    big = sized.where(F.col("bases") > longest)
+    big = with_numbers(sized.where(F.col("bases") > longest))
     kept = big.where(F.length("seq") <= longest).select("file", sq.split_name(F.col("file"), F.col("record_idx")).alias("name"), "id", "desc", "seq", F.lit(True).alias("split"))
     cut = big.where(F.length("seq") > longest).select("file", "record_idx", "id", F.explode(sq.fragments(F.col("seq"), longest, overlap)).alias("f"))
     cut = cut.select(

@@ -11,6 +11,7 @@ steps as the longest list has blocks, and each is a few numpy operations.
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
@@ -111,6 +112,45 @@ def decode_lists(blocks, offsets):
     return keys & ((1 << SPAN) - 1), _offsets(keys >> SPAN, n)
 
 
+def one_ranges(blocks, offsets):
+    """``(list, begin, end)`` of the runs of ones that blocks hold, which may touch; nothing is expanded."""
+    import numpy as np
+
+    lists = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    literal, run = blocks & LITERAL > 0, blocks & (LITERAL | ONES) == ONES
+    width = np.where(literal, LITERAL_BITS, blocks & LONGEST)
+    upto = np.concatenate([[0], np.cumsum(width)])
+    at = upto[:-1] - upto[offsets[:-1]][lists]
+    bits = np.zeros((np.count_nonzero(literal), LITERAL_BITS + 2), np.int8)
+    bits[:, 1:-1] = blocks[literal][:, None] >> np.arange(LITERAL_BITS) & 1
+    edge = np.diff(bits, axis=1)
+    (row, first), (_, last) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    begin = at[literal][row]
+    return np.concatenate([lists[literal][row], lists[run]]), np.concatenate([begin + first, at[run]]), np.concatenate([begin + last, at[run] + width[run]])
+
+
+def weighted_counts(blocks, offsets, groups, weights):
+    """``(group, index, sum)``: for each group and index, the weights of the group's lists that hold it.
+
+    Runs add their weight where they begin and take it off where they end, so a run costs the same
+    at any length; only the sums that are not zero are written out, once for each index.
+    """
+    import numpy as np
+
+    lists, begin, end = one_ranges(blocks, offsets)
+    keep = end > begin
+    of, weight = groups[lists[keep]] << SPAN, weights[lists[keep]]
+    key, change = np.concatenate([of | begin[keep], of | end[keep]]), np.concatenate([weight, -weight])
+    order = np.argsort(key)
+    key, level = key[order], np.cumsum(change[order])
+    last = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [False]])) if len(key) else np.empty(0, np.int64)
+    last = last[level[last] > 0]
+    width = key[last + 1] - key[last]
+    upto = np.cumsum(width)
+    index = np.repeat((key[last] & ((1 << SPAN) - 1)) - (upto - width), width) + np.arange(upto[-1] if len(upto) else 0)
+    return np.repeat(key[last] >> SPAN, width), index, np.repeat(level[last], width)
+
+
 def ones_of(blocks):
     """The number of ones of each block."""
     import numpy as np
@@ -225,6 +265,24 @@ def set_bits_udf(blocks: pa.Array) -> pa.Array:
     return pa.array(upto[offsets[1:]] - upto[offsets[:-1]])
 
 
+def weighted(df: DataFrame, group: str | None, weight: str | None) -> DataFrame:
+    """``([group,] file_idx, n)`` of rows ``([group,] blocks[, weight])``, added up for each Arrow batch; callers add up batches."""
+    columns = [c for c in (group, "blocks", weight) if c]
+    schema = T.StructType([*([df.schema[group]] if group else []), T.StructField("file_idx", T.IntegerType()), T.StructField("n", T.LongType())])
+
+    def batches(source):
+        import numpy as np
+
+        for batch in source:
+            held = dict(zip(columns, batch.columns, strict=True))
+            keys, of = np.unique(held[group].to_numpy(zero_copy_only=False), return_inverse=True) if group else (None, np.zeros(batch.num_rows, np.int64))
+            times = held[weight].to_numpy(zero_copy_only=False) if weight else np.ones(batch.num_rows, np.int64)
+            found, index, n = weighted_counts(*_flat(held["blocks"]), of, times)
+            yield pa.RecordBatch.from_arrays([*([pa.array(keys[found])] if group else []), pa.array(index, pa.int32()), pa.array(n)], names=schema.names)
+
+    return df.select(*columns).mapInArrow(batches, schema)
+
+
 def lossy_udf(level: int):
     checked(level)
 

@@ -24,6 +24,7 @@ from tessera.operators import rle
 from tessera.plans.shared import new_path, written
 from tessera.session import table
 from tessera.sources import formats as fm
+from tessera.sources.snapshots import commit, opened
 
 K, S, T, TRIALS, EXPONENT = 11, 7, 2, 100, 12
 TOTAL = 4**K // 2
@@ -345,7 +346,7 @@ def list_lengths(spark, sf_dir):
 @query("l2_taxid_update", "SELECT doc_id AS file_idx, 'doc' || doc_id || '.fna' AS file, CASE WHEN doc_id = 3 THEN 77 ELSE coalesce(quality, 0) END::BIGINT AS taxid FROM documents LEFT JOIN labels USING (doc_id)")
 def taxid_update(spark, sf_dir):
     files = doc_files(spark, sf_dir).withColumns({"n_kmers": F.lit(0).cast("long"), "p": F.lit(0.0)})
-    return ix.Index(files, files, K, None, TOTAL).with_taxid("doc3.fna", 77).files.select("file_idx", "file", "taxid")
+    return ix.Index(files, K, None, TOTAL).with_taxid("doc3.fna", 77).files.select("file_idx", "file", "taxid")
 
 
 # Posting lists ---------------------------------------------------------------------
@@ -441,10 +442,35 @@ def sizes_of_reads(spark, sf_dir):
 @query("a5_hits", f"WITH {_HITS} SELECT read_id, file_idx, x FROM h")
 def hit_rows(spark, sf_dir):
     counted = cl.read_kmers(reads(spark, sf_dir), K)
-    found = cl.hits(counted, ix.file_kmers(docs(spark, sf_dir), K))
+    return hits_by_id(counted, cl.hits(counted, ix.file_kmers(docs(spark, sf_dir), K)))
+
+
+def hits_by_id(counted: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(counted.where("kmer is null").select(cl.ROW, "read_id"), cl.ROW).select("read_id", "file_idx", "x")
 
 
+@query("a5_saved_hits", f"WITH {_HITS} SELECT read_id, file_idx, x FROM h")
+def saved_hits(spark, sf_dir):
+    """Hits from the compressed lists of a saved index."""
+    path = new_path(spark, "index")
+    doc_index(spark, sf_dir).save(path)
+    counted = cl.read_kmers(reads(spark, sf_dir), K)
+    return hits_by_id(counted, cl.index_hits(counted, ix.Index.load(spark, path)))
+
+
+@query(
+    "c6_lossy_hits",
+    f"WITH RECURSIVE {_lists(_POSTINGS)}, {_BLOCKS}, {_thinned(2)}, {_READS}, thin AS (SELECT kmer, file_idx FROM per JOIN lists USING (files) JOIN kept USING (l))"
+    " SELECT r.id AS read_id, file_idx::BIGINT AS file_idx, count(*) AS x FROM r JOIN thin USING (kmer) GROUP BY ALL",
+)
+def lossy_hits(spark, sf_dir):
+    """Hits from a lossy index that was saved, without expanding its blocks."""
+    path = new_path(spark, "cdb")
+    doc_index(spark, sf_dir).lossy(2).save(path)
+    counted = cl.read_kmers(reads(spark, sf_dir), K)
+    return hits_by_id(counted, cl.index_hits(counted, ix.Index.load(spark, path))).withColumn("file_idx", F.col("file_idx").cast("long"))
+
+
 @query("f9_candidates", f"WITH {_HITS} SELECT read_id, file_idx, x, n, n_kmers, xs FROM cand")
 def candidate_rows(spark, sf_dir):
     index = doc_index(spark, sf_dir)
@@ -691,7 +717,64 @@ def records_before_bad(spark, sf_dir):
     marked = doc_records(spark, sf_dir).withColumn("n", nth).withColumn("head", F.when(F.col("n") == 7, "").otherwise(F.concat_ws(" ", "id", "desc")))
     lines = marked.select("desc", "n", F.concat(F.lit(">"), "head", F.lit("\n"), "seq").alias("value"))
     lines.repartition("desc").sortWithinPartitions("desc", "n").select(F.col("desc").alias("source"), "value").write.partitionBy("source").text(path)
-    return fm.read_fasta(spark, f"{path}/*", "STOP", None).select("id", "desc", "seq")
+    return fm.read_fasta(spark, path, "STOP", None, recursive=True).select("id", "desc", "seq")
+
+
+@query("f11_framing", f"SELECT 'd' || doc_id AS id, seq, repeat('@', length(seq)::INTEGER) AS qual FROM ({_RECORD}) WHERE length(seq) > 0 AND doc_id % 5 <> 0")
+def reads_with_lost_and_folded_lines(spark, sf_dir):
+    """A fifth of the records lost its qualities and is left out alone; others follow blank lines or are folded."""
+    path = new_path(spark, "fastq")
+    n, half = F.substring("id", 2, 20).cast("long"), F.floor(F.length("seq") / 2).cast("int")
+    folded = lambda c: F.concat_ws("\n", F.substring(c, F.lit(1), half), F.substring(c, half + 1, F.length(c)))
+    marked = doc_records(spark, sf_dir).withColumn("qual", F.expr("repeat('@', length(seq))"))
+    head = F.concat(F.when(n % 5 == 1, "\n").otherwise(""), F.lit("@"), "id")
+    fold = (n % 5 == 2) & (F.length("seq") > 1)
+    lines = F.concat_ws("\n", head, F.when(fold, folded("seq")).otherwise(F.col("seq")), F.lit("+"), F.when(fold, folded("qual")).when(n % 5 != 0, F.col("qual")))
+    marked.select(lines.alias("value")).write.text(path)
+    return fm.read_fastq(spark, path).select("id", "seq", "qual")
+
+
+@query("st_growing_fastq", f"SELECT 'd' || doc_id AS id, seq, doc_id % 2 AS run FROM ({_RECORD}) WHERE length(seq) > 0")
+def streamed_fastq(spark, sf_dir):
+    """A stream of reads that stops, and goes on from its checkpoint when more have come."""
+    out, mark, source = new_path(spark, "stream-out"), new_path(spark, "stream-mark"), new_path(spark, "stream-in")
+    for run in (0, 1):
+        come = doc_records(spark, sf_dir).where(F.substring("id", 2, 20).cast("long") % 2 == run)
+        fm.write_fastq(come.withColumn("qual", F.expr("repeat('@', length(seq))")), source, "append")
+        came = fm.stream_fastq(spark, source).select("id", "seq", F.lit(run).cast("long").alias("run"))
+        came.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("c7_extended_in_place", f"WITH {_PAIRS} SELECT i, j, dist FROM dist")
+def extended_in_place(spark, sf_dir):
+    """A saved matrix replaced by its own extension."""
+    path = new_path(spark, "pd")
+    postings, files = postings_of_sources(spark, sf_dir)
+    known = files.where("file_idx < 12")
+    commit(spark, path, {"distances": di.distances(postings.where("file_idx < 12"), known), "files": known})
+    before = opened(spark, path)
+    commit(spark, path, {"distances": di.extended(before.table("distances"), postings, files, 12), "files": files}, mode="overwrite")
+    return opened(spark, path).table("distances")
+
+
+@query("l2_saved_taxid", SQL["l2_taxid_update"])
+def saved_taxid(spark, sf_dir):
+    """An index loaded, changed and saved in its own place; its lists are named again and not written."""
+    path = new_path(spark, "index")
+    labelled = spark.range(0).selectExpr("CAST(id AS int) AS kmer_file", "id AS kmer")
+    empty = labelled.select("kmer", F.col("kmer_file").alias("file_idx"))
+    ix.Index(doc_files(spark, sf_dir), K, None, TOTAL, pairs=empty).save(path)
+    ix.Index.load(spark, path).with_taxid("doc3.fna", 77).save(path, "overwrite")
+    return ix.Index.load(spark, path).files.select("file_idx", "file", "taxid")
+
+
+@query("a16_observed", f"SELECT count(*) AS reads, sum(length({_SEQ}))::BIGINT AS bases FROM benchmark")
+def observed_statistics(spark, sf_dir):
+    """Reads and bases as the pass that classifies them saw them, without a second scan."""
+    seen_reads, seen = cl.observed(reads(spark, sf_dir))
+    cl.classify(seen_reads, doc_index(spark, sf_dir), EXPONENT, TRIALS).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([seen.get], "reads long, bases long")
 
 
 @query("c6_lossy_index", SQL["r7_lossy_2"])

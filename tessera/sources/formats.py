@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.shared import if_small, written
+from tessera.sources.records import register
 
 # Extensions of FASTA files, told apart by case.
 FASTA_ENDINGS = (".fna", ".fasta", ".fa")
 FASTA_GLOB = "*.{fna,fasta,fa}"
+FASTA_PATTERNS = "*.fna|*.fasta|*.fa"
 
 
 def fasta_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,9 +30,9 @@ def plain_path(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def _lines(reader: DataFrameReader, path: str, glob: str | None = None) -> DataFrame:
+def _lines(reader: DataFrameReader, path: str) -> DataFrame:
     """``(file, __block, value)`` of text files, which are split into blocks."""
-    text = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    text = reader.text(path)
     return text.select(plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("__block"), "value")
 
 
@@ -48,53 +50,50 @@ def _in_files(lines: DataFrame, name: str = "line") -> DataFrame:
     return placed.join(if_small(written(starts, "blocks")), ["file", "__block"]).withColumn(name, F.col("__at") + F.col("__start")).drop("__at", "__block", "__start")
 
 
-def read_fasta(spark: SparkSession, path: str, mode: str = "FAILFAST", glob: str | None = FASTA_GLOB) -> DataFrame:
-    """``(file, record_idx, id, desc, seq)``; files are split at records, not read whole.
+def read_fasta(spark: SparkSession, path: str, mode: str = "FAILFAST", glob: str | None = FASTA_PATTERNS, recursive: bool = False) -> DataFrame:
+    """``(file, at, id, desc, seq)``; ``at`` is the byte where a record starts in its file.
 
-    A record without an id is bad: FAILFAST raises, DROP leaves it out, and STOP leaves
-    out it and what follows in its file.
+    A record without an id, or text before the first record of a file, is bad: FAILFAST raises,
+    DROP leaves it out, and STOP leaves out it and what follows in its file.
     """
-    at = _in_files(_lines(spark.read.option("lineSep", "\n>"), path, glob).where(F.trim("value") != ""), "record_idx")
-    body = F.regexp_replace(F.regexp_replace("value", "^>", ""), "\r", "")
-    head, rest = F.split(body, "\n", 2)[0], F.coalesce(F.get(F.split(body, "\n", 2), F.lit(1)), F.lit(""))
-    rows = at.select(
-        "file",
-        F.col("record_idx").cast("int").alias("record_idx"),
-        F.regexp_extract(head, r"^(\S*)", 1).alias("id"),
-        F.nullif(F.regexp_extract(head, r"^\S*\s+(.*)$", 1), F.lit("")).alias("desc"),
-        F.regexp_replace(rest, r"\s", "").alias("seq"),
-    )
-    return _handled(rows, F.col("id") == "", mode, "FASTA")
+    return _handled(_records(spark, "fasta", path, glob, recursive), mode, "FASTA")
 
 
 def read_fastq(spark: SparkSession, path: str, mode: str = "DROP") -> DataFrame:
-    """``(file, record_idx, id, desc, seq, qual)`` of records of four lines.
+    """``(file, at, id, desc, seq, qual)``; sequences and qualities may span lines.
 
-    A line of qualities may start like a header, so records are framed by the numbers of
-    lines. Files are split anywhere; four lines meet by one aggregation, which map tasks
-    begin, so about one row a record is shuffled.
+    A record that lost a line is bad alone: framing goes on at the next record.
     """
-    lines = _in_files(_lines(spark.read.option("lineSep", "\n"), path))
-    part = lambda i: F.max(F.when(F.col("line") % 4 == i, F.regexp_replace("value", "\r", "")))
-    framed = lines.groupBy("file", F.floor(F.col("line") / 4).cast("int").alias("record_idx")).agg(*(part(i).alias(f"__{i}") for i in range(4)))
-    framed = framed.where(F.concat_ws("", *(f"__{i}" for i in range(4))) != "")  # empty lines at the end of a file
-    rows = framed.select(
-        "file", "record_idx", F.regexp_extract("__0", r"^@(\S*)", 1).alias("id"), F.nullif(F.regexp_extract("__0", r"^@\S*\s+(.*)$", 1), F.lit("")).alias("desc"),
-        F.col("__1").alias("seq"), F.col("__2").alias("__plus"), F.col("__3").alias("qual"),
-    )
-    bad = ~F.coalesce((F.col("id") != "") & F.col("__plus").startswith("+") & (F.length("seq") == F.length("qual")), F.lit(False))
-    return _handled(rows, bad, mode, "FASTQ").drop("__plus")
-
-
-def _handled(rows: DataFrame, bad: Column, mode: str, what: str) -> DataFrame:
+    return _handled(_records(spark, "fastq", path), mode, "FASTQ")
+
+
+def stream_fastq(spark: SparkSession, path: str, mode: str = "DROP", most_bytes: int | None = None) -> DataFrame:
+    """The records of FASTQ files in a folder as files come and grow; a record that is still being written waits.
+
+    ``most_bytes`` bounds what a micro-batch takes; modes are DROP and FAILFAST.
+    """
+    if mode == "STOP":
+        raise ValueError("a stream cannot stop at a bad record; use FAILFAST")
+    register(spark)
+    reader = spark.readStream.format("fastq")
+    return _handled((reader.option("maxBytesPerTrigger", most_bytes) if most_bytes else reader).load(path), mode, "FASTQ")
+
+
+def _records(spark: SparkSession, kind: str, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
+    register(spark)
+    reader = spark.read.format(kind).option("recursive", str(recursive).lower())
+    return (reader.option("glob", glob) if glob else reader).load(path)
+
+
+def _handled(rows: DataFrame, mode: str, what: str) -> DataFrame:
     if mode == "DROP":
-        return rows.where(~bad)
+        return rows.where("not bad").drop("bad")
     if mode == "FAILFAST":
-        return rows.where(F.when(bad, F.raise_error(F.concat(F.lit(f"bad {what} record in "), F.col("file"))).cast("boolean")).otherwise(True))
+        return rows.where(F.when(F.col("bad"), F.raise_error(F.concat(F.lit(f"bad {what} record in "), F.col("file"))).cast("boolean")).otherwise(True)).drop("bad")
     if mode != "STOP":
         raise ValueError("the mode must be FAILFAST, DROP or STOP")
-    first = written(rows.where(bad).groupBy("file").agg(F.min("record_idx").alias("__bad")), "bad-records")
-    return rows.join(if_small(first), "file", "left").where("__bad is null or record_idx < __bad").drop("__bad")
+    first = written(rows.where("bad").groupBy("file").agg(F.min("at").alias("__bad")), "bad-records")
+    return rows.join(if_small(first), "file", "left").where("__bad is null or at < __bad").drop("__bad", "bad")
 
 
 def parse_taxids(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -130,7 +129,7 @@ def write_split_fasta(parts: DataFrame, path: str, mode: str = "errorifexists")
 
 def read_split_fasta(spark: SparkSession, path: str, split_dir: str = "split") -> DataFrame:
     """Records of split files, named as in the table of files."""
-    found = read_fasta(spark, path, "STOP", None)
+    found = read_fasta(spark, path, "STOP", None, recursive=True)
     return found.withColumn("file", F.concat(F.lit(f"{split_dir}/"), plain_path(F.regexp_extract("file", "name=([^/]+)/[^/]*$", 1))))
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera import cli
 from tessera.sources import formats as fm
+from tessera.sources.snapshots import opened
 from tessera.streaming.reads import classify_stream
 
 
@@ -14,7 +15,7 @@ def test_fasta(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "e.fna").write_text(">no\nAA\n")
     rows = fm.read_fasta(spark, f"file://{tmp_path}").collect()
-    assert sorted((r.file.rsplit("/", 1)[1], r.record_idx, r.id, r.desc, r.seq) for r in rows) == [("a.fna", 0, "r1", "first one", "ACGTAC"), ("a.fna", 1, "r2", None, "GG"), ("b.fa", 0, "r3", None, "TT")]
+    assert sorted((r.file.rsplit("/", 1)[1], r.at, r.id, r.desc, r.seq) for r in rows) == [("a.fna", 0, "r1", "first one", "ACGTAC"), ("a.fna", 22, "r2", None, "GG"), ("b.fa", 0, "r3", None, "TT")]
     assert fm.fasta_files(spark, f"file://{tmp_path}").count() == 2
 
 
@@ -26,7 +27,7 @@ def test_bad_records(spark, tmp_path):
     with pytest.raises(Exception, match="bad FASTA record"):
         read("FAILFAST")
     (tmp_path / "x.fastq").write_text("@a b\nACGT\n+\n@@@@\n@c\nACG\n+\nII\n@d\nA\n+\nI\n")
-    assert [(r.id, r.desc, r.seq, r.qual) for r in fm.read_fastq(spark, f"file://{tmp_path}/x.fastq").orderBy("record_idx").collect()] == [("a", "b", "ACGT", "@@@@"), ("d", None, "A", "I")]
+    assert [(r.id, r.desc, r.seq, r.qual) for r in fm.read_fastq(spark, f"file://{tmp_path}/x.fastq").orderBy("at").collect()] == [("a", "b", "ACGT", "@@@@"), ("d", None, "A", "I")]
 
 
 def test_taxid_lines(spark, tmp_path):
@@ -55,14 +56,14 @@ def test_numbers_do_not_depend_on_blocks(spark, tmp_path):
         rows = fm.read_fasta(spark, f"file://{tmp_path}/in").collect()
         framed = fm.read_fastq(spark, f"file://{tmp_path}/x.fastq", "FAILFAST")
         assert fm._lines(spark.read, f"file://{tmp_path}/x.fastq").rdd.getNumPartitions() > 5
-        assert [(r.id, r.seq) for r in sorted(framed.collect(), key=lambda r: r.record_idx)] == reads
+        assert [(r.id, r.seq) for r in sorted(framed.collect(), key=lambda r: r.at)] == reads
         assert [(r.line, r.id) for r in sorted(fm.read_taxids(spark, f"file://{tmp_path}/t").collect())] == [(i, f"name{i}") for i in range(500)]
         for made, want in zip(earlier, (fasta, reads), strict=True):  # files are split otherwise by now, as after the loss of an executor
-            assert [(r.id, r.seq) for r in sorted(made.collect(), key=lambda r: r.record_idx)] == want
+            assert [(r.id, r.seq) for r in sorted(made.collect(), key=lambda r: r.at)] == want
     finally:
         spark.conf.set(key, before)
-    assert [(r.id, r.seq) for r in sorted((r for r in rows if r.file.endswith("/a b+c.fna")), key=lambda r: r.record_idx)] == fasta
-    assert [(r.record_idx, r.id) for r in rows if r.file.endswith("/z.fna")] == [(0, "last")]
+    assert [(r.id, r.seq) for r in sorted((r for r in rows if r.file.endswith("/a b+c.fna")), key=lambda r: r.at)] == fasta
+    assert [(r.at, r.id) for r in rows if r.file.endswith("/z.fna")] == [(0, "last")]
 
 
 def test_a_listed_file_that_is_missing_is_an_error(spark, tmp_path):
@@ -118,9 +119,9 @@ def test_commands(spark, tmp_path, monkeypatch):
     rows = {r.read_id: r.taxid for r in fm.read_classification(spark, f"{t}/out/r2f").collect()}
     assert rows == {"a": 5, "b": 6, "c": 7}
     cli.main(["build-lossy", "1", f"{t}/db.db", "-o", f"{t}/less"])
-    assert spark.read.parquet(f"{t}/less.cdb/files").count() == 3
+    assert opened(spark, f"{t}/less.cdb").table("files").count() == 3
     cli.main(["extend-distances", f"{t}/pd.pd", f"{t}/o1/f2t", f"{t}/seqs", f"{t}/seqs", "-o", f"{t}/pd2", "-k", "11", "-s", "7"])
-    assert spark.read.parquet(f"{t}/pd2.pd/distances").count() == 21
+    assert opened(spark, f"{t}/pd2.pd").table("distances").count() == 21
     cli.main(["chop-reads", f"{t}/reads.fastq", "--length", "10", "-o", f"{t}/chop"])
     assert {len(r.seq) for r in fm.read_fastq(spark, f"{t}/chop/chopped.fastq").collect()} == {10}
 
@@ -135,7 +136,7 @@ def test_split_files_are_found_again(spark, tmp_path):
     names = sorted(r.id for r in fm.read_taxids(spark, f"{t}/o/f2t").collect())
     assert names == ["c.fna", "split/a.0.0", "split/a.0.1", "split/a.0.2", "split/a.0.3", "split/a.1"]
     cli.main(["pairwise-distances", f"{t}/o/f2t", f"{t}/seqs", "--split", f"{t}/o/split", "-o", f"{t}/pd", "-k", "5", "-s", "5"])
-    assert spark.read.parquet(f"{t}/pd.pd/distances").where("i <> j").count() == 15
+    assert opened(spark, f"{t}/pd.pd").table("distances").where("i <> j").count() == 15
     index = fm.read_split_fasta(spark, f"{t}/o/split")
     assert sorted((r.file, len(r.seq)) for r in index.collect()) == [("split/a.0.0", 45), ("split/a.0.1", 50), ("split/a.0.2", 50), ("split/a.0.3", 45), ("split/a.1", 5)]
 
