@@ -9,9 +9,10 @@ one) are removed; windows are judged on the input.
    a cover position, so runs of ``window - v + 1`` words are hashed at cover positions only: 4
    of 13 for windows of 20 words. Their counts are combined where they are read.
 2. Extension: a window is looked at only if it contains an anchor that occurs twice, and then
-   by 96 bits of the words of the whole window. The first owner of each sequence comes from an
-   aggregation with map-side partial minima and is joined back, so a frequent passage is
-   neither collected nor paired with itself.
+   by 96 bits of the words of the whole window. Windows that repeat one of their own document are
+   told there. For the others the first document of each sequence comes from an aggregation with
+   map-side partial minima and is joined back, so a frequent passage is neither collected nor
+   paired with itself, and adaptive execution may split its side of the join.
 3. Windows that are not first are merged to spans of words for each document, and cut.
 
 Repeated anchors reach the tasks as a filter of at most FILTER_BITS bits. Beyond SEMI_JOIN
@@ -28,13 +29,14 @@ each of them gets its result; an empty table gives an empty one; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bounded_batches, hash_filter, lookup, may_hold, word_slices
+from tessera.llm.common import bounded_batches, byte_slices, hash_filter, lookup, may_hold, word_slices
 from tessera.plans.shared import FILTER_BITS, written
 
 # Difference covers by their period, each a perfect difference set.
@@ -43,8 +45,8 @@ COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0
 ANCHOR_WORDS = 8
 #: Repeated anchors up to which the filter is used: 16 bits or more for each.
 SEMI_JOIN = FILTER_BITS // 16
-#: Hashes of words that a worker keeps.
-CACHED = 1 << 19
+#: Bytes of texts that are hashed at once.
+PIECE = 1 << 20
 #: Bits of an anchor's hash; two that clash only cost the look at their windows.
 ANCHOR_BITS = 48
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -59,27 +61,71 @@ def period(window: int) -> int:
     return max(v for v in COVERS if v == 1 or window - v + 1 >= ANCHOR_WORDS)
 
 
-class _Hashes(dict):
-    """Word to 64 bits."""
+@lru_cache(maxsize=1)
+def _tables():
+    """Which bytes are white space, 64 bits for each byte, and powers of a base and of its inverse for PIECE bytes."""
+    import numpy as np
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    space = np.zeros(256, bool)
+    space[[9, 10, 11, 12, 13, 32]] = True
+    return space, _mixed(np.arange(1, 257).astype(np.uint64)), _powers(BASES[0], PIECE), _powers(pow(BASES[0], -1, 1 << 64), PIECE)
 
-        if len(self) >= CACHED:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
 
+def _powers(base: int, n: int):
+    import numpy as np
 
-_hashes = _Hashes()
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
 
 
-def word_hashes(text: bytes | None):
-    """A hash for each word of a text, in order."""
+def _mixed(h):
+    """All bits of 64-bit integers spread over all others."""
     import numpy as np
 
-    parts = [np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)) for words in word_slices(text)]
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
+    return h ^ h >> np.uint64(31)
+
+
+def _piece_hashes(raw, begins):
+    """Hashes of the words of texts that lie one after another in ``raw``, and the number of words of each.
+
+    A word's hash is the difference of two running sums of its bytes times powers, set back to the
+    word's first byte, so no word is ever an object.
+    """
+    import numpy as np
+
+    space, bits, power, inverse = _tables()
+    if len(raw) > PIECE:
+        power, inverse = _powers(BASES[0], len(raw)), _powers(pow(BASES[0], -1, 1 << 64), len(raw))
+    word = ~space[raw]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    inner = begins[(begins > 0) & (begins < len(raw))]
+    first[inner], last[inner - 1] = word[inner], word[inner - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bits[raw] * power[: len(raw)])])
+    return _mixed((upto[end] - upto[start]) * inverse[start]), np.diff(np.searchsorted(start, np.append(begins, len(raw))))
+
+
+def word_hashes(texts: pa.Array) -> Iterator:
+    """A hash for each word of each text, in order; texts are hashed in pieces of about PIECE bytes."""
+    import numpy as np
+
+    texts = texts.cast(pa.binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
+        if offsets[at + 1] - offsets[at] > PIECE:
+            parts = [np.frombuffer(p, np.uint8) for p in byte_slices(texts[at].as_py(), PIECE)]
+            yield np.concatenate([_piece_hashes(p, np.zeros(1, np.int64))[0] for p in parts])
+            upto = at + 1
+        else:
+            found, sizes = _piece_hashes(data[offsets[at] : offsets[upto]], offsets[at:upto] - offsets[at])
+            yield from np.split(found, np.cumsum(sizes)[:-1])
+        at = upto
 
 
 def rolling(words, width: int, base: int):
@@ -109,14 +155,11 @@ def anchors(words, window: int):
 
     v = period(window)
     every = rolling(words, window - v + 1, BASES[0]) >> np.uint64(64 - ANCHOR_BITS)
-    at = np.flatnonzero(np.isin(np.arange(v), COVERS[v])[np.arange(len(every)) % v])
+    at = (np.arange(0, len(every), v)[:, None] + np.array(COVERS[v])).ravel()
+    at = at[at < len(every)]
     return at, every[at].astype(np.int64)
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
-
-
 def _anchor_counts(docs: DataFrame, window: int) -> DataFrame:
     """``(anchor, n)``, counted for each Arrow batch where the texts are read."""
 
@@ -124,7 +167,7 @@ def _anchor_counts(docs: DataFrame, window: int) -> DataFrame:
         import numpy as np
 
         for batch in source:
-            found = [anchors(word_hashes(t), window)[1] for t in _texts(batch)]
+            found = [anchors(words, window)[1] for words in word_hashes(batch.column(0))]
             once, n = np.unique(np.concatenate(found) if found else np.empty(0, np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(once), pa.array(n)], names=["anchor", "n"])
 
@@ -132,36 +175,34 @@ def _anchor_counts(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _anchor_positions(docs: DataFrame, window: int) -> DataFrame:
-    """``(id, tie, at, anchor)``, one row for each anchor."""
-    schema = T.StructType([docs.schema["id"], docs.schema["tie"], T.StructField("at", T.LongType()), T.StructField("anchor", T.LongType())])
+    """``(owner, at, anchor)``, one row for each anchor."""
+    schema = T.StructType([docs.schema["owner"], T.StructField("at", T.LongType()), T.StructField("anchor", T.LongType())])
 
     def place(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            for i, text in enumerate(_texts(batch)):
-                at, hashes = anchors(word_hashes(text), window)
-                keys = [batch.column(c).take(pa.array([i] * len(at), pa.int64())) for c in range(2)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(at), pa.array(hashes)], names=schema.names)
+            for i, words in enumerate(word_hashes(batch.column(1))):
+                at, hashes = anchors(words, window)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(at), pa.int64())), pa.array(at), pa.array(hashes)], names=schema.names)
 
-    return docs.select("id", "tie", "text").mapInArrow(place, schema)
+    return docs.select("owner", "text").mapInArrow(place, schema)
 
 
 def _windows(docs: DataFrame, window: int, known=None) -> DataFrame:
-    """``(id, tie, start, w1, w2)`` of the windows that contain a repeated anchor.
+    """``(owner, start, w1, w2, again)`` of the windows that contain a repeated anchor; ``again`` if an earlier one of the document is equal.
 
     ``known`` is the broadcast filter; without it the positions stand in the column ``ats``.
     """
     listed = known is None
-    schema = T.StructType([docs.schema["id"], docs.schema["tie"], *(T.StructField(c, t) for c, t in (("start", T.IntegerType()), ("w1", T.LongType()), ("w2", T.IntegerType())))])
+    schema = T.StructType([docs.schema["owner"], *(T.StructField(c, t) for c, t in (("start", T.IntegerType()), ("w1", T.LongType()), ("w2", T.IntegerType()), ("again", T.BooleanType())))])
     names, v = schema.names, period(window)
 
     def extend(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in source:
-            rows, starts, first, second = [], [], [], []
-            ats = batch.column(2).to_pylist() if listed else None
-            for i, text in enumerate(_texts(batch)):
-                words = word_hashes(text)
+            rows, starts, first, second, repeats = [], [], [], [], []
+            ats = batch.column(1).to_pylist() if listed else None
+            for i, words in enumerate(word_hashes(batch.column(batch.num_columns - 1))):
                 if len(words) < window:
                     continue
                 if listed:
@@ -175,43 +216,54 @@ def _windows(docs: DataFrame, window: int, known=None) -> DataFrame:
                 n = len(words) - window + 1
                 start = np.flatnonzero(upto[v : v + n] > upto[:n])
                 if len(start):
-                    rows.append(np.full(len(start), i)), starts.append(start.astype(np.int32))
-                    first.append(rolling(words, window, BASES[0])[start].view(np.int64))
+                    w1 = rolling(words, window, BASES[0])[start].view(np.int64)
+                    again = np.ones(len(start), bool)
+                    again[np.unique(w1, return_index=True)[1]] = False
+                    rows.append(np.full(len(start), i)), starts.append(start.astype(np.int32)), first.append(w1), repeats.append(again)
                     second.append((rolling(words, window, BASES[1])[start] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             if rows:
-                of = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), *(pa.array(np.concatenate(c)) for c in (starts, first, second))], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows))), *(pa.array(np.concatenate(c)) for c in (starts, first, second, repeats))], names=names)
 
-    return docs.select("id", "tie", *(["ats"] if listed else []), "text").mapInArrow(extend, schema)
+    return docs.select("owner", *(["ats"] if listed else []), "text").mapInArrow(extend, schema)
 
 
 def _merged(starts: DataFrame, window: int) -> DataFrame:
-    """``(id, tie, spans)``: windows of each document merged; a list is no longer than its document."""
-    schema = T.StructType([starts.schema["id"], starts.schema["tie"], T.StructField("spans", SPANS)])
+    """``(owner, spans)``: windows of each document merged; a list is no longer than its document."""
+    schema = T.StructType([starts.schema["owner"], T.StructField("spans", SPANS)])
 
     def merge(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in source:
             spans = []
-            for found in batch.column(2).to_pylist():
+            for found in batch.column(1).to_pylist():
                 at = np.unique(np.array(found, np.int64))
                 new = np.concatenate([[True], np.diff(at) > window])
                 spans.append([{"begin": int(b), "end": int(e) + window} for b, e in zip(at[new], at[np.concatenate([new[1:], [True]])], strict=True)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))], names=schema.names)
 
-    return starts.groupBy("id", "tie").agg(F.collect_list("start").alias("starts")).mapInArrow(merge, schema)
+    return starts.groupBy("owner").agg(F.collect_list("start").alias("starts")).mapInArrow(merge, schema)
 
 
 def _marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, tie, copy, text)``; ``tie`` tells texts of one id apart, ``copy`` those found under a smaller id."""
+    """``(id, owner, copy, text)``: ``owner`` orders documents, and ``copy`` marks texts found whole under a smaller id.
+
+    A whole number as id makes one wide integer, whose minima aggregate by hash: the id, or 2^63
+    for null, and 62 bits that tell texts of one id apart. Other ids make a struct.
+    """
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(F.lit(1), text_col).alias("h1"), F.xxhash64(F.lit(2), text_col).alias("h2"), F.col(text_col).alias("text"))
     keys = docs.select("id", "h1", "h2")
     texts = keys.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first", F.lit(True).alias("several"))
     ids = keys.groupBy("id").agg(F.min("h1").alias("least"), F.max("h1").alias("most")).where("least <> most").select("id", F.lit(True).alias("shared"))
     known = lookup(lookup(docs, written(texts, "texts"), ["h1", "h2"]), written(ids, "ids"), ["id"])
     copy = F.coalesce(F.col("several"), F.lit(False)) & ~F.col("id").eqNullSafe(F.col("first"))
-    return known.select("id", F.when(F.col("shared"), F.col("h1")).otherwise(F.lit(0)).alias("tie"), copy.alias("copy"), "text")
+    tie = F.when(F.col("shared"), F.shiftrightunsigned("h1", 2)).otherwise(F.lit(0))
+    if isinstance(df.schema[id_col].dataType, T.IntegralType):
+        wide = lambda c: c.cast("decimal(38,0)")
+        owner = wide(wide(F.coalesce(wide(F.col("id")), wide(F.lit(str(1 << 63))))) * wide(F.lit(1 << 62)) + wide(tie))
+    else:
+        owner = F.struct(F.col("id").isNull().alias("last"), "id", tie.alias("tie"))
+    return known.select("id", owner.alias("owner"), copy.alias("copy"), "text")
 
 
 def _spans(docs: DataFrame, window: int, most: int) -> DataFrame:
@@ -223,24 +275,24 @@ def _spans(docs: DataFrame, window: int, most: int) -> DataFrame:
         known = docs.sparkSession.sparkContext.broadcast(hash_filter(repeated, "anchor", members))
         windows = _windows(own, window, known)
     else:
-        ats = _anchor_positions(own, window).join(repeated, "anchor", "left_semi").groupBy("id", "tie").agg(F.collect_list("at").alias("ats"))
-        windows = _windows(lookup(own, written(ats, "positions"), ["id", "tie"], "inner"), window)
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "tie", "start")
-    firsts = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("final")).where(~F.col("first").eqNullSafe(F.col("final"))).select("w1", "w2", "first")
-    later = windows.join(firsts, ["w1", "w2"]).where(~place.eqNullSafe(F.col("first"))).select("id", "tie", "start")
-    return written(_merged(later, window), "spans")
+        ats = _anchor_positions(own, window).join(repeated, "anchor", "left_semi").groupBy("owner").agg(F.collect_list("at").alias("ats"))
+        windows = _windows(lookup(own, written(ats, "positions"), ["owner"], "inner"), window)
+    owners = windows.where("not again").groupBy("w1", "w2").agg(F.min("owner").alias("first"), F.max("owner").alias("final"))
+    firsts = written(owners.where("first <> final").select("w1", "w2", "first"), "firsts")
+    later = windows.join(firsts, ["w1", "w2"], "left").where(F.col("again") | F.coalesce(F.col("owner") != F.col("first"), F.lit(False)))
+    return written(_merged(later.select("owner", "start"), window), "spans")
 
 
 def repeated_spans(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", most: int = SEMI_JOIN) -> DataFrame:
     """``(id_col, spans)``: for each row that is no whole copy, the word spans, end exclusive, that windows repeated from earlier cover."""
     docs = _marked(df, id_col, text_col)
-    return lookup(docs.where("not copy"), _spans(docs, window, most), ["id", "tie"], "inner").select(F.col("id").alias(id_col), "spans")
+    return lookup(docs.where("not copy"), _spans(docs, window, most), ["owner"], "inner").select(F.col("id").alias(id_col), "spans")
 
 
 def remove_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", most: int = SEMI_JOIN) -> DataFrame:
     """``(id_col, n_words long, n_removed long, text)``: the words that stay, joined by one space."""
     docs = _marked(df, id_col, text_col)
-    found = lookup(docs, _spans(docs, window, most), ["id", "tie"])
+    found = lookup(docs, _spans(docs, window, most), ["owner"])
     schema = T.StructType([docs.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())])
 
     def kept(spans, copy: bool, text: bytes | None):
@@ -256,7 +308,7 @@ def remove_repeats(df: DataFrame, window: int = 20, id_col: str = "doc_id", text
 
     def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            made = [kept(*row) for row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), _texts(batch), strict=True)]
+            made = [kept(*row) for row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True)]
             n, removed, text = zip(*made, strict=True) if made else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(text, pa.binary()).cast(pa.string())], names=schema.names)
 

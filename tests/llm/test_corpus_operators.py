@@ -121,6 +121,33 @@ def test_repeated_passages(spark, window, most):
     assert rows(substring_dedup.remove_repeats(given, window, most=most)) == kept_by_hand(docs, window)
 
 
+def test_ids_of_other_kinds(spark):
+    docs = [(None if i is None else f"{i:04d}" if i >= 0 else "-", t) for i, t in passages(11)]
+    given = spark.createDataFrame(docs, "name string, body string")
+    assert rows(substring_dedup.remove_repeats(given, 20, "name", "body")) == kept_by_hand(docs, 20)
+    ends = [(2**63 - 1, "a b c d"), (-(2**63), "x a b c d"), (None, "a b c d e")]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(ends, "doc_id long, text string"), 3)
+    assert rows(found) == kept_by_hand(ends, 3)
+
+
+def test_word_hashes(monkeypatch):
+    import pyarrow as pa
+
+    rnd = random.Random(12)
+    given = [None, "", " \n", "x", " a  b\tc\x0bd ", "é漢 \x85 \u3000z"] + ["".join(rnd.choice("ab \n\x1c") for _ in range(rnd.randrange(60))) for _ in range(300)]
+    whole = pa.array(given, pa.string())
+    seen = {}
+    for piece in (1 << 20, 50):
+        monkeypatch.setattr(substring_dedup, "PIECE", piece)
+        substring_dedup._tables.cache_clear()
+        for part in (whole, whole.slice(7, 90)):
+            for text, found in zip(part.to_pylist(), substring_dedup.word_hashes(part), strict=True):
+                words = (text or "").encode().split()
+                assert len(found) == len(words) and all(seen.setdefault(w, h) == h for w, h in zip(words, found.tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen) > 100
+    substring_dedup._tables.cache_clear()
+
+
 def test_texts_that_share_an_id_are_told_apart(spark):
     rnd = random.Random(8)
     long = prose(rnd, 50)
