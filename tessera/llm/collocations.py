@@ -1,7 +1,7 @@
 """Phrases that occur together far more often than their parts: suffix arrays of word ids.
 
-1. A task cuts its texts into shards of about SHARD words. The words of a shard become ids, and a
-   suffix array to the depth of the longest phrase is built by prefix doubling in numpy, with the
+1. A task cuts its texts into shards of about SHARD words. The words of a shard become ids by
+   64-bit hashes of their language and bytes, and a suffix array to the depth of the longest phrase is built by prefix doubling in numpy, with the
    number of words that each suffix shares with the one before it. Shards are stored once.
 2. For each length n, the intervals of a shard's suffix array whose suffixes share n words are
    its phrases of n words with their counts. Counts are merged by language and phrase.
@@ -21,29 +21,36 @@ count and then by phrase; an empty table gives an empty one; other columns are n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, byte_slices, hash_filter, lookup, may_hold
+from tessera.llm.words import BASE, PIECE, flat_bytes, mixed, portions, span_hashes, spans, white_space
 from tessera.plans.shared import if_small, written
 
 #: Words of a shard, but for the rest of the text slice that fills it.
-SHARD = 1 << 20
+SHARD = 1 << 19
+#: Rows of an Arrow batch of counts.
+ROWS = 1 << 16
 #: Buckets of candidates whose first rows are taken before those of a language meet.
 BUCKETS = 32
 
 # Bytes that end a piece.
 ENDS = b".,;:!?\n\v\f\r"
-_TO_FEED = bytes.maketrans(ENDS, b"\n" * len(ENDS))
-_END = b"."
-_BASE = 0x9E3779B97F4A7C15
 
 
-def tokens(part: bytes) -> list[bytes]:
-    """Words in order, with the token ``.``, which no word can be, at the ends of pieces."""
-    return part.lower().translate(_TO_FEED).replace(b"\n", b" . ").split()
+@lru_cache(maxsize=1)
+def _byte_kinds():
+    """Lower case of each byte, which bytes part words, and which of these end a piece."""
+    import numpy as np
+
+    lower, ends = np.arange(256).astype(np.uint8), np.zeros(256, bool)
+    lower[65:91] += 32
+    ends[list(ENDS)] = True
+    return lower, ends | white_space(), ends
 
 
 def suffix_array(ids, depth: int):
@@ -60,7 +67,7 @@ def suffix_array(ids, depth: int):
         new[order] = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         return new, order
 
-    width, order = 1, np.argsort(ranks[1], kind="stable")
+    width, order = 1, np.argsort(ranks[1]) if depth == 1 else None
     while 2 * width <= depth:
         ranks[2 * width], order = doubled(ranks[width], width)
         width *= 2
@@ -74,49 +81,84 @@ def suffix_array(ids, depth: int):
     return order, np.minimum(shared, depth)
 
 
-class _Words(dict):
-    """Word to number; new words are numbered through all languages of a shard."""
-
-    def __init__(self, lang: str, names: list[tuple[str, bytes]]):
-        super().__init__({_END: 0})
-        self.lang, self.names = lang, names
-
-    def __missing__(self, word: bytes) -> int:
-        self.names.append((self.lang, word))
-        self[word] = n = len(self.names)
-        return n
-
-
 class _Shard:
+    """Hashes of words in order, with 0 before a word that begins a piece, and the words by their hashes."""
+
     def __init__(self):
-        self.names: list[tuple[str, bytes]] = []
-        self.words: dict[str, _Words] = {}
         self.parts: list = []
+        self.words: dict[int, tuple[str, bytes]] = {}
         self.size = 0
 
-    def add(self, lang: str, words: list[bytes]) -> None:
+    def add(self, raw, begins, langs: list[str], new: bool, ended: bool = True) -> bool:
+        """Adds texts that lie one after another; returns whether a piece ends after their last word.
+
+        The first of them goes on from what was added before unless it is ``new``; ``ended`` tells if a
+        piece ended there.
+        """
         import numpy as np
 
-        known = self.words.get(lang) or self.words.setdefault(lang, _Words(lang, self.names))
-        self.parts.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
-        self.size += len(words)
+        lower, blank, ends = _byte_kinds()
+        raw = lower[raw]
+        start, end, counts = spans(raw, begins, blank)
+        upto = np.concatenate([[0], np.cumsum(ends[raw])])
+        if not len(start):
+            return new or ended or upto[-1] > 0
+        row = np.repeat(np.arange(len(begins)), counts)
+        hashes = _in_language(span_hashes(raw, start, end), langs, row)
+        cut = upto[start] > upto[np.concatenate([[0], end[:-1]])]
+        cut[1:] |= row[1:] != row[:-1]
+        cut[0] |= new or ended or row[0] > 0
+        self.parts.append(np.insert(hashes, np.flatnonzero(cut), np.uint64(0)))
+        self.size += len(self.parts[-1])
+        once, at = np.unique(hashes, return_index=True)
+        for h, i in zip(once.tolist(), at.tolist(), strict=True):
+            if h not in self.words:
+                self.words[h] = langs[row[i]], raw[start[i] : end[i]].tobytes()
+        return bool(upto[-1] > upto[end[-1]])
+
+    def next(self, depth: int) -> tuple[_Shard, int]:
+        """A shard that begins with the words which phrases over the border need, and their number."""
+        import numpy as np
+
+        tail = np.concatenate([np.zeros(1, np.uint64), *self.parts[-depth:]])[-depth:]  # a part has one word at least
+        tail = tail[np.append(np.flatnonzero(tail == 0), -1).max() + 1 :][-(depth - 1) :] if depth > 1 else tail[:0]
+        made = _Shard()
+        if len(tail):
+            made.parts, made.size = [tail], len(tail)
+            made.words = {h: self.words[h] for h in tail.tolist()}
+        return made, len(tail)
 
     def row(self, ahead: int, depth: int) -> pa.RecordBatch:
         """The shard as a row; its last ``ahead`` words are begun in the next shard."""
         import numpy as np
 
-        ids = np.concatenate([*self.parts, np.zeros(depth, np.int32)])
+        known, ids = np.unique(np.concatenate([*self.parts, np.zeros(depth, np.uint64)]), return_inverse=True)
+        ids = ids.astype(np.int32)
         order, shared = suffix_array(ids, depth)
         # a suffix that is left out may share more with both neighbours than they show: the least decides
         keep = (order < len(ids) - depth - ahead) & (ids[order] > 0)
         at = np.flatnonzero(keep)
         shared = np.minimum.reduceat(shared[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1])) if len(at) else shared[:0]
-        langs, words = zip(*self.names, strict=True) if self.names else ((), ())
-        values = [ids.tobytes(), order[at].astype("<i4").tobytes(), shared.astype(np.int8).tobytes()]
-        return pa.RecordBatch.from_arrays([*(pa.array([v], pa.binary()) for v in values), pa.array([langs], pa.list_(pa.string())), pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string()))], names=list(_SHARD))
+        named = [self.words[h] for h in known[1:].tolist()]
+        langs = sorted({lang for lang, _ in named})
+        numbers = {lang: i for i, lang in enumerate(langs)}
+        packed = [ids, order[at].astype("<i4"), shared.astype(np.int8), known, np.array([numbers[lang] for lang, _ in named], "<i4")]
+        lists = [pa.array([langs], pa.list_(pa.string())), pa.array([[w for _, w in named]], pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([*(pa.array([v.tobytes()], pa.binary()) for v in packed), *lists], names=list(_SHARD))
+
 
+_SHARD = {"ids": "binary", "suffixes": "binary", "shared": "binary", "hashes": "binary", "lang_of": "binary", "langs": "array<string>", "words": "array<string>"}
 
-_SHARD = {"ids": "binary", "suffixes": "binary", "shared": "binary", "langs": "array<string>", "words": "array<string>"}
+
+def _in_language(hashes, langs: list[str], row):
+    """Hashes that tell a word of one language from the same word of another; never 0."""
+    import numpy as np
+    import xxhash
+
+    known = {lang: xxhash.xxh64_intdigest(lang) for lang in set(langs)}
+    made = mixed(hashes ^ np.array([known[lang] for lang in langs], np.uint64)[row])
+    made[made == 0] = 1
+    return made
 
 
 def shards(df: DataFrame, lang_col: str = "lang", text_col: str = "text", depth: int = 5, size: int = SHARD) -> DataFrame:
@@ -124,22 +166,26 @@ def shards(df: DataFrame, lang_col: str = "lang", text_col: str = "text", depth:
     bounded_batches(df.sparkSession)
 
     def build(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         shard = _Shard()
         for batch in source:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                ahead: list[bytes] = []
-                for part in byte_slices(text):
-                    words = tokens(part)
-                    shard.add(lang, words)
-                    tail = ahead + words[-depth:]
-                    ahead = tail[len(tail) - tail[::-1].index(_END) :] if _END in tail else tail
-                    ahead = ahead[len(ahead) - min(len(ahead), depth - 1) :]
-                    if shard.size >= size:
-                        yield shard.row(len(ahead), depth)
-                        shard = _Shard()
-                        if ahead:
-                            shard.add(lang, ahead)
-                shard.add(lang, [_END])
+            langs, (data, offsets) = batch.column(0).to_pylist(), flat_bytes(batch.column(1))
+            for begin, end in portions(offsets, PIECE):
+                text, ended, first = data[offsets[begin] : offsets[end]], True, True
+                if len(text) <= PIECE:
+                    shard.add(text, offsets[begin:end] - offsets[begin], langs[begin:end], True)
+                else:  # one long text
+                    for part in byte_slices(text.tobytes(), PIECE):
+                        if not first and shard.size >= size:
+                            made, ahead = (_Shard(), 0) if ended else shard.next(depth)
+                            yield shard.row(ahead, depth)
+                            shard = made
+                        ended = shard.add(np.frombuffer(part, np.uint8), np.zeros(1, np.int64), langs[begin:end], first, ended)
+                        first = False
+                if shard.size >= size:
+                    yield shard.row(0, depth)
+                    shard = _Shard()
         if shard.size:
             yield shard.row(0, depth)
 
@@ -147,21 +193,13 @@ def shards(df: DataFrame, lang_col: str = "lang", text_col: str = "text", depth:
     return df.select(lang.alias("lang"), F.col(text_col).alias("text")).mapInArrow(build, ", ".join(f"{c} {t}" for c, t in _SHARD.items()))
 
 
-def _word_hashes(langs, words):
-    """A hash for each word of a language, and 0 for the end of a piece."""
-    import numpy as np
-    import xxhash
-
-    return np.array([0, *(xxhash.xxh64_intdigest(f"{lang} {word}") for lang, word in zip(langs, words, strict=True))], np.uint64)
-
-
 def _phrase_hashes(words, ids, at, n: int):
     """Hashes of the phrases of ``n`` words at some positions."""
     import numpy as np
 
     made = np.zeros(len(at), np.uint64)
     for j in range(n):
-        made = made * np.uint64(_BASE) + words[ids[at + j]]
+        made = made * np.uint64(BASE) + words[ids[at + j]]
     return made.view(np.int64)
 
 
@@ -174,8 +212,9 @@ def phrase_counts(stored: DataFrame, n: int, known=None) -> DataFrame:
 
         for batch in source:
             for row in range(batch.num_rows):
-                ids, order, shared = (np.frombuffer(batch.column(c)[row].as_py(), kind) for c, kind in enumerate(("<i4", "<i4", np.int8)))
-                langs, words = (batch.column(c)[row].values for c in (3, 4))
+                packed = zip(("<i4", "<i4", np.int8, np.uint64, "<i4"), batch.columns, strict=False)
+                ids, order, shared, hashes, lang_of = (np.frombuffer(c[row].as_buffer(), kind) for kind, c in packed)
+                langs, words = (batch.column(c)[row].values for c in (5, 6))
                 if not len(order):
                     continue
                 begin = np.flatnonzero(shared < n)
@@ -184,14 +223,14 @@ def phrase_counts(stored: DataFrame, n: int, known=None) -> DataFrame:
                 ends = np.flatnonzero(ids == 0)
                 whole = ends[np.searchsorted(ends, at)] - at >= n
                 at, size = at[whole], size[whole]
-                if known is not None:
-                    hashed = _word_hashes(langs.to_pylist(), words.to_pylist())
-                    for step in (0, 1):
-                        held = may_hold(known.value, _phrase_hashes(hashed, ids, at + step, n - 1))
-                        at, size = at[held], size[held]
-                parts = [words.take(pa.array(ids[at + j] - 1)) for j in range(n)]
-                phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(ids[at] - 1)), phrase, pa.array(size)], names=["lang", "phrase", "n"])
+                for step in (0, 1) if known is not None else ():
+                    held = may_hold(known.value, _phrase_hashes(hashes, ids, at + step, n - 1))
+                    at, size = at[held], size[held]
+                for i in range(0, len(at), ROWS):
+                    some, times = at[i : i + ROWS], size[i : i + ROWS]
+                    parts = [words.take(pa.array(ids[some + j] - 1)) for j in range(n)]
+                    phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang_of[ids[some] - 1])), phrase, pa.array(times)], names=["lang", "phrase", "n"])
 
     return stored.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
@@ -203,11 +242,12 @@ def _filter(frequent: DataFrame, members: int):
         import numpy as np
 
         for batch in source:
-            langs, phrases = (c.to_pylist() for c in batch.columns)
-            split = [p.split(" ") for p in phrases]
-            words = _word_hashes([lang for lang, p in zip(langs, split, strict=True) for _ in p], [w for p in split for w in p])
-            n = len(split[0]) if split else 0
-            yield pa.RecordBatch.from_arrays([pa.array(_phrase_hashes(words, np.arange(len(words)), np.arange(len(split)) * n + 1, n))], names=["h"])
+            langs, (data, offsets) = batch.column(0).to_pylist(), flat_bytes(batch.column(1))
+            raw, begins = data[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0]
+            start, end, counts = spans(raw, begins, _byte_kinds()[1])
+            words = _in_language(span_hashes(raw, start, end), langs, np.repeat(np.arange(len(langs)), counts))
+            first = np.cumsum(counts) - counts
+            yield pa.RecordBatch.from_arrays([pa.array(_phrase_hashes(words, np.arange(len(words)), first, int(counts[0])) if len(counts) else np.empty(0, np.int64))], names=["h"])
 
     found = frequent.select("lang", "phrase").mapInArrow(hashes, "h long")
     return frequent.sparkSession.sparkContext.broadcast(hash_filter(found, "h", members))

@@ -13,8 +13,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessera.plans.shared import FILTER_BITS, is_small
 
-#: Rows of one Arrow batch: texts may be long, and a batch is held in memory.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch: texts may be long, and a batch is held in memory.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
 
 #: Bytes of a text that are split into words at once.
 SLICE_BYTES = 1 << 20
@@ -30,6 +30,9 @@ def bounded_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def map_rows(df: DataFrame, row: Callable[..., tuple], schema) -> DataFrame:

@@ -29,7 +29,6 @@ each of them gets its result; an empty table gives an empty one; other columns a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import bounded_batches, byte_slices, hash_filter, lookup, may_hold, word_slices
+from tessera.llm.words import PIECE, flat_bytes, portions, span_hashes, spans, white_space
 from tessera.plans.shared import FILTER_BITS, written
 
 # Difference covers by their period, each a perfect difference set.
@@ -45,8 +45,6 @@ COVERS = {1: (0,), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0
 ANCHOR_WORDS = 8
 #: Repeated anchors up to which the filter is used: 16 bits or more for each.
 SEMI_JOIN = FILTER_BITS // 16
-#: Bytes of texts that are hashed at once.
-PIECE = 1 << 20
 #: Bits of an anchor's hash; two that clash only cost the look at their windows.
 ANCHOR_BITS = 48
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -61,71 +59,19 @@ def period(window: int) -> int:
     return max(v for v in COVERS if v == 1 or window - v + 1 >= ANCHOR_WORDS)
 
 
-@lru_cache(maxsize=1)
-def _tables():
-    """Which bytes are white space, 64 bits for each byte, and powers of a base and of its inverse for PIECE bytes."""
-    import numpy as np
-
-    space = np.zeros(256, bool)
-    space[[9, 10, 11, 12, 13, 32]] = True
-    return space, _mixed(np.arange(1, 257).astype(np.uint64)), _powers(BASES[0], PIECE), _powers(pow(BASES[0], -1, 1 << 64), PIECE)
-
-
-def _powers(base: int, n: int):
-    import numpy as np
-
-    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
-
-
-def _mixed(h):
-    """All bits of 64-bit integers spread over all others."""
-    import numpy as np
-
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ h >> np.uint64(shift)) * np.uint64(factor)
-    return h ^ h >> np.uint64(31)
-
-
-def _piece_hashes(raw, begins):
-    """Hashes of the words of texts that lie one after another in ``raw``, and the number of words of each.
-
-    A word's hash is the difference of two running sums of its bytes times powers, set back to the
-    word's first byte, so no word is ever an object.
-    """
-    import numpy as np
-
-    space, bits, power, inverse = _tables()
-    if len(raw) > PIECE:
-        power, inverse = _powers(BASES[0], len(raw)), _powers(pow(BASES[0], -1, 1 << 64), len(raw))
-    word = ~space[raw]
-    first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
-    inner = begins[(begins > 0) & (begins < len(raw))]
-    first[inner], last[inner - 1] = word[inner], word[inner - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bits[raw] * power[: len(raw)])])
-    return _mixed((upto[end] - upto[start]) * inverse[start]), np.diff(np.searchsorted(start, np.append(begins, len(raw))))
-
-
 def word_hashes(texts: pa.Array) -> Iterator:
     """A hash for each word of each text, in order; texts are hashed in pieces of about PIECE bytes."""
     import numpy as np
 
-    texts = texts.cast(pa.binary())
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    at = 0
-    while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
-        if offsets[at + 1] - offsets[at] > PIECE:
-            parts = [np.frombuffer(p, np.uint8) for p in byte_slices(texts[at].as_py(), PIECE)]
-            yield np.concatenate([_piece_hashes(p, np.zeros(1, np.int64))[0] for p in parts])
-            upto = at + 1
+    data, offsets = flat_bytes(texts)
+    for begin, end in portions(offsets, PIECE):
+        raw = data[offsets[begin] : offsets[end]]
+        if len(raw) > PIECE:  # one long text
+            parts = [(np.frombuffer(p, np.uint8), np.zeros(1, np.int64)) for p in byte_slices(raw.tobytes(), PIECE)]
+            yield np.concatenate([span_hashes(p, *spans(p, at, white_space())[:2]) for p, at in parts])
         else:
-            found, sizes = _piece_hashes(data[offsets[at] : offsets[upto]], offsets[at:upto] - offsets[at])
-            yield from np.split(found, np.cumsum(sizes)[:-1])
-        at = upto
+            first, last, sizes = spans(raw, offsets[begin:end] - offsets[begin], white_space())
+            yield from np.split(span_hashes(raw, first, last), np.cumsum(sizes)[:-1])
 
 
 def rolling(words, width: int, base: int):

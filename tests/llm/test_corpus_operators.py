@@ -55,18 +55,23 @@ def test_collocations(spark, size, top, percent):
     assert by_hand and rows(found) == by_hand
 
 
-def test_collocations_of_one_long_text(spark, monkeypatch):
-    """A text that is cut into many slices and shards loses no phrase at their borders."""
-    text = prose(random.Random(5), 3000)
-    monkeypatch.setattr(collocations, "byte_slices", lambda t: slices(t, 97))
-    given = spark.createDataFrame([(0, text, "en")], "doc_id long, text string, lang string")
-    assert rows(collocations.collocations(given, 3, size=50)) == phrases_by_hand([("en", text)], 3, 5, 2000, 100)
-
-
-def slices(text, length):
-    from tessera.llm.common import byte_slices
-
-    return byte_slices(text, length)
+@pytest.mark.parametrize("size", [1, 50, 1 << 19])
+def test_collocations_of_long_texts(spark, monkeypatch, size):
+    """Texts that are cut into many slices and shards lose no phrase at their borders."""
+    rnd = random.Random(5)
+    docs = [("en", prose(rnd, 900)), ("en", prose(rnd, 3)), ("de", f" . {prose(rnd, 300)}"), ("en", "!" * 99), ("en", None), ("de", prose(rnd, 400).replace(" ", " . ")), ("de", "river stone blue " * 200)]
+    monkeypatch.setattr(collocations, "PIECE", 97)
+    given = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(docs)], "doc_id long, text string, lang string").coalesce(1)
+    made = collocations.shards(given, size=size).collect()
+    assert len(made) > 20 or size > 50
+    made = spark.createDataFrame(made, "ids binary, suffixes binary, shared binary, hashes binary, lang_of binary, langs array<string>, words array<string>")
+    for n in range(1, 6):
+        by_hand = Counter()
+        for lang, text in docs:
+            for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").lower()):
+                words = piece.split()
+                by_hand.update((lang, " ".join(words[i : i + n])) for i in range(len(words) - n + 1))
+        assert {(r.lang, r.phrase): r.n for r in collocations.phrase_counts(made, n).collect()} == by_hand
 
 
 def test_suffix_array():
@@ -139,13 +144,11 @@ def test_word_hashes(monkeypatch):
     seen = {}
     for piece in (1 << 20, 50):
         monkeypatch.setattr(substring_dedup, "PIECE", piece)
-        substring_dedup._tables.cache_clear()
         for part in (whole, whole.slice(7, 90)):
             for text, found in zip(part.to_pylist(), substring_dedup.word_hashes(part), strict=True):
                 words = (text or "").encode().split()
                 assert len(found) == len(words) and all(seen.setdefault(w, h) == h for w, h in zip(words, found.tolist(), strict=True))
     assert len(set(seen.values())) == len(seen) > 100
-    substring_dedup._tables.cache_clear()
 
 
 def test_texts_that_share_an_id_are_told_apart(spark):
