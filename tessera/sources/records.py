@@ -267,7 +267,9 @@ class _Reader:
         self.recursive = yes("recursive", False)
         self.records, self.columns = records, columns
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # a plan without any partition
+            return
         system, inner, _ = opened(part.file)
         text = pa.string()
         kinds = [text, pa.int64(), text, text, text, pa.bool_(), text][: len(self.columns)]
