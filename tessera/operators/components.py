@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.shared import Written
+from tessera.plans.shared import Written, numbered, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -50,3 +50,32 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now.drop()
         now = following
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def breadth_first(edges: DataFrame, max_levels: int = 1000) -> DataFrame:
+    """``(component, pos, node, level, parent)``: each component's nodes breadth first from its least node.
+
+    Neighbours follow in ascending order, so a node's parent is the first in order that has an edge
+    to it. Levels advance in all components at once, each by one equi-join with the frontier; a
+    frontier is numbered by a sort by range, never in one task. The number of rounds is the depth of
+    the deepest component, of ``max_levels`` at most. Null ends, self-loops and repeated edges are
+    ignored.
+    """
+    one = edges.select("u", "v").where("u is not null and v is not null and u <> v")
+    both = written(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "neighbours")
+    label = written(connected_components(one), "labels")
+    kind = both.schema["u"].dataType
+    roots = label.where("node = component").select("component", "node", F.lit(0).alias("level"), F.lit(None).cast(kind).alias("parent"))
+    seen = front = written(numbered(roots, "component", name="nth"), "front")
+    for level in range(1, max_levels + 1):
+        met = both.join(front.select("component", F.col("node").alias("u"), "nth"), "u").groupBy("component", F.col("v").alias("node")).agg(F.min(F.struct("nth", "u")).alias("by"))
+        fresh = met.join(seen.select("node"), "node", "left_anti").select("component", "node", F.lit(level).alias("level"), F.col("by.u").alias("parent"), F.col("by.nth").alias("before"))
+        front = written(numbered(fresh, "component", "before", "node", name="nth").drop("before"), "front")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    else:
+        raise RuntimeError(f"a component is deeper than {max_levels} levels")
+    ordered = numbered(written(seen, "seen"), "component", "level", "nth", name="at")
+    first = ordered.groupBy("component").agg(F.min("at").alias("first"))
+    return ordered.join(first, "component").select("component", (F.col("at") - F.col("first")).alias("pos"), "node", "level", "parent")

@@ -2,25 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from tessera.operators.components import connected_components
+from tessera.operators.components import breadth_first, connected_components
 from tessera.operators.index import inverted
+from tessera.plans.shared import if_small, written
+
 
+#: Files of one side of a tile.
+TILE = 256
+#: Files of a list, in all and for each tile that it may touch, from which tiles take it.
+LONG, PER_TILE = 64, 16
+#: Lists that are multiplied at once, and tiles of sums that a task holds before it passes them on.
+TILE_LISTS, HELD = 512, 64
+#: Parts of the k-mers of one rarity, in a fixed order.
+CELLS = 256
 
-def intersections(postings: DataFrame, file_col: str = "file_idx", from_file: int | None = None) -> DataFrame:
+
+def intersections(postings: DataFrame, file_col: str = "file_idx", from_file: int | None = None, long: int = LONG) -> DataFrame:
     """``(i, j, shared)`` for pairs i > j that share a k-mer; with ``from_file``, only rows i >= it.
 
-    The postings are shuffled once, to their lists. Lists that many k-mers share give their
-    pairs once, with the number of these k-mers as weight.
+    The postings are shuffled once, to their lists. Lists that many k-mers share count once, with
+    the number of these k-mers as weight. Short lists give their pairs. A long list would give the
+    square of its length; such lists are bits of tiles of files by lists, whose products add up
+    pairs, so their work is bounded by tiles. Tiles are of 256 by 256 files.
     """
     lists = inverted(postings, file_col).where(F.size("files") > 1).groupBy("files").agg(F.count("*").alias("weight"))
-    firsts = lists.select("weight", "files", F.posexplode("files").alias("at", "i")).where("at > 0")
+    lists = written(lists, "lists")  # both ways read them
+    touched = F.floor(F.element_at("files", -1) / TILE) - F.floor(F.element_at("files", 1) / TILE) + 1
+    dense = (F.size("files") >= long) & (F.size("files") >= PER_TILE * touched)
+    firsts = lists.where(~dense).select("weight", "files", F.posexplode("files").alias("at", "i")).where("at > 0")
     if from_file is not None:
         firsts = firsts.where(F.col("i") >= from_file)
-    both = firsts.select("weight", "i", F.explode(F.slice("files", F.lit(1), F.col("at"))).alias("j"))
-    return both.groupBy("i", "j").agg(F.sum("weight").alias("shared"))
+    both = firsts.select("i", F.explode(F.slice("files", F.lit(1), F.col("at"))).alias("j"), "weight")
+    return both.unionByName(_tiled(lists.where(dense), postings.schema[file_col].dataType, from_file)).groupBy("i", "j").agg(F.sum("weight").alias("shared"))
+
+
+def _tiled(lists: DataFrame, kind: T.DataType, from_file: int | None) -> DataFrame:
+    """``(i, j, weight)`` of long lists, added up by each task as far as it holds tiles."""
+
+    def multiply(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        sums: dict[tuple[int, int], object] = {}
+
+        def passed() -> pa.RecordBatch:
+            parts = []
+            for (x, y), held in sums.items():
+                i, j = np.nonzero(np.tril(held, -1) if x == y else held)
+                parts.append((i + x * TILE, j + y * TILE, held[i, j].astype(np.int64)))
+            sums.clear()
+            i, j, n = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 3
+            keep = i >= from_file if from_file is not None else np.ones(len(i), bool)
+            return pa.RecordBatch.from_arrays([pa.array(i[keep], arrow), pa.array(j[keep], arrow), pa.array(n[keep])], names=["i", "j", "weight"])
+
+        for batch in source:
+            for at in range(0, batch.num_rows, TILE_LISTS):
+                files, weights = (c.slice(at, TILE_LISTS) for c in batch.columns)
+                row, file = files.value_parent_indices().to_numpy(), files.flatten().to_numpy().astype(np.int64)
+                root = np.sqrt(weights.to_numpy().astype(np.float64))
+                tiles = {}
+                for t in np.unique(file // TILE).tolist():
+                    here = file // TILE == t
+                    tiles[t] = np.zeros((len(files), TILE))
+                    tiles[t][row[here], file[here] % TILE] = root[row[here]]
+                for x, bits in tiles.items():
+                    if from_file is not None and (x + 1) * TILE <= from_file:
+                        continue
+                    for y in tiles:
+                        if y <= x:
+                            made = np.rint(bits.T @ tiles[y])  # sums of whole weights, below 2^53
+                            sums[x, y] = sums[x, y] + made if (x, y) in sums else made
+                            if len(sums) >= HELD:
+                                yield passed()
+        if sums:
+            yield passed()
+
+    arrow = to_arrow_type(kind)
+    schema = T.StructType([T.StructField("i", kind), T.StructField("j", kind), T.StructField("weight", T.LongType())])
+    return lists.select("files", "weight").mapInArrow(multiply, schema)
 
 
 def pairs(postings: DataFrame, files: DataFrame, file_col: str = "file_idx", from_file: int | None = None) -> DataFrame:
@@ -60,17 +126,57 @@ def similarities(postings: DataFrame, files: DataFrame, file_col: str = "file_id
     return pairs(postings, files, file_col).select("i", "j", "shared", united.alias("united"), value.alias("jaccard"))
 
 
-def similar_groups(postings: DataFrame, files: DataFrame, least: float, file_col: str = "file_idx") -> DataFrame:
-    """``(file_col, component)``: components of the graph of pairs with Jaccard >= ``least``.
+def similar_candidates(postings: DataFrame, least: float, file_col: str = "file_idx") -> DataFrame:
+    """``(i, j, n_i, n_j)``, i > j: pairs that may have Jaccard >= ``least``, among them all that do.
 
-    Only pairs that share a k-mer can be edges (unless ``least`` is 0), so the pairs come
-    from the join on k-mers and the full grid is never built.
+    Two such sets of n and m k-mers share ceil(least * n) of the n at least, so each holds one of
+    the other's k-mers among its n - ceil(least * n) + 1 rarest; only these prefixes meet, in short
+    lists. Prefixes are found from counts by rarity and cell of a hash, so no file's k-mers are
+    sorted in one task, and may be longer by a part of a cell. Pairs whose sizes differ too much are
+    left out before they are counted.
     """
+    if not 0 < least <= 1:
+        raise ValueError("the least similarity is above 0 and 1 at most")
+    sizes = written(postings.groupBy(file_col).agg(F.count("*").alias("n")), "sizes")
+    rare = postings.groupBy("kmer").agg(F.count("*").alias("files")).where("files > 1")  # what one file has alone makes no pair
+    held = written(postings.select(file_col, "kmer").join(rare, "kmer").withColumn("cell", F.pmod(F.xxhash64("kmer"), F.lit(CELLS))), "held")
+    cells = held.groupBy(file_col, "files", "cell").agg(F.count("*").alias("m"))
+    mine = Window.partitionBy(file_col)
+    before = F.coalesce(F.sum("m").over(mine.orderBy("files", "cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    alone = F.col("n") - F.sum("m").over(mine)  # these k-mers come first in a file's order
+    prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+    wanted = cells.join(if_small(sizes), file_col).select(file_col, "files", "cell", (before + alone).alias("before"), prefix.alias("prefix")).where("before < prefix")
+    first = held.join(if_small(written(wanted.select(file_col, "files", "cell"), "cells")), [file_col, "files", "cell"], "left_semi")
+    met = intersections(first.select(file_col, "kmer"), file_col).select("i", "j")
+    for side in ("i", "j"):
+        met = met.join(if_small(sizes.select(F.col(file_col).alias(side), F.col("n").alias(f"n_{side}"))), side)
+    return met.where(F.least("n_i", "n_j") >= F.lit(least) * F.greatest("n_i", "n_j") - 1e-9).select("i", "j", "n_i", "n_j")
+
+
+def similar_pairs(postings: DataFrame, least: float, file_col: str = "file_idx") -> DataFrame:
+    """``(i, j, shared, jaccard)``, i > j, of pairs with Jaccard >= ``least``: candidates, counted exactly."""
+    asked = written(similar_candidates(postings, least, file_col), "candidates")
+    mine = postings.select(F.col(file_col).alias("i"), "kmer")
+    theirs = postings.select(F.col(file_col).alias("j"), "kmer")
+    counted = mine.join(if_small(asked), "i").join(theirs, ["j", "kmer"]).groupBy("i", "j", "n_i", "n_j").agg(F.count("*").alias("shared"))
+    jaccard = F.col("shared") / (F.col("n_i") + F.col("n_j") - F.col("shared"))
+    return counted.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select("i", "j", "shared", "jaccard")
+
+
+def similar_groups(postings: DataFrame, files: DataFrame, least: float, file_col: str = "file_idx") -> DataFrame:
+    """``(file_col, component)``: components of the graph of pairs with Jaccard >= ``least``."""
     if least <= 0:
         return files.select(file_col).withColumn("component", F.lit(files.agg(F.min(file_col)).first()[0]))
-    sizes = postings.groupBy(file_col).agg(F.count("*").alias("n"))
-    side = lambda c, n: sizes.select(F.col(file_col).alias(c), F.col("n").alias(n))
-    edges = intersections(postings, file_col).join(side("i", "n_i"), "i").join(side("j", "n_j"), "j").where(F.col("shared") / (F.col("n_i") + F.col("n_j") - F.col("shared")) >= least)
-    found = connected_components(edges.select(F.col("i").alias("u"), F.col("j").alias("v"))).withColumnRenamed("node", file_col)
+    edges = similar_pairs(postings, least, file_col).select(F.col("i").alias("u"), F.col("j").alias("v"))
+    found = connected_components(edges).withColumnRenamed("node", file_col)
     return files.select(file_col).join(found, file_col, "left").select(file_col, F.coalesce("component", file_col).alias("component"))
 
+
+def similar_groups_in_order(postings: DataFrame, files: DataFrame, least: float, file_col: str = "file_idx") -> DataFrame:
+    """``(component, pos, file_col, level, parent)``: the members of each component breadth first from its least one."""
+    edges = written(similar_pairs(postings, least, file_col).select(F.col("i").alias("u"), F.col("j").alias("v")), "edges") if least > 0 else None
+    if edges is None:
+        raise ValueError("the least similarity is above 0")
+    found = breadth_first(edges).withColumnRenamed("node", file_col)
+    alone = files.select(file_col).distinct().join(found, file_col, "left_anti")
+    return found.unionByName(alone.select(F.col(file_col).alias("component"), F.lit(0).cast("long").alias("pos"), file_col, F.lit(0).alias("level"), F.lit(None).cast(files.schema[file_col].dataType).alias("parent")))

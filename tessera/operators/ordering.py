@@ -5,45 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A tour is sequential and needs the matrix in one place: files at most.
-MOST_FILES = 20_000
+from tessera.plans.shared import written
 
+#: Nearest files of each one that the driver holds, 12 bytes each.
+NEAREST = 64
 
-def greedy_tour(dist: DataFrame, start: int = 0) -> list[int]:
+
+def greedy_tour(dist: DataFrame, start: int = 0, nearest: int = NEAREST) -> list[int]:
     """From ``start`` always to the nearest file not seen, the lowest index between equals.
 
-    The lower triangle comes to the driver row by row, in four bytes a distance: 800 MB for
-    the most files.
+    A tour is sequential, but needs no matrix: the driver holds the ``nearest`` others of each file
+    by distance and index. The first of them that is not seen is the nearest of all; only where all
+    are seen, the file's own row is read from the stored matrix, which is clustered by file.
     """
     import numpy as np
 
-    seen = dist.agg(F.max("i").alias("last"), F.max("dist").alias("most")).first()
-    if seen["last"] is None:
+    if nearest < 1:
+        raise ValueError("one nearest file is held at least")
+    last = dist.agg(F.max("i").alias("last")).first()["last"]
+    if last is None:
         return []
-    n = seen["last"] + 1
-    if n > MOST_FILES:
-        raise ValueError(f"more than {MOST_FILES} files")
+    n = last + 1
     if not 0 <= start < n:
         raise ValueError("the start is no file")
-    kind = np.uint32 if seen["most"] < 1 << 32 else np.uint64
-    begin = np.arange(n + 1, dtype=np.int64) * np.arange(1, n + 2) // 2  # of each row in the triangle
-    flat = np.zeros(begin[n], kind)
-    packed = dist.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "dist"))), lambda x: x["dist"]).alias("row"))
-    for r in packed.toLocalIterator(prefetchPartitions=False):
-        flat[begin[r["i"]] : begin[r["i"] + 1]] = r["row"]
+    ends = dist.where("i <> j").select("i", "j", "dist")
+    both = ends.select(F.col("i").alias("file"), F.col("j").alias("other"), "dist").unionByName(ends.select(F.col("j").alias("file"), F.col("i").alias("other"), "dist"))
+    rows = written(both.repartitionByRange("file").sortWithinPartitions("file", "dist", "other"), "rows")
+    order = Window.partitionBy("file").orderBy("dist", "other")
+    short = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= nearest).select("file", "rank", "other").toArrow()
+    near = np.full((n, min(nearest, max(n - 1, 1))), -1, np.int64)
+    if short.num_rows:
+        near[short["file"].to_numpy(), short["rank"].to_numpy() - 1] = short["other"].to_numpy()
     left, tour = np.ones(n, bool), [start]
     left[start] = False
     while len(tour) < n:
         at = tour[-1]
-        near = np.concatenate([flat[begin[at] : begin[at + 1]], flat[begin[at + 1 : n] + at]])
-        tour.append(int(np.flatnonzero(left)[near[left].argmin()]))
+        known = near[at][near[at] >= 0]
+        unseen = known[left[known]]
+        if not len(unseen):
+            row = rows.where(F.col("file") == at).orderBy("dist", "other").select("other").toArrow()["other"].to_numpy()
+            unseen = row[left[row]]
+        tour.append(int(unseen[0]))
         left[tour[-1]] = False
     return tour
 
 
-def ordering(dist: DataFrame, start: int = 0) -> DataFrame:
+def ordering(dist: DataFrame, start: int = 0, nearest: int = NEAREST) -> DataFrame:
     """``(pos, file_idx)``"""
-    return dist.sparkSession.createDataFrame(list(enumerate(greedy_tour(dist, start))), "pos long, file_idx long")
+    return dist.sparkSession.createDataFrame(list(enumerate(greedy_tour(dist, start, nearest))), "pos long, file_idx long")
 
 
 def steps(order: DataFrame, dist: DataFrame) -> DataFrame:

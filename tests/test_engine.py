@@ -103,6 +103,154 @@ def test_distances_orders_groups(spark):
     assert di.similarities(postings, files).where("i = 7 and j = 7").first().jaccard == 1
 
 
+def test_long_lists_go_by_tiles(spark, monkeypatch):
+    """Both ways of counting pairs agree, over the borders of tiles too."""
+    sets = {f: {k for k in range(60) if rnd.random() < (0.9 if f % 3 else 0.1)} for f in rnd.sample(range(40), 25)}
+    postings = spark.createDataFrame([(f, k) for f, s in sets.items() for k in s], "file_idx int, kmer long")
+    by_hand = {(i, j): len(sets[i] & sets[j]) for i in sets for j in sets if i > j and sets[i] & sets[j]}
+    monkeypatch.setattr(di, "PER_TILE", 0)
+    for tile, held in ((256, 64), (7, 3)):
+        monkeypatch.setattr(di, "TILE", tile), monkeypatch.setattr(di, "HELD", held), monkeypatch.setattr(di, "TILE_LISTS", 5)
+        for long in (2, 10, 1000):
+            found = di.intersections(postings, long=long)
+            assert {(r.i, r.j): r.shared for r in found.collect()} == by_hand and found.schema["i"].dataType.typeName() == "integer"
+            assert {(r.i, r.j): r.shared for r in di.intersections(postings, from_file=20, long=long).collect()} == {p: n for p, n in by_hand.items() if p[0] >= 20}
+
+
+@pytest.mark.parametrize("least", [0.05, 0.5, 0.8, 1.0])
+def test_similar_pairs_and_their_candidates(spark, least):
+    base = [{rnd.randrange(400) for _ in range(rnd.randrange(1, 60))} for _ in range(8)]
+    sets = {f: {k for k in base[f % 8] if rnd.random() < 0.93} | {1000 * f + x for x in range(f % 3)} | {7} for f in range(32)}
+    sets[40] = sets[41] = {5}
+    postings = spark.createDataFrame([(f, k) for f, s in sets.items() for k in s], "file_idx int, kmer long")
+    want = {(i, j): len(sets[i] & sets[j]) for i in sets for j in sets if i > j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least}
+    assert {(r.i, r.j): r.shared for r in di.similar_pairs(postings, least).collect()} == want
+    asked = {(r.i, r.j) for r in di.similar_candidates(postings, least).collect()}
+    sharing = sum(bool(sets[i] & sets[j]) for i in sets for j in sets if i > j)
+    assert want.keys() <= asked and (least < 0.5 or len(asked) < sharing / 2)
+    with pytest.raises(ValueError, match="similarity"):
+        di.similar_candidates(postings, 0)
+
+
+def test_breadth_first_order(spark):
+    from tessera.operators.components import breadth_first
+
+    edges = {(rnd.randrange(60), rnd.randrange(60)) for _ in range(45)} | {(100 + i, 101 + i) for i in range(9)} | {(3, 3)}
+    near: dict = {}
+    for u, v in edges:
+        if u != v:
+            near.setdefault(u, set()).add(v), near.setdefault(v, set()).add(u)
+    want, seen = [], set()
+    for root in sorted(near):
+        if root in seen:
+            continue
+        queue, level, parent = [root], {root: 0}, {root: None}
+        for u in queue:
+            for v in sorted(near[u]):
+                if v not in level:
+                    level[v], parent[v] = level[u] + 1, u
+                    queue.append(v)
+        seen |= set(queue)
+        want += [(root, i, u, level[u], parent[u]) for i, u in enumerate(queue)]
+    given = spark.createDataFrame([*edges, (None, 4), (5, None), (102, 101)], "u int, v int")
+    found = breadth_first(given).select("component", "pos", "node", "level", "parent")
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    with pytest.raises(RuntimeError, match="deeper"):
+        breadth_first(given, 2)
+    assert breadth_first(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+@pytest.mark.parametrize("nearest", [1, 2, 5, 64])
+def test_tours_of_short_lists(spark, nearest):
+    n = 30
+    dist = {(i, j): 0 if i == j else rnd.randrange(1, 40) for i in range(n) for j in range(i + 1)}
+    tour = [2]
+    while len(tour) < n:
+        tour.append(min((f for f in range(n) if f not in tour), key=lambda f: (dist[max(f, tour[-1]), min(f, tour[-1])], f)))
+    given = spark.createDataFrame([(*p, d) for p, d in dist.items()], "i int, j int, dist long")
+    assert od.greedy_tour(given, 2, nearest) == tour
+
+
+def saved_lossy(spark, tmp_path, monkeypatch, broadcast):
+    from tessera.operators import classify as cl
+    from tessera.plans import shared
+
+    if not broadcast:
+        monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(cl, "if_small", lambda df: df)
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(400)) for _ in range(40)]
+    seqs = [s if i % 3 else seqs[0][:300] + s[:100] for i, s in enumerate(seqs)]
+    files = spark.createDataFrame([(i, f"f{i}", i + 1) for i in range(40)], "file_idx int, file string, taxid long")
+    index = Index.build(spark.createDataFrame(list(enumerate(seqs)), "file_idx int, seq string"), files, 7, None).lossy(2)
+    index.save(f"file://{tmp_path}/db")
+    reads = spark.createDataFrame([(f"r{i}", seqs[i][20 * (i % 9) : 20 * (i % 9) + 150]) for i in range(40)], "read_id string, seq string")
+    return cl, index, Index.load(spark, f"file://{tmp_path}/db"), reads
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_lists_are_matched_as_they_are_stored(spark, tmp_path, monkeypatch, broadcast):
+    cl, index, saved, reads = saved_lossy(spark, tmp_path, monkeypatch, broadcast)
+    counted = cl.read_kmers(reads, 7)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    found = cl.list_hits(counted, saved.lists)
+    assert key(found) == key(cl.hits(counted, index.postings)) and found.count() > 40
+    plain = Index(index.files, 7, None, index.total, pairs=index.postings)
+    assert key(cl.classify(reads, saved, 3)) == key(cl.classify(reads, plain, 3))
+    if not broadcast:  # the reads alone are shuffled to meet the stored lists
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            joined = saved.lists.join(counted.where("kmer is not null"), "kmer")
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert plan.count("Exchange hashpartitioning(kmer") == 1 and "Bucketed: true" in plan
+
+
+def test_few_kmers_read_their_own_buckets(spark, tmp_path, monkeypatch):
+    """The files of all other buckets are spoiled, and nobody looks."""
+    import glob
+
+    from pyspark.sql import types as T
+
+    cl, _, saved, _ = saved_lossy(spark, tmp_path, monkeypatch, True)
+    kmer = saved.lists.where(F.size("blocks") > 0).first()["kmer"]
+    counted = spark.createDataFrame([(0, "r", kmer, 2)], T.StructType().add(cl.ROW, "long").add("read_id", "string").add("kmer", "long").add("times", "long"))
+    want = sorted(map(tuple, cl.list_hits(counted, saved.lists).collect()))
+    bucket = spark.range(1).select(F.expr(f"pmod(hash({kmer}L), {saved.stored.properties['buckets']})")).first()[0]
+    files = glob.glob(f"{tmp_path}/db/lists-*/part-*")
+    assert len(files) == 8
+    for f in files:
+        if f"_{bucket:05d}.c000" not in f:
+            with open(f, "r+b") as out:
+                out.truncate(10)
+    assert want and sorted(map(tuple, cl.list_hits(counted, Index.load(spark, f"file://{tmp_path}/db").lists).collect())) == want
+    monkeypatch.setattr(cl, "FEW_KMERS", 0)
+    with pytest.raises(Exception, match="part-"):
+        cl.list_hits(counted, Index.load(spark, f"file://{tmp_path}/db").lists).collect()
+
+
+def test_blocks_are_smaller_than_postings(spark, tmp_path):
+    """Many files that share their k-mers: runs in place of one row for each posting."""
+    import os
+
+    files = spark.createDataFrame([(i, f"f{i}", 0) for i in range(300)], "file_idx int, file string, taxid long")
+    seq = "".join(rnd.choice("ACGT") for _ in range(3000))
+    index = Index.build(spark.createDataFrame([(i, seq) for i in range(300)], "file_idx int, seq string"), files, 9, None)
+    index.save(f"file://{tmp_path}/db")
+    index.postings.write.parquet(f"file://{tmp_path}/postings")
+    size = lambda top: sum(os.path.getsize(f"{d}/{f}") for d, _, names in os.walk(top) for f in names if f.endswith(".parquet"))
+    stored = Index.load(spark, f"file://{tmp_path}/db")
+    assert size(f"{tmp_path}/db/{stored.stored.folders['lists']}") < size(f"{tmp_path}/postings") / 3
+
+
+def test_observed_reads(spark):
+    from tessera.operators import classify as cl
+
+    reads, seen = cl.observed(spark.createDataFrame([("a", "ACGT"), ("b", None), ("c", "AC")], "read_id string, seq string"))
+    reads.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"reads": 3, "bases": 6}
+
+
 def test_binomial(spark):
     df = spark.range(21).select("id", F.exp(bi.ln_tail(F.lit(0.05), F.col("id"), 20, False)).alias("sf"))
     for r in df.collect():
