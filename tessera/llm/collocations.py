@@ -4,9 +4,11 @@
    64-bit hashes of their language and bytes, and a suffix array to the depth of the longest phrase is built by prefix doubling in numpy, with the
    number of words that each suffix shares with the one before it. Shards are stored once.
 2. For each length n, the intervals of a shard's suffix array whose suffixes share n words are
-   its phrases of n words with their counts. Counts are merged by language and phrase.
-3. A phrase is frequent only if both phrases of n - 1 words in it are. A filter of the frequent
-   ones, of at most FILTER_BITS bits, keeps most others out of the shuffle; the merged counts decide.
+   its phrases of n words with their counts. Counts are merged by a hash of language and phrase; a
+   phrase is frequent only if both phrases of n - 1 words in it are, so a filter of the frequent
+   hashes, of at most FILTER_BITS bits, keeps most others out of the next length's shuffle.
+3. The phrases whose hashes are frequent leave the shards as text once, and their counts are merged
+   by language and phrase: hashes and filters only ever let more pass, and these counts decide.
 4. Frequent phrases are joined to their parts and scored in decimals of 38 digits.
 
 Texts are bytes with A-Z in lower case, cut at ``.,;:!?``, line feeds, vertical tabs, form feeds
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, byte_slices, hash_filter, lookup, may_hold
-from tessera.llm.words import BASE, PIECE, flat_bytes, mixed, portions, span_hashes, spans, white_space
+from tessera.llm.common import bounded_batches, byte_slices, hash_filter, may_hold
+from tessera.llm.words import BASE, PIECE, flat_bytes, mixed, portions, span_hashes, spans, white_space, within
 from tessera.plans.shared import if_small, written
 
 #: Words of a shard, but for the rest of the text slice that fills it.
-SHARD = 1 << 19
+SHARD = 1 << 18
 #: Rows of an Arrow batch of counts.
 ROWS = 1 << 16
 #: Buckets of candidates whose first rows are taken before those of a language meet.
@@ -82,12 +84,23 @@ def suffix_array(ids, depth: int):
 
 
 class _Shard:
-    """Hashes of words in order, with 0 before a word that begins a piece, and the words by their hashes."""
+    """Hashes of words in order, with 0 before a word that begins a piece, and where the words stand in the bytes added."""
 
     def __init__(self):
-        self.parts: list = []
-        self.words: dict[int, tuple[str, bytes]] = {}
-        self.size = 0
+        self.hashes: list = []
+        self.places: list = []  # begin, size and language of each hash
+        self.raw: list = []
+        self.langs: dict[str, int] = {}
+        self.size = self.length = 0
+
+    def _hold(self, raw, hashes, begin, size, lang) -> None:
+        import numpy as np
+
+        self.raw.append(raw)
+        self.hashes.append(hashes)
+        self.places.append(np.stack([begin + self.length, size, lang]))
+        self.size += len(hashes)
+        self.length += len(raw)
 
     def add(self, raw, begins, langs: list[str], new: bool, ended: bool = True) -> bool:
         """Adds texts that lie one after another; returns whether a piece ends after their last word.
@@ -102,52 +115,55 @@ class _Shard:
         start, end, counts = spans(raw, begins, blank)
         upto = np.concatenate([[0], np.cumsum(ends[raw])])
         if not len(start):
-            return new or ended or upto[-1] > 0
+            return new or ended or bool(upto[-1] > 0)
         row = np.repeat(np.arange(len(begins)), counts)
         hashes = _in_language(span_hashes(raw, start, end), langs, row)
         cut = upto[start] > upto[np.concatenate([[0], end[:-1]])]
         cut[1:] |= row[1:] != row[:-1]
         cut[0] |= new or ended or row[0] > 0
-        self.parts.append(np.insert(hashes, np.flatnonzero(cut), np.uint64(0)))
-        self.size += len(self.parts[-1])
-        once, at = np.unique(hashes, return_index=True)
-        for h, i in zip(once.tolist(), at.tolist(), strict=True):
-            if h not in self.words:
-                self.words[h] = langs[row[i]], raw[start[i] : end[i]].tobytes()
+        at = np.flatnonzero(cut)
+        lang = np.array([self.langs.setdefault(x, len(self.langs)) for x in langs])[row]
+        self._hold(raw, *(np.insert(c, at, 0) for c in (hashes, start, end - start, lang)))
         return bool(upto[-1] > upto[end[-1]])
 
     def next(self, depth: int) -> tuple[_Shard, int]:
         """A shard that begins with the words which phrases over the border need, and their number."""
         import numpy as np
 
-        tail = np.concatenate([np.zeros(1, np.uint64), *self.parts[-depth:]])[-depth:]  # a part has one word at least
-        tail = tail[np.append(np.flatnonzero(tail == 0), -1).max() + 1 :][-(depth - 1) :] if depth > 1 else tail[:0]
-        made = _Shard()
-        if len(tail):
-            made.parts, made.size = [tail], len(tail)
-            made.words = {h: self.words[h] for h in tail.tolist()}
-        return made, len(tail)
+        made, last = _Shard(), depth - 1
+        if not last:
+            return made, 0
+        hashes, (begin, size, lang) = np.concatenate(self.hashes[-depth:]), np.concatenate(self.places[-depth:], axis=1)
+        whole = np.flatnonzero(hashes[-last:] == 0)
+        last = min(last, len(hashes)) - (whole[-1] + 1 if len(whole) else 0)
+        if last:
+            begin, size = begin[-last:], size[-last:]
+            made.langs = dict(self.langs)
+            made._hold(np.concatenate(self.raw)[within(begin, size)], hashes[-last:], np.cumsum(size) - size, size, lang[-last:])
+        return made, int(last)
 
     def row(self, ahead: int, depth: int) -> pa.RecordBatch:
         """The shard as a row; its last ``ahead`` words are begun in the next shard."""
         import numpy as np
 
-        known, ids = np.unique(np.concatenate([*self.parts, np.zeros(depth, np.uint64)]), return_inverse=True)
-        ids = ids.astype(np.int32)
+        given = np.concatenate([*self.hashes, np.zeros(depth, np.uint64)])
+        known, first, ids = np.unique(given, return_index=True, return_inverse=True)
+        ids, first = ids.astype(np.int32), first[1:]
         order, shared = suffix_array(ids, depth)
         # a suffix that is left out may share more with both neighbours than they show: the least decides
         keep = (order < len(ids) - depth - ahead) & (ids[order] > 0)
         at = np.flatnonzero(keep)
         shared = np.minimum.reduceat(shared[: at[-1] + 1], np.concatenate([[0], at[:-1] + 1])) if len(at) else shared[:0]
-        named = [self.words[h] for h in known[1:].tolist()]
-        langs = sorted({lang for lang, _ in named})
-        numbers = {lang: i for i, lang in enumerate(langs)}
-        packed = [ids, order[at].astype("<i4"), shared.astype(np.int8), known, np.array([numbers[lang] for lang, _ in named], "<i4")]
-        lists = [pa.array([langs], pa.list_(pa.string())), pa.array([[w for _, w in named]], pa.list_(pa.binary())).cast(pa.list_(pa.string()))]
+        begin, size, lang = np.concatenate(self.places, axis=1)
+        counted = np.bincount(lang[: len(lang) - ahead][given[: len(lang) - ahead] > 0], minlength=len(self.langs))
+        text = np.concatenate(self.raw)[within(begin[first], size[first])]
+        words = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size[first])]).astype(np.int32)), pa.py_buffer(text)])
+        packed = [ids, order[at].astype("<i4"), shared.astype(np.int8), known, lang[first].astype("<i4")]
+        lists = [pa.array([list(self.langs)], pa.list_(pa.string())), pa.array([counted.tolist()], pa.list_(pa.int64())), pa.ListArray.from_arrays([0, len(words)], words)]
         return pa.RecordBatch.from_arrays([*(pa.array([v.tobytes()], pa.binary()) for v in packed), *lists], names=list(_SHARD))
 
 
-_SHARD = {"ids": "binary", "suffixes": "binary", "shared": "binary", "hashes": "binary", "lang_of": "binary", "langs": "array<string>", "words": "array<string>"}
+_SHARD = {"ids": "binary", "suffixes": "binary", "shared": "binary", "hashes": "binary", "lang_of": "binary", "langs": "array<string>", "totals": "array<long>", "words": "array<string>"}
 
 
 def _in_language(hashes, langs: list[str], row):
@@ -203,72 +219,71 @@ def _phrase_hashes(words, ids, at, n: int):
     return made.view(np.int64)
 
 
-def phrase_counts(stored: DataFrame, n: int, known=None) -> DataFrame:
-    """``(lang, phrase, n)`` of all phrases of ``n`` words; ``known``, a broadcast filter of phrases of n - 1 words, leaves out others."""
+def _phrases(batch: pa.RecordBatch, row: int, n: int, known):
+    """``(ids, hashes, positions, counts)``: the intervals of a shard that are phrases of ``n`` words, both whose parts of n - 1 words ``known`` may hold."""
+    import numpy as np
+
+    ids, order, shared, hashes = (np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in enumerate(("<i4", "<i4", np.int8, np.uint64)))
+    begin = np.flatnonzero(shared < n)
+    size = np.diff(np.append(begin, len(order)))
+    at = order[begin].astype(np.int64)
+    ends = np.flatnonzero(ids == 0)
+    whole = ends[np.searchsorted(ends, at)] - at >= n
+    at, size = at[whole], size[whole]
+    for step in (0, 1) if known is not None else ():
+        held = may_hold(known.value, _phrase_hashes(hashes, ids, at + step, n - 1))
+        at, size = at[held], size[held]
+    return ids, hashes, at, size
 
-    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        import pyarrow.compute as pc
 
+def _hash_counts(stored: DataFrame, n: int, known=None) -> DataFrame:
+    """``(h, n)`` of the phrases of ``n`` words of each shard."""
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in range(batch.num_rows):
-                packed = zip(("<i4", "<i4", np.int8, np.uint64, "<i4"), batch.columns, strict=False)
-                ids, order, shared, hashes, lang_of = (np.frombuffer(c[row].as_buffer(), kind) for kind, c in packed)
-                langs, words = (batch.column(c)[row].values for c in (5, 6))
-                if not len(order):
-                    continue
-                begin = np.flatnonzero(shared < n)
-                size = np.diff(np.append(begin, len(order)))
-                at = order[begin].astype(np.int64)
-                ends = np.flatnonzero(ids == 0)
-                whole = ends[np.searchsorted(ends, at)] - at >= n
-                at, size = at[whole], size[whole]
-                for step in (0, 1) if known is not None else ():
-                    held = may_hold(known.value, _phrase_hashes(hashes, ids, at + step, n - 1))
-                    at, size = at[held], size[held]
-                for i in range(0, len(at), ROWS):
-                    some, times = at[i : i + ROWS], size[i : i + ROWS]
-                    parts = [words.take(pa.array(ids[some + j] - 1)) for j in range(n)]
-                    phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang_of[ids[some] - 1])), phrase, pa.array(times)], names=["lang", "phrase", "n"])
-
-    return stored.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-
-
-def _filter(frequent: DataFrame, members: int):
-    """The broadcast filter of frequent phrases."""
-
-    def hashes(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                ids, hashes, at, size = _phrases(batch, row, n, known)
+                yield pa.RecordBatch.from_arrays([pa.array(_phrase_hashes(hashes, ids, at, n)), pa.array(size)], names=["h", "n"])
+
+    return stored.select("ids", "suffixes", "shared", "hashes").mapInArrow(count, "h long, n long")
+
+
+def phrase_counts(stored: DataFrame, known: list, longest: int) -> DataFrame:
+    """``(lang, len, phrase, n)`` of phrases that the filter of their length may hold; ``known`` has one for each, or none for all."""
+
+    def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
+        import pyarrow.compute as pc
 
         for batch in source:
-            langs, (data, offsets) = batch.column(0).to_pylist(), flat_bytes(batch.column(1))
-            raw, begins = data[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0]
-            start, end, counts = spans(raw, begins, _byte_kinds()[1])
-            words = _in_language(span_hashes(raw, start, end), langs, np.repeat(np.arange(len(langs)), counts))
-            first = np.cumsum(counts) - counts
-            yield pa.RecordBatch.from_arrays([pa.array(_phrase_hashes(words, np.arange(len(words)), first, int(counts[0])) if len(counts) else np.empty(0, np.int64))], names=["h"])
-
-    found = frequent.select("lang", "phrase").mapInArrow(hashes, "h long")
-    return frequent.sparkSession.sparkContext.broadcast(hash_filter(found, "h", members))
+            for row in range(batch.num_rows):
+                lang_of = np.frombuffer(batch.column(4)[row].as_buffer(), "<i4")
+                langs, words = (batch.column(c)[row].values for c in (5, 7))
+                for n in range(1, longest + 1):
+                    ids, hashes, at, size = _phrases(batch, row, n, known[n - 2] if known and n > 1 else None)
+                    if known:
+                        held = may_hold(known[n - 1].value, _phrase_hashes(hashes, ids, at, n))
+                        at, size = at[held], size[held]
+                    for i in range(0, len(at), ROWS):
+                        some, times = at[i : i + ROWS], size[i : i + ROWS]
+                        parts = [words.take(pa.array(ids[some + j] - 1)) for j in range(n)]
+                        phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
+                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang_of[ids[some] - 1])), pa.array(np.full(len(some), n, np.int32)), phrase, pa.array(times)], names=["lang", "len", "phrase", "n"])
+
+    return stored.mapInArrow(count, "lang string, len int, phrase string, n long").groupBy("lang", "len", "phrase").agg(F.sum("n").alias("n"))
 
 
 def frequent_phrases(df: DataFrame, least: int, longest: int = 5, lang_col: str = "lang", text_col: str = "text", size: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """``(lang, len, phrase, n)`` of phrases of 1 to ``longest`` words that occur ``least`` times, and ``(lang, total)``, all words."""
     stored = written(shards(df, lang_col, text_col, longest, size), "shards")
-    words = written(phrase_counts(stored, 1), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    known, levels = None, []
+    known: list = []
     for n in range(1, longest + 1):
-        found = words if n == 1 else phrase_counts(stored, n, known)
-        level = written(found.where(F.col("n") >= least).select("lang", F.lit(n).alias("len"), "phrase", "n"), f"phrases-{n}")
-        levels.append(level)
-        if n < longest:
-            known = _filter(level, level.count())
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    return every, totals
+        counted = _hash_counts(stored, n, known[-1] if known else None).groupBy("h").agg(F.sum("n").alias("n"))
+        level = written(counted.where(F.col("n") >= least).select("h"), f"phrases-{n}")
+        known.append(df.sparkSession.sparkContext.broadcast(hash_filter(level, "h", level.count())))
+    every = written(phrase_counts(stored, known, longest).where(F.col("n") >= least), "phrases")
+    by_lang = stored.select(F.explode(F.arrays_zip("langs", "totals")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(F.sum("t.totals").alias("total"))
+    return every, written(by_lang.where("total > 0"), "totals")
 
 
 def collocations(df: DataFrame, least: int = 100, longest: int = 5, top: int | None = 2000, percent: int = 100, lang_col: str = "lang", text_col: str = "text", size: int = SHARD) -> DataFrame:
@@ -290,7 +305,7 @@ def collocations(df: DataFrame, least: int = 100, longest: int = 5, top: int | N
     for side, count in (("left", "l"), ("right", "r")):
         cuts = cuts.join(known.select("lang", F.col("phrase").alias(side), F.col("n").alias(count)), ["lang", side])
     exact = lambda c: F.col(c).cast("decimal(38,0)")
-    cuts = cuts.join(if_small(written(totals.withColumnRenamed("total", "n"), "totals")), "lang")
+    cuts = cuts.join(if_small(totals.withColumnRenamed("total", "n")), "lang")
     over, under = (exact("a") * exact("n") * F.lit(1000)).cast("decimal(38,0)"), (exact("l") * exact("r")).cast("decimal(38,0)")
     cuts = cuts.withColumns({"over": over, "under": under}).withColumn("score", F.expr("over div under"))
     scored = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "n")).alias("c")).select("lang", "phrase", "c.score", "c.l", "c.r", "c.a", "c.n")

@@ -89,3 +89,11 @@ def flat_bytes(texts):
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     return np.frombuffer(texts.buffers()[2] or b"", np.uint8), offsets
+
+
+def within(starts, sizes):
+    """Positions of all items of ranges, one range after another."""
+    import numpy as np
+
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)

@@ -62,16 +62,20 @@ def test_collocations_of_long_texts(spark, monkeypatch, size):
     docs = [("en", prose(rnd, 900)), ("en", prose(rnd, 3)), ("de", f" . {prose(rnd, 300)}"), ("en", "!" * 99), ("en", None), ("de", prose(rnd, 400).replace(" ", " . ")), ("de", "river stone blue " * 200)]
     monkeypatch.setattr(collocations, "PIECE", 97)
     given = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(docs)], "doc_id long, text string, lang string").coalesce(1)
-    made = collocations.shards(given, size=size).collect()
+    stored = collocations.shards(given, size=size)
+    made = stored.collect()
     assert len(made) > 20 or size > 50
-    made = spark.createDataFrame(made, "ids binary, suffixes binary, shared binary, hashes binary, lang_of binary, langs array<string>, words array<string>")
+    stored, by_hand = spark.createDataFrame(made, stored.schema), Counter()
     for n in range(1, 6):
-        by_hand = Counter()
         for lang, text in docs:
             for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").lower()):
                 words = piece.split()
-                by_hand.update((lang, " ".join(words[i : i + n])) for i in range(len(words) - n + 1))
-        assert {(r.lang, r.phrase): r.n for r in collocations.phrase_counts(made, n).collect()} == by_hand
+                by_hand.update((lang, n, " ".join(words[i : i + n])) for i in range(len(words) - n + 1))
+    assert {(r.lang, r["len"], r.phrase): r.n for r in collocations.phrase_counts(stored, [], 5).collect()} == by_hand
+    totals = Counter()
+    for r in made:
+        totals.update(dict(zip(r.langs, r.totals, strict=True)))
+    assert +totals == +Counter({x: sum(c for (y, n, _), c in by_hand.items() if (y, n) == (x, 1)) for x in ("en", "de")})
 
 
 def test_suffix_array():
