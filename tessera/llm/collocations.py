@@ -33,10 +33,10 @@ from tessera.llm.common import bounded_batches, byte_slices, hash_filter, may_ho
 from tessera.llm.words import BASE, PIECE, flat_bytes, mixed, portions, span_hashes, spans, white_space, within
 from tessera.plans.shared import if_small, written
 
-#: Words of a shard, but for the rest of the text slice that fills it.
-SHARD = 1 << 18
-#: Rows of an Arrow batch of counts.
-ROWS = 1 << 16
+#: Words of a shard, but for the rest of the texts that fill it: stored rows stay below a megabyte or two.
+SHARD = 1 << 15
+#: Hashes that a task holds before it adds up equal ones, and rows of an Arrow batch of counts.
+HELD, ROWS = 1 << 21, 1 << 16
 #: Buckets of candidates whose first rows are taken before those of a language meet.
 BUCKETS = 32
 
@@ -240,10 +240,29 @@ def _hash_counts(stored: DataFrame, n: int, known=None) -> DataFrame:
     """``(h, n)`` of the phrases of ``n`` words of each shard."""
 
     def count(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        held: list[tuple] = []
+
+        def added() -> tuple:
+            h, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            h, at = np.unique(h, return_inverse=True)
+            return h, np.bincount(at, n, len(h)).astype(np.int64)
+
+        def rows(h, n):
+            for i in range(0, len(h), ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + ROWS]), pa.array(n[i : i + ROWS])], names=["h", "n"])
+
         for batch in source:
             for row in range(batch.num_rows):
                 ids, hashes, at, size = _phrases(batch, row, n, known)
-                yield pa.RecordBatch.from_arrays([pa.array(_phrase_hashes(hashes, ids, at, n)), pa.array(size)], names=["h", "n"])
+                held.append((_phrase_hashes(hashes, ids, at, n), size))
+            if sum(len(h) for h, _ in held) > HELD:
+                held = [added()]
+                if len(held[0][0]) > HELD // 2:
+                    yield from rows(*held.pop())
+        if held:
+            yield from rows(*added())
 
     return stored.select("ids", "suffixes", "shared", "hashes").mapInArrow(count, "h long, n long")
 
@@ -256,19 +275,25 @@ def phrase_counts(stored: DataFrame, known: list, longest: int) -> DataFrame:
         import pyarrow.compute as pc
 
         for batch in source:
-            for row in range(batch.num_rows):
-                lang_of = np.frombuffer(batch.column(4)[row].as_buffer(), "<i4")
-                langs, words = (batch.column(c)[row].values for c in (5, 7))
-                for n in range(1, longest + 1):
+            for n in range(1, longest + 1):
+                found = []
+                for row in range(batch.num_rows):
                     ids, hashes, at, size = _phrases(batch, row, n, known[n - 2] if known and n > 1 else None)
-                    if known:
-                        held = may_hold(known[n - 1].value, _phrase_hashes(hashes, ids, at, n))
-                        at, size = at[held], size[held]
-                    for i in range(0, len(at), ROWS):
-                        some, times = at[i : i + ROWS], size[i : i + ROWS]
-                        parts = [words.take(pa.array(ids[some + j] - 1)) for j in range(n)]
-                        phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
-                        yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang_of[ids[some] - 1])), pa.array(np.full(len(some), n, np.int32)), phrase, pa.array(times)], names=["lang", "len", "phrase", "n"])
+                    h = _phrase_hashes(hashes, ids, at, n)
+                    held = may_hold(known[n - 1].value, h) if known else np.ones(len(h), bool)
+                    found.append((h[held], size[held], at[held], np.full(np.count_nonzero(held), row)))
+                h, size, at, row = (np.concatenate(c) for c in zip(*found, strict=True))
+                _, first, same = np.unique(h, return_index=True, return_inverse=True)  # one of each in the batch
+                size, at, row = np.bincount(same, size, len(first)).astype(np.int64), at[first], row[first]
+                order = np.argsort(row, kind="stable")
+                cuts = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+                for r in np.flatnonzero(np.diff(cuts)).tolist():
+                    some = order[cuts[r] : cuts[r + 1]]
+                    ids, lang_of = (np.frombuffer(batch.column(c)[r].as_buffer(), "<i4") for c in (0, 4))
+                    langs, words = (batch.column(c)[r].values for c in (5, 7))
+                    parts = [words.take(pa.array(ids[at[some] + j] - 1)) for j in range(n)]
+                    phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang_of[ids[at[some]] - 1])), pa.array(np.full(len(some), n, np.int32)), phrase, pa.array(size[some])], names=["lang", "len", "phrase", "n"])
 
     return stored.mapInArrow(count, "lang string, len int, phrase string, n long").groupBy("lang", "len", "phrase").agg(F.sum("n").alias("n"))
 

@@ -47,8 +47,9 @@ def phrases_by_hand(docs, least, longest, top, percent):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("size", "top", "percent"), [(1 << 20, 2000, 100), (40, 7, 100), (1, 2000, 60)])
-def test_collocations(spark, size, top, percent):
+@pytest.mark.parametrize(("size", "top", "percent", "held"), [(1 << 20, 2000, 100, 1 << 21), (40, 7, 100, 100), (1, 2000, 60, 3)])
+def test_collocations(spark, monkeypatch, size, top, percent, held):
+    monkeypatch.setattr(collocations, "HELD", held)
     given = documents(spark)
     by_hand = phrases_by_hand([(r["lang"], r["text"]) for r in given.collect()], 3, 5, top, percent)
     found = collocations.collocations(given, 3, 5, top, percent, size=size)
