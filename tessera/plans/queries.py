@@ -226,9 +226,14 @@ def fragment_rows(spark, sf_dir):
     return rows.select("file_idx", *(F.col(f"f.{c}").cast("long").alias(c) for c in ("idx", "start", "end")), F.col("f.seq").alias("seq"))
 
 
-@query("p14_budget", "SELECT k, round(((4 ** k + CASE WHEN k % 2 = 0 THEN 4 ** (k / 2) ELSE 0 END) / 2) * 0.1)::BIGINT AS budget FROM (SELECT range::BIGINT AS k FROM range(3, 17))")
+@query("p14_budget", f"""WITH b AS (SELECT source AS file, sum(length({_SEQ}))::BIGINT AS bases FROM documents GROUP BY source), k AS (SELECT range::BIGINT AS k FROM range(3, 17)),
+g AS (SELECT k, round(((4 ** k + CASE WHEN k % 2 = 0 THEN 4 ** (k / 2) ELSE 0 END) / 2) * 0.1)::BIGINT AS budget FROM k) SELECT file, bases, k, budget, bases > budget AS over FROM b, g""")
 def budgets(spark, sf_dir):
-    return spark.createDataFrame([(k, pr.budget(k)) for k in range(3, 17)], "k long, budget long")
+    """Files of one source each against the budgets of every k."""
+    records = table(spark, sf_dir, "documents").select(F.col("source").alias("file"), sq.letters_as_bases(F.col("text")).alias("seq"))
+    each = F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.lit(pr.budget(k)).cast("long").alias("budget")) for k in range(3, 17)))
+    rows = pr.file_lengths(spread(records)).select("file", "bases", F.explode(each).alias("b"))
+    return rows.select("file", "bases", "b.k", "b.budget", (F.col("bases") > F.col("b.budget")).alias("over"))
 
 
 @query("p15_names", r"""SELECT page_id, CASE WHEN regexp_matches(u, '[^/]\.[^./]*$') THEN regexp_replace(u, '\.[^./]*$', '') ELSE u END || '.3.1' AS split_name,
@@ -241,24 +246,30 @@ def names(spark, sf_dir):
 # Numbers ---------------------------------------------------------------------------
 
 
-@query("m1_binomial_tails", f"WITH ps AS (SELECT unnest([0.0001, 0.001, 0.011, 0.05, 0.1, 0.5]) ::DOUBLE AS p), pairs AS (SELECT p, x AS xs FROM ps, range(0, 101, 3) t(x)), {_tails('pairs')} SELECT p, xs AS x, round(lsf, 6) + 0.0 AS lsf FROM tail")
+@query("m1_binomial_tails", f"WITH {_HITS}, pairs AS (SELECT DISTINCT p, xs FROM cand), {_tails('pairs')} SELECT DISTINCT n_kmers, xs AS x, round(lsf, 6) + 0.0 AS lsf FROM cand JOIN tail USING (p, xs)")
 def tail_table(spark, sf_dir):
-    grid = spark.createDataFrame([(p, x) for p in (0.0001, 0.001, 0.011, 0.05, 0.1, 0.5) for x in range(0, 101, 3)], "p double, x long")
-    return grid.withColumn("lsf", F.round(bi.ln_tail(F.col("p"), F.col("x"), TRIALS), 6) + 0.0)
+    """Tails of the pairs of p and hits that occur, by the number of k-mers that gives p."""
+    index, counted = doc_index(spark, sf_dir), cl.read_kmers(reads(spark, sf_dir), K)
+    found = written(cl.candidates(cl.index_hits(counted, index), cl.read_sizes(counted), index.files, TRIALS), "candidates")
+    return found.join(cl.tails(found, TRIALS), ["p", "xs"]).select("n_kmers", F.col("xs").alias("x"), (F.round("lsf", 6) + 0.0).alias("lsf")).distinct()
 
 
-@query("m2_incomplete_beta", """WITH g AS (SELECT a, b, x / 10.0::DOUBLE AS x FROM range(1, 8) t(a), range(1, 8) u(b), range(1, 10) v(x)),
-c AS (SELECT n, j, round(exp(coalesce((SELECT sum(ln(i)) FROM range(1, n + 1) t(i)), 0) - coalesce((SELECT sum(ln(i)) FROM range(1, j + 1) t(i)), 0) - coalesce((SELECT sum(ln(i)) FROM range(1, n - j + 1) t(i)), 0))) AS c FROM range(1, 14) p(n), range(0, 14) q(j) WHERE j <= n)
-SELECT a, b, x, round(sum(c.c * x ** j * (1 - x) ** (n - j)) + 1e-12, 9) AS value FROM g JOIN c ON c.n = a + b - 1 AND j >= a GROUP BY a, b, x""")
+@query("m2_incomplete_beta", """WITH g AS (SELECT l_quantity::BIGINT AS a, l_linenumber::BIGINT AS b, (l_discount + 0.4)::DOUBLE AS x, count(*) AS lines FROM lineitem GROUP BY ALL),
+c AS (SELECT n, j, lgamma(n + 1.0::DOUBLE) - lgamma(j + 1.0::DOUBLE) - lgamma(n - j + 1.0::DOUBLE) AS c FROM range(1, 60) p(n), range(0, 60) q(j) WHERE j <= n)
+SELECT a, b, round(x, 2) AS x, lines, round(sum(exp(c.c + j * ln(x) + (n - j) * ln(1 - x))) + 1e-12, 8) AS value FROM g JOIN c ON c.n = a + b - 1 AND j >= a GROUP BY a, b, x, lines""")
 def beta_table(spark, sf_dir):
-    grid = spark.createDataFrame([(a, b, x / 10.0) for a in range(1, 8) for b in range(1, 8) for x in range(1, 10)], "a long, b long, x double")
-    return grid.withColumn("value", F.round(bi.regularized_beta(F.col("a").cast("double"), F.col("b").cast("double"), "x") + 1e-12, 9))
+    """I_x(a, b) for the quantities, numbers and discounts of order lines, once for each triple that occurs."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("a"), F.col("l_linenumber").cast("long").alias("b"), (F.col("l_discount").cast("double") + 0.4).alias("x"))
+    rows = lines.groupBy("a", "b", "x").agg(F.count("*").alias("lines"))
+    value = F.round(bi.regularized_beta(F.col("a").cast("double"), F.col("b").cast("double"), "x") + 1e-12, 8)
+    return rows.select("a", "b", F.round("x", 2).alias("x"), "lines", value.alias("value"))
 
 
-@query("m3_ln_gamma", "SELECT n, round((SELECT coalesce(sum(ln(i)), 0) FROM range(1, n) t(i)), 6) AS by_sum, round(lgamma(n::DOUBLE), 6) AS by_function, round(lgamma(n + 0.5), 6) AS half FROM range(1, 200) u(n)")
+@query("m3_ln_gamma", "SELECT l_quantity::BIGINT AS n, count(*) AS lines, round((SELECT coalesce(sum(ln(i)), 0) FROM range(1, 100) t(i) WHERE i < l_quantity), 6) AS by_sum, round(lgamma(l_quantity::DOUBLE), 6) AS by_function, round(lgamma(l_quantity::DOUBLE + 0.5), 6) AS half, round(avg(lgamma(l_extendedprice::DOUBLE)), 3) AS of_prices FROM lineitem GROUP BY l_quantity")
 def ln_gammas(spark, sf_dir):
-    rows = spark.range(1, 200).withColumnRenamed("id", "n")
-    return rows.select("n", F.round(bi.ln_gamma_int(F.col("n")), 6).alias("by_sum"), F.round(bi.ln_gamma(F.col("n").cast("double")), 6).alias("by_function"), F.round(bi.ln_gamma(F.col("n") + 0.5), 6).alias("half"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("long").alias("n"), bi.ln_gamma(F.col("l_extendedprice").cast("double")).alias("g"))
+    rows = lines.groupBy("n").agg(F.count("*").alias("lines"), F.round(F.avg("g"), 3).alias("of_prices"))
+    return rows.select("n", "lines", F.round(bi.ln_gamma_int(F.col("n")), 6).alias("by_sum"), F.round(bi.ln_gamma(F.col("n").cast("double")), 6).alias("by_function"), F.round(bi.ln_gamma(F.col("n") + 0.5), 6).alias("half"), "of_prices")
 
 
 @query("m5_big_exp", """WITH v AS (SELECT order_, value FROM (SELECT l_orderkey * 10 + l_linenumber AS order_, l_extendedprice * (l_discount - 0.05) AS value FROM lineitem)), e AS (SELECT *, CASE WHEN value = 0 THEN 0 ELSE floor(log2(abs(value)))::INTEGER END AS exp FROM v)
@@ -269,11 +280,11 @@ def big_exps(spark, sf_dir):
     return rows.select("id", F.col("big.exp").alias("exp"), F.col("big.mant").alias("mant"), bi.as_double(F.col("big")).alias("back"))
 
 
-@query("m6_log_arithmetic", "SELECT i, j, round(ln(i * 1e-3) + ln(j * 1e-3), 9) AS times, round(ln(i * 1e-3 + j * 1e-3), 9) AS plus, CASE WHEN i > j THEN round(ln(i * 1e-3 - j * 1e-3), 9) END AS minus, round(ln(i * 1e-3) - ln(j * 1e-3), 9) AS over FROM range(1, 30) t(i), range(1, 30) u(j)")
+@query("m6_log_arithmetic", "WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice::DOUBLE / 1000 AS a, l_quantity::DOUBLE AS b FROM lineitem) SELECT id, round(ln(a) + ln(b), 9) AS times, round(ln(a + b), 9) AS plus, CASE WHEN a > b THEN round(ln(a - b), 6) END AS minus, round(ln(a) - ln(b), 9) AS over FROM v")
 def log_arithmetic(spark, sf_dir):
-    rows = spark.createDataFrame([(i, j) for i in range(1, 30) for j in range(1, 30)], "i long, j long")
-    a, b = F.log(F.col("i") * 1e-3), F.log(F.col("j") * 1e-3)
-    return rows.select("i", "j", F.round(a + b, 9).alias("times"), F.round(bi.ln_add(a, b), 9).alias("plus"), F.when(F.col("i") > F.col("j"), F.round(bi.ln_subtract(a, b), 9)).alias("minus"), F.round(a - b, 9).alias("over"))
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.log(F.col("l_extendedprice").cast("double") / 1000).alias("a"), F.log(F.col("l_quantity").cast("double")).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return rows.select("id", F.round(bi.ln_multiply(a, b), 9).alias("times"), F.round(bi.ln_add(a, b), 9).alias("plus"), F.when(a > b, F.round(bi.ln_subtract(a, b), 6)).alias("minus"), F.round(bi.ln_divide(a, b), 9).alias("over"))
 
 
 @query("m7_big_functions", """WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice::DOUBLE AS v, l_quantity::DOUBLE / 10 AS w FROM lineitem)
@@ -287,27 +298,35 @@ def big_functions(spark, sf_dir):
     )
 
 
-@query("m8_big_compare", "WITH v AS (SELECT i, CASE WHEN i = 0 THEN 0.0 ELSE 1.7 ** (i - 20) END::DOUBLE AS v FROM range(0, 41) t(i)), b AS (SELECT i, v, CASE WHEN v = 0 THEN 0 ELSE floor(log2(v)) END AS e FROM v) SELECT a.i AS i, b.i AS j, a.e < b.e OR (a.e = b.e AND a.v < b.v) AS less FROM b a, b b")
+@query("m8_big_compare", "WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_extendedprice::DOUBLE * l_discount::DOUBLE AS v, l_quantity::DOUBLE * l_tax::DOUBLE AS w FROM lineitem), e AS (SELECT *, CASE WHEN v = 0 THEN 0 ELSE floor(log2(v)) END AS ev, CASE WHEN w = 0 THEN 0 ELSE floor(log2(w)) END AS ew FROM v) SELECT id, ev < ew OR (ev = ew AND v < w) AS less FROM e")
 def big_compare(spark, sf_dir):
-    rows = [(i, 0.0 if i == 0 else 1.7 ** (i - 20)) for i in range(41)]
-    pairs = spark.createDataFrame([(i, j, v, w) for i, v in rows for j, w in rows], "i long, j long, v double, w double")
-    return pairs.select("i", "j", bi.big_less(bi.big_exp(F.col("v")), bi.big_exp(F.col("w"))).alias("less"))
+    """Discounts against taxes of order lines; either may be zero."""
+    wide = lambda c: F.col(c).cast("double")
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (wide("l_extendedprice") * wide("l_discount")).alias("v"), (wide("l_quantity") * wide("l_tax")).alias("w"))
+    return rows.select("id", bi.big_less(bi.big_exp(F.col("v")), bi.big_exp(F.col("w"))).alias("less"))
 
 
-@query("m10_cutoffs", f"WITH pairs AS (SELECT p, x AS xs FROM (SELECT unnest([0.0001, 0.001, 0.011, 0.05, 0.1])::DOUBLE AS p), range(0, 101) t(x)), {_tails('pairs', '-1e300')}, e AS (SELECT unnest([9, 12, 15, 18]) AS e) SELECT p, e, min(xs) AS x FROM tail, e WHERE lsf < -e * ln(10) GROUP BY p, e")
+@query("m10_cutoffs", f"WITH {_SOURCES}, f AS (SELECT file_idx, count(*) / {20 * TOTAL}.0::DOUBLE AS p FROM post GROUP BY file_idx), pairs AS (SELECT p, x AS xs FROM (SELECT DISTINCT p FROM f), range(0, 101) t(x)), {_tails('pairs', '-1e300')}, e AS (SELECT unnest([9, 12, 15, 18]) AS e), c AS (SELECT p, e, min(xs) AS x FROM tail, e WHERE lsf < -e * ln(10) GROUP BY p, e) SELECT file_idx, e, x FROM f JOIN c USING (p)")
 def cutoffs(spark, sf_dir):
-    grid = spark.createDataFrame([(p,) for p in (0.0001, 0.001, 0.011, 0.05, 0.1)], "p double")
+    """How many of the trials each source's file needs, with a twentieth of its share as p."""
+    postings, _ = postings_of_sources(spark, sf_dir)
     each = F.array(*(F.struct(F.lit(e).alias("e"), bi.smallest_significant(F.col("p"), TRIALS, e).cast("long").alias("x")) for e in (9, 12, 15, 18)))
-    return grid.select("p", F.explode(each).alias("c")).select("p", "c.e", "c.x")
+    return ix.shares(postings, 20 * TOTAL).select("file_idx", F.explode(each).alias("c")).select("file_idx", "c.e", "c.x")
+
 
+_SEEN = ",\n".join(_kmers(f"k{t}", "doc_id", "documents", k=7, syncmer=(4, t)) for t in range(4))
 
-@query("a10_universe", "WITH c AS (SELECT id, reverse(translate(w, 'ACGT', 'TGCA')) AS rc, w FROM (SELECT range AS id, list_aggregate(list_transform([12, 10, 8, 6, 4, 2, 0], lambda s: substr('ACGT', ((range >> s) & 3)::INTEGER + 1, 1)), 'string_agg', '') AS w FROM range(16384)))"
-       f" SELECT 7 AS k, 4 AS s, t, count(*) FILTER ({_position('w', 7, 4, False)} = t) AS total, (SELECT count(*) FROM c WHERE w <= rc) AS every FROM c, range(0, 4) r(t) WHERE w <= rc GROUP BY t")
+
+@query("a10_universe", "WITH c AS (SELECT id, reverse(translate(w, 'ACGT', 'TGCA')) AS rc, w FROM (SELECT range AS id, list_aggregate(list_transform([12, 10, 8, 6, 4, 2, 0], lambda s: substr('ACGT', ((range >> s) & 3)::INTEGER + 1, 1)), 'string_agg', '') AS w FROM range(16384))),"
+       f" u AS (SELECT 7 AS k, 4 AS s, t, count(*) FILTER ({_position('w', 7, 4, False)} = t) AS total, (SELECT count(*) FROM c WHERE w <= rc) AS every FROM c, range(0, 4) r(t) WHERE w <= rc GROUP BY t), {_SEEN},"
+       f" seen AS ({' UNION ALL '.join(f'SELECT {t} AS t, count(DISTINCT kmer) AS seen FROM k{t}' for t in range(4))}) SELECT k, s, t, total, every, seen FROM u JOIN seen USING (t)")
 def universes(spark, sf_dir):
-    every = km.universe(spark, 7).first()["total"]
+    """Universes of syncmers by offset, beside those that the documents hold."""
+    every, given = km.universe(spark, 7).first()["total"], docs(spark, sf_dir)
     out = None
     for t in range(4):
-        row = km.universe(spark, 7, (4, t)).select(F.lit(7).alias("k"), F.lit(4).alias("s"), F.lit(t).cast("long").alias("t"), "total", F.lit(every).alias("every"))
+        seen = ix.file_kmers(given.withColumn("file_idx", F.lit(0)), 7, (4, t)).agg(F.count("*").alias("seen"))
+        row = km.universe(spark, 7, (4, t)).select(F.lit(7).alias("k"), F.lit(4).alias("s"), F.lit(t).cast("long").alias("t"), "total", F.lit(every).alias("every")).crossJoin(F.broadcast(seen))  # one row each
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -546,6 +565,12 @@ def greedy_rows(spark, sf_dir):
     return od.ordering(written(di.distances(*postings_of_sources(spark, sf_dir)), "distances"))
 
 
+@query("o2_short_lists", f"{_TOUR} SELECT pos, file_idx::BIGINT AS file_idx FROM tour")
+def greedy_rows_of_short_lists(spark, sf_dir):
+    """The tour where the driver holds two neighbours of each file."""
+    return od.ordering(written(di.distances(*postings_of_sources(spark, sf_dir)), "distances"), nearest=2)
+
+
 @query("a12_tour_statistics", f"{_TOUR}, st AS (SELECT a.pos, s.dist FROM tour a JOIN tour b ON a.pos = b.pos + 1 JOIN sym s ON s.i = a.file_idx AND s.j = b.file_idx) SELECT sum(dist)::BIGINT AS length, round(avg(dist), 6) AS mean_step FROM st")
 def tour_rows(spark, sf_dir):
     dist = written(di.distances(*postings_of_sources(spark, sf_dir)), "distances")
@@ -570,6 +595,33 @@ def group_rows(spark, sf_dir):
     return di.similar_groups(written(ix.file_kmers(files, 5), "postings"), files, 0.35)
 
 
+@query("o6_breadth_first", f"""WITH RECURSIVE {_kmers('k', 'item_id', 'benchmark', k=5)}, post AS (SELECT DISTINCT id AS file_idx, kmer FROM k),
+size_ AS (SELECT file_idx, count(*) AS n FROM post GROUP BY file_idx),
+inter AS (SELECT a.file_idx AS i, b.file_idx AS j, count(*) AS shared FROM post a JOIN post b USING (kmer) WHERE a.file_idx <> b.file_idx GROUP BY ALL),
+edge AS (SELECT i, j FROM inter JOIN size_ a ON a.file_idx = i JOIN size_ b ON b.file_idx = j WHERE shared / (a.n + b.n - shared) >= 0.35),
+reach(u, v) AS (SELECT item_id, item_id FROM benchmark UNION SELECT r.u, e.j FROM reach r JOIN edge e ON r.v = e.i),
+near AS (SELECT i, list(j ORDER BY j) AS js FROM edge GROUP BY i),
+walk(c, seen, parents, levels, nth) AS (
+  SELECT DISTINCT min(v), [min(v)], [NULL::BIGINT], [0], 1 FROM reach GROUP BY u
+  UNION ALL
+  SELECT c, seen || fresh, parents || list_transform(fresh, lambda x: seen[nth]), levels || list_transform(fresh, lambda x: levels[nth] + 1), nth + 1
+  FROM (SELECT w.*, list_filter(coalesce(js, []), lambda x: NOT list_contains(seen, x)) AS fresh FROM walk w LEFT JOIN near ON i = seen[nth] WHERE nth <= len(seen))),
+done AS (SELECT c, unnest(seen) AS file_idx, unnest(parents) AS parent, unnest(levels) AS level, unnest(range(len(seen))) AS pos FROM walk WHERE nth > len(seen))
+SELECT c AS component, pos, file_idx, level, parent FROM done""")
+def breadth_first_rows(spark, sf_dir):
+    files = reads(spark, sf_dir).select(F.col("read_id").alias("file_idx"), "seq")
+    return di.similar_groups_in_order(written(ix.file_kmers(files, 5), "postings"), files, 0.35)
+
+
+@query("f15_similar_pairs", f"""WITH {_POSTINGS}, size_ AS (SELECT file_idx, count(*) AS n FROM post GROUP BY file_idx),
+inter AS (SELECT a.file_idx AS i, b.file_idx AS j, count(*) AS shared FROM post a JOIN post b USING (kmer) WHERE a.file_idx > b.file_idx GROUP BY ALL)
+SELECT i, j, shared, round(shared / (a.n + b.n - shared), 9) AS jaccard FROM inter JOIN size_ a ON a.file_idx = i JOIN size_ b ON b.file_idx = j WHERE shared / (a.n + b.n - shared) >= 0.8""")
+def similar_document_rows(spark, sf_dir):
+    """Documents whose k-mers are alike, found through their rarest ones."""
+    postings = written(ix.file_kmers(docs(spark, sf_dir), K), "postings")
+    return di.similar_pairs(postings, 0.8).withColumn("jaccard", F.round("jaccard", 9))
+
+
 # File tables, sources and sinks ----------------------------------------------------
 
 
