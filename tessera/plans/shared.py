@@ -48,12 +48,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 class Written:
     """A DataFrame stored as Parquet in the shared folder; ``drop`` deletes it."""
 
-    def __init__(self, df: DataFrame, name: str, scope: list[Written] | None = None):
+    def __init__(self, df: DataFrame, name: str, scope: list[Written] | None = None, **options):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
         here = scope if scope is not None else _scope.get()
         (_kept if here is None else here).append(self)
-        df.write.parquet(self.path)
+        df.write.options(**options).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -80,9 +80,9 @@ def _clean() -> None:
             t.drop()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` computed once, kept in the shared folder and read back."""
-    return Written(df, name).df
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """``df`` computed once, kept in the shared folder and read back; options are the writer's."""
+    return Written(df, name, **options).df
 
 
 def settled(make: Callable[[], DataFrame], name: str) -> Written:
