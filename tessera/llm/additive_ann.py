@@ -8,10 +8,12 @@
 2. Rows with one vector become one, with its ``k + 1`` least ids, so copies neither crowd
    others out nor cost more than one.
 3. A query scores a block of codes by table lookups, |x'|^2 - 2 sum_m <q, c_m>. Blocks hold
-   codes, norms and digests only, and are dealt by hash, so of the SHORTLIST best of all a
-   block has its share and a margin of six standard deviations. The best of all blocks are
-   the query's shortlist: five times the root of the number of distinct vectors, 8 k at
-   least and SHORTLIST at most.
+   codes, norms and digests only, and are dealt by hash, so of the best of all a block has its
+   share and a margin of six standard deviations. The best of all blocks are the query's
+   shortlist. Unless a length is given, it is measured: for PROBES queries the exact neighbours
+   are found among all rows, and the shortlist is as long as the places that RECALL of them
+   take by their codes, and half as long again. No size bounds it; a length of the number of rows
+   makes the search exact.
 4. The shortlists are joined to the vectors and ranked by exact distances in double
    precision; the vectors that stay are expanded to their ids.
 
@@ -38,11 +40,13 @@ from pyspark.sql import functions as F
 from tessera.plans.shared import written
 
 SAMPLE = 16_384
-CODEBOOKS, CODEWORDS, BEAM = 32, 64, 4
+CODEWORDS, BEAM = 64, 4
+#: Codebooks for each two dimensions: one, within these bounds.
+FEWEST_BOOKS, MOST_BOOKS = 8, 64
 #: Codes and queries of one task at most, and rows that the kernels take at once.
 BLOCK_ROWS, BLOCK_QUERIES, CHUNK = 1 << 17, 1 << 14, 1024
-#: Distinct vectors ranked exactly for a query, at most.
-SHORTLIST = 320
+#: Queries whose exact neighbours are found to measure the shortlist, and the share of these that it must hold.
+PROBES, RECALL = 64, 0.98
 
 
 def usable(vector: Column) -> Column:
@@ -52,7 +56,7 @@ def usable(vector: Column) -> Column:
 
 @dataclass(frozen=True)
 class Quantiser:
-    """Codebooks of shape (CODEBOOKS, CODEWORDS, dimension)."""
+    """Codebooks of shape (books, words, dimension)."""
 
     books: object
 
@@ -61,7 +65,7 @@ class Quantiser:
         return self.books.shape[2]
 
     def encode(self, x, beam: int = BEAM):
-        """Codes (n, CODEBOOKS) of the best sums that a beam search finds."""
+        """Codes (n, books) of the best sums that a beam search finds."""
         import numpy as np
 
         return np.concatenate([self._encoded(x[i : i + CHUNK], beam) for i in range(0, len(x), CHUNK)]) if len(x) else np.zeros((0, len(self.books)), np.uint8)
@@ -98,11 +102,12 @@ def _sums(x, labels, n: int):
     return found, counts
 
 
-def fit(x, codebooks: int = CODEBOOKS, codewords: int = CODEWORDS, rounds: int = 2, seed: int = 5) -> Quantiser:
+def fit(x, codebooks: int | None = None, codewords: int = CODEWORDS, rounds: int = 2, seed: int = 5) -> Quantiser:
     """Codebooks for the rows of ``x``: residual k-means, then least squares over the codes."""
     import numpy as np
 
     rnd = np.random.Generator(np.random.PCG64(seed))
+    codebooks = codebooks or min(MOST_BOOKS, max(FEWEST_BOOKS, x.shape[1] // 2))
     words = max(1, min(codewords, len(x)))
     left, books = x.astype(np.float32), []
     for _ in range(codebooks):
@@ -209,10 +214,74 @@ def _measured(pairs: DataFrame, kind: str) -> DataFrame:
     return pairs.select("query_id", "key", "v", "q").mapInArrow(batches, "query_id long, key binary, score double")
 
 
+def needed(once: DataFrame, asked: DataFrame, quantiser: Quantiser, kind: str, k: int, probes: int = PROBES, recall: float = RECALL) -> int:
+    """How long a shortlist must be to hold ``recall`` of the ``k`` exact neighbours of some queries.
+
+    Two scans of all rows: one for the neighbours, of which a task passes on ``k`` a query, and one
+    that counts for each neighbour how many rows come before it by their codes.
+    """
+    import numpy as np
+
+    chosen = asked.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(probes).select("id", "v").toArrow()
+    if not chosen.num_rows:
+        return k
+    ids, q = chosen.column("id").to_numpy(), _matrix(chosen.column("v"), kind, chosen.num_rows).astype(np.float64)
+    tables = -2 * np.einsum("mwd,qd->mqw", quantiser.books, q)
+
+    def by_codes(batch):
+        codes = _matrix(batch.column("codes"), "u1", batch.num_rows)
+        found = np.repeat(batch.column("norm").to_numpy()[None], len(ids), 0)
+        for table, code in zip(tables, codes.T, strict=True):
+            found += table[:, code]
+        return found
+
+    def others(batch):
+        """Which rows are not only the query itself."""
+        only = np.array([x[0] if len(x) == 1 else None for x in batch.column("ids").to_pylist()], object)
+        return only[None] != ids[:, None]
+
+    def neighbours(source):
+        best = [np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0.0)]
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            v = _matrix(batch.column("v"), kind, batch.num_rows).astype(np.float64)
+            exact = (v**2).sum(1)[None] - 2 * q @ v.T
+            exact[~others(batch)] = np.inf
+            best = [np.concatenate([b, new], 1) for b, new in zip(best, (exact, by_codes(batch)), strict=True)]
+            near = np.argpartition(best[0], k - 1, axis=1)[:, :k] if best[0].shape[1] > k else np.repeat(np.arange(best[0].shape[1])[None], len(ids), 0)
+            best = [np.take_along_axis(b, near, 1) for b in best]
+        at, _ = np.nonzero(np.isfinite(best[0]))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(b[np.isfinite(best[0])]) for b in best)], names=["probe", "exact", "near"])
+
+    rows = once.select("v", "codes", "norm", "ids")
+    place = F.row_number().over(Window.partitionBy("probe").orderBy("exact", "near"))
+    true = rows.mapInArrow(neighbours, "probe long, exact double, near double").withColumn("nth", place).where(F.col("nth") <= k).select("probe", "near").toArrow()
+    probe, near = true.column("probe").to_numpy(), true.column("near").to_numpy()
+    if not len(probe):
+        return k
+
+    def before(source):
+        total = np.zeros(len(probe), np.int64)
+        for batch in source:
+            if batch.num_rows:
+                score = np.sort(np.where(others(batch), by_codes(batch), np.inf), axis=1)
+                total += [np.searchsorted(score[p], s) for p, s in zip(probe, near, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(probe))), pa.array(total)], names=["nth", "n"])
+
+    counted = rows.mapInArrow(before, "nth long, n long").groupBy("nth").agg(F.sum("n").alias("n")).toArrow()
+    places = np.sort(counted.column("n").to_numpy())
+    return int(1.5 * (places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)] + 1)) + k
+
+
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, shortlist: int = SHORTLIST
+    vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES, shortlist: int | None = None
 ) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query, by distance, then id."""
+    """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query, by distance, then id.
+
+    ``shortlist`` is the number of distinct vectors that are ranked exactly for a query; by default it is measured.
+    """
     spark = vectors.sparkSession
     quantiser = fit_on(vectors, id_col, vector_col)
     if quantiser is None:
@@ -227,7 +296,7 @@ def nearest(
     n, m = once.count(), asked.count()
     block = min(block_rows, max(4096, -(-n // spark.sparkContext.defaultParallelism)))
     parts, lots = max(1, -(-n // block)), max(1, -(-m // block_queries))
-    wanted = min(shortlist, max(8 * k, int(5 * n**0.5)))
+    wanted = min(n, max(shortlist or needed(once, asked, quantiser, kind, k), k + 1))
     share = wanted / parts
     most = wanted if parts == 1 else min(wanted, int(share + 6 * share**0.5 + 9))
     upto = lambda x: F.explode(F.sequence(F.lit(0), F.lit(x - 1)))

@@ -30,11 +30,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, byte_slices, hash_filter, may_hold
-from tessera.llm.words import BASE, PIECE, flat_bytes, mixed, portions, span_hashes, spans, white_space, within
+from tessera.llm.words import BASE, flat_bytes, mixed, portions, span_hashes, spans, white_space, within
 from tessera.plans.shared import if_small, written
 
-#: Words of a shard, but for the rest of the texts that fill it: stored rows stay below a megabyte or two.
-SHARD = 1 << 15
+#: Words of a shard, but for the rest of the texts that fill it, and bytes that are added at once. Stored rows
+#: stay below a megabyte, of which readers and writers hold several.
+SHARD, PIECE = 1 << 15, 1 << 17
 #: Hashes that a task holds before it adds up equal ones, and rows of an Arrow batch of counts.
 HELD, ROWS = 1 << 21, 1 << 16
 #: Buckets of candidates whose first rows are taken before those of a language meet.
@@ -300,7 +301,8 @@ def phrase_counts(stored: DataFrame, known: list, longest: int) -> DataFrame:
 
 def frequent_phrases(df: DataFrame, least: int, longest: int = 5, lang_col: str = "lang", text_col: str = "text", size: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """``(lang, len, phrase, n)`` of phrases of 1 to ``longest`` words that occur ``least`` times, and ``(lang, total)``, all words."""
-    stored = written(shards(df, lang_col, text_col, longest, size), "shards")
+    pages = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "10"}  # else a page is held for a hundred rows
+    stored = written(shards(df, lang_col, text_col, longest, size), "shards", **pages)
     known: list = []
     for n in range(1, longest + 1):
         counted = _hash_counts(stored, n, known[-1] if known else None).groupBy("h").agg(F.sum("n").alias("n"))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tessera.plans.shared import FILTER_BITS, is_small
 
 #: Rows and bytes of one Arrow batch: texts may be long, and a batch is held in memory.
-BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 2 << 20
 
 #: Bytes of a text that are split into words at once.
 SLICE_BYTES = 1 << 20
@@ -49,6 +49,14 @@ def map_rows(df: DataFrame, row: Callable[..., tuple], schema) -> DataFrame:
     return df.mapInArrow(batches, schema)
 
 
+def as_row(df: DataFrame, **named: Column) -> DataFrame:
+    """Each row of ``df`` as one struct column ``row``, beside named columns of it, so no name of the caller's can clash.
+
+    ``select("row.*")`` gives the rows back.
+    """
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(c.alias(n) for n, c in named.items()))
+
+
 def lookup(df: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join to a table with one row a key, null keys matching null.
 

@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup
+from tessera.llm.common import as_row, lookup
 from tessera.plans.shared import numbered, written
 
 #: Bits of the hash that deal a length's documents over 32 buckets, and each of these over 32.
@@ -129,6 +129,8 @@ def _cuts(sized: DataFrame, weights, share, most, seed) -> DataFrame:
     All documents are taken ``__passes`` times, and those with a hash up to ``__cut`` once
     more; but if ``__some`` is above 0, only so many of those whose hash is ``__cut`` itself.
     """
+    if most != int(most):
+        raise ValueError("most is a whole number of passes")
     keys = ["__source", "__size"]
     groups = written(sized.groupBy(*keys, "__hash").agg(F.count("*").alias("__n")), "mixture")
     lengths = written(groups.groupBy(*keys).agg(F.sum("__n").alias("__n")), "lengths")
@@ -189,9 +191,10 @@ def _repeated(df: DataFrame, times: Column) -> DataFrame:
 def plan(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(id_col, size, source_size, target, taken)``; ``taken`` counts words with repeats.
 
-    ``most`` is a whole number of passes. The texts are scanned once.
+    ``most`` is a whole number of passes; another one is refused. The texts are scanned once.
     """
-    sized = written(_sized(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, seed).select(F.col(id_col).alias("__id"), "__source", "__size", "__hash"), "sizes")
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
+    sized = written(_sized(named, "id", "text", "source", seed).select(F.col("id").alias("__id"), "__source", "__size", "__hash"), "sizes")
     cuts = _cuts(sized, weights, share, most, seed)
     rows = _decided(sized, cuts)
     carry = ["__source_size", "__target", "__passes"]
@@ -207,15 +210,17 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     """The mixture itself: rows of ``docs`` as often as ``plan`` takes them; all columns stay.
 
     Of rows that no column tells apart, the copies that only some are taken for come from one.
+    Columns may have any names.
     """
-    read = _sized(docs, id_col, text_col, source_col, seed)
+    given = as_row(docs, id=F.col(id_col), text=F.col(text_col), source=F.col(source_col))
+    read = _sized(given, "id", "text", "source", seed).drop("id", "text", "source")
     cuts = _cuts(written(read.select("__source", "__size", "__hash"), "sizes"), weights, share, most, seed)
     rows = _decided(read, cuts)
-    made = _repeated(rows.where("__copies > 0"), F.col("__copies")).select(*docs.columns)
+    made = _repeated(rows.where("__copies > 0"), F.col("__copies")).select("row.*")
     if cuts.where("__some > 0").isEmpty():
         return made
-    hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    hashed = [F.col("row")[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()]
     tied = rows.where("__tied").withColumns({"__row": F.xxhash64(*hashed), "__row2": F.xxhash64(F.lit(seed), *hashed)})
     extra = written(_parted(tied, ["__row", "__row2"], []).where("__extra > 0").select("__row", "__row2", "__extra"), "tied")
     one = lookup(tied, extra, ["__row", "__row2"], "inner").dropDuplicates(["__row", "__row2"])
-    return made.unionByName(_repeated(one, F.col("__extra")).select(*docs.columns))
+    return made.unionByName(_repeated(one, F.col("__extra")).select("row.*"))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, lookup, map_rows
+from tessera.llm.common import as_row, bounded_batches, lookup, map_rows
 from tessera.operators.components import connected_components
 from tessera.plans.shared import maybe_in, written
 
@@ -429,8 +429,10 @@ def drop_near_duplicates(
     Of rows with the same id and text one is kept; rows with the same id and other texts
     are documents of their own, and of those of one class the least hash of the text stays.
     Documents that are alone in their class are told by a filter and pass without a shuffle.
+    Columns may have any names.
     """
-    found = _classes(docs, size, threshold, tolerance, id_col, text_col, block_docs, block_shingles, bucket_docs)
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    found = _classes(named, size, threshold, tolerance, "id", "text", block_docs, block_shingles, bucket_docs)
     alone = F.when(F.col("class").isNull(), F.struct("doc_id", "mark"))
     labelled = written(found.select("doc_id", "mark", "class", alone.alias("alone")), "labelled")
     groups = labelled.groupBy("class", "alone").agg(F.count("*").alias("rows"), F.min(F.struct("doc_id", "mark")).alias("first")).where("rows > 1")
@@ -438,6 +440,7 @@ def drop_near_duplicates(
     rows = lookup(labelled, groups, ["class", "alone"], "inner").groupBy(F.col("doc_id").alias("__id"), F.col("mark").alias("__hash")).agg(F.first((F.struct("doc_id", "mark") == F.col("first"))).alias("__stays"))
     rows = written(rows, "grouped")
     pair = F.struct("__id", "__hash")
-    marked = maybe_in(with_ids(docs, id_col, text_col), pair, rows, pair, rows.count())
+    given = with_ids(as_row(docs, id=F.col(id_col), text=F.col(text_col)), "id", "text").select("row", "__id", "__hash")
+    marked = maybe_in(given, pair, rows, pair, rows.count())
     once = marked.where("__maybe").dropDuplicates(["__id", "__hash"]).join(rows, ["__id", "__hash"], "left").where("coalesce(__stays, true)")
-    return marked.where("not __maybe").select(*docs.columns).unionByName(once.select(*docs.columns))
+    return marked.where("not __maybe").select("row.*").unionByName(once.select("row.*"))

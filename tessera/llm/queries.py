@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import additive_ann, byte_bpe, chat_format, collocations, mixing, ngram_jaccard, pii, quality_bayes, quality_rules, substring_dedup, token_alignment, token_counts, url_filter
+from tessera.plans.shared import written
 from tessera.session import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -64,6 +65,16 @@ def site_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.select("host", "path", "n", "host_n", *(F.round(c, 9).alias(c) for c in ("good", "host_good", "host_posterior", "path_posterior")))
 
 
+def site_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What sites do to given evidence: one host in eleven has a single document, and half of the others are better than the rest."""
+    n = F.col("doc_id")
+    better = F.when(F.pmod(F.regexp_extract("source", "([0-9]+)", 1).cast("int"), F.lit(2)) == 0, 0.4).otherwise(-0.4)
+    host = F.when(n % 11 == 0, F.concat(F.lit("sparse"), n.cast("string"))).otherwise(F.col("source"))
+    odds = table(spark, sf_dir, "documents").select("doc_id", host.alias("host"), F.col("lang").alias("path"), (((n % 7) - 3) / 2 + better).alias("odds"))
+    judged = quality_bayes.with_sites(written(odds, "odds"))
+    return judged.select("doc_id", "host", (F.col("odds") >= quality_bayes.KEEP_LOG_ODDS).alias("text_kept"), "kept", F.round("log_odds", 6).alias("log_odds"))
+
+
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
 
@@ -172,12 +183,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op13_token_alignment": alignment,
         "op2_redirects": planted_redirects,
         "op3_site_posteriors": site_posteriors,
+        "op3_site_decisions": site_decisions,
         "op5_targets": mixture_targets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": NEAR_SQL, "op2_url_filters": URLS_SQL, "op2_redirects": PLANTED_SQL, "op7_chat_formatting": CHATS_SQL, "op8_quality_rules": RULES_SQL, "op3_site_posteriors": SITES_SQL, "op5_targets": TARGETS_SQL, "op11_collocations": PHRASES_SQL, "op12_substring_dedup": REPEATS_SQL}
+    return {"op1_ngram_jaccard_join": NEAR_SQL, "op2_url_filters": URLS_SQL, "op2_redirects": PLANTED_SQL, "op7_chat_formatting": CHATS_SQL, "op8_quality_rules": RULES_SQL, "op3_site_posteriors": SITES_SQL, "op3_site_decisions": DECISIONS_SQL, "op5_targets": TARGETS_SQL, "op11_collocations": PHRASES_SQL, "op12_substring_dedup": REPEATS_SQL}
 
 
 NEAR_SQL = r"""
@@ -208,6 +220,22 @@ ps AS (SELECT least(greatest(1 / greatest(b, 1e-6) - 1, 1.0), 1e4) AS s FROM pb)
 SELECT host, path, n, host_n, round(good, 9) AS good, round(host_good, 9) AS host_good, round(host_posterior, 9) AS host_posterior, round((good + s * host_posterior) / (n + s), 9) AS path_posterior FROM b, ps
 """
 
+DECISIONS_SQL = """
+WITH o AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'sparse' || doc_id ELSE source END AS host, lang AS path, ((doc_id % 7) - 3) / 2.0::DOUBLE + CASE WHEN regexp_extract(source, '[0-9]+')::INTEGER % 2 = 0 THEN 0.4 ELSE -0.4 END::DOUBLE AS odds FROM documents),
+x AS (SELECT *, 1 / (1 + exp(-odds)) AS p FROM o),
+paths AS (SELECT host, path, count(*) AS n, sum(p) AS good FROM x GROUP BY host, path),
+hosts AS (SELECT host, count(*) AS host_n, sum(p) AS host_good FROM x GROUP BY host),
+g AS (SELECT least(greatest(sum(host_good) / sum(host_n), 1e-4), 1 - 1e-4) AS mean FROM hosts),
+hs AS (SELECT least(greatest(1 / greatest(greatest(sum(host_n * (host_good / host_n - mean) ** 2) - sum(mean * (1 - mean)), 0) / sum(host_n * mean * (1 - mean)), 1e-6) - 1, 1.0), 1e4) AS hs FROM hosts, g),
+b AS (SELECT p.host, path, n, good, host_n, host_good, (host_good + hs * mean) / (host_n + hs) AS hp FROM paths p JOIN hosts h ON p.host IS NOT DISTINCT FROM h.host, g, hs),
+ps AS (SELECT least(greatest(1 / greatest(greatest(sum(n * (good / n - hp) ** 2) - sum(hp * (1 - hp)), 0) / sum(n * hp * (1 - hp)), 1e-6) - 1, 1.0), 1e4) AS ps FROM b),
+r AS (
+  SELECT doc_id, x.host, odds, mean, least(greatest((good - p + ps * (host_good - p + hs * mean) / (host_n - 1 + hs)) / (n - 1 + ps), 1e-6), 1 - 1e-6) AS rate
+  FROM x JOIN b ON x.host IS NOT DISTINCT FROM b.host AND x.path IS NOT DISTINCT FROM b.path, g, hs, ps),
+l AS (SELECT doc_id, host, odds, odds + 0.5 * (ln(rate / (1 - rate)) - ln(mean / (1 - mean))) AS lo FROM r)
+SELECT doc_id, host, odds >= -1 AS text_kept, lo >= -1 AS kept, round(lo, 6) AS log_odds FROM l
+"""
+
 TARGETS_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, list_extract([3, 1, 2], ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER)::DOUBLE AS w FROM d GROUP BY source),

@@ -9,7 +9,9 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+
 from tessera.llm import chat_format, mixing, quality_bayes, queries, url_filter
+from tessera.llm.words import BASE
 from tests.llm.data import EMPTY, documents, prose
 
 
@@ -336,6 +338,23 @@ def plain_features(text):
     ]
 
 
+def plain_mixed(h):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ h >> shift) * factor % 2**64
+    return h ^ h >> 31
+
+
+def plain_grams(text):
+    """Shares of 1024 buckets of hashed words and pairs, times their scale."""
+    bits = [plain_mixed(b + 1) for b in range(256)]
+    words = [plain_mixed(sum(bits[c] * pow(BASE, i, 2**64) for i, c in enumerate(w)) % 2**64) for w in (text or "").encode().lower().split()]
+    grams = words + [plain_mixed((a * BASE + b) % 2**64) for a, b in zip(words, words[1:], strict=False)]
+    found = np.zeros(1024)
+    for g in grams:
+        found[g >> 54] += 1
+    return np.float32(found / max(len(grams), 1)).astype(float) * 20
+
+
 def strength(sites):
     """Pseudo-counts from (n, rate, mean)."""
     whole = sum(n * m * (1 - m) for n, _, m in sites)
@@ -348,9 +367,10 @@ def plain_quality(rows, known):
     x = np.array([plain_features(r[1]) for r in rows])
     fit = [i for i, r in enumerate(rows) if r[0] in known]
     means, scales = x[fit].mean(0), np.maximum(x[fit].std(0), 1e-6)
-    z, y = np.column_stack([(x - means) / scales, np.ones(len(x))]), np.array([known[rows[i][0]] for i in fit], float)
-    w = np.zeros(11)
-    penalty = np.array([1.0] * 10 + [1e-6])
+    grams = np.array([plain_grams(r[1]) for r in rows])
+    z, y = np.column_stack([(x - means) / scales, grams, np.ones(len(x))]), np.array([known[rows[i][0]] for i in fit], float)
+    w = np.zeros(z.shape[1])
+    penalty = np.array([1.0] * (z.shape[1] - 1) + [1e-6])
     for _ in range(60):
         p = 1 / (1 + np.exp(-z[fit] @ w))
         w -= np.linalg.solve((z[fit].T * (p * (1 - p))) @ z[fit] + np.diag(penalty), z[fit].T @ (p - y) + penalty * w)
@@ -398,6 +418,27 @@ def test_quality_query_equals_brute_force(spark, monkeypatch):
     assert plain(queries.site_posteriors(spark, "")) == in_duckdb(queries.SITES_SQL, documents=known_docs, labels=queries.table(spark, "", "labels"))
 
 
+def test_words_tell_texts_that_look_alike(spark):
+    """Texts of the same shape, which no surface feature parts: the words decide."""
+    rnd = random.Random(31)
+    kinds = (("river", "stones", "walked", "bluest"), ("bonus", "casino", "winner", "cheaps"))
+    rows = [(i, " ".join(rnd.choice(kinds[i % 2]) for _ in range(40)), "en", f"s{i % 3}", 0) for i in range(400)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, quality int")
+    got = queries.quality_scores(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), labels).collect()
+    assert all(r.quality_kept == (r.doc_id % 2 == 0) for r in got if r.doc_id >= 200)
+
+
+def test_sites_change_decisions(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "t", "en" if i % 3 else None, f"s{i % 4}", 0) for i in range(700)], "doc_id long, text string, lang string, source string, n_chars long")
+    tables(monkeypatch, documents=docs)
+    done = queries.site_decisions(spark, "")
+    assert plain(done) == in_duckdb(queries.DECISIONS_SQL, documents=docs)
+    rows = done.collect()
+    dense, sparse = ([r for r in rows if r.host.startswith("sparse") == x] for x in (False, True))
+    assert any(r.text_kept and not r.kept for r in dense) and any(r.kept and not r.text_kept for r in dense)
+    assert sparse and all(r.kept == r.text_kept for r in sparse)
+
+
 def test_sparse_sites_shrink(spark):
     rows = [("big", "p", 0.9)] * 300 + [("big", "q", 0.1)] * 100 + [("tiny", "p", 0.0)]
     prior, sites = quality_bayes.site_posteriors(spark.createDataFrame(rows, "host string, path string, p double"))
