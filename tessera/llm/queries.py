@@ -66,12 +66,12 @@ def site_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What sites do to given evidence: one host in eleven has a single document, and half of the others are better than the rest."""
+    """What sites do to given evidence: one host in eleven has a single document; most documents of the others are clear, and a fifth is in doubt."""
     n = F.col("doc_id")
-    better = F.when(F.pmod(F.regexp_extract("source", "([0-9]+)", 1).cast("int"), F.lit(2)) == 0, 0.4).otherwise(-0.4)
+    clear = F.when(F.pmod(F.regexp_extract("source", "([0-9]+)", 1).cast("int"), F.lit(2)) == 0, 3.0).otherwise(-3.0)
     host = F.when(n % 11 == 0, F.concat(F.lit("sparse"), n.cast("string"))).otherwise(F.col("source"))
-    odds = table(spark, sf_dir, "documents").select("doc_id", host.alias("host"), F.col("lang").alias("path"), (((n % 7) - 3) / 2 + better).alias("odds"))
-    judged = quality_bayes.with_sites(written(odds, "odds"))
+    odds = F.when(n % 5 == 0, ((n % 7) - 4) / 2 + 0.1).otherwise(clear)
+    judged = quality_bayes.with_sites(written(table(spark, sf_dir, "documents").select("doc_id", host.alias("host"), F.col("lang").alias("path"), odds.alias("odds")), "odds"))
     return judged.select("doc_id", "host", (F.col("odds") >= quality_bayes.KEEP_LOG_ODDS).alias("text_kept"), "kept", F.round("log_odds", 6).alias("log_odds"))
 
 
@@ -221,7 +221,7 @@ SELECT host, path, n, host_n, round(good, 9) AS good, round(host_good, 9) AS hos
 """
 
 DECISIONS_SQL = """
-WITH o AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'sparse' || doc_id ELSE source END AS host, lang AS path, ((doc_id % 7) - 3) / 2.0::DOUBLE + CASE WHEN regexp_extract(source, '[0-9]+')::INTEGER % 2 = 0 THEN 0.4 ELSE -0.4 END::DOUBLE AS odds FROM documents),
+WITH o AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'sparse' || doc_id ELSE source END AS host, lang AS path, CASE WHEN doc_id % 5 = 0 THEN ((doc_id % 7) - 4) / 2.0::DOUBLE + 0.1::DOUBLE WHEN regexp_extract(source, '[0-9]+')::INTEGER % 2 = 0 THEN 3.0 ELSE -3.0 END::DOUBLE AS odds FROM documents),
 x AS (SELECT *, 1 / (1 + exp(-odds)) AS p FROM o),
 paths AS (SELECT host, path, count(*) AS n, sum(p) AS good FROM x GROUP BY host, path),
 hosts AS (SELECT host, count(*) AS host_n, sum(p) AS host_good FROM x GROUP BY host),
