@@ -38,6 +38,10 @@ from tessera.plans.shared import if_small, written
 SHARD, PIECE = 1 << 15, 1 << 17
 #: Hashes that a task holds before it adds up equal ones, and rows of an Arrow batch of counts.
 HELD, ROWS = 1 << 21, 1 << 16
+#: Shards of a counting task, about: the more it sees, the fewer rows it passes on.
+TASK_SHARDS = 256
+#: Bits of a phrase's hash; phrases that clash only cost a look at their text.
+PHRASE_BITS = 48
 #: Buckets of candidates whose first rows are taken before those of a language meet.
 BUCKETS = 32
 
@@ -159,7 +163,8 @@ class _Shard:
         counted = np.bincount(lang[: len(lang) - ahead][given[: len(lang) - ahead] > 0], minlength=len(self.langs))
         text = np.concatenate(self.raw)[within(begin[first], size[first])]
         words = pa.Array.from_buffers(pa.string(), len(first), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size[first])]).astype(np.int32)), pa.py_buffer(text)])
-        packed = [ids, order[at].astype("<i4"), shared.astype(np.int8), known, lang[first].astype("<i4")]
+        kind = "<u2" if len(ids) < 1 << 16 else "<i4"
+        packed = [ids.astype(kind), order[at].astype(kind), shared.astype(np.int8), known, lang[first].astype("<i4")]
         lists = [pa.array([list(self.langs)], pa.list_(pa.string())), pa.array([counted.tolist()], pa.list_(pa.int64())), pa.ListArray.from_arrays([0, len(words)], words)]
         return pa.RecordBatch.from_arrays([*(pa.array([v.tobytes()], pa.binary()) for v in packed), *lists], names=list(_SHARD))
 
@@ -217,14 +222,17 @@ def _phrase_hashes(words, ids, at, n: int):
     made = np.zeros(len(at), np.uint64)
     for j in range(n):
         made = made * np.uint64(BASE) + words[ids[at + j]]
-    return made.view(np.int64)
+    return (made >> np.uint64(64 - PHRASE_BITS)).view(np.int64)
 
 
 def _phrases(batch: pa.RecordBatch, row: int, n: int, known):
     """``(ids, hashes, positions, counts)``: the intervals of a shard that are phrases of ``n`` words, both whose parts of n - 1 words ``known`` may hold."""
     import numpy as np
 
-    ids, order, shared, hashes = (np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in enumerate(("<i4", "<i4", np.int8, np.uint64)))
+    shared = np.frombuffer(batch.column(2)[row].as_buffer(), np.int8)
+    order = batch.column(1)[row].as_buffer()
+    kind = "<u2" if order.size == 2 * len(shared) else "<i4"
+    ids, order, hashes = (np.frombuffer(b, k) for b, k in ((batch.column(0)[row].as_buffer(), kind), (order, kind), (batch.column(3)[row].as_buffer(), np.uint64)))
     begin = np.flatnonzero(shared < n)
     size = np.diff(np.append(begin, len(order)))
     at = order[begin].astype(np.int64)
@@ -277,12 +285,13 @@ def phrase_counts(stored: DataFrame, known: list, longest: int) -> DataFrame:
 
         for batch in source:
             for n in range(1, longest + 1):
-                found = []
+                found, held_ids = [], []
                 for row in range(batch.num_rows):
                     ids, hashes, at, size = _phrases(batch, row, n, known[n - 2] if known and n > 1 else None)
                     h = _phrase_hashes(hashes, ids, at, n)
                     held = may_hold(known[n - 1].value, h) if known else np.ones(len(h), bool)
                     found.append((h[held], size[held], at[held], np.full(np.count_nonzero(held), row)))
+                    held_ids.append(ids)
                 h, size, at, row = (np.concatenate(c) for c in zip(*found, strict=True))
                 _, first, same = np.unique(h, return_index=True, return_inverse=True)  # one of each in the batch
                 size, at, row = np.bincount(same, size, len(first)).astype(np.int64), at[first], row[first]
@@ -290,7 +299,7 @@ def phrase_counts(stored: DataFrame, known: list, longest: int) -> DataFrame:
                 cuts = np.searchsorted(row[order], np.arange(batch.num_rows + 1))
                 for r in np.flatnonzero(np.diff(cuts)).tolist():
                     some = order[cuts[r] : cuts[r + 1]]
-                    ids, lang_of = (np.frombuffer(batch.column(c)[r].as_buffer(), "<i4") for c in (0, 4))
+                    ids, lang_of = held_ids[r].astype(np.int64), np.frombuffer(batch.column(4)[r].as_buffer(), "<i4")
                     langs, words = (batch.column(c)[r].values for c in (5, 7))
                     parts = [words.take(pa.array(ids[at[some] + j] - 1)) for j in range(n)]
                     phrase = pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]
@@ -303,6 +312,7 @@ def frequent_phrases(df: DataFrame, least: int, longest: int = 5, lang_col: str
     """``(lang, len, phrase, n)`` of phrases of 1 to ``longest`` words that occur ``least`` times, and ``(lang, total)``, all words."""
     pages = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "10"}  # else a page is held for a hundred rows
     stored = written(shards(df, lang_col, text_col, longest, size), "shards", **pages)
+    stored = stored.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // TASK_SHARDS)))
     known: list = []
     for n in range(1, longest + 1):
         counted = _hash_counts(stored, n, known[-1] if known else None).groupBy("h").agg(F.sum("n").alias("n"))
