@@ -13,8 +13,8 @@ from tessera.functions import sequence as sq
 
 Syncmer = tuple[int, int] | None  # (s, t)
 
-#: Bases that the kernel takes at once.
-PIECE = 1 << 22
+#: Bases that the kernel takes at once: its arrays stay in the cache.
+PIECE = 1 << 18
 
 # Sizes of universes of canonical k-mers, (k, s, t) to number.
 KNOWN_UNIVERSES = {(15, 9, 2): 63_439_162}
