@@ -44,7 +44,7 @@ SITE_WEIGHT = 0.5
 #: Documents whose posterior log-odds are below this are rejected: doubtful ones stay.
 KEEP_LOG_ODDS = -1.0
 #: Buckets of hashed words and pairs, a power of two, and the scale of their shares beside the surface features.
-BUCKETS, GRAM_SCALE = 1 << 10, 20.0
+BUCKETS, GRAM_SCALE = 1 << 9, 20.0
 #: Log-odds of one text stay within this, so that sums of probabilities stay informative.
 MOST = 12.0
 
@@ -154,7 +154,7 @@ def fit_text_model(
     @arrow_udf("binary")
     def counted(texts: pa.Array) -> pa.Array:
         row, bucket, n, total = gram_counts(texts, buckets)
-        dense = np.zeros((len(texts), buckets), np.float32)
+        dense = np.zeros((len(texts), buckets), np.float16)  # a kilobyte a row for the driver
         dense[row, bucket] = n / total[row]
         return pa.array([r.tobytes() for r in dense], pa.binary())
 
@@ -165,12 +165,21 @@ def fit_text_model(
         return TextModel((0.0,) * len(FEATURES), (1.0,) * len(FEATURES), (0.0,) * len(FEATURES), 0.0)
     x = np.array(found["__x"].tolist())
     means, scales = x.mean(0), np.maximum(x.std(0), 1e-6)
-    grams = np.frombuffer(b"".join(found["__grams"]), np.float32).reshape(len(y), buckets).astype(np.float64) * GRAM_SCALE
-    z = np.column_stack([(x - means) / scales, grams, np.ones(len(x))])
-    w, penalty = np.zeros(z.shape[1]), np.diag([ridge] * (z.shape[1] - 1) + [1e-6])
+    grams = np.frombuffer(b"".join(found["__grams"]), np.float16).reshape(len(y), buckets)
+    w, penalty = np.zeros(x.shape[1] + buckets + 1), np.diag([ridge] * (x.shape[1] + buckets) + [1e-6])
+
+    def parts():
+        for i in range(0, len(y), 1024):
+            some = slice(i, i + 1024)
+            yield np.column_stack([(x[some] - means) / scales, grams[some].astype(np.float64) * GRAM_SCALE, np.ones(len(y[some]))]), y[some]
+
     for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ w)
+        curve, slope = penalty.copy(), -penalty @ w
+        for z, wanted in parts():
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            curve += (z * (p * (1 - p))[:, None]).T @ z
+            slope += z.T @ (wanted - p)
+        step = np.linalg.solve(curve, slope)
         w += step
         if abs(step).max() < 1e-6:
             break

@@ -345,14 +345,14 @@ def plain_mixed(h):
 
 
 def plain_grams(text):
-    """Shares of 1024 buckets of hashed words and pairs, times their scale."""
+    """Shares of 512 buckets of hashed words and pairs, times their scale."""
     bits = [plain_mixed(b + 1) for b in range(256)]
     words = [plain_mixed(sum(bits[c] * pow(BASE, i, 2**64) for i, c in enumerate(w)) % 2**64) for w in (text or "").encode().lower().split()]
     grams = words + [plain_mixed((a * BASE + b) % 2**64) for a, b in zip(words, words[1:], strict=False)]
-    found = np.zeros(1024)
+    found = np.zeros(512)
     for g in grams:
-        found[g >> 54] += 1
-    return np.float32(found / max(len(grams), 1)).astype(float) * 20
+        found[g >> 55] += 1
+    return np.float16(found / max(len(grams), 1)).astype(float) * 20
 
 
 def strength(sites):
