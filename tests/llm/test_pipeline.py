@@ -8,9 +8,10 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import ngram_jaccard, pii, queries
+from tessera.llm import mixing, ngram_jaccard, pii, queries
 from tests.llm.data import documents, prose
 from tests.llm.test_relational_operators import plain_quality, plain_targets
 from tests.llm.test_similarity import plain_classes
@@ -147,3 +148,27 @@ def test_pipeline_equals_its_operators(spark, tmp_path):
     assert {r.doc_id for r in mixed.collect()} <= set(texts)
     last = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, queries.byte_bpe_digests(mixed).collect()))
+
+
+@pytest.mark.parametrize("stage", range(4))
+def test_columns_may_have_any_names(spark, tmp_path, stage):
+    """The names that operators use inside come back with the caller's values, and change no decision."""
+    rnd = random.Random(17)
+    made = [prose(rnd, rnd.randrange(3, 60)) for _ in range(60)]
+    made += [made[2], made[3] + " tail", " | ".join("WIN!!" for _ in range(30)), None]
+    plain_rows = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(made)]
+    folder = stored(spark, tmp_path, plain_rows, [(i, int("WIN" not in (t or "")), 0) for i, t in enumerate(made) if i % 2 == 0])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    names = ("__source", "__size", "__hash", "__copies", "__times", "__chunk", "__each", "__passes", "__cut", "__some", "__tied", "__row", "__maybe", "__stays", "__h", "__id", "__text", "__host", "__path", "__odds", "__n", "__x", "__words", "row", "id", "host", "path", "odds", "p", "kept", "alone", "key")
+    odd = docs.select("*", *(F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    run = corpus_pipeline.STAGES[stage][1]
+    found, want = run(spark, odd, folder), run(spark, docs, folder)
+    assert found.columns == odd.columns and found.count() > 10
+    assert Counter(map(tuple, found.select(*docs.columns).collect())) == Counter(map(tuple, want.collect()))
+    assert all(r[n] == f"{n} of {r.doc_id}" for r in found.collect() for n in names)
+
+
+def test_passes_are_whole(spark):
+    docs = spark.createDataFrame([(1, "a b", "s")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="whole number"):
+        mixing.plan(docs, most=1.7)

@@ -352,7 +352,7 @@ def plain_grams(text):
     found = np.zeros(512)
     for g in grams:
         found[g >> 55] += 1
-    return np.float16(found / max(len(grams), 1)).astype(float) * 20
+    return found / max(len(grams), 1) * 20
 
 
 def strength(sites):
@@ -369,11 +369,12 @@ def plain_quality(rows, known):
     means, scales = x[fit].mean(0), np.maximum(x[fit].std(0), 1e-6)
     grams = np.array([plain_grams(r[1]) for r in rows])
     z, y = np.column_stack([(x - means) / scales, grams, np.ones(len(x))]), np.array([known[rows[i][0]] for i in fit], float)
+    rough = np.column_stack([z[fit, :10], np.float16(grams[fit] / 20).astype(float) * 20, np.ones(len(fit))])  # the fit has shares in half precision
     w = np.zeros(z.shape[1])
     penalty = np.array([1.0] * (z.shape[1] - 1) + [1e-6])
     for _ in range(60):
-        p = 1 / (1 + np.exp(-z[fit] @ w))
-        w -= np.linalg.solve((z[fit].T * (p * (1 - p))) @ z[fit] + np.diag(penalty), z[fit].T @ (p - y) + penalty * w)
+        p = 1 / (1 + np.exp(-rough @ w))
+        w -= np.linalg.solve((rough.T * (p * (1 - p))) @ rough + np.diag(penalty), rough.T @ (p - y) + penalty * w)
     odds = np.clip(z @ w, -12, 12)
     p = 1 / (1 + np.exp(-odds))
     hosts, paths = defaultdict(list), defaultdict(list)
