@@ -37,9 +37,9 @@ from tessera.plans.shared import if_small, written
 #: stay below a megabyte, of which readers and writers hold several.
 SHARD, PIECE = 1 << 15, 1 << 17
 #: Hashes that a task holds before it adds up equal ones, and rows of an Arrow batch of counts.
-HELD, ROWS = 1 << 21, 1 << 16
+HELD, ROWS = 1 << 20, 1 << 16
 #: Shards of a counting task, about: the more it sees, the fewer rows it passes on.
-TASK_SHARDS = 256
+TASK_SHARDS = 512
 #: Bits of a phrase's hash; phrases that clash only cost a look at their text.
 PHRASE_BITS = 48
 #: Buckets of candidates whose first rows are taken before those of a language meet.
@@ -310,7 +310,7 @@ def phrase_counts(stored: DataFrame, known: list, longest: int) -> DataFrame:
 
 def frequent_phrases(df: DataFrame, least: int, longest: int = 5, lang_col: str = "lang", text_col: str = "text", size: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """``(lang, len, phrase, n)`` of phrases of 1 to ``longest`` words that occur ``least`` times, and ``(lang, total)``, all words."""
-    pages = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "10"}  # else a page is held for a hundred rows
+    pages = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "10", "compression": "zstd"}  # else a page is held for a hundred rows
     stored = written(shards(df, lang_col, text_col, longest, size), "shards", **pages)
     stored = stored.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-stored.count() // TASK_SHARDS)))
     known: list = []
