@@ -51,7 +51,7 @@ def file2taxid(spark, a):
 
 def pairwise(spark, a):
     files = _file_table(spark, a.table)
-    postings = written(ix.file_kmers(_records(spark, a.folder, files, a.split), a.k, _syncmer(a)), "postings")
+    postings = ix.stored_kmers(_records(spark, a.folder, files, a.split), a.k, _syncmer(a))
     _write_distances(di.distances(postings, files), files, fm.output_path(spark, a.out, "pd"))
 
 
@@ -71,7 +71,7 @@ def extend(spark, a):
     new_files = _file_table(spark, a.table).withColumn("file_idx", (F.col("file_idx") + n).cast("int"))
     files = old_files.unionByName(new_files)
     records = _records(spark, a.old_folder, old_files, a.split).unionByName(_records(spark, a.new_folder, new_files, a.split))
-    _write_distances(di.extended(old, written(ix.file_kmers(records, a.k, _syncmer(a)), "postings"), files, n), files, fm.output_path(spark, a.out, "pd"))
+    _write_distances(di.extended(old, ix.stored_kmers(records, a.k, _syncmer(a)), files, n), files, fm.output_path(spark, a.out, "pd"))
 
 
 def order(spark, a):
