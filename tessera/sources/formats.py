@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 import os
 import posixpath
 import sys
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.shared import if_small, written
-from tessera.sources.records import register
+from tessera.sources.records import opened, register
 
 # Extensions of FASTA files, told apart by case.
 FASTA_ENDINGS = (".fna", ".fasta", ".fa")
@@ -122,9 +124,41 @@ def write_fasta(records: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 
 def write_split_fasta(parts: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One folder ``name=...`` with one FASTA file for each split file."""
+    """One folder ``name=...`` with one FASTA file for each split file.
+
+    Files are so many that tasks write them where they stay. Their names are made from what they
+    hold, so a task that runs again writes the same ones; ``_SUCCESS`` comes last.
+    """
+    from pyarrow import fs
+
+    system, inner, _ = opened(path)
+    there = system.get_file_info(inner).type != fs.FileType.NotFound
+    if there and mode in ("error", "errorifexists"):
+        raise FileExistsError(path)
+    if there and mode == "ignore":
+        return
+    if there and mode == "overwrite":
+        system.delete_dir(inner)
+    system.create_dir(inner)
+
+    def write(source):
+        target, folder, _ = opened(path)
+        n = 0
+        for batch in source:
+            for name, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist(), strict=True):
+                text = value.encode() + b"\n"
+                inside = posixpath.join(folder, f"name={quote(name, safe='')}")
+                target.create_dir(inside)
+                with target.open_output_stream(posixpath.join(inside, f"part-{hashlib.md5(text).hexdigest()}.txt")) as out:
+                    out.write(text)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
     head = F.concat(F.lit(">"), F.col("id"), F.coalesce(F.concat(F.lit(" "), F.col("desc")), F.lit("")))
-    parts.select(F.element_at(F.split("name", "/"), -1).alias("name"), F.concat_ws("\n", head, "seq").alias("value")).write.partitionBy("name").mode(mode).text(path)
+    rows = parts.select(F.element_at(F.split("name", "/"), -1).alias("name"), F.concat_ws("\n", head, "seq").alias("value"))
+    rows.mapInArrow(write, "n long").agg(F.sum("n")).collect()  # one number
+    with system.open_output_stream(posixpath.join(inner, "_SUCCESS")):
+        pass
 
 
 def read_split_fasta(spark: SparkSession, path: str, split_dir: str = "split") -> DataFrame:

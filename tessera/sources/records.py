@@ -34,6 +34,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 RANGE = 128 << 20
+#: Small files that one task reads.
+MOST_FILES = 512
 #: Bytes that are fetched at once.
 FETCH = 4 << 20
 #: Characters and rows of an Arrow batch, but for its last record.
@@ -99,6 +101,25 @@ def ranges(files: list[tuple[str, int, int]], length: int) -> list[Range]:
     return made
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What one task reads."""
+
+    ranges: list[Range]
+
+
+def dealt(parts: list[Range], length: int = RANGE, files: int = MOST_FILES) -> list[Ranges]:
+    """Neighbouring ranges together, up to ``length`` bytes and ``files`` ranges, so small files share a task."""
+    made, size = [], 0
+    for part in parts:
+        size += part.end - part.begin
+        if not made or size > length or len(made[-1].ranges) >= files:
+            made.append(Ranges([]))
+            size = part.end - part.begin
+        made[-1].ranges.append(part)
+    return made
+
+
 class Lines:
     """The lines of a file from the first one that starts at or after ``at``, with their places.
 
@@ -267,35 +288,36 @@ class _Reader:
         self.recursive = yes("recursive", False)
         self.records, self.columns = records, columns
 
-    def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
+    def read(self, part: Range | Ranges | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # a plan without any partition
             return
-        system, inner, _ = opened(part.file)
         text = pa.string()
         kinds = [text, pa.int64(), text, text, text, pa.bool_(), text][: len(self.columns)]
         rows, chars = [], 0
 
         def batch():
-            columns = list(zip(*rows, strict=True))
-            made = [pa.array([part.file] * len(rows), text)]
+            files, *columns = zip(*rows, strict=True)
+            made = [pa.array(files, text)]
             for values, kind in zip(columns, kinds[1:], strict=True):
                 made.append(pa.array([v if v is None else v.decode("utf-8", "replace") for v in values], text) if kind == text else pa.array(values, kind))
             return pa.RecordBatch.from_arrays(made, names=self.columns)
 
-        with system.open_input_file(inner) as source:
-            for row in self.records(source, part):
-                rows.append(row)
-                chars += len(row[3])
-                if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
-                    yield batch()
-                    rows, chars = [], 0
+        for one in part.ranges if isinstance(part, Ranges) else [part]:
+            system, inner, _ = opened(one.file)
+            with system.open_input_file(inner) as source:
+                for row in self.records(source, one):
+                    rows.append((one.file, *row))
+                    chars += len(row[3])
+                    if len(rows) >= BATCH_ROWS or chars >= BATCH_CHARS:
+                        yield batch()
+                        rows, chars = [], 0
         if rows:
             yield batch()
 
 
 class RecordReader(_Reader, DataSourceReader):
     def partitions(self) -> list[Range]:
-        return ranges([(f, 0, n) for f, n in listed(self.path, self.glob, self.recursive)], self.length)
+        return dealt(ranges([(f, 0, n) for f, n in listed(self.path, self.glob, self.recursive)], self.length), self.length or RANGE)
 
 
 def last_record(file: str, begin: int, size: int) -> int:

@@ -161,3 +161,10 @@ def test_admission_limit(tmp_path):
     (tmp_path / "x.fastq").write_text(text + "G\n+\nIII\n")
     end = reader.latestOffset()
     assert [i for part in reader.partitions(start, end) for b in reader.read(part) for i in b.column(2).to_pylist()] == ["torn"]
+
+
+def test_small_files_share_a_task():
+    parts = rc.ranges([(f"f{i}", 0, 100) for i in range(1000)] + [("long", 0, 5000)], 1000)
+    made = rc.dealt(parts, 1000, 7)
+    assert [r for m in made for r in m.ranges] == parts and len(made) == 143 + 5
+    assert all(len(m.ranges) <= 7 and sum(r.end - r.begin for r in m.ranges) <= 1000 for m in made)

@@ -153,3 +153,11 @@ def test_stream_equals_batch(spark, tmp_path):
     classify_stream(stream, index, f"file://{tmp_path}/out", f"file://{tmp_path}/mark", 2).awaitTermination()
     got = spark.read.parquet(f"file://{tmp_path}/out").drop("batch")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, classify(reads, index, 2).collect()))
+
+
+def test_split_query_numbers_records_as_its_sql(spark):
+    from tessera.plans.queries import queries
+
+    found = queries()["k3_split_fasta"](spark, "/root/testdata/sf0.001")
+    assert found.columns == ["file", "record_idx", "id", "desc", "seq"]
+    assert {r["record_idx"] for r in found.select("record_idx").distinct().collect()} == {0}
