@@ -233,6 +233,20 @@ def test_shortlist_is_small(spark):
     assert sum(r.vec_id in truth[r.query_id // 100] for r in got) >= 0.9 * 1200
 
 
+@pytest.mark.parametrize("size, offset", [(1e-25, 0.0), (1e25, 0.0), (1.0, 1e5)])
+def test_nearest_of_any_size(spark, size, offset):
+    """Numbers whose squares leave floats, and an offset, are no reason to miss what is nearest."""
+    rnd = np.random.Generator(np.random.PCG64(9))
+    x = (offset + size * rnd.normal(size=(1500, 12))).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": list(range(len(x))), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}))
+    got = additive_ann.nearest(df, F.col("vec_id") % 100 == 0, 10).collect()
+    wide = x.astype(np.float64)
+    exact = ((wide[::100, None] - wide[None]) ** 2).sum(2)
+    exact[np.arange(15), np.arange(15) * 100] = np.inf
+    truth = np.argsort(exact, 1, kind="stable")[:, :10]
+    assert sum(r.vec_id in truth[r.query_id // 100] for r in got) >= 0.9 * 150
+
+
 def test_few_or_no_vectors(spark):
     df = vectors(spark)
     assert additive_ann.nearest(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
