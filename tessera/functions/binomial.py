@@ -115,6 +115,16 @@ def big_exp(value: Column) -> Column:
     return F.when(value == 0, F.struct(F.lit(0).alias("exp"), F.lit(0.0).alias("mant"))).otherwise(F.struct(exp.alias("exp"), (value / F.pow(F.lit(2.0), exp)).alias("mant")))
 
 
+def by_rounded_log2(big: Column) -> Column:
+    """The same number with the exponent floor(log2 |value|) as doubles have it.
+
+    Just below a power of two the logarithm rounds up to a whole number, so the mantissa is just below 1 there.
+    """
+    step = F.log1p((F.abs(big["mant"]) - 2) / 2) / math.log(2)  # from the next power, without cancellation
+    up = ((big["exp"] + 1) + step == (big["exp"] + 1)) & (big["mant"] != 0)
+    return F.when(up, F.struct((big["exp"] + 1).alias("exp"), (big["mant"] / 2).alias("mant"))).otherwise(big)
+
+
 def big_from_ln(ln: Column) -> Column:
     """The same struct from ln(value), for values that a double cannot hold."""
     exp = F.floor(ln / math.log(2)).cast("int")

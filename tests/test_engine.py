@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tessera.operators import ordering as od
 from tessera.operators import prepare as pr
 from tessera.operators.index import Index
 from tessera.operators.kmers import canonical_codes
+from tessera.plans import queries
 
 rnd = random.Random(11)
 GENOMES = ["".join(rnd.choice("ACGT") for _ in range(700)) for _ in range(5)]
@@ -338,3 +340,15 @@ def test_entry_imports_and_runs(spark):
     assert rows.columns == ["flag", "read_id", "taxid", "file"]
     assert rows.where("flag = 'C'").count() == 14
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_exponents_just_below_a_power_of_two(spark, tmp_path):
+    """The logarithm of such values rounds to a whole number, in SQL and in the query."""
+    rows = [(n, 1, p / 100, d / 100) for n, (p, d) in enumerate((round(100 * 2.0**e / (abs(d - 5) / 100)) + o, d) for e in range(-8, 18) for d in range(11) if d != 5 for o in (-1, 0, 1))]
+    made = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double")
+    made.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = queries.QUERIES["m5_big_exp"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(db.execute(queries.SQL["m5_big_exp"]).fetchall())
+    assert any(0 < abs(r.mant) < 1 for r in got)
