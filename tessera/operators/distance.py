@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.operators import packed as pk
 from tessera.operators.components import breadth_first, connected_components
 from tessera.operators.index import inverted
 from tessera.plans.shared import if_small, written
@@ -89,27 +90,39 @@ def _tiled(lists: DataFrame, kind: T.DataType, from_file: int | None) -> DataFra
     return lists.select("files", "weight").mapInArrow(multiply, schema)
 
 
-def pairs(postings: DataFrame, files: DataFrame, file_col: str = "file_idx", from_file: int | None = None) -> DataFrame:
+def pairs(postings: DataFrame | pk.Packed, files: DataFrame, file_col: str = "file_idx", from_file: int | None = None) -> DataFrame:
     """The lower triangle with diagonal: ``(i, j, n_i, n_j, shared)``.
 
     The result itself is all pairs of files by definition; the file table, not the k-mers,
-    is paired for it. Files without k-mers take part.
+    is paired for it. Files without k-mers take part. Packed postings of no more files than a matrix
+    holds are multiplied where they are stored; only sums are shuffled.
     """
-    sizes = files.select(file_col).join(postings.groupBy(file_col).agg(F.count("*").alias("n")), file_col, "left").na.fill(0, ["n"])
+    counted = None
+    if isinstance(postings, pk.Packed):
+        ids = [r[0] for r in files.select(file_col).where(F.col(file_col).isNotNull()).distinct().limit(pk.MATRIX + 1).collect()]
+        if len(ids) <= pk.MATRIX:
+            counted = written(pk.products(postings.stored, postings.k, postings.kind, ids, from_file), "products")
+        else:
+            postings = postings.rows.join(files.select(file_col).distinct(), file_col, "left_semi")
+    if counted is None:
+        shared, sizes = intersections(postings, file_col, from_file), postings.groupBy(file_col).agg(F.count("*").alias("n"))
+    else:
+        shared, sizes = counted.where("i <> j"), counted.where("i = j").select(F.col("i").alias(file_col), F.col("shared").alias("n"))
+    sizes = files.select(file_col).join(sizes, file_col, "left").na.fill(0, ["n"])
     left = sizes.select(F.col(file_col).alias("i"), F.col("n").alias("n_i"))
     if from_file is not None:
         left = left.where(F.col("i") >= from_file)
     grid = left.join(sizes.select(F.col(file_col).alias("j"), F.col("n").alias("n_j")), F.col("i") >= F.col("j"))
-    found = grid.join(intersections(postings, file_col, from_file), ["i", "j"], "left")
+    found = grid.join(shared, ["i", "j"], "left")
     return found.select("i", "j", "n_i", "n_j", F.when(F.col("i") == F.col("j"), F.col("n_i")).otherwise(F.coalesce("shared", F.lit(0))).alias("shared"))
 
 
-def distances(postings: DataFrame, files: DataFrame, file_col: str = "file_idx", from_file: int | None = None) -> DataFrame:
+def distances(postings: DataFrame | pk.Packed, files: DataFrame, file_col: str = "file_idx", from_file: int | None = None) -> DataFrame:
     """``(i, j, dist)``: sizes of symmetric differences."""
     return pairs(postings, files, file_col, from_file).select("i", "j", (F.col("n_i") + F.col("n_j") - 2 * F.col("shared")).alias("dist"))
 
 
-def extended(old: DataFrame, postings: DataFrame, files: DataFrame, n_old: int, file_col: str = "file_idx") -> DataFrame:
+def extended(old: DataFrame, postings: DataFrame | pk.Packed, files: DataFrame, n_old: int, file_col: str = "file_idx") -> DataFrame:
     """The old rows as they are, and rows for files from ``n_old`` on."""
     return old.select("i", "j", "dist").unionByName(distances(postings, files, file_col, n_old))
 
@@ -119,7 +132,7 @@ def ragged(dist: DataFrame) -> DataFrame:
     return dist.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "dist"))).alias("r")).select("i", F.col("r.dist").alias("row"))
 
 
-def similarities(postings: DataFrame, files: DataFrame, file_col: str = "file_idx") -> DataFrame:
+def similarities(postings: DataFrame | pk.Packed, files: DataFrame, file_col: str = "file_idx") -> DataFrame:
     """``(i, j, shared, united, jaccard)``; null for two empty sets, 1 on the diagonal."""
     united = F.col("n_i") + F.col("n_j") - F.col("shared")
     value = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.try_divide(F.col("shared"), united))

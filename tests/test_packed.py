@@ -1,13 +1,18 @@
 """Packed postings against plain sets."""
 
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import sequence as sq
+from tessera.operators import distance as di
 from tessera.operators import packed as pk
 from tessera.operators import rle
-from tessera.operators.index import Index, buckets_for
-from tessera.operators.kmers import canonical_codes
+from tessera.operators.index import Index, buckets_for, file_kmers
+from tessera.operators.kmers import canonical_codes, kmers
 
 
 @pytest.mark.parametrize("k", [3, 11, 16])
@@ -53,3 +58,29 @@ def test_lossy_index_of_packed_postings_equals_that_of_lists(spark):
 
 def test_buckets_follow_postings():
     assert buckets_for(1000) == 8 and buckets_for(1000, 1 << 30) == 64
+
+
+def test_pairs_of_packed_postings(spark):
+    """Products of packed lists are the pairs of the plain ones, and texts are read as their letters."""
+    rnd = random.Random(31)
+    rows = [(3 * (n % 7) + 2 if n % 11 else None, "".join(rnd.choice("abcdefghij é.K\n") for _ in range(rnd.randrange(400)))) for n in range(60)]
+    records = spark.createDataFrame(rows, "file_idx int, text string")
+    files = spark.createDataFrame([(n,) for n in [*range(2, 23, 3), 40, 1]], "file_idx int")
+    stored = pk.packed(records, 5, seq_col="text", prepare=sq.letters_as_bytes)
+    held = pk.Packed(stored, 5, records.schema["file_idx"].dataType)
+    plain = file_kmers(records.select("file_idx", sq.letters_as_bases(F.col("text")).alias("seq")), 5)
+    for least in (None, 8):
+        want = sorted(map(tuple, di.pairs(plain, files, from_file=least).collect()))
+        assert sorted(map(tuple, di.pairs(held, files, from_file=least).collect())) == want
+    few = files.where("file_idx < 9")
+    assert sorted(map(tuple, di.pairs(held, few).collect())) == sorted(map(tuple, di.pairs(plain.where("file_idx < 9"), few).collect()))
+    assert di.pairs(held, files.where("false")).count() == 0
+
+
+def test_repeats_go_on_with_what_follows(spark, monkeypatch):
+    """A task passes its postings on when they are many, not when most of them are repeats."""
+    rows = [(n % 3, "ACGTTGCAAC" * 40) for n in range(200)]
+    records = spark.createDataFrame(rows, "file_idx int, seq string").coalesce(1)
+    monkeypatch.setattr(pk, "HELD", 2000)
+    want = sorted({tuple(r) for r in kmers(records, ["file_idx"], "seq", 6).collect()})
+    assert sorted(map(tuple, file_kmers(records, 6).collect())) == want
