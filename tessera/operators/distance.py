@@ -22,8 +22,8 @@ TILE = 256
 LONG, PER_TILE = 64, 16
 #: Lists that are multiplied at once, and tiles of sums that a task holds before it passes them on.
 TILE_LISTS, HELD = 512, 64
-#: Parts of the k-mers of one rarity, in a fixed order.
-CELLS = 256
+#: Buckets of k-mers whose rarity the driver holds, a byte each, and bits of a set's bitmap.
+BUCKETS, PARITY = 1 << 20, 2048
 
 
 def intersections(postings: DataFrame, file_col: str = "file_idx", from_file: int | None = None, long: int = LONG) -> DataFrame:
@@ -139,41 +139,121 @@ def similarities(postings: DataFrame | pk.Packed, files: DataFrame, file_col: st
     return pairs(postings, files, file_col).select("i", "j", "shared", united.alias("united"), value.alias("jaccard"))
 
 
+def same_sets(postings: DataFrame, file_col: str = "file_idx") -> DataFrame:
+    """``(file_col, n, one)``: the number of k-mers of each file, and the least file with the same ones, by 128 bits of their hashes."""
+    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "kmer").cast("decimal(38,0)"))
+    found = postings.groupBy(file_col).agg(F.count("*").alias("n"), wide(1).alias("a"), wide(2).alias("b"))
+    least = found.groupBy("n", "a", "b").agg(F.min(file_col).alias("one"))
+    return found.join(least, ["n", "a", "b"]).select(file_col, "n", "one")
+
+
+def _rarity(postings: DataFrame) -> bytes:
+    """How many postings a bucket of k-mers has, as a class of one byte: any order of classes is exact, one by rarity is fast."""
+    import numpy as np
+
+    found = postings.groupBy(F.pmod(F.col("kmer"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n")).toArrow()
+    made = np.zeros(BUCKETS, np.uint8)
+    made[found["bucket"].to_numpy()] = np.minimum(255, 8 * np.log2(found["n"].to_numpy() + 1))
+    return made.tobytes()
+
+
 def similar_candidates(postings: DataFrame, least: float, file_col: str = "file_idx") -> DataFrame:
-    """``(i, j, n_i, n_j)``, i > j: pairs that may have Jaccard >= ``least``, among them all that do.
+    """``(i, j)``, i > j: pairs that may have Jaccard >= ``least``, among them all that do."""
+    return _candidates(postings, least, file_col)[0]
+
+
+def _candidates(postings: DataFrame, least: float, file_col: str) -> tuple[DataFrame, DataFrame]:
+    """The candidates and the sets ``(file, kmers, bits)``.
 
     Two such sets of n and m k-mers share ceil(least * n) of the n at least, so each holds one of
-    the other's k-mers among its n - ceil(least * n) + 1 rarest; only these prefixes meet, in short
-    lists. Prefixes are found from counts by rarity and cell of a hash, so no file's k-mers are
-    sorted in one task, and may be longer by a part of a cell. Pairs whose sizes differ too much are
-    left out before they are counted.
+    the other's k-mers among its n - ceil(least * n) + 1 rarest; only these prefixes meet. Pairs whose
+    sizes, or whose k-mers behind the place where they meet, allow too few common ones are left out.
+    So are those whose bitmaps of parity differ in more bits than the sets may in k-mers.
     """
     if not 0 < least <= 1:
         raise ValueError("the least similarity is above 0 and 1 at most")
-    sizes = written(postings.groupBy(file_col).agg(F.count("*").alias("n")), "sizes")
-    rare = postings.groupBy("kmer").agg(F.count("*").alias("files")).where("files > 1")  # what one file has alone makes no pair
-    held = written(postings.select(file_col, "kmer").join(rare, "kmer").withColumn("cell", F.pmod(F.xxhash64("kmer"), F.lit(CELLS))), "held")
-    cells = held.groupBy(file_col, "files", "cell").agg(F.count("*").alias("m"))
-    mine = Window.partitionBy(file_col)
-    before = F.coalesce(F.sum("m").over(mine.orderBy("files", "cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    alone = F.col("n") - F.sum("m").over(mine)  # these k-mers come first in a file's order
-    prefix = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
-    wanted = cells.join(if_small(sizes), file_col).select(file_col, "files", "cell", (before + alone).alias("before"), prefix.alias("prefix")).where("before < prefix")
-    first = held.join(if_small(written(wanted.select(file_col, "files", "cell"), "cells")), [file_col, "files", "cell"], "left_semi")
-    met = intersections(first.select(file_col, "kmer"), file_col).select("i", "j")
-    for side in ("i", "j"):
-        met = met.join(if_small(sizes.select(F.col(file_col).alias(side), F.col("n").alias(f"n_{side}"))), side)
-    return met.where(F.least("n_i", "n_j") >= F.lit(least) * F.greatest("n_i", "n_j") - 1e-9).select("i", "j", "n_i", "n_j")
+    kind = postings.schema[file_col].dataType
+    arrow, rare = to_arrow_type(kind), _rarity(postings)
+
+    def marked(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in source:
+            made = []
+            for row in batch.column("kmers"):
+                place = (row.values.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARITY.bit_length() + 1)
+                made.append(np.packbits((np.bincount(place.astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=["file", "kmers", "bits"])
+
+    def prefixes(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        classes = np.frombuffer(rare, np.uint8)
+        for batch in source:
+            for at in range(batch.num_rows):
+                kmer = batch.column("kmers")[at].values.to_numpy()
+                n = len(kmer)
+                take = n - int(np.ceil(least * n - 1e-9)) + 1
+                first = kmer[np.lexsort((kmer, classes[kmer % BUCKETS]))[:take]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch.column("file")[at].as_py()), arrow), pa.array(first), pa.array(np.full(len(first), n)), pa.array(np.arange(len(first)))], names=["file", "kmer", "n", "at"])
+
+    schema = T.StructType([T.StructField("file", kind), T.StructField("kmers", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
+    sets = written(postings.groupBy(F.col(file_col).alias("file")).agg(F.sort_array(F.collect_list("kmer")).alias("kmers")).mapInArrow(marked, schema), "sets")
+    short = T.StructType([T.StructField("file", kind), *(T.StructField(c, T.LongType()) for c in ("kmer", "n", "at"))])
+    first = written(sets.select("file", "kmers").mapInArrow(prefixes, short), "prefixes")
+    side = lambda x: first.select(F.col("file").alias(x), "kmer", F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"))
+    share = least / (1 + least) * (F.col("n_i") + F.col("n_j")) - 1e-6  # common k-mers that a pair needs
+    # the common k-mer that comes first in order has all others behind it on both sides
+    enough = F.least(F.col("n_i") - F.col("at_i"), F.col("n_j") - F.col("at_j")) >= share
+    sized = F.least("n_i", "n_j") >= F.lit(least) * F.greatest("n_i", "n_j") - 1e-9
+    met = side("i").join(side("j"), "kmer").where((F.col("i") > F.col("j")) & sized & enough).groupBy("i", "j").agg(F.first("n_i").alias("n_i"), F.first("n_j").alias("n_j"))
+
+    def close(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in source:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits_i", "bits_j"))
+                total = batch.column("n_i").to_numpy() + batch.column("n_j").to_numpy()
+                kept = np.bitwise_count(x ^ y).sum(1) <= total * (1 - least) / (1 + least) + 1e-6
+                yield batch.select(["i", "j"]).filter(pa.array(kept))
+
+    for x in ("i", "j"):
+        met = met.join(if_small(sets.select(F.col("file").alias(x), F.col("bits").alias(f"bits_{x}"))), x)
+    pair = T.StructType([T.StructField("i", kind), T.StructField("j", kind)])
+    return met.select("i", "j", "n_i", "n_j", "bits_i", "bits_j").mapInArrow(close, pair), sets
 
 
 def similar_pairs(postings: DataFrame, least: float, file_col: str = "file_idx") -> DataFrame:
-    """``(i, j, shared, jaccard)``, i > j, of pairs with Jaccard >= ``least``: candidates, counted exactly."""
-    asked = written(similar_candidates(postings, least, file_col), "candidates")
-    mine = postings.select(F.col(file_col).alias("i"), "kmer")
-    theirs = postings.select(F.col(file_col).alias("j"), "kmer")
-    counted = mine.join(if_small(asked), "i").join(theirs, ["j", "kmer"]).groupBy("i", "j", "n_i", "n_j").agg(F.count("*").alias("shared"))
-    jaccard = F.col("shared") / (F.col("n_i") + F.col("n_j") - F.col("shared"))
-    return counted.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least).select("i", "j", "shared", "jaccard")
+    """``(i, j, shared, jaccard)``, i > j, of pairs with Jaccard >= ``least``: candidates, counted exactly.
+
+    Files of equal sets are one until their pairs are known.
+    """
+    kind = postings.schema[file_col].dataType
+    of = written(same_sets(postings.where(F.col(file_col).isNotNull()), file_col), "same")
+    ones = of.where(F.col(file_col) == F.col("one")).select(file_col)
+    asked, sets = _candidates(postings.join(if_small(ones), file_col, "left_semi"), least, file_col)
+
+    def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in source:
+            x, y = batch.column("kmers_i"), batch.column("kmers_j")
+            sizes = [(len(a), len(b), len(np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), assume_unique=True))) for a, b in zip(x, y, strict=True)]
+            kept = [n >= least * (a + b - n) - 1e-9 for a, b, n in sizes]
+            jaccard = [n / (a + b - n) for a, b, n in sizes]
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array([n for *_, n in sizes], pa.int64()), pa.array(jaccard, pa.float64())], names=["i", "j", "shared", "jaccard"]).filter(pa.array(kept, pa.bool_()))
+
+    asked = written(asked, "candidates")
+    for x in ("i", "j"):
+        asked = asked.join(sets.select(F.col("file").alias(x), F.col("kmers").alias(f"kmers_{x}")), x)
+    schema = T.StructType([T.StructField("i", kind), T.StructField("j", kind), T.StructField("shared", T.LongType()), T.StructField("jaccard", T.DoubleType())])
+    found = written(asked.select("i", "j", "kmers_i", "kmers_j").mapInArrow(counted, schema).where(F.col("jaccard") >= least), "found")
+    member = lambda name, one: of.select(F.col(file_col).alias(name), F.col("one").alias(one))
+    apart = found.select(F.col("i").alias("p"), F.col("j").alias("q"), "shared", "jaccard").join(member("x", "p"), "p").join(member("y", "q"), "q")
+    apart = apart.select(F.greatest("x", "y").alias("i"), F.least("x", "y").alias("j"), "shared", "jaccard")
+    alike = of.select(F.col(file_col).alias("i"), "one", "n").join(member("j", "one"), "one").where("i > j")
+    return apart.unionByName(alike.select("i", "j", F.col("n").alias("shared"), F.lit(1.0).alias("jaccard")))
 
 
 def similar_groups(postings: DataFrame, files: DataFrame, least: float, file_col: str = "file_idx") -> DataFrame:

@@ -352,3 +352,23 @@ def test_exponents_just_below_a_power_of_two(spark, tmp_path):
     db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert sorted(map(tuple, got)) == sorted(db.execute(queries.SQL["m5_big_exp"]).fetchall())
     assert any(0 < abs(r.mant) < 1 for r in got)
+
+
+def test_equal_sets_are_one_until_their_pairs_are_known(spark, monkeypatch):
+    """Copies give all their pairs, but meet others once."""
+    base = [rnd.sample(range(5000), 60) for _ in range(4)]
+    near = [[*b[:-2], 9000 + n] for n, b in enumerate(base)]
+    sets = {100 * c + n: s for c in range(5) for n, s in enumerate(base + near)}
+    postings = spark.createDataFrame([(f, k) for f, s in sets.items() for k in s], "file_idx int, kmer long")
+    seen = []
+    plain = di._candidates
+    monkeypatch.setattr(di, "_candidates", lambda *a: seen.append(plain(*a)) or seen[0])
+    got = {(r.i, r.j): (r.shared, r.jaccard) for r in di.similar_pairs(postings, 0.8).collect()}
+    want = {}
+    for i, a in sets.items():
+        for j, b in sets.items():
+            shared = len(set(a) & set(b))
+            if i > j and shared >= 0.8 * (len(a) + len(b) - shared):
+                want[i, j] = (shared, shared / (len(a) + len(b) - shared))
+    assert got == want and len(want) > 100
+    assert seen[0][1].count() == 8
