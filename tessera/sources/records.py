@@ -8,7 +8,9 @@ FASTQ has no mark that begins records only: qualities may start with ``@``. A re
 with ``@`` and an id, one or more lines of letters, a line with ``+``, and as many lines of
 qualities with as many characters as the letters. From a place that is no record, framing
 goes on with the next line; so a record that lost or gained a line is left behind alone, and blank
-lines between records are nothing. A range starts at the first record so defined at or after its
+lines between records are nothing. Where qualities were lost, the next record's first line may have the
+right length by chance; it is told by its id, which begins as the one before up to the first digit, and by
+the letters and the ``+`` below it. A range starts at the first record so defined at or after its
 first byte; the range before it frames on from its own start and must arrive at just that place. If
 it does not, the file is ambiguous there, which is an error that names ``split=false`` as the way out: then
 each file is one range.
@@ -46,6 +48,8 @@ TAIL = 1 << 20
 _LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz.-*"
 _BLANKS = b" \t\r\n\v\f"
 _HEAD = re.compile(rb"(\S*)\s*(.*?)\r?$", re.S)
+#: What ids of a file begin with alike.
+_STEM = re.compile(rb"[^0-9]*")
 
 
 def opened(path: str):
@@ -182,8 +186,24 @@ def _head(line: bytes) -> tuple[bytes, bytes | None]:
     return name, desc or None
 
 
-def framed(lines: Lines, i: int):
-    """The FASTQ record that starts at line ``i``: ``(line after it, id, desc, seq, qual)``, or none."""
+def _is_head(lines: Lines, q: int, name: bytes) -> bool | None:
+    """Whether a line of qualities is the head of a record whose id is like ``name``; none, if the file ends before that is known."""
+    line = lines.line(q)
+    if not line or line[:1] != b"@" or not (other := _head(line)[0]) or _STEM.match(other)[0] != _STEM.match(name)[0]:
+        return False
+    j = q + 1
+    while (line := lines.line(j)) is not None and line[:1] != b"+":
+        if line.rstrip(b"\r").translate(None, _LETTERS):
+            return False
+        j += 1
+    return None if line is None else j > q + 1
+
+
+def framed(lines: Lines, i: int, ended: bool = True):
+    """The FASTQ record that starts at line ``i``: ``(line after it, id, desc, seq, qual)``, or none.
+
+    Unless the file has ``ended``, a record that later lines may show to have lost its qualities is none.
+    """
     head = lines.line(i)
     if not head or head[:1] != b"@" or head[1:2].strip(_BLANKS) == b"":
         return None
@@ -212,6 +232,10 @@ def framed(lines: Lines, i: int):
             return None
     if not seq or sum(map(len, qual)) != n:
         return None
+    name = _head(head)[0]
+    for q in range(j + 1 - len(seq), j + 1):
+        if (lost := _is_head(lines, q, name)) or lost is None and not ended:
+            return None
     return j + 1, *_head(head), b"".join(seq), b"".join(qual)
 
 
@@ -329,7 +353,7 @@ def last_record(file: str, begin: int, size: int) -> int:
             at = max(begin, size - tail)
             lines, i, end = Lines(source, at, size), 0, None
             while lines.line(i) is not None:
-                found = framed(lines, i)
+                found = framed(lines, i, ended=False)
                 if found and (lines.line(found[0]) is not None or source.read_at(1, size - 1) == b"\n"):
                     i, end = found[0], lines.at(found[0])
                 else:

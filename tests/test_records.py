@@ -69,6 +69,30 @@ def test_ranges_that_do_not_meet_are_an_error(tmp_path):
         in_ranges(tmp_path, 1)
 
 
+@pytest.mark.parametrize("next_", ["@d7\nACGT\n+\n@III\n", "\r\n@d8\nAC\nGT\n+\n@I\n@I\n", "@d10\nAAC\n+\n@d7\nACGT\n+\n@III\n"])
+def test_lost_qualities_as_long_as_the_next_head(tmp_path, next_):
+    """The record that lost them goes alone, also where the one after it lost its own."""
+    lost = f"@d5\n{'C' * len(next_.split(chr(10))[0])}\n+\n"
+    (tmp_path / "x.fastq").write_bytes(f"@d1\nAC\n+\n@@\n{lost}{next_}@d9\nT\n+\n@".encode())
+    good = ["d1", "d8" if "d8" in next_ else "d7", "d9"]
+    whole = [r for r in in_ranges(tmp_path, 0) if not r[5]]
+    assert [r[2].decode() for r in whole] == good
+    for length in (1, 7, 20):
+        assert [r for r in in_ranges(tmp_path, length) if not r[5]] == whole
+    # qualities that look like a head stay, where no record follows from them or its id is of another kind
+    (tmp_path / "x.fastq").write_bytes(b"@d1\nACG\n+\n@d7\n@d2\nACG\n+\n@II\nCC\n+\nII\n@d3\nACG\n+\n@d4")
+    assert [r[2].decode() for r in in_ranges(tmp_path, 0) if not r[5]] == ["d1", "d2", "d3"]
+
+
+def test_a_growing_file_waits_for_what_tells_lost_qualities(tmp_path):
+    path, first = tmp_path / "x.fastq", b"@d1\nAC\n+\nII\n"
+    path.write_bytes(first + b"@d5\nACG\n+\n@d7\nAC")
+    assert rc.last_record(str(path), 0, path.stat().st_size) == len(first)
+    path.write_bytes(first + b"@d5\nACG\n+\n@d7\nAC\n+\nII\n")
+    assert rc.last_record(str(path), 0, path.stat().st_size) == path.stat().st_size
+    assert [r[2] for r in in_ranges(tmp_path, 0) if not r[5]] == [b"d1", b"d7"]
+
+
 def test_reads_without_bases(tmp_path):
     (tmp_path / "x.fastq").write_text("@a\n\n+\n\n@b\nA\n+\nI\n@c\n\n+")
     assert [(r[2], r[4]) for r in in_ranges(tmp_path, 0) if not r[5]] == [(b"a", b""), (b"b", b"A"), (b"c", b"")]
