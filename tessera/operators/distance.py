@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.operators import packed as pk
+from tessera.operators import parts as ps
 from tessera.operators.components import breadth_first, connected_components
 from tessera.operators.index import inverted
 from tessera.plans.shared import if_small, written
@@ -22,8 +23,8 @@ TILE = 256
 LONG, PER_TILE = 64, 16
 #: Lists that are multiplied at once, and tiles of sums that a task holds before it passes them on.
 TILE_LISTS, HELD = 512, 64
-#: Buckets of k-mers whose rarity the driver holds, a byte each, and bits of a set's bitmap.
-BUCKETS, PARITY = 1 << 20, 2048
+#: Ids of files that are broadcast at most; files and k-mers of a block of similar sets.
+BROADCAST_IDS, BLOCK_FILES, BLOCK_KMERS = 1 << 22, 256, 1 << 20
 
 
 def intersections(postings: DataFrame, file_col: str = "file_idx", from_file: int | None = None, long: int = LONG) -> DataFrame:
@@ -139,74 +140,40 @@ def similarities(postings: DataFrame | pk.Packed, files: DataFrame, file_col: st
     return pairs(postings, files, file_col).select("i", "j", "shared", united.alias("united"), value.alias("jaccard"))
 
 
-def same_sets(postings: DataFrame, file_col: str = "file_idx") -> DataFrame:
-    """``(file_col, n, one)``: the number of k-mers of each file, and the least file with the same ones, by 128 bits of their hashes."""
-    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), "kmer").cast("decimal(38,0)"))
-    found = postings.groupBy(file_col).agg(F.count("*").alias("n"), wide(1).alias("a"), wide(2).alias("b"))
-    least = found.groupBy("n", "a", "b").agg(F.min(file_col).alias("one"))
-    return found.join(least, ["n", "a", "b"]).select(file_col, "n", "one")
+def same_sets(marked: DataFrame) -> DataFrame:
+    """``(file, n, one)``: the number of k-mers of each file, and the least file with the same ones, by 128 bits of their hashes."""
+    found = marked.where("slice is null").select("file", "n", "a", "b")
+    least = found.groupBy("n", "a", "b").agg(F.min("file").alias("one"))
+    return found.join(least, ["n", "a", "b"]).select("file", "n", "one")
 
 
-def _rarity(postings: DataFrame) -> bytes:
-    """How many postings a bucket of k-mers has, as a class of one byte: any order of classes is exact, one by rarity is fast."""
-    import numpy as np
+def _as_sets(postings: DataFrame | ps.Sets, file_col: str) -> ps.Sets:
+    if isinstance(postings, ps.Sets):
+        return postings
+    found = ps.of_postings(postings, file_col)
+    return ps.Sets(written(found.rows, "sets"), found.read)
 
-    found = postings.groupBy(F.pmod(F.col("kmer"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n")).toArrow()
-    made = np.zeros(BUCKETS, np.uint8)
-    made[found["bucket"].to_numpy()] = np.minimum(255, 8 * np.log2(found["n"].to_numpy() + 1))
-    return made.tobytes()
 
-
-def similar_candidates(postings: DataFrame, least: float, file_col: str = "file_idx") -> DataFrame:
+def similar_candidates(postings: DataFrame | ps.Sets, least: float, file_col: str = "file_idx") -> DataFrame:
     """``(i, j)``, i > j: pairs that may have Jaccard >= ``least``, among them all that do."""
-    return _candidates(postings, least, file_col)[0]
+    return _candidates(_as_sets(postings, file_col), least)[0].select("i", "j")
 
 
-def _candidates(postings: DataFrame, least: float, file_col: str) -> tuple[DataFrame, DataFrame]:
-    """The candidates and the sets ``(file, kmers, bits)``.
+def _candidates(sets: ps.Sets, least: float, marked: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The candidates ``(i, j)``, and ``(file, n, bits, packed)`` of their sets.
 
-    Two such sets of n and m k-mers share ceil(least * n) of the n at least, so each holds one of
-    the other's k-mers among its n - ceil(least * n) + 1 rarest; only these prefixes meet. Pairs whose
-    sizes, or whose k-mers behind the place where they meet, allow too few common ones are left out.
-    So are those whose bitmaps of parity differ in more bits than the sets may in k-mers.
+    Parts of sets that are equal meet by signatures (``parts``). Pairs whose sizes, or whose bitmaps of
+    parity, differ by more than the sets may are left out.
     """
     if not 0 < least <= 1:
         raise ValueError("the least similarity is above 0 and 1 at most")
-    kind = postings.schema[file_col].dataType
-    arrow, rare = to_arrow_type(kind), _rarity(postings)
-
-    def marked(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        for batch in source:
-            made = []
-            for row in batch.column("kmers"):
-                place = (row.values.to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PARITY.bit_length() + 1)
-                made.append(np.packbits((np.bincount(place.astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=["file", "kmers", "bits"])
-
-    def prefixes(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        classes = np.frombuffer(rare, np.uint8)
-        for batch in source:
-            for at in range(batch.num_rows):
-                kmer = batch.column("kmers")[at].values.to_numpy()
-                n = len(kmer)
-                take = n - int(np.ceil(least * n - 1e-9)) + 1
-                first = kmer[np.lexsort((kmer, classes[kmer % BUCKETS]))[:take]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), batch.column("file")[at].as_py()), arrow), pa.array(first), pa.array(np.full(len(first), n)), pa.array(np.arange(len(first)))], names=["file", "kmer", "n", "at"])
-
-    schema = T.StructType([T.StructField("file", kind), T.StructField("kmers", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())])
-    sets = written(postings.groupBy(F.col(file_col).alias("file")).agg(F.sort_array(F.collect_list("kmer")).alias("kmers")).mapInArrow(marked, schema), "sets")
-    short = T.StructType([T.StructField("file", kind), *(T.StructField(c, T.LongType()) for c in ("kmer", "n", "at"))])
-    first = written(sets.select("file", "kmers").mapInArrow(prefixes, short), "prefixes")
-    side = lambda x: first.select(F.col("file").alias(x), "kmer", F.col("n").alias(f"n_{x}"), F.col("at").alias(f"at_{x}"))
-    share = least / (1 + least) * (F.col("n_i") + F.col("n_j")) - 1e-6  # common k-mers that a pair needs
-    # the common k-mer that comes first in order has all others behind it on both sides
-    enough = F.least(F.col("n_i") - F.col("at_i"), F.col("n_j") - F.col("at_j")) >= share
-    sized = F.least("n_i", "n_j") >= F.lit(least) * F.greatest("n_i", "n_j") - 1e-9
-    met = side("i").join(side("j"), "kmer").where((F.col("i") > F.col("j")) & sized & enough).groupBy("i", "j").agg(F.first("n_i").alias("n_i"), F.first("n_j").alias("n_j"))
+    kind = sets.rows.schema[0].dataType
+    rare = ps.weights(written(ps.marks(sets, kind), "marks") if marked is None else marked)
+    stored = written(ps.entries(sets, least, rare), "entries")
+    agree = ps.met(stored).groupBy("x", "y").agg(F.sum("n").alias("n"), F.max("code").alias("code")).where(F.col("n") >= F.pow(F.lit(2), F.col("code")))
+    pairs = written(agree.select(F.greatest("x", "y").cast(kind).alias("i"), F.least("x", "y").cast(kind).alias("j")).distinct(), "met")
+    asked = pairs.select(F.col("i").alias("file")).union(pairs.select(F.col("j").alias("file"))).distinct()
+    held = written(ps.contents(ps.Sets(sets.rows.join(if_small(asked, BROADCAST_IDS), "file", "left_semi"), sets.read), kind), "contents")
 
     def close(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -214,45 +181,85 @@ def _candidates(postings: DataFrame, least: float, file_col: str) -> tuple[DataF
         for batch in source:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("bits_i", "bits_j"))
-                total = batch.column("n_i").to_numpy() + batch.column("n_j").to_numpy()
-                kept = np.bitwise_count(x ^ y).sum(1) <= total * (1 - least) / (1 + least) + 1e-6
+                a, b = batch.column("n_i").to_numpy(), batch.column("n_j").to_numpy()
+                kept = np.bitwise_count(x ^ y).sum(1) <= (a + b) * (1 - least) / (1 + least) + 1e-6
+                kept &= np.minimum(a, b) >= least * np.maximum(a, b) - 1e-6
                 yield batch.select(["i", "j"]).filter(pa.array(kept))
 
     for x in ("i", "j"):
-        met = met.join(if_small(sets.select(F.col("file").alias(x), F.col("bits").alias(f"bits_{x}"))), x)
+        pairs = pairs.join(if_small(held.select(F.col("file").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))), x)
     pair = T.StructType([T.StructField("i", kind), T.StructField("j", kind)])
-    return met.select("i", "j", "n_i", "n_j", "bits_i", "bits_j").mapInArrow(close, pair), sets
+    return pairs.select("i", "j", "n_i", "n_j", "bits_i", "bits_j").mapInArrow(close, pair), held
 
 
-def similar_pairs(postings: DataFrame, least: float, file_col: str = "file_idx") -> DataFrame:
-    """``(i, j, shared, jaccard)``, i > j, of pairs with Jaccard >= ``least``: candidates, counted exactly.
+def _counted(asked: DataFrame, held: DataFrame, least: float, kind: T.DataType) -> DataFrame:
+    """``(i, j, shared, jaccard)`` of candidates that are similar.
 
-    Files of equal sets are one until their pairs are known.
+    Files that share their least partner are dealt to blocks, and pairs to tiles of two blocks, so that
+    a set is moved once for each of its tiles, not for each of its pairs; a task's group holds a few tiles.
     """
-    kind = postings.schema[file_col].dataType
-    of = written(same_sets(postings.where(F.col(file_col).isNotNull()), file_col), "same")
-    ones = of.where(F.col(file_col) == F.col("one")).select(file_col)
-    asked, sets = _candidates(postings.join(if_small(ones), file_col, "left_semi"), least, file_col)
-
-    def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = asked.select(F.col("i").alias("file"), "j").union(asked.select(F.col("j"), F.col("j")))
+    sized = held.select("file", "n")
+    near = ends.groupBy("file").agg(F.min("j").alias("lead")).join(sized, "file")
+    blocks = near.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_FILES), F.ceil(F.sum("n") / BLOCK_KMERS)).alias("blocks"))
+    near = written(near.join(blocks, "lead").select("file", "n", F.xxhash64("lead", F.pmod(F.xxhash64(F.lit(5), "file"), F.col("blocks"))).alias("block")), "blocks")
+    total = near.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    groups = max(1, -(-total // BLOCK_KMERS))
+    side = lambda x: near.select(F.col("file").alias(x), F.col("block").alias(f"block_{x}"))
+    tiled = asked.join(side("i"), "i").join(side("j"), "j")
+    tiled = written(tiled.select("i", "j", F.pmod(F.xxhash64("block_i", "block_j"), F.lit(groups)).alias("group")), "tiles")
+    moved = tiled.select(F.col("group").alias("lot"), F.col("i").alias("file")).union(tiled.select("group", "j")).distinct().join(held.select("file", "n", "packed"), "file")
+
+    def count(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         import numpy as np
 
-        for batch in source:
-            x, y = batch.column("kmers_i"), batch.column("kmers_j")
-            sizes = [(len(a), len(b), len(np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), assume_unique=True))) for a, b in zip(x, y, strict=True)]
-            kept = [n >= least * (a + b - n) - 1e-9 for a, b, n in sizes]
-            jaccard = [n / (a + b - n) for a, b, n in sizes]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array([n for *_, n in sizes], pa.int64()), pa.array(jaccard, pa.float64())], names=["i", "j", "shared", "jaccard"]).filter(pa.array(kept, pa.bool_()))
+        known = {f: (p, n) for f, p, n in zip(*(sets.column(c).to_pylist() for c in ("file", "packed", "n")), strict=True)}
+        opened: dict = {}
+
+        def kmers(file):
+            if file not in opened:
+                opened[file] = ps.unpack_set(*known[file])
+            return opened[file]
+
+        pairs = pairs.select(["i", "j"]).sort_by("i")
+        i, j = pairs.column("i").to_pylist(), pairs.column("j").to_pylist()
+        shared, jaccard, at = [], [], 0
+        while at < len(i):
+            mine, end, size = kmers(i[at]), at, 0
+            while end < len(i) and i[end] == i[at] and size < 1 << 22:
+                size += known[j[end]][1]
+                end += 1
+            others = [kmers(x) for x in j[at:end]]
+            begins = np.cumsum([0] + [len(x) for x in others[:-1]])
+            every = np.concatenate(others)
+            there = mine[np.minimum(np.searchsorted(mine, every), len(mine) - 1)] == every
+            for n, other in zip(np.add.reduceat(there.astype(np.int64), begins).tolist(), others, strict=True):
+                shared.append(n)
+                jaccard.append(n / (len(mine) + len(other) - n))
+            at = end
+        made = pairs.combine_chunks().append_column("shared", pa.array(shared, pa.int64())).append_column("jaccard", pa.array(jaccard, pa.float64()))
+        return made.filter(pa.array([x >= least for x in jaccard], pa.bool_()))
 
-    asked = written(asked, "candidates")
-    for x in ("i", "j"):
-        asked = asked.join(sets.select(F.col("file").alias(x), F.col("kmers").alias(f"kmers_{x}")), x)
     schema = T.StructType([T.StructField("i", kind), T.StructField("j", kind), T.StructField("shared", T.LongType()), T.StructField("jaccard", T.DoubleType())])
-    found = written(asked.select("i", "j", "kmers_i", "kmers_j").mapInArrow(counted, schema).where(F.col("jaccard") >= least), "found")
-    member = lambda name, one: of.select(F.col(file_col).alias(name), F.col("one").alias(one))
+    return tiled.groupBy("group").cogroup(moved.groupBy("lot")).applyInArrow(count, schema)
+
+
+def similar_pairs(postings: DataFrame | ps.Sets, least: float, file_col: str = "file_idx") -> DataFrame:
+    """``(i, j, shared, jaccard)``, i > j, of pairs with Jaccard >= ``least``: candidates, counted exactly.
+
+    Files of equal sets are one until their pairs are known.
+    """
+    sets = _as_sets(postings, file_col)
+    kind = sets.rows.schema[0].dataType
+    marked = written(ps.marks(sets, kind), "marks")
+    of = written(same_sets(marked), "same")
+    ones = of.where(F.col("file") == F.col("one")).select("file")
+    asked, held = _candidates(ps.Sets(sets.rows.join(if_small(ones, BROADCAST_IDS), "file", "left_semi"), sets.read), least, marked)
+    found = written(_counted(written(asked, "candidates"), held, least, kind), "found")
+    member = lambda name, one: of.select(F.col("file").alias(name), F.col("one").alias(one))
     apart = found.select(F.col("i").alias("p"), F.col("j").alias("q"), "shared", "jaccard").join(member("x", "p"), "p").join(member("y", "q"), "q")
     apart = apart.select(F.greatest("x", "y").alias("i"), F.least("x", "y").alias("j"), "shared", "jaccard")
-    alike = of.select(F.col(file_col).alias("i"), "one", "n").join(member("j", "one"), "one").where("i > j")
+    alike = of.select(F.col("file").alias("i"), "one", "n").join(member("j", "one"), "one").where("i > j")
     return apart.unionByName(alike.select("i", "j", F.col("n").alias("shared"), F.lit(1.0).alias("jaccard")))
 
 

@@ -372,3 +372,56 @@ def test_equal_sets_are_one_until_their_pairs_are_known(spark, monkeypatch):
                 want[i, j] = (shared, shared / (len(a) + len(b) - shared))
     assert got == want and len(want) > 100
     assert seen[0][1].count() == 8
+
+
+def test_parts_that_agree_lose_no_pair():
+    """As many of the smaller set's entries as asked for agree with the larger set's, also where both differ at the limit."""
+    import numpy as np
+
+    from tessera.operators import parts as ps
+
+    rng = np.random.default_rng(3)
+    for least in (0.3, 0.8, 0.95):
+        for n in (*range(1, 30), 61, 200, 1000, 4001):
+            for more in range(3):  # what differs is in the larger set, in the smaller one, or in both
+                spare = int(n / least + 1e-9) - n
+                lost = (0, n - int(np.ceil(least * n - 1e-9)), int((1 - least) / (1 + least) * n))[more]
+                codes = rng.choice(1 << 22, n + spare + lost, replace=False)
+                a, b = codes[:n], (codes[: n + spare], codes[lost:n], codes[lost : n + lost])[more]
+                small, large = sorted((np.sort(ps.mixed(x)) for x in (a, b)), key=len)
+                if not len(small):
+                    continue
+                assert len(np.intersect1d(small, large)) >= least * len(np.union1d(small, large)) - 1e-6
+                x, y = (ps.signatures(h, rng.random(len(h)), least) for h in (small, large))
+                mine, other = x[x & 3 >= 1], set((y[y & 3 <= 1] >> 5).tolist())
+                agree = [e for e in mine.tolist() if e >> 5 in other]
+                assert agree and len(agree) >= 1 << (max(agree) >> 2 & 7)
+
+
+def test_similar_texts_are_read_where_they_are(spark, tmp_path):
+    """What the query stores and what is shuffled stay near the size of the texts: neither postings nor sets are moved."""
+    import os
+
+    from tessera.operators import index as ix
+    from tessera.plans import queries
+
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 9))) for _ in range(4000)]
+    texts = [" ".join(rnd.choice(words) for _ in range(2500)) for _ in range(150)]
+    texts += [t.replace(words[n], "x", 3) for n, t in enumerate(texts[:20])] + texts[:5] + ["", "abc", " ".join(texts[0].split()[:2200])]
+    spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    sizes, plain = {}, queries.written
+
+    def watched(df, name, **options):
+        found = plain(df, name, **options)
+        path = found.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        sizes[name] = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path))
+        return found
+
+    with pytest.MonkeyPatch.context() as patched:
+        for module in (queries, di, ix):
+            patched.setattr(module, "written", watched)
+        got = queries.QUERIES["f15_similar_pairs"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(db.execute(queries.SQL["f15_similar_pairs"]).fetchall()) and len(got) >= 25
+    assert "postings" not in sizes and sum(n for name, n in sizes.items() if name != "marks") < 0.6 * sum(map(len, texts))
